@@ -1,0 +1,19 @@
+"""Broadcast only behind a size check.
+
+``F.broadcast`` skips the planner's own size estimate, so it is used here only after an
+exact row count (one cheap aggregate on an already small, usually dimension-sized input)
+proves the side is under the bound. Above the bound the DataFrame is returned un-hinted and
+the planner / AQE choose a shuffle join.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_ROWS = 2_000_000
+
+
+def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
