@@ -74,12 +74,16 @@ def with_hex_cell(df: DataFrame, lon: str, lat: str, res: int, name: str) -> Dat
     return df.drop(*[t + c for c in ("q", "r", "rx", "ry", "rz", "dx", "dy", "dz")])
 
 
+def _cell_rest(cell: str) -> str:
+    return f"({cell} - CAST(FLOOR({cell} / {RES_MUL}) AS BIGINT) * {RES_MUL})"
+
+
 def cell_q(cell: str) -> str:
-    return f"(CAST(FLOOR(({cell} - FLOOR({cell} / {RES_MUL}) * {RES_MUL}) / {Q_MUL}) AS BIGINT) - {OFF})"
+    return f"(CAST(FLOOR({_cell_rest(cell)} / {Q_MUL}) AS BIGINT) - {OFF})"
 
 
 def cell_r(cell: str) -> str:
-    return f"(({cell} - FLOOR({cell} / {RES_MUL}) * {RES_MUL}) - ({cell_q(cell)} + {OFF}) * {Q_MUL} - {OFF})"
+    return f"({_cell_rest(cell)} - ({cell_q(cell)} + {OFF}) * {Q_MUL} - {OFF})"
 
 
 def cell_centre(cell: str, res: int) -> tuple[str, str]:

@@ -23,6 +23,7 @@ from ..functions.numeric import E, mean_rounded, rnd
 from ..operators.intervals import interval_join
 from ..operators.quality import Rule, apply_rules
 from ..sources import tables as S
+from .memo import plan
 
 CELL_RESOLUTIONS = (7, 8, 9)
 INCIDENT_KEY_LANES = 100  # worst-incident key = lanes_blocked * 100 + severity
@@ -69,6 +70,7 @@ def _exprs(d: dict[str, str]) -> dict:
 
 # --- stations -------------------------------------------------------------------------
 
+@plan
 def stations_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station dimension with hexagon cells, WKT and the baseline lever columns."""
     out = S.stations(spark, sf_dir)
@@ -101,6 +103,7 @@ def worst_incident_by_bucket(inc: DataFrame) -> DataFrame:
                  .agg(*[E(f"max(CASE WHEN abs_slot % 3 = {i} THEN k END)").alias(f"k{i}") for i in range(3)]))
 
 
+@plan
 def bronze_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with the incident join, capacity chain, BPR speed, served flow,
     occupancy and detector-health columns (B11-B17, D2, H1, H6).
@@ -108,10 +111,10 @@ def bronze_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join key (station_id, abs_bucket) is also the key of the 15-minute rollup, so the
     readings are hash-shuffled once for join and rollup together."""
     st = S.stations(spark, sf_dir)
-    rd = S.readings(spark, sf_dir, st).withColumns(_exprs({
+    rd = S.readings(spark, sf_dir).withColumns(_exprs({
         "abs_slot": f"day_no * {K.SLOTS_PER_DAY} + slot5",
         "abs_bucket": f"day_no * {K.BUCKETS_PER_DAY} + bucket_idx"}))
-    inc = S.incidents(spark, sf_dir, st)
+    inc = S.incidents(spark, sf_dir)
     j = (rd.join(worst_incident_by_bucket(inc), ["station_id", "abs_bucket"], "left")
            .join(st.select("station_id", "num_lanes"), "station_id"))
     j = j.withColumn("_k", E("CASE abs_slot % 3 WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END"))
@@ -139,13 +142,14 @@ def bronze_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(out, BRONZE_RULES)
 
 
+@plan
 def incident_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 literal mode: every (reading, incident) pair whose window covers the reading,
     readings without one kept once (left join; overlapping incidents fan out)."""
     st = S.stations(spark, sf_dir)
-    rd = S.readings(spark, sf_dir, st).selectExpr(
+    rd = S.readings(spark, sf_dir).selectExpr(
         "station_id", "src_order", "src_line", f"day_no * {K.SLOTS_PER_DAY} + slot5 AS abs_slot")
-    inc = S.incidents(spark, sf_dir, st).selectExpr(
+    inc = S.incidents(spark, sf_dir).selectExpr(
         "station_id", "incident_id", "severity AS incident_severity", "lanes_blocked",
         f"day_no * {K.SLOTS_PER_DAY} + start_slot AS inc_start", f"day_no * {K.SLOTS_PER_DAY} + end_slot AS inc_end")
     j = interval_join(rd, inc, ["station_id"], "abs_slot", "inc_start", "inc_end", width=12)
@@ -155,6 +159,7 @@ def incident_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- silver ---------------------------------------------------------------------------
 
+@plan
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings with v/c, grade, delay, congestion flag and local calendar (B7-B10, B15,
     B18, B26, H1-H5); unusable observations dropped (C2, C4)."""
@@ -220,6 +225,7 @@ def _bucket_calendar(prefix_cols: dict | None = None) -> dict[str, str]:
     return cols
 
 
+@plan
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per station and local 15-minute bucket; grade recomputed from the
     bucket-mean v/c (E6); congestion index (B18); calendar from the local bucket (H3, H5)."""
@@ -236,6 +242,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(f, FRAME_RULES)
 
 
+@plan
 def corridor_summary(spark: SparkSession, sf_dir: str, sample_minutes: int = K.INTERVAL_MINUTES) -> DataFrame:
     """(freeway, direction, local 15-minute bucket) rollup with VMT, VHT and delay
     hours (B19, E5, E6, E7). VMT counts each 5-minute sample as ``sample_minutes``/60

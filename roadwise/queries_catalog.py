@@ -1,0 +1 @@
+"""Imports every module that registers queries."""

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import clock
+from ..plans.memo import plan
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -52,6 +53,7 @@ def day_range(spark: SparkSession, n: int, name: str = "day_offset") -> DataFram
     return spark.range(0, n).withColumnRenamed("id", name)
 
 
+@plan
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector dimension: one station per supplier."""
     return read_table(spark, sf_dir, "supplier", ["s_suppkey"]).selectExpr(
@@ -71,11 +73,12 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def incidents(spark: SparkSession, sf_dir: str, station_df: DataFrame | None = None) -> DataFrame:
+@plan
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incident windows [start_slot, end_slot) in 5-minute slots of day ``day_no``.
 
     An end slot past 288 runs into the next day, as real incidents cross midnight."""
-    st = station_df if station_df is not None else stations(spark, sf_dir)
+    st = stations(spark, sf_dir)
     n_sup = read_table(spark, sf_dir, "supplier", ["s_suppkey"]).selectExpr("count(1) AS n_sup")
     o = (read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
          .filter("o_orderpriority LIKE '1%'")
@@ -92,9 +95,10 @@ def incidents(spark: SparkSession, sf_dir: str, station_df: DataFrame | None = N
     )
 
 
-def readings(spark: SparkSession, sf_dir: str, station_df: DataFrame | None = None) -> DataFrame:
+@plan
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw 5-minute detector samples (one per lineitem) before the capacity model."""
-    st = station_df if station_df is not None else stations(spark, sf_dir)
+    st = stations(spark, sf_dir)
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"])
     j = li.join(st.withColumnRenamed("station_num", "l_suppkey"), "l_suppkey")
@@ -138,6 +142,7 @@ SCENARIO_ROWS = [
 ]
 
 
+@plan
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corridor polyline vertices (freeway, seq, lat, lon, urban, city)."""
     return read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).selectExpr(
@@ -150,6 +155,7 @@ def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns with an appended advice block, some of them malformed."""
     c = read_table(spark, sf_dir, "conversations").filter("role = 'assistant'")
