@@ -30,6 +30,13 @@ def edge_km(res: int) -> float:
     return BASE_EDGE_KM / (math.sqrt(7.0) ** res)
 
 
+def origin_km(res: int) -> tuple[float, float]:
+    """Per-resolution grid origin shift (fractions of an edge), so the centre of a fine
+    cell never lies exactly on a coarse cell's border and the parent is well defined."""
+    s = edge_km(res)
+    return 0.3141592653589793 * s, 0.2718281828459045 * s
+
+
 def haversine_m(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Great-circle distance in metres on a sphere."""
     a = (f"POW(SIN((RADIANS({lat2}) - RADIANS({lat1})) / 2e0), 2) + COS(RADIANS({lat1})) * COS(RADIANS({lat2}))"
@@ -56,9 +63,10 @@ def with_hex_cell(df: DataFrame, lon: str, lat: str, res: int, name: str) -> Dat
 
     Cube rounding runs in staged columns, each intermediate computed once."""
     s = edge_km(res)
+    ox, oy = origin_km(res)
     t = f"_{name}_"
-    x = f"({lon}) * {lit(KM_PER_DEG_LON)}"
-    y = f"({lat}) * {lit(KM_PER_DEG_LAT)}"
+    x = f"(({lon}) * {lit(KM_PER_DEG_LON)} + {lit(ox)})"
+    y = f"(({lat}) * {lit(KM_PER_DEG_LAT)} + {lit(oy)})"
     df = df.withColumns({t + "q": F.expr(f"({lit(SQRT3 / 3.0)} * {x} - {y} / 3e0) / {lit(s)}"),
                          t + "r": F.expr(f"(2e0 / 3e0 * {y}) / {lit(s)}")})
     q, r = t + "q", t + "r"
@@ -89,18 +97,27 @@ def cell_r(cell: str) -> str:
 def cell_centre(cell: str, res: int) -> tuple[str, str]:
     """(lon, lat) of a cell centre; ``res`` must be the cell's resolution."""
     s = edge_km(res)
+    ox, oy = origin_km(res)
     q, r = cell_q(cell), cell_r(cell)
-    x = f"{lit(s)} * ({lit(SQRT3)} * {q} + {lit(SQRT3 / 2.0)} * {r})"
-    y = f"{lit(s)} * (15e-1 * {r})"
+    x = f"{lit(s)} * ({lit(SQRT3)} * {q} + {lit(SQRT3 / 2.0)} * {r}) - {lit(ox)}"
+    y = f"{lit(s)} * (15e-1 * {r}) - {lit(oy)}"
     return f"({x}) / {lit(KM_PER_DEG_LON)}", f"({y}) / {lit(KM_PER_DEG_LAT)}"
 
 
 def with_cell_parent(df: DataFrame, cell: str, res: int, parent_res: int, name: str) -> DataFrame:
-    """The coarse cell that contains the fine cell's centre."""
-    lon, lat = cell_centre(cell, res)
-    t = f"_{name}_"
-    df = df.withColumns({t + "lon": F.expr(lon), t + "lat": F.expr(lat)})
-    return with_hex_cell(df, t + "lon", t + "lat", parent_res, name).drop(t + "lon", t + "lat")
+    """The coarse cell that contains the fine cell's centre (staged columns)."""
+    t = f"_{name}_p"
+    s = edge_km(res)
+    ox, oy = origin_km(res)
+    df = df.withColumn(t + "rest", F.expr(f"{cell} - CAST(FLOOR({cell} / {RES_MUL}) AS BIGINT) * {RES_MUL}"))
+    df = df.withColumn(t + "q", F.expr(f"CAST(FLOOR({t}rest / {Q_MUL}) AS BIGINT) - {OFF}"))
+    df = df.withColumn(t + "r", F.expr(f"{t}rest - ({t}q + {OFF}) * {Q_MUL} - {OFF}"))
+    df = df.withColumns({
+        t + "lon": F.expr(f"({lit(s)} * ({lit(SQRT3)} * {t}q + {lit(SQRT3 / 2.0)} * {t}r) - {lit(ox)})"
+                          f" / {lit(KM_PER_DEG_LON)}"),
+        t + "lat": F.expr(f"({lit(s)} * (15e-1 * {t}r) - {lit(oy)}) / {lit(KM_PER_DEG_LAT)}")})
+    out = with_hex_cell(df, t + "lon", t + "lat", parent_res, name)
+    return out.drop(t + "rest", t + "q", t + "r", t + "lon", t + "lat")
 
 
 def cell_string(cell: str) -> str:
@@ -108,12 +125,13 @@ def cell_string(cell: str) -> str:
     return f"lower(hex({cell}))"
 
 
-def cell_boundary_wkt(cell: str, res: int) -> str:
-    """POLYGON WKT of the six corners (closed ring), lon/lat with 6 decimals."""
+def cell_boundary_wkt(q: str, r: str, res: int) -> str:
+    """POLYGON WKT (closed ring of six corners, lon/lat with 6 decimals) of the cell
+    with axial coordinates (q, r); pass decoded columns (see ``cell_q``/``cell_r``)."""
     s = edge_km(res)
-    q, r = cell_q(cell), cell_r(cell)
-    cx = f"({lit(s)} * ({lit(SQRT3)} * {q} + {lit(SQRT3 / 2.0)} * {r}))"
-    cy = f"({lit(s)} * (15e-1 * {r}))"
+    ox, oy = origin_km(res)
+    cx = f"({lit(s)} * ({lit(SQRT3)} * {q} + {lit(SQRT3 / 2.0)} * {r}) - {lit(ox)})"
+    cy = f"({lit(s)} * (15e-1 * {r}) - {lit(oy)})"
     pts = []
     for i in list(range(6)) + [0]:
         ang = math.radians(60 * i + 30)

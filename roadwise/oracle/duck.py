@@ -30,8 +30,9 @@ def pmod(a: str, b: str) -> str:
 
 def hex_cell(lon: str, lat: str, res: int) -> str:
     s = G.edge_km(res)
-    x = f"(({lon}) * {lit(G.KM_PER_DEG_LON)})"
-    y = f"(({lat}) * {lit(G.KM_PER_DEG_LAT)})"
+    ox, oy = G.origin_km(res)
+    x = f"(({lon}) * {lit(G.KM_PER_DEG_LON)} + {lit(ox)})"
+    y = f"(({lat}) * {lit(G.KM_PER_DEG_LAT)} + {lit(oy)})"
     q = f"(({lit(G.SQRT3 / 3.0)} * {x} - {y} / 3e0) / {lit(s)})"
     r = f"((2e0 / 3e0 * {y}) / {lit(s)})"
     rx, rz, ry = f"FLOOR({q} + 5e-1)", f"FLOOR({r} + 5e-1)", f"FLOOR(-{q} - {r} + 5e-1)"
@@ -49,17 +50,7 @@ def cell_parent(cell: str, res: int, parent_res: int) -> str:
 
 
 def boundary_wkt(cell: str, res: int) -> str:
-    s = G.edge_km(res)
-    q, r = G.cell_q(cell), G.cell_r(cell)
-    cx = f"({lit(s)} * ({lit(G.SQRT3)} * {q} + {lit(G.SQRT3 / 2.0)} * {r}))"
-    cy = f"({lit(s)} * (15e-1 * {r}))"
-    pts = []
-    for i in list(range(6)) + [0]:
-        ang = math.radians(60 * i + 30)
-        px = f"({cx} + {lit(s * math.cos(ang))}) / {lit(G.KM_PER_DEG_LON)}"
-        py = f"({cy} + {lit(s * math.sin(ang))}) / {lit(G.KM_PER_DEG_LAT)}"
-        pts.append(f"printf('%.6f %.6f', {px}, {py})")
-    return f"concat('POLYGON((', concat_ws(', ', {', '.join(pts)}), '))')"
+    return G.cell_boundary_wkt(G.cell_q(cell), G.cell_r(cell), res).replace("format_string(", "printf(")
 
 
 def rules_where(preds: list[str]) -> str:
@@ -139,7 +130,8 @@ SELECT s.station_id, l.l_orderkey AS src_order, l.l_linenumber AS src_line,
          AS observed_pct
 FROM lineitem l JOIN stations s ON s.station_num = l.l_suppkey"""
     geo_cols = ", ".join(f"{hex_cell('longitude', 'latitude', r)} AS cell_r{r}" for r in (7, 8, 9))
-    c["stations_geo0"] = f"SELECT *, {geo_cols} FROM stations"
+    c["stations_geo00"] = f"SELECT *, {geo_cols} FROM stations"
+    c["stations_geo0"] = f"SELECT *, {cell_parent('cell_r7', 7, 5)} AS cell_r7_p5 FROM stations_geo00"
     c["stations_geo"] = f"""
 SELECT *, lower(hex(cell_r7)) AS cell_r7_str, lower(hex(cell_r8)) AS cell_r8_str, lower(hex(cell_r9)) AS cell_r9_str,
        printf('POINT(%.6f %.6f)', longitude, latitude) AS geom_wkt,
@@ -258,3 +250,54 @@ def with_ctes(body: str, extra: dict[str, str] | None = None) -> str:
     if extra:
         c.update(extra)
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in c.items()) + "\n" + body
+
+
+def dashboard_ctes() -> dict[str, str]:
+    c: dict[str, str] = {}
+    c["scoped_frames"] = ("SELECT f.*, s.scope FROM frames f, "
+                          "(SELECT unnest(['ALL', f2.freeway]) AS scope, f2.station_id AS sid, f2.abs_bucket AS ab "
+                          " FROM frames f2) s WHERE s.sid = f.station_id AND s.ab = f.abs_bucket")
+    c["station_index"] = """
+SELECT reading_date, scope, station_id,
+       CAST(row_number() OVER (PARTITION BY reading_date, scope ORDER BY station_id) - 1 AS INT) AS station_idx
+FROM (SELECT DISTINCT reading_date, scope, station_id FROM scoped_frames)"""
+    c["tm_cells"] = """
+SELECT i.reading_date, i.scope, b.bucket_idx, i.station_id, i.station_idx,
+       CAST(b.bucket_idx // 24 * 24 AS INT) AS from_bucket,
+       COALESCE(CAST(f.avg_flow_vph AS INT), -1) AS flow,
+       COALESCE(CAST(floor(f.avg_speed_mph * 2e0 + 5e-1) AS INT), -1) AS speed_half,
+       COALESCE(CAST(floor(f.vc_ratio * 1e2 + 5e-1) AS INT), -1) AS vc_pct,
+       COALESCE(CAST(CASE WHEN f.incident_active THEN COALESCE(f.max_incident_severity, 1) ELSE 0 END AS INT), 0)
+         AS incident
+FROM station_index i
+JOIN (SELECT DISTINCT reading_date, scope, bucket_idx FROM scoped_frames) b
+  ON b.reading_date = i.reading_date AND b.scope = i.scope
+LEFT JOIN scoped_frames f ON f.reading_date = i.reading_date AND f.scope = i.scope
+  AND f.bucket_idx = b.bucket_idx AND f.station_id = i.station_id"""
+    c["hex_agg"] = f"""
+SELECT reading_date, scope, bucket_idx, lower(hex(cell_r7_p5)) AS hex_id,
+       CAST(floor(SUM(CAST(floor(congestion_index * 1e4 + 5e-1) AS BIGINT)) / (COUNT(congestion_index) * 1e2)
+            + 5e-1) AS INT) AS congestion_pct,
+       CAST(floor(SUM(CAST(floor(avg_speed_mph * 1e1 + 5e-1) AS BIGINT)) / (COUNT(avg_speed_mph) * 5e0)
+            + 5e-1) AS INT) AS speed_half
+FROM (SELECT f.*, g.cell_r7_p5 FROM scoped_frames f JOIN stations_geo g ON g.station_id = f.station_id)
+GROUP BY ALL"""
+    c["hex_dim"] = """
+SELECT reading_date, scope, hex_id,
+       CAST(row_number() OVER (PARTITION BY reading_date, scope ORDER BY hex_id) - 1 AS INT) AS hex_idx
+FROM (SELECT DISTINCT reading_date, scope, hex_id FROM hex_agg)"""
+    c["hex_dense"] = """
+SELECT b.reading_date, b.scope, b.bucket_idx, h.hex_idx, h.hex_id, CAST(b.bucket_idx // 24 * 24 AS INT) AS from_bucket,
+       COALESCE(a.congestion_pct, -1) AS congestion_pct, COALESCE(a.speed_half, 0) AS speed_half
+FROM (SELECT DISTINCT reading_date, scope, bucket_idx FROM hex_agg) b
+JOIN hex_dim h ON h.reading_date = b.reading_date AND h.scope = b.scope
+LEFT JOIN hex_agg a ON a.reading_date = b.reading_date AND a.scope = b.scope AND a.bucket_idx = b.bucket_idx
+  AND a.hex_id = h.hex_id"""
+    return c
+
+
+def packed_select(src: str, keys: str, values: list[str], index: str) -> str:
+    strs = ", ".join(f"string_agg(CAST({v} AS VARCHAR), ',' ORDER BY bucket_idx, {index}) AS {v}" for v in values)
+    return (f"SELECT {keys}, CAST(count(*) AS INT) AS n, CAST(min(bucket_idx) AS INT) AS first_bucket,"
+            f" CAST(max(bucket_idx) AS INT) AS last_bucket, CAST(count(DISTINCT {index}) AS INT) AS stations, {strs}"
+            f" FROM {src} GROUP BY {keys}")

@@ -46,7 +46,7 @@ def _load() -> None:
 
 # --- medallion ----------------------------------------------------------------------
 
-STATION_GEO_COLS = ("station_num, station_id, freeway, direction, postmile, latitude, longitude, num_lanes, "
+STATION_GEO_COLS = ("cell_r7_p5, station_num, station_id, freeway, direction, postmile, latitude, longitude, num_lanes, "
                     "lane_capacity_vph, station_type, urban_intensity, detector_health, cell_r7, cell_r8, cell_r9, "
                     "cell_r7_str, cell_r8_str, cell_r9_str, geom_wkt, cell_r8_boundary_wkt, baseline_capacity_vph, "
                     "baseline_lanes, baseline_lane_capacity_vph")
@@ -62,3 +62,53 @@ FROM readings r LEFT JOIN incidents i ON i.station_id = r.station_id
 register("enriched", D.with_ctes("SELECT * FROM enriched"))(MD.enriched)
 register("frames", D.with_ctes("SELECT * FROM frames"))(MD.frames)
 register("corridor_summary", D.with_ctes("SELECT * FROM corridor"))(MD.corridor_summary)
+
+# --- dashboard ----------------------------------------------------------------------
+from .plans import dashboard as DB  # noqa: E402
+
+_DASH = D.dashboard_ctes()
+
+
+def _dq(body: str) -> str:
+    return D.with_ctes(body, _DASH)
+
+
+register("day_catalogue", _dq("""
+SELECT reading_date AS day, CAST(max(day_of_week) AS INT) AS day_of_week,
+       CAST(max(CASE WHEN is_weekend THEN 1 ELSE 0 END) AS INT) AS is_weekend,
+       strftime(reading_date, '%a') AS day_name, CAST(count(DISTINCT station_id) AS INT) AS station_count
+FROM frames GROUP BY reading_date"""))(DB.day_catalogue)
+register("corridor_options", _dq(
+    "SELECT freeway, CAST(count(DISTINCT station_id) AS INT) AS station_count FROM frames GROUP BY freeway"
+))(DB.corridor_options)
+register("station_geometry", _dq("""
+SELECT station_id, freeway, direction, postmile, latitude, longitude, num_lanes, station_type,
+       cell_r7_str AS cell_r7, cell_r8_str AS cell_r8, baseline_capacity_vph, baseline_lanes,
+       CAST(row_number() OVER (ORDER BY station_id) - 1 AS INT) AS station_idx
+FROM stations_geo g WHERE EXISTS (SELECT 1 FROM frames f WHERE f.station_id = g.station_id)"""))(DB.station_geometry)
+register("station_index", _dq("SELECT * FROM station_index"))(DB.station_index)
+register("time_matrix", _dq(D.packed_select("tm_cells", "reading_date, scope, from_bucket",
+                                            ["flow", "speed_half", "vc_pct", "incident"], "station_idx")))(DB.time_matrix)
+register("time_matrix_decoded", _dq("""
+SELECT reading_date, scope, bucket_idx, station_id, NULLIF(flow, -1) AS flow_vph,
+       CASE WHEN speed_half = -1 THEN NULL ELSE speed_half / 2e0 END AS speed_mph,
+       CASE WHEN vc_pct = -1 THEN NULL ELSE vc_pct / 1e2 END AS vc_ratio, incident
+FROM tm_cells"""))(DB.time_matrix_decoded)
+register("cell_congestion", _dq("""
+SELECT p.*, m.max_congestion_pct, d.hex_count, d.hex_ids FROM (
+  SELECT reading_date, scope, from_bucket, CAST(min(bucket_idx) AS INT) AS first_bucket,
+         string_agg(CAST(congestion_pct AS VARCHAR), ',' ORDER BY bucket_idx, hex_idx) AS congestion_pct,
+         string_agg(CAST(speed_half AS VARCHAR), ',' ORDER BY bucket_idx, hex_idx) AS speed_half
+  FROM hex_dense GROUP BY ALL) p
+JOIN (SELECT reading_date, scope, from_bucket, CAST(max(congestion_pct) AS INT) AS max_congestion_pct
+      FROM hex_dense GROUP BY ALL) m USING (reading_date, scope, from_bucket)
+JOIN (SELECT reading_date, scope, CAST(count(*) AS INT) AS hex_count,
+             string_agg(hex_id, ',' ORDER BY hex_idx) AS hex_ids FROM hex_dim GROUP BY ALL) d
+  USING (reading_date, scope)"""))(DB.cell_congestion)
+register("alignment_check", _dq("""
+SELECT t.reading_date, t.scope, t.from_bucket, t.stations, i.index_stations,
+       COALESCE(t.stations = i.index_stations, false) AS aligned
+FROM (SELECT reading_date, scope, from_bucket, CAST(count(DISTINCT station_idx) AS INT) AS stations
+      FROM tm_cells GROUP BY ALL) t
+LEFT JOIN (SELECT reading_date, scope, CAST(count(*) AS INT) AS index_stations FROM station_index GROUP BY ALL) i
+  USING (reading_date, scope)"""))(DB.alignment_check)
