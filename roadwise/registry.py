@@ -112,3 +112,22 @@ FROM (SELECT reading_date, scope, from_bucket, CAST(count(DISTINCT station_idx)
       FROM tm_cells GROUP BY ALL) t
 LEFT JOIN (SELECT reading_date, scope, CAST(count(*) AS INT) AS index_stations FROM station_index GROUP BY ALL) i
   USING (reading_date, scope)"""))(DB.alignment_check)
+
+# --- network geometry ---------------------------------------------------------------
+from .plans import network as NW  # noqa: E402
+from .plans import scenario as SC  # noqa: E402
+
+register("segments", None)(NW.segments)
+register("candidates", None)(NW.candidates)
+register("corridor_lengths", None)(NW.corridor_lengths)
+register("linear_reference", None)(NW.linear_reference)
+register("corridor_paths", None)(NW.corridor_paths)
+
+# --- scenario engine ----------------------------------------------------------------
+register("scenario_kpis", None)(SC.scenario_kpis)
+register("scenario_cells", None)(SC.scenario_cells)
+
+
+@register("scenario_lever_warnings", None)
+def _lever_warnings(spark, sf_dir):
+    return SC.lever_warnings(SC.S.scenarios(spark))
