@@ -131,3 +131,72 @@ register("scenario_cells", None)(SC.scenario_cells)
 @register("scenario_lever_warnings", None)
 def _lever_warnings(spark, sf_dir):
     return SC.lever_warnings(SC.S.scenarios(spark))
+
+# --- snapshots ----------------------------------------------------------------------
+from .functions import measures as _M  # noqa: E402
+from .functions.numeric import mean_rounded as _mr, rnd as _rnd  # noqa: E402
+from .plans import snapshot as SN  # noqa: E402
+
+_SNAP = "reading_date, scope, bucket_idx"
+register("snapshot_network", _dq(f"""
+SELECT {_SNAP}, CAST(count(*) AS INT) AS station_count, {_mr('avg_speed_mph', 1, 1)} AS mean_speed_mph,
+  min(min_speed_mph) AS min_speed_mph, {_mr('free_flow_speed_mph', 1, 1)} AS mean_free_flow_mph,
+  {_mr('vc_ratio', 4, 3)} AS mean_vc, {_rnd('max(vc_ratio)', 2)} AS max_vc,
+  CAST(count_if(vc_ratio > 1) AS INT) AS stations_over_capacity, CAST(count_if(is_congested) AS INT) AS stations_congested,
+  CAST(count_if(incident_active) AS INT) AS stations_with_incident,
+  CAST(sum(avg_flow_vph) AS BIGINT) AS total_served_flow_vph,
+  CAST(sum(avg_demanded_flow_vph) AS BIGINT) AS total_demanded_flow_vph,
+  {_mr('delay_vs_freeflow_min_per_mi', 4, 3)} AS mean_delay_min_per_mi
+FROM scoped_frames GROUP BY {_SNAP}"""))(SN.snapshot_network)
+register("snapshot_corridors", _dq(f"""
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {_SNAP} ORDER BY mean_delay_min_per_mi DESC, freeway,
+  direction) AS INT) AS rank FROM (
+SELECT {_SNAP}, freeway, direction, CAST(count(*) AS INT) AS station_count,
+  {_mr('avg_speed_mph', 1, 1)} AS mean_speed_mph, {_mr('free_flow_speed_mph', 1, 1)} AS free_flow_mph,
+  {_mr('vc_ratio', 4, 2)} AS mean_vc, {_rnd('max(vc_ratio)', 2)} AS max_vc,
+  CAST(count_if(vc_ratio > 1) AS INT) AS stations_over_capacity,
+  {_mr('delay_vs_freeflow_min_per_mi', 4, 3)} AS mean_delay_min_per_mi,
+  CAST(count_if(incident_active) AS INT) AS incident_count,
+  CAST(COALESCE(max(lanes_blocked), 0) AS INT) AS max_lanes_blocked,
+  CAST(sum(avg_demanded_flow_vph) AS BIGINT) AS demanded_flow_vph, CAST(sum(avg_flow_vph) AS BIGINT) AS served_flow_vph
+FROM scoped_frames GROUP BY {_SNAP}, freeway, direction)) WHERE rank <= 8"""))(SN.snapshot_corridors)
+register("snapshot_los", _dq(f"""
+SELECT {_SNAP}, los, station_count,
+  {_rnd(f'1e2 * station_count / sum(station_count) OVER (PARTITION BY {_SNAP})', 1)} AS pct
+FROM (SELECT {_SNAP}, level_of_service AS los, CAST(count(*) AS INT) AS station_count FROM scoped_frames
+      GROUP BY {_SNAP}, level_of_service)"""))(SN.snapshot_los)
+register("snapshot_incidents", _dq(f"""
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {_SNAP} ORDER BY severity DESC, lanes_blocked DESC,
+  vc_ratio DESC, station_id) AS INT) AS rank, CAST(count(*) OVER (PARTITION BY {_SNAP}) AS INT) AS incident_total
+FROM (SELECT {_SNAP}, station_id, freeway, direction, {_rnd('postmile', 1)} AS postmile,
+  CAST(COALESCE(max_incident_severity, 0) AS INT) AS severity, CAST(COALESCE(lanes_blocked, 0) AS INT) AS lanes_blocked,
+  CAST(num_lanes AS INT) AS num_lanes, {_rnd('avg_speed_mph', 1)} AS speed_mph, {_rnd('vc_ratio', 2)} AS vc_ratio
+  FROM scoped_frames WHERE incident_active)) WHERE rank <= 12"""))(SN.snapshot_incidents)
+_LOS8 = _M.los_from_speed_vc("avg_speed_mph", "vc_ratio")
+register("frame_kpis", _dq(f"""
+SELECT {_SNAP}, {_rnd('COALESCE(avg(avg_speed_mph), 0e0)', 6)} AS mean_speed,
+  CAST(sum(avg_flow_vph) AS BIGINT) AS total_flow,
+  {_rnd(f"CASE WHEN count(avg_speed_mph) > 0 THEN 1e2 * count_if(avg_speed_mph IS NOT NULL AND {_LOS8} IN ('E', 'F')) / count(avg_speed_mph) ELSE 0e0 END", 6)} AS pct_congested,
+  CAST(count_if(vc_ratio > 1) AS INT) AS over_capacity, CAST(count_if(incident_active) AS INT) AS incidents,
+  CAST(count(avg_speed_mph) AS INT) AS observed
+FROM scoped_frames GROUP BY {_SNAP}"""))(SN.frame_kpis)
+register("frame_worst_corridors", _dq(f"""
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY reading_date, bucket_idx ORDER BY mean_speed, freeway)
+  AS INT) AS rank FROM (
+SELECT reading_date, bucket_idx, freeway, {_rnd('COALESCE(avg(avg_speed_mph), 0e0)', 6)} AS mean_speed,
+  CAST(sum(avg_flow_vph) AS BIGINT) AS total_flow,
+  {_rnd(f"CASE WHEN count(avg_speed_mph) > 0 THEN 1e2 * count_if(avg_speed_mph IS NOT NULL AND {_LOS8} IN ('E', 'F')) / count(avg_speed_mph) ELSE 0e0 END", 6)} AS congested_pct
+FROM frames GROUP BY reading_date, bucket_idx, freeway)) WHERE rank <= 5"""))(SN.frame_worst_corridors)
+register("frame_interpolation", _dq("""
+SELECT f.station_id, f.reading_date, f.bucket_idx, s.step,
+  """ + _rnd("CASE WHEN n.avg_speed_mph IS NULL THEN f.avg_speed_mph ELSE f.avg_speed_mph + (n.avg_speed_mph - f.avg_speed_mph) * (s.step / 3.0e0) END", 6) + """ AS speed_mph,
+  """ + _rnd("CASE WHEN n.avg_flow_vph IS NULL THEN CAST(f.avg_flow_vph AS DOUBLE) ELSE CAST(f.avg_flow_vph AS DOUBLE) + (CAST(n.avg_flow_vph AS DOUBLE) - CAST(f.avg_flow_vph AS DOUBLE)) * (s.step / 3.0e0) END", 6) + """ AS flow_vph,
+  """ + _rnd("CASE WHEN n.vc_ratio IS NULL THEN f.vc_ratio ELSE f.vc_ratio + (n.vc_ratio - f.vc_ratio) * (s.step / 3.0e0) END", 6) + """ AS vc_ratio,
+  CASE WHEN s.step / 3.0e0 >= 5e-1 AND n.station_id IS NOT NULL
+       THEN CAST(CASE WHEN n.incident_active THEN COALESCE(n.max_incident_severity, 1) ELSE 0 END AS INT)
+       ELSE CAST(CASE WHEN f.incident_active THEN COALESCE(f.max_incident_severity, 1) ELSE 0 END AS INT) END AS incident
+FROM frames f CROSS JOIN (SELECT unnest([0, 1, 2]) AS step) s
+LEFT JOIN frames n ON n.station_id = f.station_id AND n.reading_date = f.reading_date
+  AND n.bucket_idx = (f.bucket_idx + 1) % 96"""))(SN.frame_interpolation)
+register("snapshot_brief", None)(SN.snapshot_brief)
+register("snapshot_json", None)(SN.snapshot_json)
