@@ -200,3 +200,15 @@ LEFT JOIN frames n ON n.station_id = f.station_id AND n.reading_date = f.reading
   AND n.bucket_idx = (f.bucket_idx + 1) % 96"""))(SN.frame_interpolation)
 register("snapshot_brief", None)(SN.snapshot_brief)
 register("snapshot_json", None)(SN.snapshot_json)
+
+# --- advice -------------------------------------------------------------------------
+from .plans import advice as AD  # noqa: E402
+
+register("advice_blocks", None)(AD.advice_blocks)
+register("advice_items", None)(AD.advice_items)
+register("advice_summary", None)(AD.advice_summary)
+register("session_messages", """
+SELECT s.conv_id, COALESCE(c.message_count, 0) AS message_count
+FROM (SELECT DISTINCT conv_id FROM conversations) s
+LEFT JOIN (SELECT conv_id, count(*) AS message_count FROM conversations WHERE role <> 'system' GROUP BY conv_id) c
+  ON c.conv_id = s.conv_id""")(AD.session_messages)
