@@ -78,7 +78,10 @@ def with_hex_cell(df: DataFrame, lon: str, lat: str, res: int, name: str) -> Dat
     fix_y = f"(NOT {fix_x} AND {t}dy > {t}dz)"
     qx = f"CAST(CASE WHEN {fix_x} THEN -{t}ry - {t}rz ELSE {t}rx END AS BIGINT)"
     qz = f"CAST(CASE WHEN NOT {fix_x} AND NOT {fix_y} THEN -{t}rx - {t}ry ELSE {t}rz END AS BIGINT)"
-    df = df.withColumn(name, F.expr(f"CAST({res} * {RES_MUL} + ({qx} + {OFF}) * {Q_MUL} + ({qz} + {OFF}) AS BIGINT)"))
+    # Non-nullable (-1 when a coordinate is missing): no null-check predicate is inferred on
+    # the id and pushed back through the staged columns above.
+    df = df.withColumn(name, F.expr(f"COALESCE(CAST({res} * {RES_MUL} + ({qx} + {OFF}) * {Q_MUL} + ({qz} + {OFF})"
+                                    f" AS BIGINT), CAST(-1 AS BIGINT))"))
     return df.drop(*[t + c for c in ("q", "r", "rx", "ry", "rz", "dx", "dy", "dz")])
 
 

@@ -22,3 +22,8 @@ def plan(fn):
             df = _PLANS[key] = fn(spark, *args, **kwargs)
         return df
     return wrapper
+
+
+def clear() -> None:
+    """Forget built plans (benchmarks time plan construction and execution together)."""
+    _PLANS.clear()

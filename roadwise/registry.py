@@ -117,15 +117,17 @@ LEFT JOIN (SELECT reading_date, scope, CAST(count(*) AS INT) AS index_stations F
 from .plans import network as NW  # noqa: E402
 from .plans import scenario as SC  # noqa: E402
 
-register("segments", None)(NW.segments)
-register("candidates", None)(NW.candidates)
+from .oracle import scenario_sql as _SQ  # noqa: E402
+
+register("segments", _SQ.network_sql("segments"))(NW.segments)
+register("candidates", _SQ.network_sql("candidates"))(NW.candidates)
 register("corridor_lengths", None)(NW.corridor_lengths)
 register("linear_reference", None)(NW.linear_reference)
 register("corridor_paths", None)(NW.corridor_paths)
 
 # --- scenario engine ----------------------------------------------------------------
-register("scenario_kpis", None)(SC.scenario_kpis)
-register("scenario_cells", None)(SC.scenario_cells)
+register("scenario_kpis", _SQ.kpis_sql())(SC.scenario_kpis)
+register("scenario_cells", _SQ.cells_sql())(SC.scenario_cells)
 
 
 @register("scenario_lever_warnings", None)

@@ -25,6 +25,7 @@ DEFAULT_SF = "/root/testdata/sf0.01"
 
 def duck_conn(sf_dir: str):
     con = duckdb.connect()
+    con.execute("SET enable_progress_bar = false")
     for t in TABLES:
         p = f"{sf_dir}/{t}.parquet"
         if os.path.exists(p):
