@@ -62,3 +62,11 @@ def safe_div(num: str, den: str, floor: float = 1e-9) -> str:
 
 def clamp(x: str, lo: float, hi: float) -> str:
     return f"LEAST({lit(hi)}, GREATEST({lit(lo)}, {x}))"
+
+
+def exact_sum(x: str, k: int = 6) -> str:
+    """Aggregate: sum of ``x`` with every term fixed at ``k`` decimals and added as an
+    exact BIGINT, so the total does not depend on the order rows meet in a shuffle."""
+    m = lit(10 ** k)
+    term = f"(CASE WHEN ({x}) < 0 THEN -CAST(FLOOR(-({x}) * {m} + 5e-1) AS BIGINT) ELSE CAST(FLOOR(({x}) * {m} + 5e-1) AS BIGINT) END)"
+    return f"(CAST(SUM({term}) AS DOUBLE) / {m})"

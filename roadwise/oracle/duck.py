@@ -166,12 +166,13 @@ FROM bronze1"""
 SELECT *, {speed} AS avg_speed_mph, {M.served_flow('demanded_flow_vph', 'effective_capacity_vph')} AS total_flow_vph,
        {M.lanes_reporting('num_lanes', 'observed_pct')} AS num_lanes_reporting
 FROM bronze2"""
-    c["bronze"] = f"""
+    c["bronze_raw"] = f"""
 SELECT station_id, src_order, src_line, day_no, slot5, abs_slot, abs_bucket, bucket_idx, ts, local_ts,
        demanded_flow_vph, total_flow_vph, avg_occupancy, avg_speed_mph, observed_pct, num_lanes_reporting,
        num_lanes, base_capacity_vph, effective_capacity_vph, free_flow_speed_mph, incident_active,
        lanes_blocked, incident_severity
-FROM (SELECT *, {rnd(M.occupancy('total_flow_vph', 'avg_speed_mph', 'num_lanes'), 4)} AS avg_occupancy FROM bronze3)
+FROM (SELECT *, {rnd(M.occupancy('total_flow_vph', 'avg_speed_mph', 'num_lanes'), 4)} AS avg_occupancy FROM bronze3)"""
+    c["bronze"] = f"""SELECT * FROM bronze_raw
 WHERE {rules_where(['demanded_flow_vph >= 0', 'total_flow_vph >= 0', 'total_flow_vph <= demanded_flow_vph',
                     'total_flow_vph <= 20000', 'avg_speed_mph > 0 AND avg_speed_mph <= 100',
                     'avg_occupancy BETWEEN 0 AND 1', 'observed_pct BETWEEN 0 AND 100',
@@ -188,11 +189,12 @@ SELECT b.*, g.freeway, g.direction, g.postmile, g.latitude, g.longitude, g.stati
        {dow('local_ts')} AS day_of_week,
        date_trunc('minute', ts) - to_minutes(CAST(minute(ts) % 15 AS BIGINT)) AS time_bucket
 FROM bronze b JOIN stations_geo g ON g.station_id = b.station_id"""
-    c["enriched"] = f"""
+    c["enriched_raw"] = f"""
 SELECT *, {M.level_of_service('vc_ratio')} AS level_of_service, day_of_week IN (1, 7) AS is_weekend,
        CASE WHEN day_of_week IN (1, 7) THEN 'WEEKEND' WHEN hour_of_day BETWEEN 6 AND 9 THEN 'AM_PEAK'
             WHEN hour_of_day BETWEEN 15 AND 18 THEN 'PM_PEAK' ELSE 'OFF_PEAK' END AS peak_period
-FROM enriched0
+FROM enriched0"""
+    c["enriched"] = f"""SELECT * FROM enriched_raw
 WHERE {rules_where([f'observed_pct >= {K.MIN_OBSERVED_PCT}', 'vc_ratio >= 0',
                     f"{M.level_of_service('vc_ratio')} IN ('A','B','C','D','E','F')"])}"""
     aggs = ", ".join(f"{v} AS {k}" for k, v in FRAME_AGGS_SQL.items())

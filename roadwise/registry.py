@@ -214,3 +214,100 @@ SELECT s.conv_id, COALESCE(c.message_count, 0) AS message_count
 FROM (SELECT DISTINCT conv_id FROM conversations) s
 LEFT JOIN (SELECT conv_id, count(*) AS message_count FROM conversations WHERE role <> 'system' GROUP BY conv_id) c
   ON c.conv_id = s.conv_id""")(AD.session_messages)
+
+# --- remaining operators --------------------------------------------------------------
+from .functions import clock as _C  # noqa: E402
+from .functions.numeric import rnd_signed as _rs  # noqa: E402
+from .operators.quality import Rule as _Rule  # noqa: E402
+from .plans import extras as EX  # noqa: E402
+
+_LOC = "timezone('America/Los_Angeles', timezone('UTC', ts))"
+_B = D.pmod("CAST(bucket_idx AS INT)", "96")
+register("event_clock", D.with_ctes(f"""
+SELECT event_id, local_ts, {D.to_utc('local_ts')} AS ts_roundtrip,
+  date_trunc('minute', ts) - to_minutes(CAST(minute(ts) % 15 AS BIGINT)) AS time_bucket, bucket_idx,
+  printf('%02d:%02d', {_B} // 4, ({_B} % 4) * 15) AS bucket_label, local_date, hour_of_day, day_of_week,
+  day_of_week IN (1, 7) AS is_weekend, strftime(local_date, '%a') AS day_name,
+  {_rnd('hour(local_ts) + minute(local_ts) / 6e1', 6)} AS hour_frac,
+  CAST(local_date AS TIMESTAMP) + to_minutes(CAST(CAST(FLOOR(hour(local_ts) + minute(local_ts) / 6e1) AS INT) * 60
+    + CAST(FLOOR(((hour(local_ts) + minute(local_ts) / 6e1) - FLOOR(hour(local_ts) + minute(local_ts) / 6e1)) * 12)
+    AS INT) * 5 AS BIGINT)) AS slot_start,
+  {_C.peak_period('day_of_week', 'hour_of_day')} AS peak_period, {_C.period_label('hour_of_day')} AS period_label
+FROM (SELECT *, CAST(hour(local_ts) * 4 + minute(local_ts) // 15 AS INT) AS bucket_idx,
+        CAST(hour(local_ts) AS INT) AS hour_of_day, CAST(dayofweek(local_ts) + 1 AS INT) AS day_of_week,
+        CAST(local_ts AS DATE) AS local_date
+      FROM (SELECT event_id, ts, {_LOC} AS local_ts FROM events))"""))(EX.event_clock)
+
+_HOUR = "(bucket_idx / 4e0)"
+_CAP = _M.base_capacity("num_lanes", _M.lane_capacity_vph("urban_intensity"), _M.station_type_scale("station_type"))
+register("demand_profile", D.with_ctes(f"""
+SELECT *, {_rnd('demand_factor * dow_scale * demand_scale * model_capacity_vph', 3)} AS expected_demand_vph FROM (
+SELECT f.station_id, f.reading_date, f.bucket_idx,
+  {_rnd(_M.demand_factor(_HOUR, 'is_weekend', 'f.direction'), 6)} AS demand_factor,
+  {_M.dow_scale('day_of_week')} AS dow_scale, {_rnd(_M.demand_scale('urban_intensity'), 6)} AS demand_scale,
+  {_rnd(_M.free_flow_speed('urban_intensity'), 6)} AS free_flow_speed_mph,
+  {_M.lane_capacity_vph('urban_intensity')} AS lane_capacity_vph, {_M.station_type_scale('s.station_type')} AS type_scale,
+  {_rnd(_CAP.replace('num_lanes', 'f.num_lanes').replace('station_type', 's.station_type'), 6)} AS model_capacity_vph,
+  f.avg_demanded_flow_vph
+FROM frames f JOIN stations s ON s.station_id = f.station_id)"""))(EX.demand_profile)
+register("frame_unserved", D.with_ctes(f"""
+SELECT station_id, reading_date, bucket_idx,
+  {_M.unserved_demand('avg_demanded_flow_vph', 'avg_flow_vph')} AS unserved_vph,
+  {_rs(_M.unserved_pct('avg_demanded_flow_vph', 'avg_flow_vph'), 4)} AS unserved_pct FROM frames"""))(EX.frame_unserved)
+
+
+def _violations(stage: str, src: str, rules) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, '{r.name}' AS rule, '{r.action}' AS action,"
+        f" count_if(NOT COALESCE(({r.predicate}), false)) AS violations FROM {src}" for r in rules)
+
+
+register("quality_report", D.with_ctes(
+    _violations("bronze_readings", "bronze_raw", MD.BRONZE_RULES) + " UNION ALL "
+    + _violations("enriched", "enriched_raw", MD.ENRICHED_RULES)))(EX.quality_report)
+
+_D = "(speed_after - speed_before)"
+register("scenario_speed_changes", _SQ.with_cells(f"""
+SELECT scenario_id, reading_date, bucket_idx, station_id, {_rs(_D, 6)} AS speed_delta,
+  {_M.speed_change_class(_D)} AS change_class, {_rnd(_M.speed_change_magnitude(_D), 6)} AS magnitude,
+  {_D} < -8e0 AS severe_drop FROM cells"""))(EX.scenario_speed_changes)
+register("scenario_corridor_compare", _SQ.with_cells(f"""
+SELECT scenario_id, reading_date, bucket_idx, freeway, b AS baseline_speed,
+  COALESCE(a, b) AS scenario_speed, {_rs('COALESCE(a, b) - b', 4)} AS speed_delta
+FROM (SELECT c.scenario_id, c.reading_date, c.bucket_idx, s.freeway, {_mr('c.speed_before', 6, 4)} AS b,
+        {_mr('c.speed_after', 6, 4)} AS a
+      FROM cells c JOIN stations s ON s.station_id = c.station_id GROUP BY ALL)"""))(EX.scenario_corridor_compare)
+register("scenario_time_matrix", _SQ.with_cells(D.packed_select("stm_cells", "scenario_id, reading_date, from_bucket",
+                                                                ["flow", "speed_half", "vc_pct", "incident", "delay_c"],
+                                                                "station_idx"), {"stm_cells": f"""
+SELECT c.scenario_id, c.reading_date, c.bucket_idx, i.station_idx, CAST(c.bucket_idx // 24 * 24 AS INT) AS from_bucket,
+  {_M.scaled_int('served_after', 1.0)} AS flow, {_M.scaled_int('speed_after', 2.0)} AS speed_half,
+  {_M.scaled_int('vc_after', 100.0)} AS vc_pct, {_M.capacity_loss_severity('cap_scen', 'cap_obs')} AS incident,
+  {_M.scaled_int('delay_after', 100.0)} AS delay_c
+FROM cells c JOIN station_index i ON i.reading_date = c.reading_date AND i.station_id = c.station_id
+WHERE i.scope = 'ALL'"""}))(EX.scenario_time_matrix)
+_PAIRS = [("demand", "d_lever", "demand_after"), ("vc", "vc_before", "vc_after"), ("speed", "speed_before", "speed_after"),
+          ("served", "served_before", "served_after"), ("delay", "delay_before", "delay_after"),
+          ("vmt", "vmt_before", "vmt_after"), ("vht", "vht_before", "vht_after")]
+register("noop_proof", _SQ.with_cells("SELECT scenario_id, " + ", ".join(
+    f"max(ABS({a} - {b})) AS max_abs_diff_{n}" for n, b, a in _PAIRS)
+    + ", count_if(los_before <> los_after) AS grade_changes FROM cells WHERE scenario_id = 'noop' GROUP BY scenario_id"
+))(EX.noop_proof)
+_WHERE = ("concat(freeway, CASE WHEN direction <> '' THEN concat(' ', direction) ELSE '' END,"
+          " printf(' postmile %.1f-%.1f', pm_from, pm_to))")
+
+
+def _lbl(b: str) -> str:
+    x = D.pmod(f"CAST({b} AS INT)", "96")
+    return f"printf('%02d:%02d', {x} // 4, ({x} % 4) * 15)"
+
+
+register("lever_summary", f"""WITH levers AS ({_SQ._values()})
+SELECT scenario_id, kind, CASE kind WHEN 'none' THEN 'No change (baseline).'
+  WHEN 'closure' THEN printf('Close %d lane(s) on %s.', CAST(amount AS INT), {_WHERE})
+  WHEN 'demand' THEN printf('Change demand by %+.0f%% on %s.', amount,
+    CASE WHEN freeway = 'ALL' THEN 'all corridors' ELSE freeway END)
+  WHEN 'incident' THEN printf('Incident blocking %d lane(s) on %s, %s-%s.', CAST(amount AS INT), {_WHERE},
+    {_lbl('bucket_from')}, {_lbl('bucket_to + 1')})
+  WHEN 'capacity' THEN printf('Add %d lane(s) and scale capacity x%.2f on %s.', CAST(amount AS INT), scale, {_WHERE})
+  ELSE kind END AS summary FROM levers""")(EX.lever_summary)
