@@ -272,7 +272,8 @@ SELECT i.reading_date, i.scope, b.bucket_idx, i.station_id, i.station_idx,
        COALESCE(CAST(CASE WHEN f.incident_active THEN COALESCE(f.max_incident_severity, 1) ELSE 0 END AS INT), 0)
          AS incident
 FROM station_index i
-JOIN (SELECT DISTINCT reading_date, scope, bucket_idx FROM scoped_frames) b
+JOIN (SELECT reading_date, scope, unnest(generate_series(0, 95)) AS bucket_idx
+      FROM (SELECT DISTINCT reading_date, scope FROM scoped_frames)) b
   ON b.reading_date = i.reading_date AND b.scope = i.scope
 LEFT JOIN scoped_frames f ON f.reading_date = i.reading_date AND f.scope = i.scope
   AND f.bucket_idx = b.bucket_idx AND f.station_id = i.station_id"""
@@ -291,7 +292,8 @@ FROM (SELECT DISTINCT reading_date, scope, hex_id FROM hex_agg)"""
     c["hex_dense"] = """
 SELECT b.reading_date, b.scope, b.bucket_idx, h.hex_idx, h.hex_id, CAST(b.bucket_idx // 24 * 24 AS INT) AS from_bucket,
        COALESCE(a.congestion_pct, -1) AS congestion_pct, COALESCE(a.speed_half, 0) AS speed_half
-FROM (SELECT DISTINCT reading_date, scope, bucket_idx FROM hex_agg) b
+FROM (SELECT reading_date, scope, unnest(generate_series(0, 95)) AS bucket_idx
+      FROM (SELECT DISTINCT reading_date, scope FROM hex_agg)) b
 JOIN hex_dim h ON h.reading_date = b.reading_date AND h.scope = b.scope
 LEFT JOIN hex_agg a ON a.reading_date = b.reading_date AND a.scope = b.scope AND a.bucket_idx = b.bucket_idx
   AND a.hex_id = h.hex_id"""

@@ -70,8 +70,8 @@ def station_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def time_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D1 + B22: the dense (date, scope, bucket, station_idx) grid of each day's buckets
-    times its station index, with the integer-scaled payload values; a station without a
+    """D1 + B22: the dense (date, scope, bucket, station_idx) grid of all 96 buckets of a
+    day times its station index, with the integer-scaled payload values; a station without a
     frame in a bucket carries -1 (flow, speed, v/c) and 0 (incident)."""
     f = scoped(MD.frames(spark, sf_dir)).selectExpr(
         "reading_date", "scope", "bucket_idx", "station_id",
@@ -79,7 +79,9 @@ def time_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(FLOOR(avg_speed_mph * 2e0 + 5e-1) AS INT) AS speed_half",
         "CAST(FLOOR(vc_ratio * 1e2 + 5e-1) AS INT) AS vc_pct",
         "CAST(CASE WHEN incident_active THEN COALESCE(max_incident_severity, 1) ELSE 0 END AS INT) AS incident")
-    buckets = f.select("reading_date", "scope", "bucket_idx").distinct()
+    # every bucket of the day, so positions in a window are always bucket-major and complete
+    buckets = f.select("reading_date", "scope").distinct().selectExpr(
+        "reading_date", "scope", f"explode(sequence(0, {K.BUCKETS_PER_DAY - 1})) AS bucket_idx")
     grid = station_index(spark, sf_dir).join(buckets, ["reading_date", "scope"])
     cells = grid.join(f, ["reading_date", "scope", "bucket_idx", "station_id"], "left")
     return cells.selectExpr(
@@ -135,7 +137,8 @@ def cell_congestion(spark: SparkSession, sf_dir: str, parent_res: int = 5) -> Da
     w = Window.partitionBy("reading_date", "scope").orderBy("hex_id")
     hex_dim = (agg.select("reading_date", "scope", "hex_id").distinct()
                   .withColumn("hex_idx", (F.row_number().over(w) - 1).cast("int")))
-    buckets = agg.select("reading_date", "scope", "bucket_idx").distinct()
+    buckets = agg.select("reading_date", "scope").distinct().selectExpr(
+        "reading_date", "scope", f"explode(sequence(0, {K.BUCKETS_PER_DAY - 1})) AS bucket_idx")
     dense = (buckets.join(hex_dim, ["reading_date", "scope"])
                     .join(agg, ["reading_date", "scope", "bucket_idx", "hex_id"], "left")
                     .selectExpr("reading_date", "scope", "bucket_idx", "hex_idx",
