@@ -67,22 +67,23 @@ def with_hex_cell(df: DataFrame, lon: str, lat: str, res: int, name: str) -> Dat
     t = f"_{name}_"
     x = f"(({lon}) * {lit(KM_PER_DEG_LON)} + {lit(ox)})"
     y = f"(({lat}) * {lit(KM_PER_DEG_LAT)} + {lit(oy)})"
-    df = df.withColumns({t + "q": F.expr(f"({lit(SQRT3 / 3.0)} * {x} - {y} / 3e0) / {lit(s)}"),
-                         t + "r": F.expr(f"(2e0 / 3e0 * {y}) / {lit(s)}")})
+    df = df.selectExpr("*", f"({lit(SQRT3 / 3.0)} * {x} - {y} / 3e0) / {lit(s)} AS {t}q",
+                       f"(2e0 / 3e0 * {y}) / {lit(s)} AS {t}r")
     q, r = t + "q", t + "r"
-    df = df.withColumns({t + "rx": F.expr(f"FLOOR({q} + 5e-1)"), t + "rz": F.expr(f"FLOOR({r} + 5e-1)"),
-                         t + "ry": F.expr(f"FLOOR(-{q} - {r} + 5e-1)")})
-    df = df.withColumns({t + "dx": F.expr(f"ABS({t}rx - {q})"), t + "dz": F.expr(f"ABS({t}rz - {r})"),
-                         t + "dy": F.expr(f"ABS({t}ry + {q} + {r})")})
+    df = df.selectExpr("*", f"FLOOR({q} + 5e-1) AS {t}rx", f"FLOOR({r} + 5e-1) AS {t}rz",
+                       f"FLOOR(-{q} - {r} + 5e-1) AS {t}ry")
+    df = df.selectExpr("*", f"ABS({t}rx - {q}) AS {t}dx", f"ABS({t}rz - {r}) AS {t}dz",
+                       f"ABS({t}ry + {q} + {r}) AS {t}dy")
     fix_x = f"({t}dx > {t}dy AND {t}dx > {t}dz)"
     fix_y = f"(NOT {fix_x} AND {t}dy > {t}dz)"
     qx = f"CAST(CASE WHEN {fix_x} THEN -{t}ry - {t}rz ELSE {t}rx END AS BIGINT)"
     qz = f"CAST(CASE WHEN NOT {fix_x} AND NOT {fix_y} THEN -{t}rx - {t}ry ELSE {t}rz END AS BIGINT)"
     # Non-nullable (-1 when a coordinate is missing): no null-check predicate is inferred on
     # the id and pushed back through the staged columns above.
-    df = df.withColumn(name, F.expr(f"COALESCE(CAST({res} * {RES_MUL} + ({qx} + {OFF}) * {Q_MUL} + ({qz} + {OFF})"
-                                    f" AS BIGINT), CAST(-1 AS BIGINT))"))
-    return df.drop(*[t + c for c in ("q", "r", "rx", "ry", "rz", "dx", "dy", "dz")])
+    tmp = {t + c for c in ("q", "r", "rx", "ry", "rz", "dx", "dy", "dz")}
+    keep = [f"`{c}`" for c in df.columns if c not in tmp]
+    return df.selectExpr(*keep, f"COALESCE(CAST({res} * {RES_MUL} + ({qx} + {OFF}) * {Q_MUL} + ({qz} + {OFF})"
+                                f" AS BIGINT), CAST(-1 AS BIGINT)) AS {name}")
 
 
 def _cell_rest(cell: str) -> str:

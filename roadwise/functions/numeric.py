@@ -22,6 +22,23 @@ def E(sql: str) -> Column:
     return F.expr(sql)
 
 
+def add_cols(df, cols: dict[str, str]):
+    """Add SQL-expression columns in one call (``withColumns`` for names that exist)."""
+    existing = set(df.columns)
+    new = {k: v for k, v in cols.items() if k not in existing}
+    old = {k: v for k, v in cols.items() if k in existing}
+    if new:
+        df = df.selectExpr("*", *[f"{v} AS {k}" for k, v in new.items()])
+    if old:
+        df = df.withColumns({k: F.expr(v) for k, v in old.items()})
+    return df
+
+
+def agg_exprs(aggs: dict[str, str]) -> list[Column]:
+    """Aggregate columns from {name: SQL}, one JVM call each."""
+    return [F.expr(f"{v} AS {k}") for k, v in aggs.items()]
+
+
 def lit(x: float) -> str:
     """A DOUBLE literal in scientific form (``55e-2`` is DOUBLE, ``0.55`` would be DECIMAL)."""
     return f"{float(x)!r}".replace("e+", "e") if "e" in f"{float(x)!r}" else f"{float(x)!r}e0"

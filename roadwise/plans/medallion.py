@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import clock, geo
 from ..functions import measures as M
-from ..functions.numeric import E, mean_rounded, rnd
+from ..functions.numeric import E, add_cols, agg_exprs, mean_rounded, rnd
 from ..operators.intervals import interval_join
 from ..operators.quality import Rule, apply_rules
 from ..sources import tables as S
@@ -77,7 +77,7 @@ def stations_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     for r in CELL_RESOLUTIONS:
         out = geo.with_hex_cell(out, "longitude", "latitude", r, f"cell_r{r}")
     out = geo.with_cell_parent(out, "cell_r7", 7, 5, "cell_r7_p5")
-    out = out.withColumns(_exprs({"_q8": geo.cell_q("cell_r8"), "_r8": geo.cell_r("cell_r8")}))
+    out = add_cols(out, {"_q8": geo.cell_q("cell_r8"), "_r8": geo.cell_r("cell_r8")})
     cols = {f"cell_r{r}_str": geo.cell_string(f"cell_r{r}") for r in CELL_RESOLUTIONS}
     cols.update({
         "geom_wkt": geo.point_wkt("longitude", "latitude"),
@@ -86,7 +86,7 @@ def stations_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
         "baseline_lanes": "num_lanes",
         "baseline_lane_capacity_vph": "lane_capacity_vph",
     })
-    return apply_rules(out.withColumns(_exprs(cols)).drop("_q8", "_r8"), STATION_RULES)
+    return apply_rules(add_cols(out, cols).drop("_q8", "_r8"), STATION_RULES)
 
 
 # --- bronze ---------------------------------------------------------------------------
@@ -113,28 +113,28 @@ def bronze_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join key (station_id, abs_bucket) is also the key of the 15-minute rollup, so the
     readings are hash-shuffled once for join and rollup together."""
     st = S.stations(spark, sf_dir)
-    rd = S.readings(spark, sf_dir).withColumns(_exprs({
+    rd = add_cols(S.readings(spark, sf_dir), {
         "abs_slot": f"day_no * {K.SLOTS_PER_DAY} + slot5",
-        "abs_bucket": f"day_no * {K.BUCKETS_PER_DAY} + bucket_idx"}))
+        "abs_bucket": f"day_no * {K.BUCKETS_PER_DAY} + bucket_idx"})
     inc = S.incidents(spark, sf_dir)
     j = (rd.join(worst_incident_by_bucket(inc), ["station_id", "abs_bucket"], "left")
            .join(st.select("station_id", "num_lanes"), "station_id"))
     j = j.withColumn("_k", E("CASE abs_slot % 3 WHEN 0 THEN k0 WHEN 1 THEN k1 ELSE k2 END"))
-    j = j.withColumns(_exprs({
+    j = add_cols(j, {
         "incident_active": "_k IS NOT NULL",
         "lanes_blocked": f"COALESCE(CAST(_k DIV {INCIDENT_KEY_LANES} AS INT), 0)",
         "incident_severity": f"COALESCE(CAST(_k % {INCIDENT_KEY_LANES} AS INT), 0)",
-        "local_ts": S.slot_local_ts("abs_slot")}))
-    j = j.withColumns(_exprs({
+        "local_ts": S.slot_local_ts("abs_slot")})
+    j = add_cols(j, {
         "ts": clock.local_to_utc("local_ts"),
         "effective_capacity_vph": M.effective_capacity("base_capacity_vph", "incident_active", "num_lanes",
-                                                       "lanes_blocked")}))
-    j = j.withColumns(_exprs({
+                                                       "lanes_blocked")})
+    j = add_cols(j, {
         "avg_speed_mph": M.jittered_speed(
             M.bpr_speed("free_flow_speed_mph", "demanded_flow_vph / GREATEST(1e0, effective_capacity_vph)"),
             "speed_jitter"),
         "total_flow_vph": M.served_flow("demanded_flow_vph", "effective_capacity_vph"),
-        "num_lanes_reporting": M.lanes_reporting("num_lanes", "observed_pct")}))
+        "num_lanes_reporting": M.lanes_reporting("num_lanes", "observed_pct")})
     j = j.withColumn("avg_occupancy", E(rnd(M.occupancy("total_flow_vph", "avg_speed_mph", "num_lanes"), 4)))
     out = j.select(
         "station_id", "src_order", "src_line", "day_no", "slot5", "abs_slot", "abs_bucket", "bucket_idx",
@@ -176,7 +176,7 @@ def enriched_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "station_id", "freeway", "direction", "postmile", "latitude", "longitude", "station_type",
         "urban_intensity", "cell_r7", "cell_r8", "baseline_capacity_vph", "baseline_lanes",
         "baseline_lane_capacity_vph")
-    d = b.join(st, "station_id").withColumns(_exprs({
+    d = add_cols(b.join(st, "station_id"), {
         "vc_ratio": M.vc_ratio("demanded_flow_vph", "effective_capacity_vph"),
         "served_vc_ratio": M.vc_ratio("total_flow_vph", "effective_capacity_vph"),
         "delay_vs_freeflow_min_per_mi": rnd(M.delay_min_per_mi("avg_speed_mph", "free_flow_speed_mph"), 4),
@@ -185,11 +185,11 @@ def enriched_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "reading_date": clock.reading_date("local_ts"),
         "hour_of_day": "hour(local_ts)",
         "day_of_week": clock.day_of_week("local_ts"),
-        "time_bucket": clock.floor_to_minutes("ts")}))
-    d = d.withColumns(_exprs({
+        "time_bucket": clock.floor_to_minutes("ts")})
+    d = add_cols(d, {
         "level_of_service": M.level_of_service("vc_ratio"),
         "is_weekend": clock.is_weekend("day_of_week"),
-        "peak_period": clock.peak_period("day_of_week", "hour_of_day")}))
+        "peak_period": clock.peak_period("day_of_week", "hour_of_day")})
     return d
 
 
@@ -244,14 +244,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per station and local 15-minute bucket; grade recomputed from the
     bucket-mean v/c (E6); congestion index (B18); calendar from the local bucket (H3, H5)."""
     e = enriched(spark, sf_dir)
-    agg = e.groupBy("station_id", "abs_bucket").agg(*[E(v).alias(k) for k, v in FRAME_AGGS.items()])
+    agg = e.groupBy("station_id", "abs_bucket").agg(*agg_exprs(FRAME_AGGS))
     st = stations_geo(spark, sf_dir).select(
         "station_id", "freeway", "direction", "postmile", "latitude", "longitude", "station_type",
         "cell_r7", "cell_r8", "cell_r8_str", "cell_r9", "baseline_capacity_vph", "baseline_lanes",
         "baseline_lane_capacity_vph", "geom_wkt")
-    f = agg.join(st, "station_id").withColumns(_exprs(_bucket_calendar({
+    f = add_cols(agg.join(st, "station_id"), _bucket_calendar({
         "level_of_service": M.level_of_service("vc_ratio"),
-        "congestion_index": M.congestion_index("avg_speed_mph", "free_flow_speed_mph")})))
+        "congestion_index": M.congestion_index("avg_speed_mph", "free_flow_speed_mph")}))
     f = f.withColumn("is_weekend", E(clock.is_weekend("day_of_week")))
     return apply_rules(f, FRAME_RULES)
 
@@ -281,16 +281,16 @@ def corridor_summary(spark: SparkSession, sf_dir: str, sample_minutes: int = K.I
         "min_postmile": "min(postmile)",
         "max_postmile": "max(postmile)",
     }
-    agg = e.groupBy("freeway", "direction", "abs_bucket").agg(*[E(v).alias(k) for k, v in aggs.items()])
+    agg = e.groupBy("freeway", "direction", "abs_bucket").agg(*agg_exprs(aggs))
     length = rnd("max_postmile - min_postmile", 2)
-    out = agg.withColumns(_exprs(_bucket_calendar({
+    out = add_cols(agg, _bucket_calendar({
         "level_of_service": M.level_of_service("vc_ratio"),
         "congested_pct": rnd("1e2 * congested_station_samples / GREATEST(1, sample_count)", 2),
         "corridor_length_mi": length,
-        "vmt": rnd(f"sum_flow_vph * {sample_minutes / 60.0!r} * ({length} / GREATEST(1, station_count))", 1)})))
-    out = out.withColumns(_exprs({
+        "vmt": rnd(f"sum_flow_vph * {sample_minutes / 60.0!r} * ({length} / GREATEST(1, station_count))", 1)}))
+    out = add_cols(out, {
         "vht": rnd("vmt / GREATEST(1e0, avg_speed_mph)", 2),
         "total_delay_veh_hours": rnd("vmt * avg_delay_min_per_mi / 6e1", 2),
         "is_weekend": clock.is_weekend("day_of_week"),
-        "peak_period": clock.peak_period("day_of_week", "hour_of_day")}))
+        "peak_period": clock.peak_period("day_of_week", "hour_of_day")})
     return out.drop("abs_bucket")

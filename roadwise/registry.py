@@ -311,3 +311,9 @@ SELECT scenario_id, kind, CASE kind WHEN 'none' THEN 'No change (baseline).'
     {_lbl('bucket_from')}, {_lbl('bucket_to + 1')})
   WHEN 'capacity' THEN printf('Add %d lane(s) and scale capacity x%.2f on %s.', CAST(amount AS INT), scale, {_WHERE})
   ELSE kind END AS summary FROM levers""")(EX.lever_summary)
+
+
+@register("scenario_kpis_no_reassignment", _SQ.kpis_sql(0))
+def _kpis_k0(spark, sf_dir):
+    """S7 / K7 with k = 0: levers applied, no demand reassignment."""
+    return SC.scenario_kpis(spark, sf_dir, iterations=0)
