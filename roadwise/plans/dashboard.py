@@ -25,7 +25,7 @@ WINDOW_STARTS = tuple(range(0, K.BUCKETS_PER_DAY, K.WINDOW_BUCKETS))
 @plan
 def day_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per local date: day of week, weekend flag as INT, day name, station count."""
-    return MD.frames(spark, sf_dir).groupBy("reading_date").agg(
+    return MD.frames_table(spark, sf_dir).groupBy("reading_date").agg(
         E("CAST(max(day_of_week) AS INT)").alias("day_of_week"),
         E("CAST(max(CASE WHEN is_weekend THEN 1 ELSE 0 END) AS INT)").alias("is_weekend"),
         E("CAST(count(DISTINCT station_id) AS INT)").alias("station_count"),
@@ -36,7 +36,7 @@ def day_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def corridor_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5: stations with frames per freeway."""
-    return MD.frames(spark, sf_dir).groupBy("freeway").agg(
+    return MD.frames_table(spark, sf_dir).groupBy("freeway").agg(
         E("CAST(count(DISTINCT station_id) AS INT)").alias("station_count"))
 
 
@@ -44,8 +44,8 @@ def corridor_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 def station_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of stations that have frames, with the dense station index
     the payloads use (0..N-1 in station_id order) as a column instead of a sort."""
-    geo = MD.stations_geo(spark, sf_dir)
-    present = MD.frames(spark, sf_dir).select("station_id")
+    geo = MD.stations_geo_table(spark, sf_dir)
+    present = MD.frames_table(spark, sf_dir).select("station_id")
     g = geo.join(present, "station_id", "left_semi")
     return g.selectExpr(
         "station_id", "freeway", "direction", "postmile", "latitude", "longitude", "num_lanes", "station_type",
@@ -62,7 +62,7 @@ def scoped(df: DataFrame) -> DataFrame:
 def station_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dense 0..N-1 index per (reading_date, scope) over the stations with frames that
     day, in station_id order. The window is partitioned by (date, scope), never global."""
-    d = scoped(MD.frames(spark, sf_dir).select("reading_date", "freeway", "station_id")).select(
+    d = scoped(MD.frames_table(spark, sf_dir).select("reading_date", "freeway", "station_id")).select(
         "reading_date", "scope", "station_id").distinct()
     w = Window.partitionBy("reading_date", "scope").orderBy("station_id")
     return d.withColumn("station_idx", (F.row_number().over(w) - 1).cast("int"))
@@ -73,7 +73,7 @@ def time_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 + B22: the dense (date, scope, bucket, station_idx) grid of all 96 buckets of a
     day times its station index, with the integer-scaled payload values; a station without a
     frame in a bucket carries -1 (flow, speed, v/c) and 0 (incident)."""
-    f = scoped(MD.frames(spark, sf_dir)).selectExpr(
+    f = scoped(MD.frames_table(spark, sf_dir)).selectExpr(
         "reading_date", "scope", "bucket_idx", "station_id",
         "CAST(avg_flow_vph AS INT) AS flow",
         "CAST(FLOOR(avg_speed_mph * 2e0 + 5e-1) AS INT) AS speed_half",
@@ -124,8 +124,8 @@ def cell_congestion(spark: SparkSession, sf_dir: str, parent_res: int = 5) -> Da
     dense bucket x hexagon congestion and speed payload (-1 = no stations in the cell)."""
     if parent_res != 5:
         raise ValueError("the station dimension carries resolution-5 parents of the r7 cells")
-    cells = MD.stations_geo(spark, sf_dir).select("station_id", "cell_r7_p5")
-    f = MD.frames(spark, sf_dir).select(
+    cells = MD.stations_geo_table(spark, sf_dir).select("station_id", "cell_r7_p5")
+    f = MD.frames_table(spark, sf_dir).select(
         "station_id", "reading_date", "freeway", "bucket_idx", "congestion_index", "avg_speed_mph").join(
         cells, "station_id")
     f = scoped(f).withColumn("hex_id", E("lower(hex(cell_r7_p5))"))

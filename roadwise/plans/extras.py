@@ -39,7 +39,7 @@ def event_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demand_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model's expected demand for each frame (diurnal profile at the local hour,
     day-of-week and urban scale, facility-scaled capacity) beside the observed demand."""
-    f = MD.frames(spark, sf_dir).select("station_id", "reading_date", "bucket_idx", "direction", "day_of_week",
+    f = MD.frames_table(spark, sf_dir).select("station_id", "reading_date", "bucket_idx", "direction", "day_of_week",
                                         "is_weekend", "avg_demanded_flow_vph", "num_lanes")
     st = S.stations(spark, sf_dir).select("station_id", "urban_intensity", "station_type")
     hour = f"(bucket_idx / 4e0)"
@@ -60,7 +60,7 @@ def demand_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def frame_unserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unserved demand (vph and percent of demand) of every frame."""
-    return MD.frames(spark, sf_dir).selectExpr(
+    return MD.frames_table(spark, sf_dir).selectExpr(
         "station_id", "reading_date", "bucket_idx",
         f"{M.unserved_demand('avg_demanded_flow_vph', 'avg_flow_vph')} AS unserved_vph",
         f"{rnd_signed(M.unserved_pct('avg_demanded_flow_vph', 'avg_flow_vph'), 4)} AS unserved_pct")

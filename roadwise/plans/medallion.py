@@ -294,3 +294,19 @@ def corridor_summary(spark: SparkSession, sf_dir: str, sample_minutes: int = K.I
         "is_weekend": clock.is_weekend("day_of_week"),
         "peak_period": clock.peak_period("day_of_week", "hour_of_day")})
     return out.drop("abs_bucket")
+
+
+@plan
+def stations_geo_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The station dimension materialized once per session (reliable checkpoint into the
+    shared ``spark.checkpoint.dir``), like the pipeline's stored dimension table."""
+    from ..session import cut_lineage
+    return cut_lineage(stations_geo(spark, sf_dir))
+
+
+@plan
+def frames_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold frame table materialized once per session: dashboard, snapshot and
+    scenario jobs read it the way they read the refreshed table in production."""
+    from ..session import cut_lineage
+    return cut_lineage(frames(spark, sf_dir))

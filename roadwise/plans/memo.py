@@ -24,6 +24,8 @@ def plan(fn):
     return wrapper
 
 
-def clear() -> None:
-    """Forget built plans (benchmarks time plan construction and execution together)."""
-    _PLANS.clear()
+def clear(keep: tuple[str, ...] = ()) -> None:
+    """Forget built plans (benchmarks time plan construction and execution together);
+    plans whose function name is in ``keep`` (materialized tables) survive."""
+    for k in [k for k in _PLANS if k[1] not in keep]:
+        del _PLANS[k]

@@ -26,7 +26,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     neighbours, full gap at the ends, 0.5 mi alone; clamped to [0.05, 12]) and the local
     bearing from its neighbours; F2b's alternative length (mean of valid gaps 0 < g < 20,
     min 0.1, default 0.5) beside it."""
-    st = MD.stations_geo(spark, sf_dir).select("station_id", "freeway", "direction", "postmile", "latitude",
+    st = MD.stations_geo_table(spark, sf_dir).select("station_id", "freeway", "direction", "postmile", "latitude",
                                                  "longitude", "num_lanes")
     w = f"OVER ({CARRIAGEWAY})"
     s = st.selectExpr("*", f"lead(postmile) {w} AS pm_next", f"lag(postmile) {w} AS pm_prev",
@@ -112,7 +112,7 @@ def linear_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def corridor_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each carriageway's station points in postmile order, as one ordered array."""
-    st = MD.stations_geo(spark, sf_dir)
+    st = MD.stations_geo_table(spark, sf_dir)
     return st.groupBy("freeway", "direction").agg(
         E("transform(array_sort(collect_list(struct(postmile, station_id, longitude, latitude))),"
           " x -> struct(x.station_id AS station_id, x.longitude AS lon, x.latitude AS lat))").alias("path"))

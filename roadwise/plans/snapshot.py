@@ -21,7 +21,7 @@ SNAP = ["reading_date", "scope", "bucket_idx"]
 
 
 def _frames(spark, sf_dir) -> DataFrame:
-    return scoped(MD.frames(spark, sf_dir))
+    return scoped(MD.frames_table(spark, sf_dir))
 
 
 @plan
@@ -109,7 +109,7 @@ def frame_worst_corridors(spark: SparkSession, sf_dir: str, limit: int = K.FRAME
     """E18 + F4: per frame and freeway: mean speed, total flow, percent LOS E/F; the
     ``limit`` slowest freeways of each frame."""
     los = M.los_from_speed_vc("avg_speed_mph", "vc_ratio")
-    f = MD.frames(spark, sf_dir)
+    f = MD.frames_table(spark, sf_dir)
     g = f.groupBy("reading_date", "bucket_idx", "freeway").agg(
         E("avg(avg_speed_mph)").alias("_ms"), E("CAST(sum(avg_flow_vph) AS BIGINT)").alias("total_flow"),
         E(f"count_if(avg_speed_mph IS NOT NULL AND {los} IN ('E', 'F'))").alias("_c"),
@@ -126,7 +126,7 @@ def frame_interpolation(spark: SparkSession, sf_dir: str, steps: int = 3) -> Dat
     """``steps`` sub-frames per bucket: speed, flow and v/c linear towards the next
     bucket (which wraps modulo 96 within the day), speed falling back to the current value
     when the next is missing; incident from the nearer bucket."""
-    f = MD.frames(spark, sf_dir).selectExpr(
+    f = MD.frames_table(spark, sf_dir).selectExpr(
         "station_id", "reading_date", "bucket_idx", "avg_speed_mph AS s", "CAST(avg_flow_vph AS DOUBLE) AS q",
         "vc_ratio AS v", "CAST(CASE WHEN incident_active THEN COALESCE(max_incident_severity, 1) ELSE 0 END AS INT) AS inc")
     nxt = f.selectExpr("station_id", "reading_date", f"pmod(bucket_idx - 1, {K.BUCKETS_PER_DAY}) AS bucket_idx",
