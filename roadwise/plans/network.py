@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as K
 from ..functions import geo
-from ..functions.numeric import E, lit
+from ..functions.numeric import E, lit, rnd
 from ..operators.spatial import grid_band_join, range_band_join
 from ..sources import tables as S
 from . import medallion as MD
@@ -71,7 +71,8 @@ def corridor_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = "OVER (PARTITION BY freeway ORDER BY seq)"
     seg = v.selectExpr("freeway", "seq", "lat", "lon", f"lead(lat) {w} AS lat2", f"lead(lon) {w} AS lon2")
     return seg.groupBy("freeway").agg(
-        E(f"sum(CASE WHEN lat2 IS NOT NULL THEN {geo.haversine_mi('lat', 'lon', 'lat2', 'lon2')} ELSE 0e0 END)").alias("length_mi"),
+        E(rnd(f"sum(CASE WHEN lat2 IS NOT NULL THEN {geo.haversine_mi('lat', 'lon', 'lat2', 'lon2')} ELSE 0e0 END)",
+              6)).alias("length_mi"),
         E("CAST(count(1) AS INT)").alias("vertices"))
 
 

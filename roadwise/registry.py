@@ -317,3 +317,39 @@ SELECT scenario_id, kind, CASE kind WHEN 'none' THEN 'No change (baseline).'
 def _kpis_k0(spark, sf_dir):
     """S7 / K7 with k = 0: levers applied, no demand reassignment."""
     return SC.scenario_kpis(spark, sf_dir, iterations=0)
+
+
+# --- polyline oracles ---------------------------------------------------------------
+from .functions import geo as _G  # noqa: E402
+
+_HAV = _G.haversine_mi("lat", "lon", "lat2", "lon2")
+_VERT = f"""WITH vertices AS (SELECT concat('F', CAST(n_nationkey % 5 AS VARCHAR)) AS freeway,
+  CAST(n_nationkey // 5 AS INT) AS seq, 34e0 + CAST(n_nationkey // 5 AS DOUBLE) * 2e-1 AS lat,
+  -118e0 + CAST(n_nationkey % 5 AS DOUBLE) * 3e-2 AS lon, CAST((n_nationkey * 17) % 101 AS DOUBLE) / 1e2 AS urban,
+  n_name AS city FROM nation),
+vseg0 AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(urban) OVER w AS urban2,
+  lead(city) OVER w AS city2 FROM vertices WINDOW w AS (PARTITION BY freeway ORDER BY seq)),
+vseg1 AS (SELECT *, CASE WHEN lat2 IS NULL THEN 0e0 ELSE {_HAV} END AS len FROM vseg0),
+vseg AS (SELECT *, sum(len) OVER (PARTITION BY freeway ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+  - len AS d0, sum(len) OVER (PARTITION BY freeway) AS total FROM vseg1),
+st AS (SELECT concat('ST', CAST(s_suppkey AS VARCHAR)) AS station_id, concat('F', CAST(s_suppkey % 5 AS VARCHAR))
+  AS freeway, GREATEST(0e0, CAST(floor(s_suppkey / 10) AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2) AS d
+  FROM supplier)
+"""
+NW_ORACLE_LENGTHS = _VERT + f"""SELECT freeway, {_rnd('sum(len)', 6)} AS length_mi, CAST(count(*) AS INT) AS vertices
+FROM vseg1 GROUP BY freeway"""
+NW_ORACLE_LINREF = _VERT + """SELECT station_id, freeway, d AS distance_mi,
+  CASE WHEN past_end THEN lat ELSE lat + (lat2 - lat) * t END AS lat,
+  CASE WHEN past_end THEN lon ELSE lon + (lon2 - lon) * t END AS lon,
+  CASE WHEN past_end THEN urban ELSE urban + (urban2 - urban) * t END AS urban,
+  CASE WHEN past_end OR t >= 5e-1 THEN COALESCE(city2, city) ELSE city END AS city
+FROM (
+  SELECT s.station_id, s.freeway, s.d, false AS past_end, LEAST(1e0, (s.d - v.d0) / v.len) AS t,
+         v.lat, v.lon, v.urban, v.city, v.lat2, v.lon2, v.urban2, v.city2
+  FROM st s JOIN vseg v ON v.freeway = s.freeway
+  WHERE v.lat2 IS NOT NULL AND v.len > 0 AND s.d >= v.d0 AND s.d < v.d0 + v.len AND s.d < v.total
+  UNION ALL
+  SELECT s.station_id, s.freeway, s.d, true, 1e0, v.lat, v.lon, v.urban, v.city, NULL, NULL, NULL, NULL
+  FROM st s JOIN vseg v ON v.freeway = s.freeway WHERE v.lat2 IS NULL AND s.d >= v.total)"""
+_REGISTRY["corridor_lengths"] = (NW.corridor_lengths, NW_ORACLE_LENGTHS)
+_REGISTRY["linear_reference"] = (NW.linear_reference, NW_ORACLE_LINREF)
