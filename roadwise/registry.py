@@ -207,8 +207,10 @@ register("snapshot_json", None)(SN.snapshot_json)
 from .plans import advice as AD  # noqa: E402
 
 register("advice_blocks", None)(AD.advice_blocks)
-register("advice_items", None)(AD.advice_items)
-register("advice_summary", None)(AD.advice_summary)
+from .oracle import advice_sql as _AQ  # noqa: E402
+
+register("advice_items", _AQ.items_sql())(AD.advice_items)
+register("advice_summary", _AQ.summary_sql())(AD.advice_summary)
 register("session_messages", """
 SELECT s.conv_id, COALESCE(c.message_count, 0) AS message_count
 FROM (SELECT DISTINCT conv_id FROM conversations) s
