@@ -22,7 +22,8 @@ def utc_to_local(ts: str, zone: str = K.LOCAL_TZ) -> str:
 
 def floor_to_minutes(ts: str, minutes: int = K.FRAME_MINUTES) -> str:
     """H2: truncate to the minute, then back to the start of the ``minutes`` bucket."""
-    return f"timestampadd(MINUTE, -(minute({ts}) % {minutes}), date_trunc('MINUTE', {ts}))"
+    # date_trunc returns a session-zone TIMESTAMP; cast back so NTZ wall time is kept
+    return f"timestampadd(MINUTE, -(minute({ts}) % {minutes}), CAST(date_trunc('MINUTE', {ts}) AS TIMESTAMP_NTZ))"
 
 
 def bucket_idx(local_ts: str) -> str:
