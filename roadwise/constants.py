@@ -105,3 +105,11 @@ MAX_RECOMMENDATIONS = 5
 EARTH_RADIUS_MI = 3958.7613
 EARTH_RADIUS_M = EARTH_RADIUS_MI * 1609.344
 METRES_PER_MILE = 1609.344
+
+# --- fixed values: incident generation ------------------------------------------------
+INCIDENT_RATE_PER_STATION_DAY = 0.28
+INCIDENT_TYPE_WEIGHTS = (("collision", 0.34), ("breakdown", 0.38), ("debris", 0.18), ("construction", 0.10))
+SEVERITY_WEIGHTS = (("1", 0.52), ("2", 0.30), ("3", 0.14), ("4", 0.04))
+INCIDENT_DURATION_MIN = {1: 10, 2: 25, 3: 55, 4: 110}
+INCIDENT_DURATION_MAX = {1: 25, 2: 60, 3: 120, 4: 260}
+DEMAND_NOISE_SIGMA = 0.08

@@ -1,0 +1,43 @@
+"""Deterministic pseudo-random draws from stable keys.
+
+md5 of the '/'-joined keys and a salt, first 8 hex digits as an unsigned 32-bit integer,
+divided by 2^32: the same value in any engine with md5, so results are reproducible and
+checkable. No rand(): retries and repartitioning cannot change a draw.
+"""
+
+from __future__ import annotations
+
+from .numeric import lit
+
+
+def uniform(keys: list[str], salt: str) -> str:
+    """A stable uniform draw in [0, 1)."""
+    joined = "concat_ws('/', " + ", ".join(f"CAST({k} AS STRING)" for k in keys) + f", '{salt}')"
+    return f"(CAST(conv(substr(md5({joined}), 1, 8), 16, 10) AS BIGINT) / 4294967296e0)"
+
+
+def normal(keys: list[str], salt: str) -> str:
+    """Box-Muller standard normal from two draws."""
+    u1, u2 = uniform(keys, salt + "_bm1"), uniform(keys, salt + "_bm2")
+    return f"(SQRT(-2e0 * LN(GREATEST(1e-9, {u1}))) * COS(2e0 * PI() * {u2}))"
+
+
+def lognormal(keys: list[str], sigma: float, salt: str) -> str:
+    """Multiplicative log-normal noise with unit median."""
+    return f"EXP({lit(sigma)} * {normal(keys, salt)})"
+
+
+def weighted_category(draw: str, weights: list[tuple[str, float]]) -> str:
+    """Category from cumulative thresholds; the last one is the default."""
+    acc, arms = 0.0, []
+    for name, w in weights[:-1]:
+        acc += w
+        arms.append(f"WHEN {draw} < {lit(round(acc, 10))} THEN '{name}'")
+    return f"(CASE {' '.join(arms)} ELSE '{weights[-1][0]}' END)"
+
+
+def graded_range(grade: str, lo: dict[int, float], hi: dict[int, float], draw: str, step: float = 5.0) -> str:
+    """Lo + (hi - lo) * draw for the grade, rounded to a multiple of ``step``."""
+    lo_c = "CASE " + " ".join(f"WHEN {grade} = {g} THEN {lit(v)}" for g, v in sorted(lo.items())) + " END"
+    hi_c = "CASE " + " ".join(f"WHEN {grade} = {g} THEN {lit(v)}" for g, v in sorted(hi.items())) + " END"
+    return f"CAST(FLOOR((({lo_c}) + (({hi_c}) - ({lo_c})) * {draw}) / {lit(step)} + 5e-1) * {lit(step)} AS INT)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import constants as K
 from ..functions import clock
 from ..functions import measures as M
-from ..functions.numeric import E, mean_rounded, rnd, rnd_signed
+from ..functions.numeric import E, lit, mean_rounded, rnd, rnd_signed
 from ..operators.packing import pack_ordered
 from ..operators.quality import violation_counts
 from ..sources import tables as S
@@ -147,3 +147,31 @@ def lever_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
             f" WHEN 'capacity' THEN format_string('Add %d lane(s) and scale capacity x%.2f on %s.', CAST(amount AS INT),"
             f" scale, {where}) ELSE kind END")
     return lv.selectExpr("scenario_id", "kind", f"{text} AS summary")
+
+
+@plan
+def incident_draws(spark: SparkSession, sf_dir: str, days: int = 3) -> DataFrame:
+    """C9 + H10-H13 + H8: per station and day, stable draws decide whether an incident
+    occurs (rate scaled by urban intensity), its severity and type by weighted thresholds,
+    its duration from the severity's range (multiple of 5), a start time snapped to the
+    5-minute grid, and a log-normal demand-noise factor. Days come from a range per station
+    (no join)."""
+    from ..functions import draws as R
+    keys = ["station_id", "day_offset"]
+    st = S.stations(spark, sf_dir).selectExpr("station_id", "urban_intensity",
+                                             f"explode(sequence(0, {days - 1})) AS day_offset")
+    p = f"{lit(K.INCIDENT_RATE_PER_STATION_DAY)} * (4e-1 + 12e-1 * urban_intensity)"
+    x = st.selectExpr("*", f"{R.uniform(keys, 'occur')} AS u_occur", f"{p} AS p_occur")
+    x = x.filter("u_occur < p_occur")
+    sev = f"CAST({R.weighted_category(R.uniform(keys, 'sev'), list(K.SEVERITY_WEIGHTS))} AS INT)"
+    x = x.selectExpr("*", f"{sev} AS severity",
+                     f"{R.weighted_category(R.uniform(keys, 'type'), list(K.INCIDENT_TYPE_WEIGHTS))} AS incident_type",
+                     f"24e0 * {R.uniform(keys, 'hour')} AS start_hour")
+    day0 = f"timestampadd(DAY, day_offset, TIMESTAMP_NTZ '{S.FIXTURE_START_LOCAL:%Y-%m-%d %H:%M:%S}')"
+    return x.selectExpr(
+        "station_id", "day_offset", f"{rnd('u_occur', 9)} AS u_occur", f"{rnd('p_occur', 9)} AS p_occur", "severity",
+        "incident_type",
+        f"{R.graded_range('severity', K.INCIDENT_DURATION_MIN, K.INCIDENT_DURATION_MAX, R.uniform(keys, 'dur'))} AS duration_min",
+        f"{clock.snap_to_slot(day0, 'start_hour')} AS start_local",
+        f"{rnd_signed(R.normal(keys, 'dem'), 9)} AS z_demand",
+        f"{rnd(R.lognormal(keys, K.DEMAND_NOISE_SIGMA, 'dem'), 9)} AS demand_noise")

@@ -355,3 +355,40 @@ FROM (
   FROM st s JOIN vseg v ON v.freeway = s.freeway WHERE v.lat2 IS NULL AND s.d >= v.total)"""
 _REGISTRY["corridor_lengths"] = (NW.corridor_lengths, NW_ORACLE_LENGTHS)
 _REGISTRY["linear_reference"] = (NW.linear_reference, NW_ORACLE_LINREF)
+
+
+# --- deterministic draws ------------------------------------------------------------
+def _duck_uniform(salt: str) -> str:
+    return (f"(CAST(('0x' || substr(md5(concat_ws('/', CAST(station_id AS VARCHAR), CAST(day_offset AS VARCHAR),"
+            f" '{salt}')), 1, 8)) AS BIGINT) / 4294967296e0)")
+
+
+def _duck_normal(salt: str) -> str:
+    return (f"(SQRT(-2e0 * LN(GREATEST(1e-9, {_duck_uniform(salt + '_bm1')}))) * COS(2e0 * PI() *"
+            f" {_duck_uniform(salt + '_bm2')}))")
+
+
+def _incident_draws_sql() -> str:
+    from . import constants as K
+    from .functions import draws as R
+    from .functions.numeric import lit
+    sev = f"CAST({R.weighted_category(_duck_uniform('sev'), list(K.SEVERITY_WEIGHTS))} AS INT)"
+    typ = R.weighted_category(_duck_uniform('type'), list(K.INCIDENT_TYPE_WEIGHTS))
+    dur = R.graded_range('severity', K.INCIDENT_DURATION_MIN, K.INCIDENT_DURATION_MAX, _duck_uniform('dur'))
+    h = "start_hour"
+    return f"""
+SELECT station_id, day_offset, {_rnd('u_occur', 9)} AS u_occur, {_rnd('p_occur', 9)} AS p_occur, severity, incident_type,
+  {dur} AS duration_min,
+  TIMESTAMP '2026-06-06 00:00:00' + to_days(CAST(day_offset AS INT)) + to_minutes(CAST(CAST(FLOOR({h}) AS INT) * 60
+    + CAST(FLOOR(({h} - FLOOR({h})) * 12) AS INT) * 5 AS BIGINT)) AS start_local,
+  {_rs(_duck_normal('dem'), 9)} AS z_demand, {_rnd(f"EXP({lit(K.DEMAND_NOISE_SIGMA)} * {_duck_normal('dem')})", 9)} AS demand_noise
+FROM (SELECT *, {sev} AS severity, {typ} AS incident_type, 24e0 * {_duck_uniform('hour')} AS start_hour
+      FROM (SELECT *, {_duck_uniform('occur')} AS u_occur,
+              {lit(K.INCIDENT_RATE_PER_STATION_DAY)} * (4e-1 + 12e-1 * urban_intensity) AS p_occur
+            FROM (SELECT concat('ST', CAST(s_suppkey AS VARCHAR)) AS station_id,
+                    CAST((s_suppkey * 13) % 101 AS DOUBLE) / 1e2 AS urban_intensity,
+                    unnest(generate_series(0, 2)) AS day_offset FROM supplier))
+      WHERE u_occur < p_occur)"""
+
+
+register("incident_draws", _incident_draws_sql())(EX.incident_draws)
