@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary_out, bpe, packing
+from . import binary_out, bpe, packing, quality_rules, secret_scan, topk
 from .common import table
 
 SEQUENCE = 2048
@@ -35,11 +35,26 @@ def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_out.matrices(table(spark, sf_dir, "documents"), *byte_vocabulary(), seq_len=SEQUENCE)
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_mod=50)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_packing": op2_packing,
         "op3_token_matrices": op3_token_matrices,
+        "op6_topk": op6_topk,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_secret_scan": op8_secret_scan,
     }
 
 
