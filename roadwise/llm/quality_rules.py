@@ -85,15 +85,16 @@ def bucket_counts(docs: DataFrame, labels: DataFrame, key: str, text_col: str, b
 
 
 def log_ratios(counts: DataFrame, buckets: int) -> list[float]:
-    """log p(target) - log p(raw) per bucket, one added to every count (``buckets`` rows)."""
-    raw, target = [1] * buckets, [1] * buckets
+    """log p(target) - log p(raw) per bucket (``buckets`` rows). The raw model adds one to
+    every count; the target model takes the raw one as its prior, with the weight of
+    ``buckets`` n-grams, so a bucket that says little moves no score."""
+    raw, target = [1] * buckets, [0] * buckets
     for r in counts.collect():
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["target"]
-    if sum(target) == buckets:
-        return [0.0] * buckets
-    a, b = math.log(sum(target)), math.log(sum(raw))
-    return [(math.log(t) - a) - (math.log(r) - b) for t, r in zip(target, raw)]
+    n_raw, n_target = sum(raw), sum(target)
+    p = [r / n_raw for r in raw]
+    return [math.log((t + buckets * q) / (n_target + buckets)) - math.log(q) for t, q in zip(target, p)]
 
 
 def score(w: Column, ratios: list[float]) -> Column:
