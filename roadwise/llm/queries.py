@@ -8,8 +8,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary_out, bpe, packing, quality_rules, secret_scan, topk
-from .common import table
+from . import binary_out, bpe, kn_quality, langid, packing, quality_rules, secret_scan, topk
+from .common import crc_mod, table
 
 SEQUENCE = 2048
 
@@ -47,6 +47,17 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_kn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = langid.train(docs, ~held_out)
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -55,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_topk": op6_topk,
         "op7_quality_rules": op7_quality_rules,
         "op8_secret_scan": op8_secret_scan,
+        "op9_kn_quality": op9_kn_quality,
+        "op10_language_id": op10_language_id,
     }
 
 
