@@ -129,5 +129,19 @@ def shingle_hashes(data: bytes, width: int = 5) -> np.ndarray:
     return np.unique(mix64(total))
 
 
+def slices(texts: list[str | None], limit: int = 1_500_000):
+    """(from, to) of runs of texts of at most ``limit`` characters together (a longer text is
+    alone), so that arrays over all characters of a run stay small."""
+    start, total = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > start and total + n > limit:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def utf8(value: str | None) -> bytes:
     return value.encode("utf-8", "surrogatepass") if value else b""

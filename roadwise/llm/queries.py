@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary_out, bpe, kn_quality, langid, packing, quality_rules, secret_scan, topk
+from . import binary_out, bpe, kn_quality, langid, ngram_join, packing, quality_rules, secret_scan, topk, toxicity
 from .common import crc_mod, table
 
 SEQUENCE = 2048
@@ -35,6 +35,17 @@ def op3_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary_out.matrices(table(spark, sf_dir, "documents"), *byte_vocabulary(), seq_len=SEQUENCE)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), k=5, query_mod=50)
 
@@ -63,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_packing": op2_packing,
         "op3_token_matrices": op3_token_matrices,
+        "op4_ngram_join": op4_ngram_join,
+        "op5_toxicity": op5_toxicity,
         "op6_topk": op6_topk,
         "op7_quality_rules": op7_quality_rules,
         "op8_secret_scan": op8_secret_scan,
