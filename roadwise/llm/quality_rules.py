@@ -79,7 +79,8 @@ def bucket_counts(docs: DataFrame, labels: DataFrame, key: str, text_col: str, b
     """(bucket, raw, target): n-gram counts over all documents and over the trusted ones."""
     trusted = labels.where(F.col("quality") == 1).select(F.col(key).alias("__k")).distinct()
     src = docs.select(F.col(key).alias("__k"), F.col(text_col).alias("__text"))
-    marked = src.join(trusted.withColumn("__t", F.lit(1)), "__k", "left")
+    # labels grow with the corpus, so they are never broadcast: one plan at every size
+    marked = src.join(trusted.withColumn("__t", F.lit(1)).hint("merge"), "__k", "left")
     grams = marked.select(F.coalesce("__t", F.lit(0)).alias("t"), F.explode(ngram_buckets(words(F.col("__text")), buckets)).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
 
