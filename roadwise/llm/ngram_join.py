@@ -17,12 +17,14 @@ set can lie.
   signatures of the segment without one element; such a segment then tolerates one
   difference and counts twice. If even that is too little, the band takes another hash.
 
-Candidates of a signature are compared with one member first (a star, all pairs for up to
-``SMALL`` members); after joining what is linked, only members of different components are
-compared, so groups of thousands of near copies never become all pairs. A parity sketch
-(symmetric differences only lose bits in it) discards most candidates, and the rest are
-verified exactly on the shingles of the whole texts. Documents with equal sets are one
-representative throughout, told apart by 128 bits.
+Candidates of a signature are compared with one member first (a star; all pairs for up to
+``SMALL`` members). After joining what is linked, members outside their group's main
+component are compared with the member of another component that looks nearest, and what is
+then still apart with every member of another component that can be near enough; so groups
+of thousands of near copies never become all pairs. "Looks" and "can" mean a parity sketch:
+the distance of two sketches never exceeds the symmetric difference, so discarding by it
+loses nothing. What remains is verified exactly on the shingles of the whole texts.
+Documents with equal sets are one representative throughout, told apart by 128 bits.
 
 Edge cases: null or empty texts and texts of white space alone have no shingles and link
 with nothing (their own id is their component); a row with a null id takes the component of
@@ -45,7 +47,8 @@ from .components import components
 SMALL = 4
 HOT_ROWS = 1 << 16  # most common signatures that the allocation knows (an order only)
 HOT_LEAST = 6
-SALTS = 8
+SALTS = 4
+BLOCK = 2048  # members of a large group that one comparison holds
 _U = np.uint64
 _SALT = _odd(SALTS, 97)
 
@@ -105,7 +108,7 @@ class Segments:
 
 
 def sketch_bits(n: int) -> int:
-    return max(256, 1 << max(0, n - 1).bit_length())
+    return max(256, 4 << max(0, n - 1).bit_length())
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -172,7 +175,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                     if a not in seen:
                         seen.add(a)
                         for band, h in bands_for(len(s)):
-                            for salt in range(SALTS if band < 5 else 2):
+                            for salt in range(SALTS if band < 5 else 1):
                                 seg = Segments(s, band, salt)
                                 low = least.setdefault((band, salt), [1 << 40, 1 << 40])
                                 low[0] = min(low[0], seg.slack(h, False))
@@ -334,7 +337,7 @@ def prune(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "ka", "kb").mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs (a, b) of documents that link, by the shingles of their whole texts. Each b
     meets its a in a task that reads a's text once for up to 256 partners."""
     ranked = pairs.withColumn("part", (F.xxhash64("b") % 1024).cast("int"))
@@ -343,7 +346,6 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     centres = members.select(F.col("a").alias("doc"), "a", "part", F.lit(0).alias("role")).distinct()
     known = reps.select(F.col("doc"), "set_id", "check")
     wanted = members.unionByName(centres).join(known, "doc")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     rows = (wanted.join(texts, "doc").select("a", "part", "role", "doc", "set_id", "check", "text")
             .repartition("a", "part").sortWithinPartitions("a", "part", "role"))
 
@@ -369,6 +371,82 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
+def fold(sketches: list[bytes], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches folded to the shortest one's length, as rows of 64-bit words, and their sizes."""
+    short = min(map(len, sketches))
+    out = np.empty((len(sketches), short // 8), dtype=_U)
+    for i, k in enumerate(sketches):
+        x = np.frombuffer(k, np.uint8)
+        while len(x) > short:
+            x = x[:len(x) // 2] ^ x[len(x) // 2:]
+        out[i] = x.view(_U)
+    return out, n
+
+
+def apart(g: pd.DataFrame, best_only: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (x, y) of set ids of one group (or of two blocks of it) in different components, x
+    outside the main one, whose sizes and sketches allow a link: for each x the nearest, or all."""
+    words, n = fold(list(g["sketch"]), g["n"].to_numpy())
+    comp, ids, left = g["c"].to_numpy(), g["set_id"].to_numpy(), g["left"].to_numpy()
+    minority = np.flatnonzero((comp != g["main"].to_numpy()) & (left != 2))  # 2: only the second side of a block pair
+    partners = np.flatnonzero(left != 1)  # 1: only the first side
+    xs, ys = [], []
+    for i in minority:
+        ok = partners[(comp[partners] != comp[i]) & similar_sizes(n[partners], n[i])]
+        if len(ok):
+            d = np.bitwise_count(words[ok] ^ words[i]).sum(axis=1, dtype=np.int64)
+            near = d <= (n[ok] + n[i]) // 7
+            ok, d = ok[near], d[near]
+            if best_only and len(ok):
+                ok = ok[[int(np.lexsort((ids[ok], d))[0])]]
+            xs.append(np.full(len(ok), ids[i]))
+            ys.append(ids[ok])
+    cat = lambda p: np.concatenate(p) if p else np.empty(0, np.int64)
+    return cat(xs), cat(ys)
+
+
+def between(member: DataFrame, joined: DataFrame, reps: DataFrame, best_only: bool) -> DataFrame:
+    """Candidate pairs (x, y) between components of the same large group."""
+    lone = reps.select("set_id", "doc", "n", "sketch").join(joined, F.col("doc") == F.col("node"), "left").select(
+        "set_id", "n", "sketch", F.coalesce("component", "doc").alias("c"))
+    rows = member.join(lone.select("set_id", "c"), "set_id")
+    parts = rows.groupBy("g", "c").agg(F.count("*").alias("k"))
+    main = (parts.groupBy("g").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("size"))
+            .where("parts > 1").select("g", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    rows = rows.join(main, "g").withColumn("own", F.pmod(F.xxhash64("set_id", F.lit(3)), F.col("blocks")).cast("int"))
+    # a member meets every block of its group: as first side in (own, j), as second in (i, own)
+    at = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.when(
+        j == F.col("own"), F.array(F.struct(j.alias("i"), j.alias("j"), F.lit(0).alias("left")))).otherwise(
+        F.array(F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(1).alias("left")), F.struct(j.alias("i"), F.col("own").alias("j"), F.lit(2).alias("left")))))))
+    rows = rows.select("g", "set_id", "c", "main", at.alias("at")).select("g", "set_id", "c", "main", "at.i", "at.j", "at.left")
+    rows = rows.join(lone.select("set_id", "n", "sketch"), "set_id").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    names = ["g", "i", "j", "set_id", "c", "main", "left", "n", "sketch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pd.DataFrame | None = None
+
+        def found(frames: pd.DataFrame) -> Iterator[pa.RecordBatch]:
+            key = frames[["g", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1), [True])))
+            pairs = [apart(frames.iloc[a:b], best_only) for a, b in zip(cuts, cuts[1:])]
+            x, y = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["x", "y"])
+
+        for batch in batches:
+            frame = batch.to_pandas()
+            held = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = held[["g", "i", "j"]].to_numpy()
+            done = int((last == last[-1]).all(axis=1).argmax())  # the last group may go on
+            if done:
+                yield from found(held.iloc[:done])
+                held = held.iloc[done:].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from found(held)
+
+    return rows.select(*names).mapInArrow(run, "x long, y long").distinct()
+
+
 def join(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every document."""
     small_batches(docs.sparkSession)
@@ -383,23 +461,19 @@ def join(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFr
     grouped = signatures(src, plan, hot, hot_n, buckets).groupBy("bucket").applyInPandas(bucket_candidates, "kind int, x long, y long")
     found = materialise(grouped, "candidates")
     pairs = found.where("kind = 0").select("x", "y").distinct()
-    links = materialise(verify(materialise(prune(pairs, reps), "pairs"), src, reps), "links")
-    # large groups: members that are not joined yet meet the rest of their group
-    joined = components(links)
-    member = (found.where("kind = 1").select(F.col("y").alias("g"), F.col("x").alias("set_id"))
-              .join(reps.select("set_id", "doc", "n"), "set_id")
-              .join(joined, F.col("doc") == F.col("node"), "left").select("g", "set_id", "n", F.coalesce("component", "doc").alias("c")))
-    member = materialise(member, "members")
-    parts = member.groupBy("g", "c").agg(F.count("*").alias("k"))
-    main = parts.groupBy("g").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = member.join(main, "g").where("c <> main").select("g", F.col("set_id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"))
-    rest = (apart.join(member, "g").where((F.col("cx") != F.col("c")) & (4 * F.least("n", "nx") >= 3 * F.greatest("n", "nx")))
-            .select(F.least("x", "set_id").alias("x"), F.greatest("x", "set_id").alias("y")).distinct())
-    more = prune(rest.join(pairs, ["x", "y"], "left_anti"), reps)
-    more = materialise(verify(materialise(more, "pairs"), src, reps), "links")
-    if more.limit(1).count():
-        joined = components(links.unionByName(more))
-    joined = materialise(joined, "components")
+    # whole texts of the documents that may be compared, once
+    named = found.select(F.col("x").alias("set_id")).unionByName(found.where("kind = 0").select(F.col("y").alias("set_id"))).distinct()
+    wanted = reps.join(named, "set_id", "left_semi").select("doc")
+    texts = materialise(src.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
+    links = materialise(verify(materialise(prune(pairs, reps), "pairs"), texts, reps), "links")
+    member = found.where("kind = 1").select(F.col("y").alias("g"), F.col("x").alias("set_id"))
+    joined = materialise(components(links), "components")
+    for best_only in (True, False):
+        more = prune(between(member, joined, reps, best_only), reps)
+        more = materialise(verify(materialise(more, "pairs"), texts, reps), "links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            joined = materialise(components(links), "components")
     by_set = reps.join(joined, F.col("doc") == F.col("node"), "left").select("set_id", "check", F.coalesce("component", "doc").alias("c"))
     out = rows.join(by_set, ["set_id", "check"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
