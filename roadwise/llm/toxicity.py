@@ -152,7 +152,8 @@ def sample_bags(docs: DataFrame, labels: DataFrame, learn: Column, key: str, tex
     kind = docs.schema[key].dataType.simpleString()
     rows = src.select("__text", "__y", key).mapInArrow(run, f"ids array<int>, n array<int>, y int, k {kind}").toPandas().sort_values("k", kind="stable")
     rows = rows[rows["ids"].map(len) > 0]
-    return list(rows["ids"]), list(rows["n"]), rows["y"].to_numpy(dtype=np.int64), sizes
+    as_arrays = lambda column: [np.asarray(x, dtype=np.int64) for x in column]
+    return as_arrays(rows["ids"]), as_arrays(rows["n"]), rows["y"].to_numpy(dtype=np.int64), sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
