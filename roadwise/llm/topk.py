@@ -12,7 +12,7 @@ whatever the vectors are; the number of blocks grows with the table. Each query
 each block in one task (an equality join on the block number), and k rows per query and
 block are merged by a window over the query.
 
-Edge cases: vectors that are null or hold a null or non-finite component take no part, nor
+Edge cases: vectors that are null or empty or hold a null or non-finite component take no part, nor
 do rows without id; components too large for exact integer sums (beyond 2**20 after
 scaling) raise an error instead of losing digits; vectors of another length than the query
 are no candidates of it; ties go to the smaller id; a query with fewer than k candidates
@@ -36,7 +36,7 @@ def usable(vectors: DataFrame, key: str, vec_col: str) -> DataFrame:
     big = 1 << 20
     v = F.transform(F.col(vec_col), lambda x: x.cast("double") * 256.0)
     ok = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & ok)
+    v = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("x")).where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & ok)
     return v.select("vec_id", F.transform("x", lambda x: F.when(F.abs(x) >= big, F.raise_error(F.lit("component beyond exact range")).cast("long"))
                                           .otherwise(F.floor(x))).alias("v"))
 
@@ -112,7 +112,7 @@ def top_k(vectors: DataFrame, k: int = 5, query_mod: int = 50, key: str = "vec_i
             for i in range(batch.num_rows):
                 rows, asked_rows = matrix(batch.column("rows")[i].values), matrix(batch.column("asked")[i].values)
                 for n, (q_ids, q) in asked_rows.items():
-                    if n and n in rows:
+                    if n in rows:
                         qi, vi, sc, _ = block_search(q, q_ids, rows[n][1], rows[n][0], k)
                         yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(vi), pa.array(sc)], names=["query_id", "vec_id", "score"])
 

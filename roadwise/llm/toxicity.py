@@ -104,13 +104,21 @@ class Trainer:
         return loss
 
 
-def fit(bag_ids: list[np.ndarray], bag_counts: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.3,
-        seed: int = 7) -> tuple[np.ndarray, float]:
-    """(contribution of each bucket to the log odds, bias)."""
-    features, flat = np.unique(np.concatenate(bag_ids), return_inverse=True)
+def fit(bag_ids: list[np.ndarray], bag_counts: list[np.ndarray], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.3,
+        seed: int = 7, least_docs: int = 1) -> tuple[np.ndarray, float]:
+    """(contribution of each bucket to the log odds, bias). Buckets of fewer than
+    ``least_docs`` training texts say nothing (the zero vector): they could only be learned by
+    heart."""
+    found, n_docs = np.unique(np.concatenate([np.unique(b) for b in bag_ids]), return_counts=True)
+    features = found[n_docs >= least_docs]
+    known = [np.isin(b, features) for b in bag_ids]
+    totals = [max(1, c.sum()) for c in bag_counts]
+    bag_ids = [b[k] for b, k in zip(bag_ids, known)]
+    bag_counts = [c[k] for c, k in zip(bag_counts, known)]
+    flat = np.searchsorted(features, np.concatenate(bag_ids))
     lengths = np.array([len(b) for b in bag_ids])
     ends = np.cumsum(lengths)
-    share = np.concatenate([GAIN * c / max(1, c.sum()) for c in bag_counts]).astype(np.float32)
+    share = np.concatenate([GAIN * c / n for c, n in zip(bag_counts, totals)]).astype(np.float32)
     share_of_class = np.bincount(y, minlength=2) / len(y)
     importance = (0.5 / np.maximum(share_of_class, 1e-9))[y].astype(np.float32)
     model, rng = Trainer(len(features), seed), np.random.default_rng(seed)
@@ -157,12 +165,12 @@ def sample_bags(docs: DataFrame, labels: DataFrame, learn: Column, key: str, tex
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_docs: int = 2500) -> tuple[np.ndarray, float] | None:
+          max_docs: int = 2500, least_docs: int = 5) -> tuple[np.ndarray, float] | None:
     small_batches(docs.sparkSession, 200)
     ids, counts, y, sizes = sample_bags(docs, labels, learn, key, text_col, label_col, max_docs)
     if len(set(y.tolist())) < 2:
         return None
-    odds, bias = fit(ids, counts, y)
+    odds, bias = fit(ids, counts, y, least_docs=least_docs)
     return odds, bias + float(np.log(sizes[1] / sizes[0]))
 
 
