@@ -64,7 +64,7 @@ x2 AS (SELECT conv_id, turn, pos,
   COALESCE(expected, 'unspecified') AS expected_effect,
   CASE WHEN lower({_str('it.effect_direction')}) IN ('decrease', 'increase', 'unclear')
        THEN lower({_str('it.effect_direction')}) END AS effect_direction,
-  TRY_CAST(trim(it.magnitude) AS DOUBLE) AS magnitude, {_str('it.magnitude_unit')} AS magnitude_unit,
+  CASE WHEN NOT isnan(TRY_CAST(trim(it.magnitude) AS DOUBLE)) THEN TRY_CAST(trim(it.magnitude) AS DOUBLE) END AS magnitude, {_str('it.magnitude_unit')} AS magnitude_unit,
   CASE WHEN lower({_str('it.confidence')}) IN ('low', 'medium', 'high') THEN lower({_str('it.confidence')}) END AS confidence,
   {_str('it.rationale')} AS rationale,
   concat('{{', concat_ws(',', {', '.join(f"""CASE WHEN it.{f} IS NOT NULL THEN concat('"{f}":', to_json(it.{f})) END""" for f in ITEM_FIELDS)}), '}}') AS raw

@@ -94,11 +94,12 @@ def ctes() -> dict[str, str]:
     c["stations"] = """
 SELECT s_suppkey AS station_num,
        concat('ST', CAST(s_suppkey AS VARCHAR)) AS station_id,
-       concat('F', CAST(s_suppkey % 5 AS VARCHAR)) AS freeway,
+       concat('F', CAST(s_suppkey % 5 + 5 * (s_suppkey // 10000) AS VARCHAR)) AS freeway,
        CASE WHEN CAST(floor(s_suppkey / 5) AS BIGINT) % 2 = 0 THEN 'N' ELSE 'S' END AS direction,
-       CAST(floor(s_suppkey / 10) AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2 AS postmile,
-       34e0 + CAST(floor(s_suppkey / 10) AS DOUBLE) * 8e-3 AS latitude,
-       -118e0 + CAST(s_suppkey % 5 AS DOUBLE) * 3e-2 + CAST(floor(s_suppkey / 10) AS DOUBLE) * 2e-3 AS longitude,
+       CAST(s_suppkey // 10 % 1000 AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2 AS postmile,
+       34e0 + CAST(s_suppkey // 10 % 1000 AS DOUBLE) * 8e-3 AS latitude,
+       -118e0 + CAST(s_suppkey % 5 AS DOUBLE) * 3e-2 + CAST(s_suppkey // 10 % 1000 AS DOUBLE) * 2e-3
+         - CAST(s_suppkey // 10000 % 300 AS DOUBLE) * 2e-2 AS longitude,
        CAST(2 + s_suppkey % 4 AS INT) AS num_lanes,
        CAST(1950 + (s_suppkey * 37) % 151 AS INT) AS lane_capacity_vph,
        CASE s_suppkey % 9 WHEN 0 THEN 'HV' WHEN 1 THEN 'OR' WHEN 2 THEN 'FR' ELSE 'ML' END AS station_type,
@@ -111,10 +112,9 @@ SELECT concat('INC', CAST(o.o_orderkey AS VARCHAR)) AS incident_id, s.station_id
        CAST(o.o_custkey % 3 AS INT) AS day_no,
        CAST(o.o_orderkey % 288 AS INT) AS start_slot,
        CAST(o.o_orderkey % 288 + 2 + o.o_custkey % 12 AS INT) AS end_slot,
-       CAST(1 + o.o_orderkey % 4 AS INT) AS severity,
+       CAST(greatest(1, 5 - CAST(o.o_orderpriority[1:1] AS INT)) AS INT) AS severity,
        CAST(least(s.num_lanes - 1, 1 + o.o_orderkey % 2) AS INT) AS lanes_blocked
-FROM orders o JOIN stations s ON s.station_num = o.o_custkey % (SELECT count(*) FROM supplier)
-WHERE o.o_orderpriority LIKE '1%'"""
+FROM orders o JOIN stations s ON s.station_num = o.o_custkey % (SELECT count(*) FROM supplier)"""
     c["readings"] = """
 SELECT s.station_id, l.l_orderkey AS src_order, l.l_linenumber AS src_line,
        CAST(l.l_partkey % 3 AS INT) AS day_no,

@@ -90,7 +90,7 @@ def advice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "COALESCE(expected, 'unspecified') AS expected_effect",
         f"CASE WHEN lower({_str('it.effect_direction')}) IN ({', '.join(repr(e) for e in K.EFFECT_DIRECTIONS)})"
         f" THEN lower({_str('it.effect_direction')}) END AS effect_direction",
-        "try_cast(trim(it.magnitude) AS DOUBLE) AS magnitude",
+        "CASE WHEN NOT isnan(try_cast(trim(it.magnitude) AS DOUBLE)) THEN try_cast(trim(it.magnitude) AS DOUBLE) END AS magnitude",
         f"{_str('it.magnitude_unit')} AS magnitude_unit",
         f"CASE WHEN lower({_str('it.confidence')}) IN ({', '.join(repr(c) for c in K.CONFIDENCES)})"
         f" THEN lower({_str('it.confidence')}) END AS confidence",

@@ -104,16 +104,22 @@ def scenario_corridor_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan
 def scenario_time_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scenario payload per (scenario, day, 24-bucket window) over all stations:
-    served flow, speed x2, v/c x100, capacity-loss severity proxy and delay x100."""
+    served flow, speed x2, v/c x100, capacity-loss severity proxy and delay x100; a station
+    without a frame in a bucket carries -1 (incident 0)."""
     from .dashboard import station_index
     m = SC.scenario_cells(spark, sf_dir)
     idx = station_index(spark, sf_dir).filter("scope = 'ALL'").select("reading_date", "station_id", "station_idx")
-    cells = m.join(idx, ["reading_date", "station_id"]).selectExpr(
+    # dense, so that a reader finds bucket and station from the position alone
+    grid = (m.select("scenario_id", "reading_date").distinct().join(idx, "reading_date")
+            .withColumn("bucket_idx", E(f"explode(sequence(0, {K.BUCKETS_PER_DAY - 1}))")))
+    dense = grid.join(m.withColumn("seen", E("true")), ["scenario_id", "reading_date", "bucket_idx", "station_id"], "left")
+    cells = dense.selectExpr(
         "scenario_id", "reading_date", "bucket_idx", "station_idx",
         f"CAST(bucket_idx DIV {K.WINDOW_BUCKETS} * {K.WINDOW_BUCKETS} AS INT) AS from_bucket",
-        f"{M.scaled_int('served_after', 1.0)} AS flow", f"{M.scaled_int('speed_after', 2.0)} AS speed_half",
-        f"{M.scaled_int('vc_after', 100.0)} AS vc_pct", f"{M.capacity_loss_severity('cap_scen', 'cap_obs')} AS incident",
-        f"{M.scaled_int('delay_after', 100.0)} AS delay_c")
+        f"COALESCE({M.scaled_int('served_after', 1.0)}, -1) AS flow", f"COALESCE({M.scaled_int('speed_after', 2.0)}, -1) AS speed_half",
+        f"COALESCE({M.scaled_int('vc_after', 100.0)}, -1) AS vc_pct",
+        f"CASE WHEN seen IS NULL THEN 0 ELSE {M.capacity_loss_severity('cap_scen', 'cap_obs')} END AS incident",
+        f"COALESCE({M.scaled_int('delay_after', 100.0)}, -1) AS delay_c")
     return pack_ordered(cells, ["scenario_id", "reading_date", "from_bucket"], "bucket_idx", "station_idx",
                         ["flow", "speed_half", "vc_pct", "incident", "delay_c"])
 
@@ -130,48 +136,3 @@ def noop_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
     aggs = [E(f"max(ABS({a} - {b}))").alias(f"max_abs_diff_{n}") for n, b, a in pairs]
     aggs.append(E("count_if(los_before <> los_after)").alias("grade_changes"))
     return c.groupBy("scenario_id").agg(*aggs)
-
-
-@plan
-def lever_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sentence per lever of the scenario table."""
-    lv = S.scenarios(spark)
-    where = ("concat(freeway, CASE WHEN direction <> '' THEN concat(' ', direction) ELSE '' END,"
-             " format_string(' postmile %.1f-%.1f', pm_from, pm_to))")
-    text = (f"CASE kind WHEN 'none' THEN 'No change (baseline).'"
-            f" WHEN 'closure' THEN format_string('Close %d lane(s) on %s.', CAST(amount AS INT), {where})"
-            f" WHEN 'demand' THEN format_string('Change demand by %+.0f%% on %s.', amount,"
-            f" CASE WHEN freeway = 'ALL' THEN 'all corridors' ELSE freeway END)"
-            f" WHEN 'incident' THEN format_string('Incident blocking %d lane(s) on %s, %s-%s.', CAST(amount AS INT),"
-            f" {where}, {clock.bucket_label('bucket_from')}, {clock.bucket_label('bucket_to + 1')})"
-            f" WHEN 'capacity' THEN format_string('Add %d lane(s) and scale capacity x%.2f on %s.', CAST(amount AS INT),"
-            f" scale, {where}) ELSE kind END")
-    return lv.selectExpr("scenario_id", "kind", f"{text} AS summary")
-
-
-@plan
-def incident_draws(spark: SparkSession, sf_dir: str, days: int = 3) -> DataFrame:
-    """C9 + H10-H13 + H8: per station and day, stable draws decide whether an incident
-    occurs (rate scaled by urban intensity), its severity and type by weighted thresholds,
-    its duration from the severity's range (multiple of 5), a start time snapped to the
-    5-minute grid, and a log-normal demand-noise factor. Days come from a range per station
-    (no join)."""
-    from ..functions import draws as R
-    keys = ["station_id", "day_offset"]
-    st = S.stations(spark, sf_dir).selectExpr("station_id", "urban_intensity",
-                                             f"explode(sequence(0, {days - 1})) AS day_offset")
-    p = f"{lit(K.INCIDENT_RATE_PER_STATION_DAY)} * (4e-1 + 12e-1 * urban_intensity)"
-    x = st.selectExpr("*", f"{R.uniform(keys, 'occur')} AS u_occur", f"{p} AS p_occur")
-    x = x.filter("u_occur < p_occur")
-    sev = f"CAST({R.weighted_category(R.uniform(keys, 'sev'), list(K.SEVERITY_WEIGHTS))} AS INT)"
-    x = x.selectExpr("*", f"{sev} AS severity",
-                     f"{R.weighted_category(R.uniform(keys, 'type'), list(K.INCIDENT_TYPE_WEIGHTS))} AS incident_type",
-                     f"24e0 * {R.uniform(keys, 'hour')} AS start_hour")
-    day0 = f"timestampadd(DAY, day_offset, TIMESTAMP_NTZ '{S.FIXTURE_START_LOCAL:%Y-%m-%d %H:%M:%S}')"
-    return x.selectExpr(
-        "station_id", "day_offset", f"{rnd('u_occur', 9)} AS u_occur", f"{rnd('p_occur', 9)} AS p_occur", "severity",
-        "incident_type",
-        f"{R.graded_range('severity', K.INCIDENT_DURATION_MIN, K.INCIDENT_DURATION_MAX, R.uniform(keys, 'dur'))} AS duration_min",
-        f"{clock.snap_to_slot(day0, 'start_hour')} AS start_local",
-        f"{rnd_signed(R.normal(keys, 'dem'), 9)} AS z_demand",
-        f"{rnd(R.lognormal(keys, K.DEMAND_NOISE_SIGMA, 'dem'), 9)} AS demand_noise")

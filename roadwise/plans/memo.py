@@ -16,7 +16,7 @@ _PLANS: dict[tuple, object] = {}
 def plan(fn):
     @functools.wraps(fn)
     def wrapper(spark, *args, **kwargs):
-        key = (fn.__module__, fn.__qualname__, id(spark), args, tuple(sorted(kwargs.items())))
+        key = (fn.__module__, fn.__qualname__, spark.sparkContext.applicationId, args, tuple(sorted(kwargs.items())))
         df = _PLANS.get(key)
         if df is None:
             df = _PLANS[key] = fn(spark, *args, **kwargs)

@@ -88,16 +88,19 @@ def linear_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = seg.withColumn("len", E(f"CASE WHEN lat2 IS NULL THEN 0e0 ELSE {geo.haversine_mi('lat', 'lon', 'lat2', 'lon2')} END"))
     seg = seg.selectExpr("*", "sum(len) OVER (PARTITION BY freeway ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING"
                               " AND CURRENT ROW) - len AS d0", "sum(len) OVER (PARTITION BY freeway) AS total")
-    st = S.stations(spark, sf_dir).selectExpr("station_id", "freeway", "GREATEST(0e0, postmile) AS d")
+    # the five drawn freeways give the shape of every block of five
+    seg = seg.withColumnRenamed("freeway", "shape")
+    st = S.stations(spark, sf_dir).selectExpr("station_id", "freeway", "GREATEST(0e0, postmile) AS d",
+                                              "concat('F', CAST(CAST(substring(freeway, 2) AS BIGINT) % 5 AS STRING)) AS shape")
     # distance range join: segments replicated into the 1-mile buckets they span
     inner = (seg.filter("lat2 IS NOT NULL AND len > 0")
                 .selectExpr("*", "explode(sequence(CAST(FLOOR(d0) AS BIGINT), CAST(FLOOR(d0 + len) AS BIGINT))) AS _b"))
-    on_seg = (st.selectExpr("*", "CAST(FLOOR(d) AS BIGINT) AS _b").join(inner, ["freeway", "_b"])
+    on_seg = (st.selectExpr("*", "CAST(FLOOR(d) AS BIGINT) AS _b").join(inner, ["shape", "_b"])
                 .filter("d >= d0 AND d < d0 + len AND d < total").drop("_b")
                 .selectExpr("station_id", "freeway", "d", "false AS past_end", "LEAST(1e0, (d - d0) / len) AS t",
                             "lat", "lon", "urban", "city", "lat2", "lon2", "urban2", "city2"))
-    last = seg.filter("lat2 IS NULL").select("freeway", "lat", "lon", "urban", "city", "total")
-    past = (st.join(last, "freeway").filter("d >= total")
+    last = seg.filter("lat2 IS NULL").select("shape", "lat", "lon", "urban", "city", "total")
+    past = (st.join(last, "shape").filter("d >= total")
               .selectExpr("station_id", "freeway", "d", "true AS past_end", "1e0 AS t", "lat", "lon", "urban", "city",
                           "CAST(NULL AS DOUBLE) AS lat2", "CAST(NULL AS DOUBLE) AS lon2",
                           "CAST(NULL AS DOUBLE) AS urban2", "CAST(NULL AS STRING) AS city2"))

@@ -130,10 +130,6 @@ register("scenario_kpis", _SQ.kpis_sql())(SC.scenario_kpis)
 register("scenario_cells", _SQ.cells_sql())(SC.scenario_cells)
 
 
-@register("scenario_lever_warnings", None)
-def _lever_warnings(spark, sf_dir):
-    return SC.lever_warnings(SC.S.scenarios(spark))
-
 # --- snapshots ----------------------------------------------------------------------
 from .functions import measures as _M  # noqa: E402
 from .functions.numeric import mean_rounded as _mr, rnd as _rnd  # noqa: E402
@@ -281,13 +277,18 @@ FROM (SELECT c.scenario_id, c.reading_date, c.bucket_idx, s.freeway, {_mr('c.spe
       FROM cells c JOIN stations s ON s.station_id = c.station_id GROUP BY ALL)"""))(EX.scenario_corridor_compare)
 register("scenario_time_matrix", _SQ.with_cells(D.packed_select("stm_cells", "scenario_id, reading_date, from_bucket",
                                                                 ["flow", "speed_half", "vc_pct", "incident", "delay_c"],
-                                                                "station_idx"), {"stm_cells": f"""
-SELECT c.scenario_id, c.reading_date, c.bucket_idx, i.station_idx, CAST(c.bucket_idx // 24 * 24 AS INT) AS from_bucket,
-  {_M.scaled_int('served_after', 1.0)} AS flow, {_M.scaled_int('speed_after', 2.0)} AS speed_half,
-  {_M.scaled_int('vc_after', 100.0)} AS vc_pct, {_M.capacity_loss_severity('cap_scen', 'cap_obs')} AS incident,
-  {_M.scaled_int('delay_after', 100.0)} AS delay_c
-FROM cells c JOIN station_index i ON i.reading_date = c.reading_date AND i.station_id = c.station_id
-WHERE i.scope = 'ALL'"""}))(EX.scenario_time_matrix)
+                                                                "station_idx"), {"stm_grid": """
+SELECT s.scenario_id, i.reading_date, i.station_id, i.station_idx, b.bucket_idx
+FROM (SELECT DISTINCT scenario_id, reading_date FROM cells) s
+JOIN (SELECT * FROM station_index WHERE scope = 'ALL') i ON i.reading_date = s.reading_date
+CROSS JOIN (SELECT CAST(unnest(generate_series(0, 95)) AS INT) AS bucket_idx) b""", "stm_cells": f"""
+SELECT g.scenario_id, g.reading_date, g.bucket_idx, g.station_idx, CAST(g.bucket_idx // 24 * 24 AS INT) AS from_bucket,
+  COALESCE({_M.scaled_int('served_after', 1.0)}, -1) AS flow, COALESCE({_M.scaled_int('speed_after', 2.0)}, -1) AS speed_half,
+  COALESCE({_M.scaled_int('vc_after', 100.0)}, -1) AS vc_pct,
+  CASE WHEN c.station_id IS NULL THEN 0 ELSE {_M.capacity_loss_severity('cap_scen', 'cap_obs')} END AS incident,
+  COALESCE({_M.scaled_int('delay_after', 100.0)}, -1) AS delay_c
+FROM stm_grid g LEFT JOIN cells c ON c.scenario_id = g.scenario_id AND c.reading_date = g.reading_date
+  AND c.bucket_idx = g.bucket_idx AND c.station_id = g.station_id"""}))(EX.scenario_time_matrix)
 _PAIRS = [("demand", "d_lever", "demand_after"), ("vc", "vc_before", "vc_after"), ("speed", "speed_before", "speed_after"),
           ("served", "served_before", "served_after"), ("delay", "delay_before", "delay_after"),
           ("vmt", "vmt_before", "vmt_after"), ("vht", "vht_before", "vht_after")]
@@ -295,24 +296,6 @@ register("noop_proof", _SQ.with_cells("SELECT scenario_id, " + ", ".join(
     f"max(ABS({a} - {b})) AS max_abs_diff_{n}" for n, b, a in _PAIRS)
     + ", count_if(los_before <> los_after) AS grade_changes FROM cells WHERE scenario_id = 'noop' GROUP BY scenario_id"
 ))(EX.noop_proof)
-_WHERE = ("concat(freeway, CASE WHEN direction <> '' THEN concat(' ', direction) ELSE '' END,"
-          " printf(' postmile %.1f-%.1f', pm_from, pm_to))")
-
-
-def _lbl(b: str) -> str:
-    x = D.pmod(f"CAST({b} AS INT)", "96")
-    return f"printf('%02d:%02d', {x} // 4, ({x} % 4) * 15)"
-
-
-register("lever_summary", f"""WITH levers AS ({_SQ._values()})
-SELECT scenario_id, kind, CASE kind WHEN 'none' THEN 'No change (baseline).'
-  WHEN 'closure' THEN printf('Close %d lane(s) on %s.', CAST(amount AS INT), {_WHERE})
-  WHEN 'demand' THEN printf('Change demand by %+.0f%% on %s.', amount,
-    CASE WHEN freeway = 'ALL' THEN 'all corridors' ELSE freeway END)
-  WHEN 'incident' THEN printf('Incident blocking %d lane(s) on %s, %s-%s.', CAST(amount AS INT), {_WHERE},
-    {_lbl('bucket_from')}, {_lbl('bucket_to + 1')})
-  WHEN 'capacity' THEN printf('Add %d lane(s) and scale capacity x%.2f on %s.', CAST(amount AS INT), scale, {_WHERE})
-  ELSE kind END AS summary FROM levers""")(EX.lever_summary)
 
 
 @register("scenario_kpis_no_reassignment", _SQ.kpis_sql(0))
@@ -334,8 +317,8 @@ vseg0 AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(urb
 vseg1 AS (SELECT *, CASE WHEN lat2 IS NULL THEN 0e0 ELSE {_HAV} END AS len FROM vseg0),
 vseg AS (SELECT *, sum(len) OVER (PARTITION BY freeway ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
   - len AS d0, sum(len) OVER (PARTITION BY freeway) AS total FROM vseg1),
-st AS (SELECT concat('ST', CAST(s_suppkey AS VARCHAR)) AS station_id, concat('F', CAST(s_suppkey % 5 AS VARCHAR))
-  AS freeway, GREATEST(0e0, CAST(floor(s_suppkey / 10) AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2) AS d
+st AS (SELECT concat('ST', CAST(s_suppkey AS VARCHAR)) AS station_id, concat('F', CAST(s_suppkey % 5 + 5 * (s_suppkey // 10000) AS VARCHAR))
+  AS freeway, GREATEST(0e0, CAST(s_suppkey // 10 % 1000 AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2) AS d
   FROM supplier)
 """
 NW_ORACLE_LENGTHS = _VERT + f"""SELECT freeway, {_rnd('sum(len)', 6)} AS length_mi, CAST(count(*) AS INT) AS vertices
@@ -348,47 +331,10 @@ NW_ORACLE_LINREF = _VERT + """SELECT station_id, freeway, d AS distance_mi,
 FROM (
   SELECT s.station_id, s.freeway, s.d, false AS past_end, LEAST(1e0, (s.d - v.d0) / v.len) AS t,
          v.lat, v.lon, v.urban, v.city, v.lat2, v.lon2, v.urban2, v.city2
-  FROM st s JOIN vseg v ON v.freeway = s.freeway
+  FROM st s JOIN vseg v ON v.freeway = concat('F', CAST(CAST(s.freeway[2:] AS BIGINT) % 5 AS VARCHAR))
   WHERE v.lat2 IS NOT NULL AND v.len > 0 AND s.d >= v.d0 AND s.d < v.d0 + v.len AND s.d < v.total
   UNION ALL
   SELECT s.station_id, s.freeway, s.d, true, 1e0, v.lat, v.lon, v.urban, v.city, NULL, NULL, NULL, NULL
-  FROM st s JOIN vseg v ON v.freeway = s.freeway WHERE v.lat2 IS NULL AND s.d >= v.total)"""
+  FROM st s JOIN vseg v ON v.freeway = concat('F', CAST(CAST(s.freeway[2:] AS BIGINT) % 5 AS VARCHAR)) WHERE v.lat2 IS NULL AND s.d >= v.total)"""
 _REGISTRY["corridor_lengths"] = (NW.corridor_lengths, NW_ORACLE_LENGTHS)
 _REGISTRY["linear_reference"] = (NW.linear_reference, NW_ORACLE_LINREF)
-
-
-# --- deterministic draws ------------------------------------------------------------
-def _duck_uniform(salt: str) -> str:
-    return (f"(CAST(('0x' || substr(md5(concat_ws('/', CAST(station_id AS VARCHAR), CAST(day_offset AS VARCHAR),"
-            f" '{salt}')), 1, 8)) AS BIGINT) / 4294967296e0)")
-
-
-def _duck_normal(salt: str) -> str:
-    return (f"(SQRT(-2e0 * LN(GREATEST(1e-9, {_duck_uniform(salt + '_bm1')}))) * COS(2e0 * PI() *"
-            f" {_duck_uniform(salt + '_bm2')}))")
-
-
-def _incident_draws_sql() -> str:
-    from . import constants as K
-    from .functions import draws as R
-    from .functions.numeric import lit
-    sev = f"CAST({R.weighted_category(_duck_uniform('sev'), list(K.SEVERITY_WEIGHTS))} AS INT)"
-    typ = R.weighted_category(_duck_uniform('type'), list(K.INCIDENT_TYPE_WEIGHTS))
-    dur = R.graded_range('severity', K.INCIDENT_DURATION_MIN, K.INCIDENT_DURATION_MAX, _duck_uniform('dur'))
-    h = "start_hour"
-    return f"""
-SELECT station_id, day_offset, {_rnd('u_occur', 9)} AS u_occur, {_rnd('p_occur', 9)} AS p_occur, severity, incident_type,
-  {dur} AS duration_min,
-  TIMESTAMP '2026-06-06 00:00:00' + to_days(CAST(day_offset AS INT)) + to_minutes(CAST(CAST(FLOOR({h}) AS INT) * 60
-    + CAST(FLOOR(({h} - FLOOR({h})) * 12) AS INT) * 5 AS BIGINT)) AS start_local,
-  {_rs(_duck_normal('dem'), 9)} AS z_demand, {_rnd(f"EXP({lit(K.DEMAND_NOISE_SIGMA)} * {_duck_normal('dem')})", 9)} AS demand_noise
-FROM (SELECT *, {sev} AS severity, {typ} AS incident_type, 24e0 * {_duck_uniform('hour')} AS start_hour
-      FROM (SELECT *, {_duck_uniform('occur')} AS u_occur,
-              {lit(K.INCIDENT_RATE_PER_STATION_DAY)} * (4e-1 + 12e-1 * urban_intensity) AS p_occur
-            FROM (SELECT concat('ST', CAST(s_suppkey AS VARCHAR)) AS station_id,
-                    CAST((s_suppkey * 13) % 101 AS DOUBLE) / 1e2 AS urban_intensity,
-                    unnest(generate_series(0, 2)) AS day_offset FROM supplier))
-      WHERE u_occur < p_occur)"""
-
-
-register("incident_draws", _incident_draws_sql())(EX.incident_draws)

@@ -27,7 +27,7 @@ FIXTURE_START_LOCAL = _dt.datetime(2026, 6, 6, 0, 0, 0)
 FIXTURE_START_DATE = _dt.date(2026, 6, 6)
 
 
-_READERS: dict[tuple[int, str, str], DataFrame] = {}
+_READERS: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     The unresolved reader is kept per (session, folder, table) so file listing and footer
     schema inference happen once per session rather than once per use in a plan; it holds
     no data."""
-    key = (id(spark), sf_dir, name)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     df = _READERS.get(key)
     if df is None:
         df = _READERS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -55,15 +55,18 @@ def day_range(spark: SparkSession, n: int, name: str = "day_offset") -> DataFram
 
 @plan
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector dimension: one station per supplier."""
+    """Detector dimension: one station per supplier. Positions repeat in blocks of 10,000
+    suppliers inside the bounding box; every block has five freeways of its own, so the
+    number of freeways grows with the table and no carriageway is longer than 600 miles."""
     return read_table(spark, sf_dir, "supplier", ["s_suppkey"]).selectExpr(
         "s_suppkey AS station_num",
         "concat('ST', CAST(s_suppkey AS STRING)) AS station_id",
-        "concat('F', CAST(s_suppkey % 5 AS STRING)) AS freeway",
+        "concat('F', CAST(s_suppkey % 5 + 5 * CAST(FLOOR(s_suppkey / 10000) AS BIGINT) AS STRING)) AS freeway",
         "CASE WHEN CAST(FLOOR(s_suppkey / 5) AS BIGINT) % 2 = 0 THEN 'N' ELSE 'S' END AS direction",
-        "CAST(FLOOR(s_suppkey / 10) AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2 AS postmile",
-        "34e0 + CAST(FLOOR(s_suppkey / 10) AS DOUBLE) * 8e-3 AS latitude",
-        "-118e0 + CAST(s_suppkey % 5 AS DOUBLE) * 3e-2 + CAST(FLOOR(s_suppkey / 10) AS DOUBLE) * 2e-3 AS longitude",
+        "CAST(CAST(FLOOR(s_suppkey / 10) AS BIGINT) % 1000 AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2 AS postmile",
+        "34e0 + CAST(CAST(FLOOR(s_suppkey / 10) AS BIGINT) % 1000 AS DOUBLE) * 8e-3 AS latitude",
+        "-118e0 + CAST(s_suppkey % 5 AS DOUBLE) * 3e-2 + CAST(CAST(FLOOR(s_suppkey / 10) AS BIGINT) % 1000 AS DOUBLE) * 2e-3"
+        " - CAST(CAST(FLOOR(s_suppkey / 10000) AS BIGINT) % 300 AS DOUBLE) * 2e-2 AS longitude",
         "CAST(2 + s_suppkey % 4 AS INT) AS num_lanes",
         "CAST(1950 + (s_suppkey * 37) % 151 AS INT) AS lane_capacity_vph",
         "CASE s_suppkey % 9 WHEN 0 THEN 'HV' WHEN 1 THEN 'OR' WHEN 2 THEN 'FR' ELSE 'ML' END AS station_type",
@@ -77,11 +80,10 @@ def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incident windows [start_slot, end_slot) in 5-minute slots of day ``day_no``.
 
-    An end slot past 288 runs into the next day, as real incidents cross midnight."""
+    Every order is one; its priority sets the severity (urgent: 4). An end slot past 288 runs into the next day, as real incidents cross midnight."""
     st = stations(spark, sf_dir)
     n_sup = read_table(spark, sf_dir, "supplier", ["s_suppkey"]).selectExpr("count(1) AS n_sup")
     o = (read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
-         .filter("o_orderpriority LIKE '1%'")
          .crossJoin(n_sup)   # one-row aggregate: a scalar, not a data cross product
          .selectExpr("*", "o_custkey % n_sup AS station_num"))
     j = o.join(st.select("station_num", "station_id", "freeway", "direction", "num_lanes"), "station_num")
@@ -90,7 +92,7 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(o_custkey % 3 AS INT) AS day_no",
         "CAST(o_orderkey % 288 AS INT) AS start_slot",
         "CAST(o_orderkey % 288 + 2 + o_custkey % 12 AS INT) AS end_slot",
-        "CAST(1 + o_orderkey % 4 AS INT) AS severity",
+        "CAST(GREATEST(1, 5 - CAST(substring(o_orderpriority, 1, 1) AS INT)) AS INT) AS severity",
         "CAST(LEAST(num_lanes - 1, 1 + o_orderkey % 2) AS INT) AS lanes_blocked",
     )
 

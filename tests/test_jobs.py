@@ -69,3 +69,29 @@ def test_advice_cap_and_vocabulary(spark):
     assert items and all(r.action_type in K.ACTION_TYPES for r in items)
     assert all(r.seq < K.MAX_RECOMMENDATIONS for r in items)
     assert all(r.action_type_raw is not None for r in items if r.action_type == "other")
+
+
+def test_every_station_survives_at_100_000_suppliers(spark, tmp_path):
+    from roadwise.plans import medallion
+    from roadwise import constants as K
+    spark.range(100_000).selectExpr("id AS s_suppkey", "CAST(id AS STRING) AS s_name", "id % 25 AS s_nationkey", "0e0 AS s_acctbal").write.parquet(
+        str(tmp_path / "supplier.parquet"))
+    st = medallion.stations_geo(spark, str(tmp_path))
+    assert st.count() == 100_000
+    assert st.select("freeway").distinct().count() == 50
+    assert not st.where(f"latitude NOT BETWEEN {K.CA_MIN_LAT} AND {K.CA_MAX_LAT} OR longitude NOT BETWEEN {K.CA_MIN_LON} AND {K.CA_MAX_LON}").count()
+
+
+def test_scenario_payload_decodes_to_cells(spark):
+    from roadwise.operators.packing import unpack
+    from roadwise.plans import dashboard, extras, scenario
+    sf = "/root/testdata/sf0.001"
+    keys = ["scenario_id", "reading_date", "from_bucket"]
+    payload = extras.scenario_time_matrix(spark, sf)
+    assert not payload.where("n <> stations * 24").count()
+    idx = dashboard.station_index(spark, sf).where("scope = 'ALL'").drop("scope")
+    got = unpack(payload, keys, "speed_half", "v").join(idx, ["reading_date", "station_idx"]).where("v >= 0")
+    cells = scenario.scenario_cells(spark, sf).selectExpr("scenario_id", "reading_date", "bucket_idx", "station_id",
+                                                          "CAST(floor(speed_after * 2 + 0.5) AS INT) AS v")
+    cols = ["scenario_id", "reading_date", "bucket_idx", "station_id", "v"]
+    assert got.count() == cells.count() and not got.select(cols).exceptAll(cells.select(cols)).count()
