@@ -45,7 +45,7 @@ from .common import _odd, materialise, mix64, shingle_hashes, small_batches, utf
 from .components import components
 
 SMALL = 4
-HOT_ROWS = 1 << 16  # most common signatures that the allocation knows (an order only)
+HOT_ROWS = 1 << 15  # most common signatures that the allocation knows (an order only)
 HOT_LEAST = 6
 SALTS = 4
 BLOCK = 2048  # members of a large group that one comparison holds
@@ -158,8 +158,8 @@ def summaries(docs: DataFrame) -> DataFrame:
                 many = n > 1
                 for c, k in zip(code[many].tolist(), n[many].tolist()):
                     hot[c] = hot.get(c, 0) + k
-                if len(hot) > 4 * HOT_ROWS:  # keep the most common: an order, not a filter
-                    for c in sorted(hot, key=hot.get)[:len(hot) - 2 * HOT_ROWS]:
+                if len(hot) > 3 * HOT_ROWS:  # keep the most common: an order, not a filter
+                    for c in sorted(hot, key=hot.get)[:len(hot) - HOT_ROWS]:
                         del hot[c]
             held, held_n = [], 0
 
@@ -183,7 +183,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                                 if salt == 0:
                                     held.append(seg.exact())
                                     held_n += len(held[-1])
-                        if held_n > 2_000_000:
+                        if held_n > 750_000:
                             count()
                 for column, value in zip(out, row):
                     column.append(value)
@@ -215,10 +215,10 @@ def allocation(sets: DataFrame) -> tuple[dict[int, tuple[int, bool]], np.ndarray
     if missing:
         raise RuntimeError(f"no hash separates the sets of bands {sorted(missing)}")
     hot = (sets.where("kind = 1").groupBy("set_id").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
-           .orderBy(F.col("n").desc(), "set_id").limit(HOT_ROWS).toPandas())
-    code = hot["set_id"].to_numpy(dtype=np.int64).view(_U)
+           .orderBy(F.col("n").desc(), "set_id").limit(HOT_ROWS).toArrow())
+    code = hot.column("set_id").to_numpy().view(_U)
     order = np.argsort(code)
-    return plan, code[order], hot["n"].to_numpy(dtype=np.int64)[order]
+    return plan, code[order], hot.column("n").to_numpy()[order]
 
 
 def signatures_of(s: np.ndarray, plan: dict[int, tuple[int, bool]], hot: np.ndarray, hot_n: np.ndarray) -> np.ndarray:
@@ -277,7 +277,7 @@ def signatures(docs: DataFrame, plan, hot: np.ndarray, hot_n: np.ndarray, bucket
                         seen.add(a)
                         held.append((signatures_of(s, plan, hot, hot_n), a, len(s)))
                         total += len(held[-1][0])
-                        if total > 3_000_000:
+                        if total > 750_000:
                             yield from flush()
         yield from flush()
 
@@ -449,7 +449,7 @@ def between(member: DataFrame, joined: DataFrame, reps: DataFrame, best_only: bo
 
 def join(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) of every document."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(summaries(src), "sets")
     rows = sets.where("kind = 0")

@@ -9,8 +9,9 @@ two agree on every code point (tests/llm/test_packing.py). Very long texts go to
 from __future__ import annotations
 
 import base64
+import json
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import tiktoken
@@ -26,12 +27,19 @@ class ByteTokens:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.library = Tokenizer.from_file(json_path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        with open(json_path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.json_path = json_path
         self.fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The vocabulary in the tokenizers library, loaded when a text needs it."""
+        t = Tokenizer.from_file(self.json_path)
+        t.no_truncation()
+        t.no_padding()
+        return t
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=np.uint32)

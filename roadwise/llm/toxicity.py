@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import mix64, sample_by_hash, slices, small_batches
@@ -109,16 +110,18 @@ def fit(bag_ids: list[np.ndarray], bag_counts: list[np.ndarray], y: np.ndarray,
     """(contribution of each bucket to the log odds, bias). Buckets of fewer than
     ``least_docs`` training texts say nothing (the zero vector): they could only be learned by
     heart."""
-    found, n_docs = np.unique(np.concatenate([np.unique(b) for b in bag_ids]), return_counts=True)
-    features = found[n_docs >= least_docs]
-    known = [np.isin(b, features) for b in bag_ids]
+    n_docs = np.zeros(BUCKETS, dtype=np.int32)
+    for b in bag_ids:
+        n_docs[b] += 1  # ids of a bag are distinct
+    features = np.flatnonzero(n_docs >= least_docs).astype(np.int32)
+    known = [n_docs[b] >= least_docs for b in bag_ids]
     totals = [max(1, c.sum()) for c in bag_counts]
     bag_ids = [b[k] for b, k in zip(bag_ids, known)]
     bag_counts = [c[k] for c, k in zip(bag_counts, known)]
-    flat = np.searchsorted(features, np.concatenate(bag_ids))
+    flat = np.searchsorted(features, np.concatenate(bag_ids)).astype(np.int32)
     lengths = np.array([len(b) for b in bag_ids])
     ends = np.cumsum(lengths)
-    share = np.concatenate([GAIN * c / n for c, n in zip(bag_counts, totals)]).astype(np.float32)
+    share = np.concatenate([(GAIN * c / n).astype(np.float32) for c, n in zip(bag_counts, totals)])
     share_of_class = np.bincount(y, minlength=2) / len(y)
     importance = (0.5 / np.maximum(share_of_class, 1e-9))[y].astype(np.float32)
     model, rng = Trainer(len(features), seed), np.random.default_rng(seed)
@@ -158,14 +161,23 @@ def sample_bags(docs: DataFrame, labels: DataFrame, learn: Column, key: str, tex
                     names=["ids", "n", "y", "k"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = src.select("__text", "__y", key).mapInArrow(run, f"ids array<int>, n array<int>, y int, k {kind}").toPandas().sort_values("k", kind="stable")
-    rows = rows[rows["ids"].map(len) > 0]
-    as_arrays = lambda column: [np.asarray(x, dtype=np.int64) for x in column]
-    return as_arrays(rows["ids"]), as_arrays(rows["n"]), rows["y"].to_numpy(dtype=np.int64), sizes
+    rows = src.select("__text", "__y", key).mapInArrow(run, f"ids array<int>, n array<int>, y int, k {kind}").toArrow().combine_chunks()
+    order = pc.sort_indices(rows, [("k", "ascending"), ("y", "ascending")]).to_numpy()
+    if not len(order):
+        return [], [], np.empty(0, np.int64), sizes
+
+    def parts(name: str) -> list[np.ndarray]:
+        column = rows.column(name).chunk(0)
+        flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+        return [flat[at[i]:at[i + 1]] for i in order]
+
+    ids, counts, y = parts("ids"), parts("n"), rows.column("y").to_numpy()[order]
+    some = [i for i, bag in enumerate(ids) if len(bag)]
+    return [ids[i] for i in some], [counts[i] for i in some], y[some].astype(np.int64), sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, key: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_docs: int = 2500, least_docs: int = 5) -> tuple[np.ndarray, float] | None:
+          max_docs: int = 2000, least_docs: int = 5) -> tuple[np.ndarray, float] | None:
     small_batches(docs.sparkSession, 200)
     ids, counts, y, sizes = sample_bags(docs, labels, learn, key, text_col, label_col, max_docs)
     if len(set(y.tolist())) < 2:
