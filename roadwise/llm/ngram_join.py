@@ -183,7 +183,7 @@ def summaries(docs: DataFrame) -> DataFrame:
                                 if salt == 0:
                                     held.append(seg.exact())
                                     held_n += len(held[-1])
-                        if held_n > 750_000:
+                        if held_n > 250_000:
                             count()
                 for column, value in zip(out, row):
                     column.append(value)
@@ -277,7 +277,7 @@ def signatures(docs: DataFrame, plan, hot: np.ndarray, hot_n: np.ndarray, bucket
                         seen.add(a)
                         held.append((signatures_of(s, plan, hot, hot_n), a, len(s)))
                         total += len(held[-1][0])
-                        if total > 750_000:
+                        if total > 200_000:
                             yield from flush()
         yield from flush()
 
