@@ -242,7 +242,8 @@ def signatures_of(s: np.ndarray, plan: dict[int, tuple[int, bool]], hot: np.ndar
 
 
 def signatures(docs: DataFrame, plan, hot: np.ndarray, hot_n: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, payload): signatures, set ids and sizes of a task's sets, by signature bucket."""
+    """(bucket, payload): signatures, set ids and size codes of a task's sets, by signature
+    bucket, 16 bytes each."""
     shared = docs.sparkSession.sparkContext.broadcast((plan, hot, hot_n))  # at most HOT_ROWS entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,13 +259,13 @@ def signatures(docs: DataFrame, plan, hot: np.ndarray, hot_n: np.ndarray, bucket
             sig = np.concatenate([x[0] for x in held])
             sizes = [len(x[0]) for x in held]
             ids = np.repeat(np.array([x[1] for x in held], dtype=np.int64), sizes)
-            ns = np.repeat(np.array([x[2] for x in held], dtype=np.int32), sizes)
+            codes = np.repeat(size_code(np.array([x[2] for x in held])), sizes)
             where = (sig % _U(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
             cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-            sig, ids, ns = sig[order], ids[order], ns[order]
+            sig, ids, codes = sig[order], ids[order], codes[order]
             full = np.flatnonzero(np.diff(cuts))
-            data = [sig[a:b].tobytes() + ids[a:b].tobytes() + ns[a:b].tobytes() for a, b in zip(cuts[full], cuts[full + 1])]
+            data = [pack(sig[a:b], ids[a:b], codes[a:b]) for a, b in zip(cuts[full], cuts[full + 1])]
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "payload"])
             held, total = [], 0
 
@@ -288,13 +289,34 @@ def similar_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 4 * np.minimum(a, b) >= 3 * np.maximum(a, b)
 
 
+def size_code(n: np.ndarray) -> np.ndarray:
+    """Sizes on a logarithmic scale in two bytes, for a first look; ``prune`` has the sizes."""
+    return np.minimum(np.floor(2048 * np.log2(n)), 65535).astype(np.uint16)
+
+
+def close_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """True wherever ``similar_sizes`` is: 2048 * log2(4 / 3) is under 850, plus one for rounding."""
+    return np.abs(a.astype(np.int32) - b.astype(np.int32)) <= 851
+
+
+def pack(sig: np.ndarray, ids: np.ndarray, codes: np.ndarray) -> bytes:
+    """The upper 48 bits of the signatures (the bucket stands for others), ids and size codes.
+    Two signatures that become one this way only make more candidates."""
+    upper = (sig >> _U(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    return upper.tobytes() + ids.tobytes() + codes.tobytes()
+
+
+def unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(payload) // 16
+    sig = np.zeros((n, 8), dtype=np.uint8)
+    sig[:, :6] = np.frombuffer(payload, np.uint8, 6 * n).reshape(n, 6)
+    return sig.view("<u8").ravel(), np.frombuffer(payload, np.int64, n, 6 * n), np.frombuffer(payload, np.uint16, n, 14 * n)
+
+
 def bucket_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     """Candidates of one bucket. Kind 0: pair (x, y) of set ids; kind 1: member x of the large
     group y (a signature)."""
-    parts = [(len(p) // 20, p) for p in pdf["payload"]]
-    sig = np.concatenate([np.frombuffer(p, _U, n) for n, p in parts])
-    ids = np.concatenate([np.frombuffer(p, np.int64, n, 8 * n) for n, p in parts])
-    ns = np.concatenate([np.frombuffer(p, np.int32, n, 16 * n) for n, p in parts]).astype(np.int64)
+    sig, ids, ns = (np.concatenate(x) for x in zip(*map(unpack, pdf["payload"])))
     order = np.lexsort((mix64(ids.view(_U)), sig))  # the first of a group is the same set in most of a cluster's groups
     sig, ids, ns = sig[order], ids[order], ns[order]
     fresh = np.ones(len(sig), dtype=bool)
@@ -307,19 +329,20 @@ def bucket_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
     xs, ys, kinds = [], [], []
     for back in range(1, SMALL):  # all pairs of small groups
         at = np.flatnonzero((size <= SMALL) & (place >= back))
-        ok = at[similar_sizes(ns[at], ns[at - back])]
+        ok = at[close_codes(ns[at], ns[at - back])]
         xs.append(ids[ok])
         ys.append(ids[ok - back])
     at = np.flatnonzero((size > SMALL) & (place > 0))
     star = at - place[at]
-    ok = similar_sizes(ns[at], ns[star])
+    ok = close_codes(ns[at], ns[star])
     xs.append(ids[at][ok])
     ys.append(ids[star][ok])
     x, y = np.concatenate(xs), np.concatenate(ys)
     pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.empty((0, 2), np.int64)
     big = size > SMALL
+    group = mix64(sig[big] + mix64(np.array([pdf["bucket"].iloc[0]], dtype=_U)))
     kinds = np.concatenate([np.zeros(len(pairs), np.int32), np.ones(int(big.sum()), np.int32)])
-    return pd.DataFrame({"kind": kinds, "x": np.concatenate([pairs[:, 0], ids[big]]), "y": np.concatenate([pairs[:, 1], sig[big].view(np.int64)])})
+    return pd.DataFrame({"kind": kinds, "x": np.concatenate([pairs[:, 0], ids[big]]), "y": np.concatenate([pairs[:, 1], group.view(np.int64)])})
 
 
 def prune(pairs: DataFrame, reps: DataFrame) -> DataFrame:

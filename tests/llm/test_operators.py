@@ -139,6 +139,18 @@ def test_join_equals_brute_force(spark, odd_docs, no_docs):
     assert ngram_join.join(no_docs).count() == 0
 
 
+def test_signature_lots_round_trip_and_close_sizes_pass():
+    rng = np.random.default_rng(5)
+    sig, ids = rng.integers(0, 1 << 64, 500, dtype=np.uint64), rng.integers(-1 << 63, 1 << 63, 500, dtype=np.int64)
+    codes = ngram_join.size_code(rng.integers(1, 1 << 40, 500))
+    got = ngram_join.unpack(ngram_join.pack(sig, ids, codes))
+    assert all((a == b).all() for a, b in zip(got, (sig >> np.uint64(16), ids, codes)))
+    n = np.concatenate((np.arange(1, 5000), rng.integers(5000, 1 << 40, 5000)))
+    low = -(-3 * n // 4)  # the smallest similar size
+    assert ngram_join.similar_sizes(n, low).all()
+    assert ngram_join.close_codes(ngram_join.size_code(n), ngram_join.size_code(low)).all()
+
+
 def test_join_on_chains_and_tiny_sets(spark):
     """Near copies of near copies (few links to any one member), and sets of 1 to 12 words."""
     import random
