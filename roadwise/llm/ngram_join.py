@@ -62,13 +62,14 @@ def segments_of(band: int) -> int:
 
 
 def differences(n: int, band: int) -> int | None:
-    """Most elements in which a set of size n and a similar one of the band can differ, or
-    None if no size of the band is similar."""
+    """Most elements in which a set of size n and a similar one that meets it in the band can
+    differ, or None if there is none. In the band of n itself that is also a larger set of the
+    next band, so only the band below bounds the partner's size."""
     lo, hi = 1 << band, (2 << band) - 1
     low, high = -(-3 * n // 4), 4 * n // 3
     if max(lo, low) > min(hi, high):
         return None
-    return (n + min(hi, high)) // 7
+    return (n + (high if band == band_of(n) else min(hi, high))) // 7
 
 
 def bands_for(n: int) -> list[tuple[int, int]]:

@@ -169,6 +169,25 @@ def test_join_on_chains_and_tiny_sets(spark):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got.collect()} == brute_components(rows)
 
 
+def test_similar_sets_share_a_signature_across_size_bands():
+    """A set and the same plus further elements, the first of them forced into every segment."""
+    none = np.empty(0, dtype=np.uint64)
+    rng = np.random.default_rng(7)
+    for r in range(1, 65):
+        shingles = np.unique(rng.integers(0, 1 << 63, r, dtype=np.uint64))
+        band = ngram_join.band_of(r)
+        plan = {b: (0, False) for b in range(band + 2)}
+        own = set(ngram_join.signatures_of(shingles, plan, none, none).tolist())
+        extra = rng.integers(0, 1 << 63, 40 * ngram_join.segments_of(band), dtype=np.uint64)
+        where = ngram_join.mix64(extra ^ ngram_join._SALT[0]) % np.uint64(ngram_join.segments_of(band))
+        for s in range(r + 1, 4 * r // 3 + 1):
+            assert ngram_join.differences(r, band) >= (r + s) // 7
+            for segment in np.unique(where):
+                first = extra[where == segment][:1]
+                more = np.unique(np.concatenate((shingles, first, extra[extra != first[0]][:s - r - 1])))
+                assert own & set(ngram_join.signatures_of(more, plan, none, none).tolist()), (r, s, segment)
+
+
 # ---- op5
 
 def test_toxicity_on_held_out_rows(spark, odd_docs, no_docs, labels):
