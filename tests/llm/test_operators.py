@@ -339,3 +339,21 @@ def test_languages_of_held_out_rows(spark, odd_docs, no_docs):
     empty = langid.train(no_docs, F.lit(True))
     assert {r["lang_pred"] for r in langid.identify(odd_docs, empty).collect()} == {"und"}
     assert langid.identify(no_docs, model).count() == 0
+
+
+def test_no_letter_and_no_language_is_left_out(spark, monkeypatch):
+    """80 languages, each of letters of its own (2,400 in all), and an alphabet beyond the table."""
+    own = [[chr(0x4E00 + 30 * i + j) for j in range(30)] for i in range(80)]
+    rng = np.random.default_rng(3)
+    write = lambda letters: " ".join("".join(rng.choice(letters, 3)) for _ in range(60))
+    rows = [(i, write(own[i % 80]), f"l{i % 80:02d}") for i in range(240)] + [(240, None, "l00"), (241, " ", "l00")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in langid.identify(docs, langid.train(docs, F.col("doc_id") < 160)).collect()}
+    assert len(got) == 242 and [got[i]["lang_pred"] for i in range(240)] == [f"l{i % 80:02d}" for i in range(240)]
+    assert got[240]["lang_pred"] == got[241]["lang_pred"] == "und" and got[240]["score"] == 0
+    texts = {"a": "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 400, 3000)), "b": write(own[0])}
+    wide = langid.Model(texts)
+    assert isinstance(wide.parsers[0], langid.Sparse) and len(wide.letters) > 300
+    monkeypatch.setattr(langid, "DENSE", 10_000)
+    queries_ = [texts["a"][500:900] + " é " + texts["b"], texts["b"] * 3, "", None]
+    assert (langid.Model(texts).entropies(queries_)[0] == wide.entropies(queries_)[0]).all()
