@@ -142,6 +142,28 @@ def frame_interpolation(spark: SparkSession, sf_dir: str, steps: int = 3) -> Dat
         f"CASE WHEN {t} >= 5e-1 AND inc2 IS NOT NULL THEN inc2 ELSE inc END AS incident")
 
 
+@plan
+def frame_interpolation_day(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
+    """B24 over every bucket: ``steps`` sub-frames for each of the 96 buckets of a station's
+    day, with or without a frame. Speed, flow and v/c are linear towards the next bucket
+    (which wraps within the day); where one side is missing the other one's value holds.
+    Incident from the nearer bucket, 0 without a frame."""
+    f = MD.frames_table(spark, sf_dir).selectExpr(
+        "station_id", "reading_date", "bucket_idx", "struct(avg_speed_mph AS s, CAST(avg_flow_vph AS DOUBLE) AS q, vc_ratio AS v,"
+        " CAST(CASE WHEN incident_active THEN COALESCE(max_incident_severity, 1) ELSE 0 END AS INT) AS inc) AS c")
+    last = K.BUCKETS_PER_DAY - 1
+    grid = f.select("station_id", "reading_date").distinct().withColumn("bucket_idx", E(f"explode(sequence(0, {last}))"))
+    w = "OVER (PARTITION BY station_id, reading_date ORDER BY bucket_idx)"
+    j = grid.join(f, ["station_id", "reading_date", "bucket_idx"], "left").selectExpr(
+        "*", f"CASE WHEN bucket_idx = {last} THEN first_value(c) {w} ELSE lead(c) {w} END AS n").selectExpr(
+        "*", f"explode(sequence(0, {steps - 1})) AS step")
+    t = f"(step / {float(steps)!r}e0)"
+    blend = lambda x: rnd_expr(f"COALESCE(c.{x} + (n.{x} - c.{x}) * {t}, c.{x}, n.{x})")
+    return j.selectExpr("station_id", "reading_date", "bucket_idx", "step", f"{blend('s')} AS speed_mph",
+                        f"{blend('q')} AS flow_vph", f"{blend('v')} AS vc_ratio",
+                        f"COALESCE(CASE WHEN {t} >= 5e-1 THEN n.inc ELSE c.inc END, 0) AS incident")
+
+
 def rnd_expr(x: str) -> str:
     return rnd(x, 6)
 

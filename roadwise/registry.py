@@ -196,6 +196,18 @@ SELECT f.station_id, f.reading_date, f.bucket_idx, s.step,
 FROM frames f CROSS JOIN (SELECT unnest([0, 1, 2]) AS step) s
 LEFT JOIN frames n ON n.station_id = f.station_id AND n.reading_date = f.reading_date
   AND n.bucket_idx = (f.bucket_idx + 1) % 96"""))(SN.frame_interpolation)
+register("frame_interpolation_day", _dq("""
+SELECT d.station_id, d.reading_date, CAST(b.bucket_idx AS INT) AS bucket_idx, s.step,
+  """ + _rnd("CASE WHEN f.avg_speed_mph IS NULL THEN n.avg_speed_mph WHEN n.avg_speed_mph IS NULL THEN f.avg_speed_mph ELSE f.avg_speed_mph + (n.avg_speed_mph - f.avg_speed_mph) * (s.step / 3.0e0) END", 6) + """ AS speed_mph,
+  """ + _rnd("CASE WHEN f.avg_flow_vph IS NULL THEN CAST(n.avg_flow_vph AS DOUBLE) WHEN n.avg_flow_vph IS NULL THEN CAST(f.avg_flow_vph AS DOUBLE) ELSE CAST(f.avg_flow_vph AS DOUBLE) + (CAST(n.avg_flow_vph AS DOUBLE) - CAST(f.avg_flow_vph AS DOUBLE)) * (s.step / 3.0e0) END", 6) + """ AS flow_vph,
+  """ + _rnd("CASE WHEN f.vc_ratio IS NULL THEN n.vc_ratio WHEN n.vc_ratio IS NULL THEN f.vc_ratio ELSE f.vc_ratio + (n.vc_ratio - f.vc_ratio) * (s.step / 3.0e0) END", 6) + """ AS vc_ratio,
+  CAST(CASE WHEN s.step / 3.0e0 >= 5e-1 THEN CASE WHEN n.incident_active THEN COALESCE(n.max_incident_severity, 1) ELSE 0 END
+       ELSE CASE WHEN f.incident_active THEN COALESCE(f.max_incident_severity, 1) ELSE 0 END END AS INT) AS incident
+FROM (SELECT DISTINCT station_id, reading_date FROM frames) d CROSS JOIN (SELECT unnest(range(96)) AS bucket_idx) b
+CROSS JOIN (SELECT unnest([0, 1, 2]) AS step) s
+LEFT JOIN frames f ON f.station_id = d.station_id AND f.reading_date = d.reading_date AND f.bucket_idx = b.bucket_idx
+LEFT JOIN frames n ON n.station_id = d.station_id AND n.reading_date = d.reading_date
+  AND n.bucket_idx = (b.bucket_idx + 1) % 96"""))(SN.frame_interpolation_day)
 register("snapshot_brief", None)(SN.snapshot_brief)
 register("snapshot_json", None)(SN.snapshot_json)
 

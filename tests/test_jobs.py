@@ -95,3 +95,19 @@ def test_scenario_payload_decodes_to_cells(spark):
                                                           "CAST(floor(speed_after * 2 + 0.5) AS INT) AS v")
     cols = ["scenario_id", "reading_date", "bucket_idx", "station_id", "v"]
     assert got.count() == cells.count() and not got.select(cols).exceptAll(cells.select(cols)).count()
+
+
+def test_interpolation_fills_every_bucket(spark, monkeypatch):
+    """A gap, a null speed and the wrap: each side stands in for a missing one."""
+    from roadwise.plans import medallion as MD, snapshot as SN
+    rows = [("a", "d", 0, 60.0, 100, 0.5, False, None), ("a", "d", 1, None, 200, 0.6, True, None),
+            ("a", "d", 2, 30.0, 300, 0.7, True, 3)]
+    frames = spark.createDataFrame(rows, "station_id string, reading_date string, bucket_idx int, avg_speed_mph double,"
+                                         " avg_flow_vph int, vc_ratio double, incident_active boolean, max_incident_severity int")
+    monkeypatch.setattr(MD, "frames_table", lambda spark, sf_dir: frames)
+    got = {(r["bucket_idx"], r["step"]): r for r in SN.frame_interpolation_day(spark, "made-up").collect()}
+    assert len(got) == 96 * 3
+    assert got[0, 1]["speed_mph"] == 60 and got[0, 0]["flow_vph"] == 100 and got[0, 2]["incident"] == 1
+    assert got[1, 0]["speed_mph"] == 30  # the current one is null: the next one's
+    assert got[2, 2]["speed_mph"] == 30 and got[2, 1]["incident"] == 3 and got[2, 2]["incident"] == 0
+    assert got[95, 1]["speed_mph"] == 60 and got[50, 0]["speed_mph"] is None and got[50, 0]["incident"] == 0
