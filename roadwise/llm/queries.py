@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary_out, bpe, kn_quality, langid, ngram_join, packing, quality_rules, secret_scan, topk, toxicity
+from . import binary_out, bpe, kn_quality, langid, ngram_join, packing, pieces, quality_rules, secret_scan, spelling, topk, toxicity
 from .common import crc_mod, table
 
 SEQUENCE = 2048
@@ -69,6 +69,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    ids = pieces.encode(table(spark, sf_dir, "documents"), model)
+    return pieces.decode(ids, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -81,6 +94,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_kn_quality": op9_kn_quality,
         "op10_language_id": op10_language_id,
+        "op11_spelling": op11_spelling,
+        "op12_pieces": op12_pieces,
     }
 
 
