@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary_out, bpe, kn_quality, langid, ngram_join, packing, pieces, quality_rules, secret_scan, spelling, topk, toxicity
+from . import binary_out, bpe, kn_quality, langid, lexical, ngram_join, packing, pieces, quality_rules, secret_scan, spelling, topk, toxicity
 from .common import crc_mod, table
 
 SEQUENCE = 2048
@@ -82,6 +82,10 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -96,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_language_id": op10_language_id,
         "op11_spelling": op11_spelling,
         "op12_pieces": op12_pieces,
+        "op13_lexical": op13_lexical,
     }
 
 
@@ -112,5 +117,23 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
 
 
+#: Every item against every document, from the definition of the score.
+LEXICAL_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+w AS (SELECT r, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+n AS (SELECT r, sum(tf) AS n FROM tf GROUP BY r),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS len FROM n),
+m AS (SELECT r, 75 + (25 * CAST(n AS BIGINT) * docs) // len AS m FROM n, total),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, total),
+ask AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+s AS (SELECT q, item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM ask JOIN tf USING (term) JOIN wt USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": TOPK_SQL}
+    return {"op6_topk": TOPK_SQL, "op13_lexical": LEXICAL_SQL}
