@@ -5,15 +5,9 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
     from roadwise.session import get_session
     s = get_session(master="local[*]", shuffle_partitions=8)
     yield s
-
-
-def scalar(spark, sql: str):
-    return spark.sql(f"SELECT {sql} AS v").collect()[0][0]

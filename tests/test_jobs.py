@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SMALL
+from helpers import SMALL
 
 
 def test_entry_smoke(spark):

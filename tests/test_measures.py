@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from conftest import scalar
+from helpers import scalar
 from roadwise import constants as K
 from roadwise.functions import clock, measures as M
 from roadwise.functions.numeric import mean_rounded, rnd, rnd_signed

@@ -2,7 +2,7 @@
 
 import tempfile
 
-from conftest import SMALL
+from helpers import SMALL
 
 
 def test_frames_stream_matches_batch_counts(spark):
