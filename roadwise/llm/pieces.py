@@ -75,6 +75,7 @@ class Pieces:
         self.unknown, self.unknown_text = sp.unk_id(), sp.decode([sp.unk_id()])
         self.text = {i: sp.id_to_piece(i) for i in ids if i not in self.bytes and i not in self.hidden and i != self.unknown}
         self.id = {t: i for i, t in self.text.items()}
+        self.shown = self.bytes | {i: t.replace(SPACE, " ").encode() for i, t in self.text.items()}
         scores = sorted({sp.get_score(i) for i in self.text}, reverse=True)
         place = {s: r for r, s in enumerate(scores)}
         #: piece -> place of its merge, the best first
@@ -162,10 +163,10 @@ class Pieces:
         """The pieces joined, byte pieces read as UTF-8 (a broken byte is U+FFFD), spaces put back,
         the one in front taken away; control ids show nothing."""
         try:
-            out = "".join([self.text[i] for i in ids])
-        except KeyError:
+            out = b"".join(map(self.shown.__getitem__, ids)).decode()
+        except (KeyError, UnicodeDecodeError):
             return self._decode_any(ids)
-        return out.removeprefix(SPACE).replace(SPACE, " ")
+        return out[1:] if out[:1] == " " and ids[0] in self.text else out
 
     def _decode_any(self, ids) -> str:
         shown: list[list[int]] = [[]]
@@ -174,10 +175,10 @@ class Pieces:
                 shown.append([])
             else:
                 shown[-1].append(i)
-        text, raw, unknown, out = self.text, self.bytes, self.unknown_text.encode(), []
+        unknown, out = self.unknown_text.encode(), []
         for part in filter(None, shown):
-            data = [text[i].replace(SPACE, " ").encode() if i in text else raw.get(i, unknown) for i in part]
-            if not out and part[0] in text:
+            data = [self.shown.get(i, unknown) for i in part]
+            if not out and part[0] in self.text:
                 data[0] = data[0].removeprefix(b" ")
             out.append(b"".join(data).decode("utf-8", "one-by-one"))
         return "".join(out)
