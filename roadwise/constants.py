@@ -55,6 +55,15 @@ MIN_OBSERVED_PCT = 20.0
 CA_MIN_LAT, CA_MAX_LAT = 32.50, 42.05
 CA_MIN_LON, CA_MAX_LON = -124.50, -114.10
 
+# --- fixed values: bounds of the data-quality rules ----------------------------------
+STATION_ID_LENGTH = (3, 16)
+MAX_LANES = 8
+LANE_CAPACITY_RANGE = (1000, 2400)
+TOP_SPEED_MPH = 100
+TOP_FLOW_VPH = 20000
+HIGH_VC = 3.0
+LONG_INCIDENT_MIN = 360
+
 # --- fixed values: clock -----------------------------------------------------------
 LOCAL_TZ = "America/Los_Angeles"
 INTERVAL_MINUTES = 5

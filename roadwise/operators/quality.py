@@ -30,15 +30,8 @@ class Rule:
 def apply_rules(df: DataFrame, rules: list[Rule], observation: Observation | None = None) -> DataFrame:
     """Filter ``df`` by its rules. Violation counts land in ``observation`` after an action."""
     if observation is not None:
-        df = df.observe(observation, *[F.expr(f"count_if(NOT {r.sql()})").alias(r.name) for r in rules])
+        df = df.observe(observation, F.count(F.lit(1)).alias("rows"), *[F.expr(f"count_if(NOT {r.sql()})").alias(r.name) for r in rules])
     conds = [f"(CASE WHEN {r.sql()} THEN true ELSE CAST(raise_error('expectation failed: {r.name}') AS BOOLEAN) END)"
              for r in rules if r.action == "fail"]
     conds += [r.sql() for r in rules if r.action == "drop"]
     return df.filter(" AND ".join(conds)) if conds else df
-
-
-def violation_counts(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(rule, action, violations) for every rule in one aggregate over ``df``."""
-    agg = df.selectExpr(*[f"count_if(NOT {r.sql()}) AS v{i}" for i, r in enumerate(rules)])
-    stack = ", ".join(f"'{r.name}', '{r.action}', v{i}" for i, r in enumerate(rules))
-    return agg.selectExpr(f"stack({len(rules)}, {stack}) AS (rule, action, violations)")

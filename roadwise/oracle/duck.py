@@ -53,10 +53,6 @@ def boundary_wkt(cell: str, res: int) -> str:
     return G.cell_boundary_wkt(G.cell_q(cell), G.cell_r(cell), res).replace("format_string(", "printf(")
 
 
-def rules_where(preds: list[str]) -> str:
-    return " AND ".join(f"COALESCE(({p}), false)" for p in preds)
-
-
 FRAME_AGGS_SQL = {
     "avg_demanded_flow_vph": f"CAST({mean_rounded('demanded_flow_vph', 0, 0)} AS INT)",
     "peak_demanded_flow_vph": "max(demanded_flow_vph)",
@@ -108,7 +104,8 @@ SELECT s_suppkey AS station_num,
          AS detector_health
 FROM supplier"""
     c["incidents"] = """
-SELECT concat('INC', CAST(o.o_orderkey AS VARCHAR)) AS incident_id, s.station_id, s.freeway, s.direction,
+SELECT 'INC-' || s.station_id || '-' || CAST(o.o_custkey % 3 AS VARCHAR) || '-' || CAST(o.o_orderkey AS VARCHAR) AS incident_id,
+       s.station_id, s.freeway, s.direction, s.num_lanes,
        CAST(o.o_custkey % 3 AS INT) AS day_no,
        CAST(o.o_orderkey % 288 AS INT) AS start_slot,
        CAST(o.o_orderkey % 288 + 2 + o.o_custkey % 12 AS INT) AS end_slot,
@@ -139,14 +136,16 @@ SELECT *, lower(hex(cell_r7)) AS cell_r7_str, lower(hex(cell_r8)) AS cell_r8_str
        CAST(num_lanes AS DOUBLE) * CAST(lane_capacity_vph AS DOUBLE) AS baseline_capacity_vph,
        num_lanes AS baseline_lanes, lane_capacity_vph AS baseline_lane_capacity_vph
 FROM stations_geo0
-WHERE {rules_where([f'latitude BETWEEN {K.CA_MIN_LAT} AND {K.CA_MAX_LAT}',
-                    f'longitude BETWEEN {K.CA_MIN_LON} AND {K.CA_MAX_LON}',
-                    'CAST(num_lanes AS DOUBLE) * CAST(lane_capacity_vph AS DOUBLE) > 0'])}"""
+WHERE latitude BETWEEN 32.50 AND 42.05 AND longitude BETWEEN -124.50 AND -114.10 AND direction IN ('N', 'S', 'E', 'W')
+  AND num_lanes BETWEEN 1 AND 8 AND lane_capacity_vph BETWEEN 1000 AND 2400 AND num_lanes * lane_capacity_vph > 0"""
+    c["good_incidents"] = """
+SELECT * FROM incidents
+WHERE station_id IS NOT NULL AND end_slot > start_slot AND severity BETWEEN 1 AND 4 AND lanes_blocked BETWEEN 0 AND num_lanes"""
     c["worst_incident"] = """
 SELECT station_id, abs_slot, max(k) AS k FROM (
   SELECT station_id, lanes_blocked * 100 + severity AS k,
          unnest(generate_series(day_no * 288 + start_slot, day_no * 288 + end_slot - 1)) AS abs_slot
-  FROM incidents) GROUP BY station_id, abs_slot"""
+  FROM good_incidents) GROUP BY station_id, abs_slot"""
     c["bronze1"] = f"""
 SELECT r.*, r.day_no * 288 + r.slot5 AS abs_slot, r.day_no * 96 + r.bucket_idx AS abs_bucket, s.num_lanes,
        w.k IS NOT NULL AS incident_active,
@@ -173,10 +172,9 @@ SELECT station_id, src_order, src_line, day_no, slot5, abs_slot, abs_bucket, buc
        lanes_blocked, incident_severity
 FROM (SELECT *, {rnd(M.occupancy('total_flow_vph', 'avg_speed_mph', 'num_lanes'), 4)} AS avg_occupancy FROM bronze3)"""
     c["bronze"] = f"""SELECT * FROM bronze_raw
-WHERE {rules_where(['demanded_flow_vph >= 0', 'total_flow_vph >= 0', 'total_flow_vph <= demanded_flow_vph',
-                    'total_flow_vph <= 20000', 'avg_speed_mph > 0 AND avg_speed_mph <= 100',
-                    'avg_occupancy BETWEEN 0 AND 1', 'observed_pct BETWEEN 0 AND 100',
-                    'num_lanes_reporting BETWEEN 0 AND num_lanes'])}"""
+WHERE demanded_flow_vph >= 0 AND total_flow_vph >= 0 AND total_flow_vph <= demanded_flow_vph AND total_flow_vph <= 20000
+  AND avg_speed_mph > 0 AND avg_speed_mph <= 100 AND avg_occupancy BETWEEN 0 AND 1 AND observed_pct BETWEEN 0 AND 100
+  AND num_lanes_reporting BETWEEN 0 AND num_lanes"""
     c["enriched0"] = f"""
 SELECT b.*, g.freeway, g.direction, g.postmile, g.latitude, g.longitude, g.station_type, g.urban_intensity,
        g.cell_r7, g.cell_r8, g.baseline_capacity_vph, g.baseline_lanes, g.baseline_lane_capacity_vph,
@@ -195,20 +193,19 @@ SELECT *, {M.level_of_service('vc_ratio')} AS level_of_service, day_of_week IN (
             WHEN hour_of_day BETWEEN 15 AND 18 THEN 'PM_PEAK' ELSE 'OFF_PEAK' END AS peak_period
 FROM enriched0"""
     c["enriched"] = f"""SELECT * FROM enriched_raw
-WHERE {rules_where([f'observed_pct >= {K.MIN_OBSERVED_PCT}', 'vc_ratio >= 0',
-                    f"{M.level_of_service('vc_ratio')} IN ('A','B','C','D','E','F')"])}"""
+WHERE observed_pct >= 20 AND vc_ratio >= 0"""
     aggs = ", ".join(f"{v} AS {k}" for k, v in FRAME_AGGS_SQL.items())
     c["frames_agg"] = f"SELECT station_id, abs_bucket, {aggs} FROM enriched GROUP BY station_id, abs_bucket"
-    c["frames"] = f"""
+    c["frames_raw"] = f"""
 SELECT a.*, g.freeway, g.direction, g.postmile, g.latitude, g.longitude, g.station_type, g.cell_r7, g.cell_r8,
        g.cell_r8_str, g.cell_r9, g.baseline_capacity_vph, g.baseline_lanes, g.baseline_lane_capacity_vph,
        g.geom_wkt, {_bucket_calendar('a.')},
        {M.level_of_service('a.vc_ratio')} AS level_of_service,
        {M.congestion_index('a.avg_speed_mph', 'a.free_flow_speed_mph')} AS congestion_index,
        {dow(local_ts('a.abs_bucket * 3'))} IN (1, 7) AS is_weekend
-FROM frames_agg a JOIN stations_geo g ON g.station_id = a.station_id
-WHERE {rules_where(['a.avg_speed_mph > 0 AND a.avg_speed_mph <= 100', 'a.avg_flow_vph >= 0',
-                    'g.baseline_capacity_vph > 0'])}"""
+FROM frames_agg a JOIN stations_geo g ON g.station_id = a.station_id"""
+    c["frames"] = """SELECT * FROM frames_raw
+WHERE avg_speed_mph > 0 AND avg_speed_mph <= 100 AND avg_flow_vph >= 0 AND baseline_capacity_vph > 0"""
     corr_aggs = {
         "station_count": "count(DISTINCT station_id)",
         "avg_demanded_flow_vph": f"CAST({mean_rounded('demanded_flow_vph', 0, 0)} AS INT)",
@@ -217,8 +214,15 @@ WHERE {rules_where(['a.avg_speed_mph > 0 AND a.avg_speed_mph <= 100', 'a.avg_flo
         "sum_flow_vph": "CAST(sum(total_flow_vph) AS BIGINT)",
         "avg_speed_mph": mean_rounded("avg_speed_mph", 1, 1),
         "min_speed_mph": "min(avg_speed_mph)",
+        "avg_occupancy": "floor(sum(round(avg_occupancy * 1e4)) / count(avg_occupancy) + 5e-1) / 1e4",
         "vc_ratio": mean_rounded("vc_ratio", 4, 4),
         "max_vc_ratio": "max(vc_ratio)",
+        "served_vc_ratio": "floor(sum(round(served_vc_ratio * 1e4)) / count(served_vc_ratio) + 5e-1) / 1e4",
+        "max_served_vc_ratio": "max(served_vc_ratio)",
+        "baseline_capacity_vph": "sum(baseline_capacity_vph)",
+        "baseline_lane_count": "CAST(sum(baseline_lanes) AS BIGINT)",
+        "baseline_lane_capacity_vph": "floor(sum(baseline_lane_capacity_vph) / (count(*) * 1e-1) + 5e-1) / 1e1",
+        "effective_capacity_vph": "floor(CAST(sum(CAST(floor(effective_capacity_vph * 1e6 + 5e-1) AS BIGINT)) AS DOUBLE) / 1e6 * 1e1 + 5e-1) / 1e1",
         "free_flow_speed_mph": mean_rounded("free_flow_speed_mph", 2, 1),
         "avg_delay_min_per_mi": mean_rounded("delay_vs_freeflow_min_per_mi", 4, 4),
         "congested_station_samples": "count_if(is_congested)",
@@ -237,13 +241,15 @@ SELECT *, {_bucket_calendar()}, {M.level_of_service('vc_ratio')} AS level_of_ser
        {length} AS corridor_length_mi,
        {rnd(f'sum_flow_vph * {K.INTERVAL_MINUTES / 60.0!r} * ({length} / GREATEST(1, station_count))', 1)} AS vmt
 FROM corridor_agg"""
-    c["corridor"] = f"""
+    c["corridor_raw"] = f"""
 SELECT * EXCLUDE (abs_bucket), {rnd('vmt / GREATEST(1e0, avg_speed_mph)', 2)} AS vht,
        {rnd('vmt * avg_delay_min_per_mi / 6e1', 2)} AS total_delay_veh_hours,
        day_of_week IN (1, 7) AS is_weekend,
        CASE WHEN day_of_week IN (1, 7) THEN 'WEEKEND' WHEN hour_of_day BETWEEN 6 AND 9 THEN 'AM_PEAK'
             WHEN hour_of_day BETWEEN 15 AND 18 THEN 'PM_PEAK' ELSE 'OFF_PEAK' END AS peak_period
 FROM corridor0"""
+    c["corridor"] = """SELECT * FROM corridor_raw WHERE station_count > 0 AND avg_speed_mph > 0 AND avg_speed_mph <= 100
+  AND baseline_capacity_vph > 0 AND level_of_service IN ('A', 'B', 'C', 'D', 'E', 'F')"""
     return c
 
 
@@ -305,3 +311,39 @@ def packed_select(src: str, keys: str, values: list[str], index: str) -> str:
     return (f"SELECT {keys}, CAST(count(*) AS INT) AS n, CAST(min(bucket_idx) AS INT) AS first_bucket,"
             f" CAST(max(bucket_idx) AS INT) AS last_bucket, CAST(count(DISTINCT {index}) AS INT) AS stations, {strs}"
             f" FROM {src} GROUP BY {keys}")
+
+
+def quality_sql() -> str:
+    """Violations of every expectation, written out from its definition and counted stage by stage."""
+    speed, graded = "avg_speed_mph > 0 AND avg_speed_mph <= 100", "level_of_service IN ('A', 'B', 'C', 'D', 'E', 'F')"
+    stages = {
+        "stations": ("stations", [
+            ("identified", "fail", "station_id IS NOT NULL"), ("id_is_short", "fail", "length(station_id) BETWEEN 3 AND 16"),
+            ("inside_the_state", "drop", "latitude BETWEEN 32.50 AND 42.05 AND longitude BETWEEN -124.50 AND -114.10"),
+            ("has_a_direction", "drop", "direction IN ('N', 'S', 'E', 'W')"), ("lanes_possible", "drop", "num_lanes BETWEEN 1 AND 8"),
+            ("lane_capacity_possible", "drop", "lane_capacity_vph BETWEEN 1000 AND 2400"),
+            ("has_capacity", "drop", "num_lanes * lane_capacity_vph > 0"), ("starts_after_mile_zero", "warn", "postmile >= 0")]),
+        "incidents": ("incidents", [
+            ("identified", "fail", "incident_id IS NOT NULL"), ("at_a_station", "drop", "station_id IS NOT NULL"),
+            ("ends_after_start", "drop", "end_slot > start_slot"), ("severity_known", "drop", "severity BETWEEN 1 AND 4"),
+            ("blocks_own_lanes", "drop", "lanes_blocked BETWEEN 0 AND num_lanes"), ("not_overlong", "warn", "5 * (end_slot - start_slot) <= 360")]),
+        "readings": ("bronze_raw", [
+            ("placed_and_dated", "fail", "station_id IS NOT NULL AND ts IS NOT NULL"),
+            ("flows_possible", "drop", "demanded_flow_vph >= 0 AND total_flow_vph >= 0 AND total_flow_vph <= 20000"),
+            ("serves_at_most_demand", "drop", "total_flow_vph <= demanded_flow_vph"), ("speed_possible", "drop", speed),
+            ("shares_are_shares", "drop", "avg_occupancy BETWEEN 0 AND 1 AND observed_pct BETWEEN 0 AND 100"),
+            ("reports_own_lanes", "drop", "num_lanes_reporting BETWEEN 0 AND num_lanes")]),
+        "enriched": ("enriched_raw", [
+            ("observed_enough", "drop", "observed_pct >= 20"), ("load_not_negative", "drop", "vc_ratio >= 0"), ("graded", "drop", graded),
+            ("delay_not_negative", "warn", "delay_vs_freeflow_min_per_mi >= 0"), ("load_plausible", "warn", "vc_ratio <= 3")]),
+        "frames": ("frames_raw", [
+            ("placed", "fail", "station_id IS NOT NULL"), ("speed_possible", "drop", speed), ("flow_not_negative", "drop", "avg_flow_vph >= 0"),
+            ("has_capacity", "drop", "baseline_capacity_vph > 0")]),
+        "corridors": ("corridor_raw", [
+            ("placed_and_dated", "fail", "freeway IS NOT NULL AND time_bucket IS NOT NULL"), ("has_stations", "drop", "station_count > 0"),
+            ("speed_possible", "drop", speed), ("has_capacity", "drop", "baseline_capacity_vph > 0"), ("graded", "drop", graded),
+            ("travel_not_negative", "warn", "vmt >= 0")]),
+    }
+    return with_ctes(" UNION ALL ".join(
+        f"SELECT '{stage}' AS stage, '{rule}' AS rule, '{action}' AS action, count(*) FILTER (WHERE ({good}) IS NOT TRUE) AS violations,"
+        f" count(*) AS rows FROM {src}" for stage, (src, rules) in stages.items() for rule, action, good in rules))

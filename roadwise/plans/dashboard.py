@@ -23,9 +23,9 @@ WINDOW_STARTS = tuple(range(0, K.BUCKETS_PER_DAY, K.WINDOW_BUCKETS))
 
 
 @plan
-def day_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def day_catalogue(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """Per local date: day of week, weekend flag as INT, day name, station count."""
-    return MD.frames_table(spark, sf_dir).groupBy("reading_date").agg(
+    return MD.frames_table(spark, sf_dir, day).groupBy("reading_date").agg(
         E("CAST(max(day_of_week) AS INT)").alias("day_of_week"),
         E("CAST(max(CASE WHEN is_weekend THEN 1 ELSE 0 END) AS INT)").alias("is_weekend"),
         E("CAST(count(DISTINCT station_id) AS INT)").alias("station_count"),
@@ -34,18 +34,18 @@ def day_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan
-def corridor_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corridor_options(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """E5: stations with frames per freeway."""
-    return MD.frames_table(spark, sf_dir).groupBy("freeway").agg(
+    return MD.frames_table(spark, sf_dir, day).groupBy("freeway").agg(
         E("CAST(count(DISTINCT station_id) AS INT)").alias("station_count"))
 
 
 @plan
-def station_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+def station_geometry(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """Attributes of stations that have frames, with the dense station index
     the payloads use (0..N-1 in station_id order) as a column instead of a sort."""
     geo = MD.stations_geo_table(spark, sf_dir)
-    present = MD.frames_table(spark, sf_dir).select("station_id")
+    present = MD.frames_table(spark, sf_dir, day).select("station_id")
     g = geo.join(present, "station_id", "left_semi")
     return g.selectExpr(
         "station_id", "freeway", "direction", "postmile", "latitude", "longitude", "num_lanes", "station_type",
@@ -59,21 +59,21 @@ def scoped(df: DataFrame) -> DataFrame:
 
 
 @plan
-def station_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+def station_index(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """dense 0..N-1 index per (reading_date, scope) over the stations with frames that
     day, in station_id order. The window is partitioned by (date, scope), never global."""
-    d = scoped(MD.frames_table(spark, sf_dir).select("reading_date", "freeway", "station_id")).select(
+    d = scoped(MD.frames_table(spark, sf_dir, day).select("reading_date", "freeway", "station_id")).select(
         "reading_date", "scope", "station_id").distinct()
     w = Window.partitionBy("reading_date", "scope").orderBy("station_id")
     return d.withColumn("station_idx", (F.row_number().over(w) - 1).cast("int"))
 
 
 @plan
-def time_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def time_matrix_cells(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """D1 + B22: the dense (date, scope, bucket, station_idx) grid of all 96 buckets of a
     day times its station index, with the integer-scaled payload values; a station without a
     frame in a bucket carries -1 (flow, speed, v/c) and 0 (incident)."""
-    f = scoped(MD.frames_table(spark, sf_dir)).selectExpr(
+    f = scoped(MD.frames_table(spark, sf_dir, day)).selectExpr(
         "reading_date", "scope", "bucket_idx", "station_id",
         "CAST(avg_flow_vph AS INT) AS flow",
         "CAST(FLOOR(avg_speed_mph * 2e0 + 5e-1) AS INT) AS speed_half",
@@ -82,7 +82,7 @@ def time_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     # every bucket of the day, so positions in a window are always bucket-major and complete
     buckets = f.select("reading_date", "scope").distinct().selectExpr(
         "reading_date", "scope", f"explode(sequence(0, {K.BUCKETS_PER_DAY - 1})) AS bucket_idx")
-    grid = station_index(spark, sf_dir).join(buckets, ["reading_date", "scope"])
+    grid = station_index(spark, sf_dir, day=day).join(buckets, ["reading_date", "scope"])
     cells = grid.join(f, ["reading_date", "scope", "bucket_idx", "station_id"], "left")
     return cells.selectExpr(
         "reading_date", "scope", "bucket_idx", "station_id", "station_idx",
@@ -92,23 +92,23 @@ def time_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan
-def time_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def time_matrix(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """The packed animation payload, one row per (date, scope, 24-bucket window)."""
-    return pack_ordered(time_matrix_cells(spark, sf_dir), ["reading_date", "scope", "from_bucket"],
+    return pack_ordered(time_matrix_cells(spark, sf_dir, day=day), ["reading_date", "scope", "from_bucket"],
                         "bucket_idx", "station_idx", ["flow", "speed_half", "vc_pct", "incident"])
 
 
 @plan
-def time_matrix_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+def time_matrix_decoded(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """H15 + H16: unpack the payload back to (date, scope, bucket, station) values; the
     -1 no-data sentinel becomes NULL, speed is halved, v/c divided by 100."""
-    p = time_matrix(spark, sf_dir)
+    p = time_matrix(spark, sf_dir, day=day)
     keys = ["reading_date", "scope", "from_bucket"]
     parts = [unpack(p, keys, c, c) for c in ("flow", "speed_half", "vc_pct", "incident")]
     out = parts[0]
     for q in parts[1:]:
         out = out.join(q, keys + ["bucket_idx", "station_idx"])
-    idx = station_index(spark, sf_dir)
+    idx = station_index(spark, sf_dir, day=day)
     out = out.join(idx, ["reading_date", "scope", "station_idx"])
     return out.selectExpr(
         "reading_date", "scope", "bucket_idx", "station_id",
@@ -119,13 +119,13 @@ def time_matrix_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan
-def cell_congestion(spark: SparkSession, sf_dir: str, parent_res: int = 5) -> DataFrame:
+def cell_congestion(spark: SparkSession, sf_dir: str, parent_res: int = 5, day: str | None = None) -> DataFrame:
     """J3 + J7 + J8 + D7 + E22: per (date, scope, window): the hexagon dictionary and the
     dense bucket x hexagon congestion and speed payload (-1 = no stations in the cell)."""
     if parent_res != 5:
         raise ValueError("the station dimension carries resolution-5 parents of the r7 cells")
     cells = MD.stations_geo_table(spark, sf_dir).select("station_id", "cell_r7_p5")
-    f = MD.frames_table(spark, sf_dir).select(
+    f = MD.frames_table(spark, sf_dir, day).select(
         "station_id", "reading_date", "freeway", "bucket_idx", "congestion_index", "avg_speed_mph").join(
         cells, "station_id")
     f = scoped(f).withColumn("hex_id", E("lower(hex(cell_r7_p5))"))
@@ -156,12 +156,12 @@ def cell_congestion(spark: SparkSession, sf_dir: str, parent_res: int = 5) -> Da
 
 
 @plan
-def alignment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alignment_check(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """Per (date, scope, window) the payload's station count against the station
     index size; ``aligned`` false marks a payload the client must reject."""
-    idx = station_index(spark, sf_dir).groupBy("reading_date", "scope").agg(
+    idx = station_index(spark, sf_dir, day=day).groupBy("reading_date", "scope").agg(
         E("CAST(count(1) AS INT)").alias("index_stations"))
-    p = time_matrix(spark, sf_dir).select("reading_date", "scope", "from_bucket", "stations")
+    p = time_matrix(spark, sf_dir, day=day).select("reading_date", "scope", "from_bucket", "stations")
     return p.join(idx, ["reading_date", "scope"], "left").selectExpr(
         "reading_date", "scope", "from_bucket", "stations", "index_stations",
         "COALESCE(stations = index_stations, false) AS aligned")

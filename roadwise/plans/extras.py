@@ -1,4 +1,4 @@
-"""Remaining operators as jobs over the given tables (SURVEY: B1-B4, B25, B27, C1-C3,
+"""Remaining operators as jobs over the given tables (SURVEY: B1-B4, B25, B27,
 D12, H1-H8, K14, K18, K20)."""
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from ..functions import clock
 from ..functions import measures as M
 from ..functions.numeric import E, lit, mean_rounded, rnd, rnd_signed
 from ..operators.packing import pack_ordered
-from ..operators.quality import violation_counts
 from ..sources import tables as S
 from . import medallion as MD
 from . import scenario as SC
@@ -66,16 +65,6 @@ def frame_unserved(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{rnd_signed(M.unserved_pct('avg_demanded_flow_vph', 'avg_flow_vph'), 4)} AS unserved_pct")
 
 
-@plan
-def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of every expectation of the bronze and silver stages, counted in
-    one pass per stage over the rows the rule sees."""
-    raw = MD.bronze_raw(spark, sf_dir)
-    b = violation_counts(raw, MD.BRONZE_RULES).selectExpr("'bronze_readings' AS stage", "*")
-    e = violation_counts(MD.enriched_raw(spark, sf_dir), MD.ENRICHED_RULES).selectExpr("'enriched' AS stage", "*")
-    return b.unionByName(e)
-
-
 @plan
 def scenario_speed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per scenario cell the speed change, its class and magnitude, and the severe-drop

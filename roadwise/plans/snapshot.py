@@ -20,14 +20,14 @@ from .memo import plan
 SNAP = ["reading_date", "scope", "bucket_idx"]
 
 
-def _frames(spark, sf_dir) -> DataFrame:
-    return scoped(MD.frames_table(spark, sf_dir))
+def _frames(spark, sf_dir, day=None) -> DataFrame:
+    return scoped(MD.frames_table(spark, sf_dir, day))
 
 
 @plan
-def snapshot_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_network(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """The twelve network measures of every snapshot."""
-    return _frames(spark, sf_dir).groupBy(*SNAP).agg(
+    return _frames(spark, sf_dir, day).groupBy(*SNAP).agg(
         E("CAST(count(1) AS INT)").alias("station_count"),
         E(mean_rounded("avg_speed_mph", 1, 1)).alias("mean_speed_mph"),
         E("min(min_speed_mph)").alias("min_speed_mph"),
@@ -43,9 +43,9 @@ def snapshot_network(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan
-def snapshot_corridors(spark: SparkSession, sf_dir: str, limit: int = K.WORST_CORRIDOR_LIMIT) -> DataFrame:
+def snapshot_corridors(spark: SparkSession, sf_dir: str, limit: int = K.WORST_CORRIDOR_LIMIT, day: str | None = None) -> DataFrame:
     """E11 + F4: per snapshot the ``limit`` worst corridor-directions by mean delay."""
-    g = _frames(spark, sf_dir).groupBy(*SNAP, "freeway", "direction").agg(
+    g = _frames(spark, sf_dir, day).groupBy(*SNAP, "freeway", "direction").agg(
         E("CAST(count(1) AS INT)").alias("station_count"),
         E(mean_rounded("avg_speed_mph", 1, 1)).alias("mean_speed_mph"),
         E(mean_rounded("free_flow_speed_mph", 1, 1)).alias("free_flow_mph"),
@@ -63,19 +63,19 @@ def snapshot_corridors(spark: SparkSession, sf_dir: str, limit: int = K.WORST_CO
 
 
 @plan
-def snapshot_los(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_los(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """Grade histogram and share of each snapshot."""
-    g = _frames(spark, sf_dir).groupBy(*SNAP, "level_of_service").agg(E("CAST(count(1) AS INT)").alias("station_count"))
+    g = _frames(spark, sf_dir, day).groupBy(*SNAP, "level_of_service").agg(E("CAST(count(1) AS INT)").alias("station_count"))
     return g.selectExpr(*SNAP, "level_of_service AS los", "station_count",
                         f"{rnd('1e2 * station_count / sum(station_count) OVER (PARTITION BY reading_date, scope, bucket_idx)', 1)}"
                         " AS pct")
 
 
 @plan
-def snapshot_incidents(spark: SparkSession, sf_dir: str, limit: int = K.INCIDENT_LIMIT) -> DataFrame:
+def snapshot_incidents(spark: SparkSession, sf_dir: str, limit: int = K.INCIDENT_LIMIT, day: str | None = None) -> DataFrame:
     """S3: the ``limit`` worst incident stations of each snapshot (severity, lanes blocked,
     v/c, all descending) with the true total beside the truncated list."""
-    f = _frames(spark, sf_dir).filter("incident_active").selectExpr(
+    f = _frames(spark, sf_dir, day).filter("incident_active").selectExpr(
         *SNAP, "station_id", "freeway", "direction", f"{rnd('postmile', 1)} AS postmile",
         "CAST(COALESCE(max_incident_severity, 0) AS INT) AS severity",
         "CAST(COALESCE(lanes_blocked, 0) AS INT) AS lanes_blocked", "CAST(num_lanes AS INT) AS num_lanes",
@@ -87,12 +87,12 @@ def snapshot_incidents(spark: SparkSession, sf_dir: str, limit: int = K.INCIDENT
 
 
 @plan
-def frame_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frame_kpis(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """E16 + B8: live KPIs of each displayed frame: mean speed over observed stations,
     total flow, percent LOS E/F by the speed-and-v/c grade, over-capacity count,
     incidents, observed stations."""
     los = M.los_from_speed_vc("avg_speed_mph", "vc_ratio")
-    g = _frames(spark, sf_dir).groupBy(*SNAP).agg(
+    g = _frames(spark, sf_dir, day).groupBy(*SNAP).agg(
         E("avg(avg_speed_mph)").alias("_ms"),
         E("CAST(sum(avg_flow_vph) AS BIGINT)").alias("total_flow"),
         E(f"count_if(avg_speed_mph IS NOT NULL AND {los} IN ('E', 'F'))").alias("_cong"),
@@ -105,11 +105,11 @@ def frame_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan
-def frame_worst_corridors(spark: SparkSession, sf_dir: str, limit: int = K.FRAME_WORST_CORRIDORS) -> DataFrame:
+def frame_worst_corridors(spark: SparkSession, sf_dir: str, limit: int = K.FRAME_WORST_CORRIDORS, day: str | None = None) -> DataFrame:
     """E18 + F4: per frame and freeway: mean speed, total flow, percent LOS E/F; the
     ``limit`` slowest freeways of each frame."""
     los = M.los_from_speed_vc("avg_speed_mph", "vc_ratio")
-    f = MD.frames_table(spark, sf_dir)
+    f = MD.frames_table(spark, sf_dir, day)
     g = f.groupBy("reading_date", "bucket_idx", "freeway").agg(
         E("avg(avg_speed_mph)").alias("_ms"), E("CAST(sum(avg_flow_vph) AS BIGINT)").alias("total_flow"),
         E(f"count_if(avg_speed_mph IS NOT NULL AND {los} IN ('E', 'F'))").alias("_c"),
@@ -122,33 +122,12 @@ def frame_worst_corridors(spark: SparkSession, sf_dir: str, limit: int = K.FRAME
 
 
 @plan
-def frame_interpolation(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
-    """``steps`` sub-frames per bucket: speed, flow and v/c linear towards the next
-    bucket (which wraps modulo 96 within the day), speed falling back to the current value
-    when the next is missing; incident from the nearer bucket."""
-    f = MD.frames_table(spark, sf_dir).selectExpr(
-        "station_id", "reading_date", "bucket_idx", "avg_speed_mph AS s", "CAST(avg_flow_vph AS DOUBLE) AS q",
-        "vc_ratio AS v", "CAST(CASE WHEN incident_active THEN COALESCE(max_incident_severity, 1) ELSE 0 END AS INT) AS inc")
-    nxt = f.selectExpr("station_id", "reading_date", f"pmod(bucket_idx - 1, {K.BUCKETS_PER_DAY}) AS bucket_idx",
-                       "s AS s2", "q AS q2", "v AS v2", "inc AS inc2")
-    j = f.join(nxt, ["station_id", "reading_date", "bucket_idx"], "left").selectExpr(
-        "*", f"explode(sequence(0, {steps - 1})) AS step")
-    t = f"(step / {float(steps)!r}e0)"
-    return j.selectExpr(
-        "station_id", "reading_date", "bucket_idx", "step",
-        f"{rnd_expr('CASE WHEN s2 IS NULL THEN s ELSE s + (s2 - s) * ' + t + ' END')} AS speed_mph",
-        f"{rnd_expr('CASE WHEN q2 IS NULL THEN q ELSE q + (q2 - q) * ' + t + ' END')} AS flow_vph",
-        f"{rnd_expr('CASE WHEN v2 IS NULL THEN v ELSE v + (v2 - v) * ' + t + ' END')} AS vc_ratio",
-        f"CASE WHEN {t} >= 5e-1 AND inc2 IS NOT NULL THEN inc2 ELSE inc END AS incident")
-
-
-@plan
-def frame_interpolation_day(spark: SparkSession, sf_dir: str, steps: int = 3) -> DataFrame:
+def frame_interpolation_day(spark: SparkSession, sf_dir: str, steps: int = 3, day: str | None = None) -> DataFrame:
     """B24 over every bucket: ``steps`` sub-frames for each of the 96 buckets of a station's
     day, with or without a frame. Speed, flow and v/c are linear towards the next bucket
     (which wraps within the day); where one side is missing the other one's value holds.
     Incident from the nearer bucket, 0 without a frame."""
-    f = MD.frames_table(spark, sf_dir).selectExpr(
+    f = MD.frames_table(spark, sf_dir, day).selectExpr(
         "station_id", "reading_date", "bucket_idx", "struct(avg_speed_mph AS s, CAST(avg_flow_vph AS DOUBLE) AS q, vc_ratio AS v,"
         " CAST(CASE WHEN incident_active THEN COALESCE(max_incident_severity, 1) ELSE 0 END AS INT) AS inc) AS c")
     last = K.BUCKETS_PER_DAY - 1
@@ -169,21 +148,21 @@ def rnd_expr(x: str) -> str:
 
 
 @plan
-def snapshot_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_brief(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """The fixed-order labelled text brief of each snapshot (network totals, grade
     distribution, worst corridors, incidents with truncation notice)."""
-    net = snapshot_network(spark, sf_dir)
-    los = snapshot_los(spark, sf_dir).groupBy(*SNAP).agg(E(
+    net = snapshot_network(spark, sf_dir, day=day)
+    los = snapshot_los(spark, sf_dir, day=day).groupBy(*SNAP).agg(E(
         "concat('- ', array_join(transform(array_sort(collect_list(struct(los, station_count, pct))),"
         " x -> format_string('LOS %s: %d (%.1f%%)', x.los, x.station_count, x.pct)), ' · '))").alias("los_line"))
-    cor = snapshot_corridors(spark, sf_dir).groupBy(*SNAP).agg(E(
+    cor = snapshot_corridors(spark, sf_dir, day=day).groupBy(*SNAP).agg(E(
         "array_join(transform(array_sort(collect_list(struct(rank, freeway, direction, mean_speed_mph, free_flow_mph,"
         " mean_delay_min_per_mi, mean_vc, max_vc, stations_over_capacity, station_count, incident_count,"
         " max_lanes_blocked))), x -> format_string('- %s %s: %.1f mph vs %.1f mph free-flow · delay %.3f min/mi ·"
         " mean v/c %.2f (max %.2f) · %d/%d stations over capacity · %d incident station(s), max %d lane(s) blocked',"
         " x.freeway, x.direction, x.mean_speed_mph, x.free_flow_mph, x.mean_delay_min_per_mi, x.mean_vc, x.max_vc,"
         " x.stations_over_capacity, x.station_count, x.incident_count, x.max_lanes_blocked)), '\\n')").alias("cor_lines"))
-    inc = snapshot_incidents(spark, sf_dir).groupBy(*SNAP).agg(
+    inc = snapshot_incidents(spark, sf_dir, day=day).groupBy(*SNAP).agg(
         E("max(incident_total)").alias("inc_total"), E("count(1)").alias("inc_listed"),
         E("array_join(transform(array_sort(collect_list(struct(rank, freeway, direction, postmile, severity,"
           " lanes_blocked, num_lanes, speed_mph, vc_ratio, station_id))), x -> format_string('- %s %s @ postmile %.1f:"
@@ -222,12 +201,12 @@ def snapshot_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan
-def snapshot_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def snapshot_json(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """The snapshot as JSON: network measures, grade shares, worst corridors."""
-    net = snapshot_network(spark, sf_dir)
-    los = snapshot_los(spark, sf_dir).groupBy(*SNAP).agg(
+    net = snapshot_network(spark, sf_dir, day=day)
+    los = snapshot_los(spark, sf_dir, day=day).groupBy(*SNAP).agg(
         E("array_sort(collect_list(struct(los, station_count, pct)))").alias("los"))
-    cor = snapshot_corridors(spark, sf_dir).groupBy(*SNAP).agg(
+    cor = snapshot_corridors(spark, sf_dir, day=day).groupBy(*SNAP).agg(
         E("transform(array_sort(collect_list(struct(rank, freeway, direction, mean_speed_mph, mean_delay_min_per_mi))),"
           " x -> struct(x.freeway AS freeway, x.direction AS direction, x.mean_speed_mph AS mean_speed_mph,"
           " x.mean_delay_min_per_mi AS mean_delay_min_per_mi))").alias("worst_corridors"))

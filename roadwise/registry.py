@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import constants as K
 from .oracle import duck as D
 from .plans import medallion as MD
 
@@ -62,6 +63,25 @@ FROM readings r LEFT JOIN incidents i ON i.station_id = r.station_id
 register("enriched", D.with_ctes("SELECT * FROM enriched"))(MD.enriched)
 register("frames", D.with_ctes("SELECT * FROM frames"))(MD.frames)
 register("corridor_summary", D.with_ctes("SELECT * FROM corridor"))(MD.corridor_summary)
+register("corridor_summary_15", D.with_ctes("SELECT * FROM corridor").replace("0.08333333333333333", "0.25"))(
+    lambda spark, sf_dir: MD.corridor_summary(spark, sf_dir, sample_minutes=K.FRAME_MINUTES))
+
+# --- refreshed tables -----------------------------------------------------------------
+from .plans import gold as GO  # noqa: E402
+
+_DAY = "2026-06-07"  # the second local date of the fixture
+register("gold_corridors", D.with_ctes("SELECT * FROM corridor"))(lambda spark, sf_dir: GO.table(spark, sf_dir, "corridor_summary"))
+register("gold_frames_day", D.with_ctes(f"SELECT * FROM frames WHERE reading_date = DATE '{_DAY}'"))(
+    lambda spark, sf_dir: GO.table(spark, sf_dir, "frames", _DAY))
+register("quality_report", D.quality_sql())(GO.quality_report)
+register("corridor_history", D.with_ctes("""
+SELECT strftime(reading_date, '%Y%m%d') AS run_id, freeway, direction, CAST(sum(sample_count) AS BIGINT) AS samples,
+       CAST(sum(sum_flow_vph) AS BIGINT) AS sum_flow_vph, max(max_vc_ratio) AS max_vc_ratio,
+       CAST(sum(incident_samples) AS BIGINT) AS incident_samples
+FROM corridor GROUP BY reading_date, freeway, direction"""))(GO.corridor_history)
+register("workday_profile", D.with_ctes("""
+SELECT freeway, bucket_idx, count(*) AS station_frames, CAST(sum(avg_flow_vph) AS BIGINT) AS flow_vph
+FROM frames WHERE dayofweek(reading_date) BETWEEN 1 AND 5 GROUP BY freeway, bucket_idx"""))(GO.workday_profile)
 
 # --- dashboard ----------------------------------------------------------------------
 from .plans import dashboard as DB  # noqa: E402
@@ -113,6 +133,11 @@ FROM (SELECT reading_date, scope, from_bucket, CAST(count(DISTINCT station_idx)
 LEFT JOIN (SELECT reading_date, scope, CAST(count(*) AS INT) AS index_stations FROM station_index GROUP BY ALL) i
   USING (reading_date, scope)"""))(DB.alignment_check)
 
+# one local date of a dashboard: the frame scan reads that date's folder only
+for _name, _fn in (("time_matrix", DB.time_matrix), ("cell_congestion", DB.cell_congestion), ("station_index", DB.station_index)):
+    register(f"{_name}_day", f"SELECT * FROM ({_REGISTRY[_name][1]}) WHERE reading_date = DATE '{_DAY}'")(
+        lambda spark, sf_dir, fn=_fn: fn(spark, sf_dir, day=_DAY))
+
 # --- network geometry ---------------------------------------------------------------
 from .plans import network as NW  # noqa: E402
 from .plans import scenario as SC  # noqa: E402
@@ -185,17 +210,6 @@ SELECT reading_date, bucket_idx, freeway, {_rnd('COALESCE(avg(avg_speed_mph), 0e
   CAST(sum(avg_flow_vph) AS BIGINT) AS total_flow,
   {_rnd(f"CASE WHEN count(avg_speed_mph) > 0 THEN 1e2 * count_if(avg_speed_mph IS NOT NULL AND {_LOS8} IN ('E', 'F')) / count(avg_speed_mph) ELSE 0e0 END", 6)} AS congested_pct
 FROM frames GROUP BY reading_date, bucket_idx, freeway)) WHERE rank <= 5"""))(SN.frame_worst_corridors)
-register("frame_interpolation", _dq("""
-SELECT f.station_id, f.reading_date, f.bucket_idx, s.step,
-  """ + _rnd("CASE WHEN n.avg_speed_mph IS NULL THEN f.avg_speed_mph ELSE f.avg_speed_mph + (n.avg_speed_mph - f.avg_speed_mph) * (s.step / 3.0e0) END", 6) + """ AS speed_mph,
-  """ + _rnd("CASE WHEN n.avg_flow_vph IS NULL THEN CAST(f.avg_flow_vph AS DOUBLE) ELSE CAST(f.avg_flow_vph AS DOUBLE) + (CAST(n.avg_flow_vph AS DOUBLE) - CAST(f.avg_flow_vph AS DOUBLE)) * (s.step / 3.0e0) END", 6) + """ AS flow_vph,
-  """ + _rnd("CASE WHEN n.vc_ratio IS NULL THEN f.vc_ratio ELSE f.vc_ratio + (n.vc_ratio - f.vc_ratio) * (s.step / 3.0e0) END", 6) + """ AS vc_ratio,
-  CASE WHEN s.step / 3.0e0 >= 5e-1 AND n.station_id IS NOT NULL
-       THEN CAST(CASE WHEN n.incident_active THEN COALESCE(n.max_incident_severity, 1) ELSE 0 END AS INT)
-       ELSE CAST(CASE WHEN f.incident_active THEN COALESCE(f.max_incident_severity, 1) ELSE 0 END AS INT) END AS incident
-FROM frames f CROSS JOIN (SELECT unnest([0, 1, 2]) AS step) s
-LEFT JOIN frames n ON n.station_id = f.station_id AND n.reading_date = f.reading_date
-  AND n.bucket_idx = (f.bucket_idx + 1) % 96"""))(SN.frame_interpolation)
 register("frame_interpolation_day", _dq("""
 SELECT d.station_id, d.reading_date, CAST(b.bucket_idx AS INT) AS bucket_idx, s.step,
   """ + _rnd("CASE WHEN f.avg_speed_mph IS NULL THEN n.avg_speed_mph WHEN n.avg_speed_mph IS NULL THEN f.avg_speed_mph ELSE f.avg_speed_mph + (n.avg_speed_mph - f.avg_speed_mph) * (s.step / 3.0e0) END", 6) + """ AS speed_mph,
@@ -225,6 +239,10 @@ FROM (SELECT DISTINCT conv_id FROM conversations) s
 LEFT JOIN (SELECT conv_id, count(*) AS message_count FROM conversations WHERE role <> 'system' GROUP BY conv_id) c
   ON c.conv_id = s.conv_id""")(AD.session_messages)
 
+for _name, _fn in (("snapshot_network", SN.snapshot_network), ("snapshot_corridors", SN.snapshot_corridors)):
+    register(f"{_name}_day", f"SELECT * FROM ({_REGISTRY[_name][1]}) WHERE reading_date = DATE '{_DAY}'")(
+        lambda spark, sf_dir, fn=_fn: fn(spark, sf_dir, day=_DAY))
+
 # --- remaining operators --------------------------------------------------------------
 from .functions import clock as _C  # noqa: E402
 from .functions.numeric import rnd_signed as _rs  # noqa: E402
@@ -266,16 +284,6 @@ SELECT station_id, reading_date, bucket_idx,
   {_rs(_M.unserved_pct('avg_demanded_flow_vph', 'avg_flow_vph'), 4)} AS unserved_pct FROM frames"""))(EX.frame_unserved)
 
 
-def _violations(stage: str, src: str, rules) -> str:
-    return " UNION ALL ".join(
-        f"SELECT '{stage}' AS stage, '{r.name}' AS rule, '{r.action}' AS action,"
-        f" count_if(NOT COALESCE(({r.predicate}), false)) AS violations FROM {src}" for r in rules)
-
-
-register("quality_report", D.with_ctes(
-    _violations("bronze_readings", "bronze_raw", MD.BRONZE_RULES) + " UNION ALL "
-    + _violations("enriched", "enriched_raw", MD.ENRICHED_RULES)))(EX.quality_report)
-
 _D = "(speed_after - speed_before)"
 register("scenario_speed_changes", _SQ.with_cells(f"""
 SELECT scenario_id, reading_date, bucket_idx, station_id, {_rs(_D, 6)} AS speed_delta,

@@ -1,38 +1,68 @@
 """Sinks.
 
-Tables are written in full (the reference's materialized views recompute fully), laid out
-so one local date and one freeway are a narrow scan: partitioned by ``reading_date`` on
-disk, range-partitioned and sorted by (time bucket, freeway) inside it.
+A stored table has one folder, partitioned by local date and clustered inside a date by time
+window: rows are rebalanced by (date, window), so that the adaptive planner splits large windows
+and merges small ones into files of even size, and sorted by time and freeway inside a file.
+A date predicate then prunes folders, a time predicate prunes row groups.
+
+Nothing samples the input to find ranges, so the plan that feeds a table runs once per write and
+observed counts (``operators.quality``) count every row once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import constants as K
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Where rows of a table go: date folders, then windows of ``window_of`` buckets."""
+
+    partition: str | None = "reading_date"
+    window_of: str | None = "bucket_idx"
+    sort: tuple[str, ...] = ("time_bucket", "freeway")
+
+
+FACTS = Layout()
+DIMENSION = Layout(partition=None, window_of=None, sort=("freeway", "station_id"))
+
+
+def _arranged(df: DataFrame, layout: Layout) -> DataFrame:
+    keys = [layout.partition] if layout.partition else []
+    if layout.window_of:
+        df = df.withColumn("_window", F.floor(F.col(layout.window_of) / K.WINDOW_BUCKETS))
+        keys.append("_window")
+    order = ([layout.partition] if layout.partition else []) + list(layout.sort)
+    return df.hint("rebalance", *keys).sortWithinPartitions(*order).drop("_window")
+
+
+def write_table(df: DataFrame, path: str, layout: Layout = FACTS, only_dates_present: bool = False) -> DataFrame:
+    """A4 + A5: write ``df`` in full and read it back. With ``only_dates_present`` the dates
+    that ``df`` holds are replaced and all others stay (a date may be refreshed again and again,
+    also after a failure); otherwise the table is replaced."""
+    w = _arranged(df, layout).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic" if only_dates_present else "static")
+    (w.partitionBy(layout.partition) if layout.partition else w).parquet(path)
+    return open_table(df.sparkSession, path, df)
 
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = "reading_date",
-                cluster_by: tuple[str, ...] = ("time_bucket", "freeway")) -> None:
-    """A4 + A5: full recompute of a table with clustered layout."""
-    cols = [c for c in cluster_by if c in df.columns]
-    out = df
-    if cols:
-        out = out.repartitionByRange(*([partition_by] if partition_by else []), *cols).sortWithinPartitions(*cols)
-    w = out.write.mode("overwrite")
-    if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+def open_table(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The stored table with the columns and types of ``like`` (no inference over its files)."""
+    return spark.read.schema(like.schema).parquet(path).select(*like.columns)
 
 
-def append_history(df: DataFrame, path: str, partition_by: str = "run_date") -> None:
-    """Append a run's KPI rollup, partitioned by run date."""
-    df.write.mode("append").partitionBy(partition_by).parquet(path)
+def append_history(df: DataFrame, path: str, run_id: str) -> None:
+    """Add one run's rows to a history. The run is a partition of its own, replaced when
+    the same run writes again, so a retry leaves one copy."""
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def run_pipeline(spark, sf_dir: str, out_dir: str) -> None:
-    """Materialise the medallion tables in dependency order, reading each written table
-    back so later tables start from stored data rather than the full lineage."""
-    from ..plans import medallion as MD
-    write_table(MD.stations_geo(spark, sf_dir), f"{out_dir}/stations_geo", partition_by=None, cluster_by=("freeway",))
-    write_table(MD.enriched(spark, sf_dir), f"{out_dir}/readings_enriched")
-    write_table(MD.frames(spark, sf_dir), f"{out_dir}/frames")
-    write_table(MD.corridor_summary(spark, sf_dir), f"{out_dir}/corridor_summary")
+def read_history(spark: SparkSession, path: str, like: DataFrame, latest: bool = False) -> DataFrame:
+    """The history, or its latest run (the largest id; found from the folder names alone)."""
+    h = spark.read.schema(like.withColumn("run_id", F.lit("")).schema).parquet(path)
+    return h.join(h.agg(F.max("run_id").alias("run_id")), "run_id") if latest else h

@@ -88,7 +88,8 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
          .selectExpr("*", "o_custkey % n_sup AS station_num"))
     j = o.join(st.select("station_num", "station_id", "freeway", "direction", "num_lanes"), "station_num")
     return j.selectExpr(
-        "concat('INC', CAST(o_orderkey AS STRING)) AS incident_id", "station_id", "freeway", "direction",
+        "concat_ws('-', 'INC', station_id, CAST(o_custkey % 3 AS STRING), CAST(o_orderkey AS STRING)) AS incident_id",
+        "station_id", "freeway", "direction", "num_lanes",
         "CAST(o_custkey % 3 AS INT) AS day_no",
         "CAST(o_orderkey % 288 AS INT) AS start_slot",
         "CAST(o_orderkey % 288 + 2 + o_custkey % 12 AS INT) AS end_slot",

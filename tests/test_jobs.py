@@ -104,7 +104,7 @@ def test_interpolation_fills_every_bucket(spark, monkeypatch):
             ("a", "d", 2, 30.0, 300, 0.7, True, 3)]
     frames = spark.createDataFrame(rows, "station_id string, reading_date string, bucket_idx int, avg_speed_mph double,"
                                          " avg_flow_vph int, vc_ratio double, incident_active boolean, max_incident_severity int")
-    monkeypatch.setattr(MD, "frames_table", lambda spark, sf_dir: frames)
+    monkeypatch.setattr(MD, "frames_table", lambda spark, sf_dir, day=None: frames)
     got = {(r["bucket_idx"], r["step"]): r for r in SN.frame_interpolation_day(spark, "made-up").collect()}
     assert len(got) == 96 * 3
     assert got[0, 1]["speed_mph"] == 60 and got[0, 0]["flow_vph"] == 100 and got[0, 2]["incident"] == 1
