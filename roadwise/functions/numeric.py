@@ -66,6 +66,12 @@ def scaled(x: str, k: int) -> str:
     return f"CAST(FLOOR(({x}) * {lit(10 ** k)} + 5e-1) AS BIGINT)"
 
 
+def scaled_signed(x: str, k: int) -> str:
+    """A value of either sign rounded half away from zero, as an exact BIGINT of 10^-k units."""
+    m = lit(10 ** k)
+    return f"(CASE WHEN ({x}) < 0 THEN -CAST(FLOOR(-({x}) * {m} + 5e-1) AS BIGINT) ELSE CAST(FLOOR(({x}) * {m} + 5e-1) AS BIGINT) END)"
+
+
 def mean_rounded(x: str, in_decimals: int, out_decimals: int) -> str:
     """Aggregate: round(avg(x), out) for a non-negative column rounded to ``in_decimals``,
     from an exact integer sum, so the result does not depend on the order rows are added."""

@@ -348,3 +348,9 @@ def frames_table(spark: SparkSession, sf_dir: str, day=None) -> DataFrame:
     """The refreshed frame table, or one local date of it (see ``plans.gold``)."""
     from . import gold
     return gold.table(spark, sf_dir, "frames", day)
+
+
+def days_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored catalogue of local dates (see ``plans.gold``)."""
+    from . import gold
+    return gold.table(spark, sf_dir, "days")

@@ -26,8 +26,8 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     neighbours, full gap at the ends, 0.5 mi alone; clamped to [0.05, 12]) and the local
     bearing from its neighbours; F2b's alternative length (mean of valid gaps 0 < g < 20,
     min 0.1, default 0.5) beside it."""
-    st = MD.stations_geo_table(spark, sf_dir).select("station_id", "freeway", "direction", "postmile", "latitude",
-                                                 "longitude", "num_lanes")
+    st = MD.stations_geo_table(spark, sf_dir).select("station_id", "station_num", "freeway", "direction", "postmile", "latitude",
+                                                     "longitude", "num_lanes")
     w = f"OVER ({CARRIAGEWAY})"
     s = st.selectExpr("*", f"lead(postmile) {w} AS pm_next", f"lag(postmile) {w} AS pm_prev",
                       f"lead(latitude) {w} AS lat_next", f"lag(latitude) {w} AS lat_prev",
@@ -39,7 +39,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
            f" aggregate({gaps}, 0e0, (a, g) -> a + g) / size({gaps})) END")
     bearing = geo.bearing_deg("latitude", "COALESCE(lat_next, latitude) - COALESCE(lat_prev, latitude)",
                               "COALESCE(lon_next, longitude) - COALESCE(lon_prev, longitude)")
-    return s.selectExpr("station_id", "freeway", "direction", "postmile", "latitude", "longitude", "num_lanes",
+    return s.selectExpr("station_id", "station_num", "freeway", "direction", "postmile", "latitude", "longitude", "num_lanes",
                         f"{seg} AS seg_len_mi", f"{alt} AS seg_len_alt_mi", f"{bearing} AS bearing_deg")
 
 

@@ -153,6 +153,11 @@ register("corridor_paths", None)(NW.corridor_paths)
 # --- scenario engine ----------------------------------------------------------------
 register("scenario_kpis", _SQ.kpis_sql())(SC.scenario_kpis)
 register("scenario_cells", _SQ.cells_sql())(SC.scenario_cells)
+register("scenario_buckets", _SQ.buckets_sql())(SC.scenario_buckets)
+from .plans import levers as LV  # noqa: E402
+
+register("scenario_levers", _SQ.folded_sql())(LV.folded_levers)
+register("lever_warnings", _SQ.warnings_sql())(LV.warnings)
 
 
 # --- snapshots ----------------------------------------------------------------------

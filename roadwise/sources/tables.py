@@ -12,10 +12,10 @@ from __future__ import annotations
 import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import clock
+from ..functions.numeric import E
 from ..plans.memo import plan
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -43,11 +43,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     return df.select(*columns) if columns else df
 
 
-def values_table(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
-    """A2: a small literal relation with pinned column types."""
-    return spark.createDataFrame(rows, schema)
-
-
 def day_range(spark: SparkSession, n: int, name: str = "day_offset") -> DataFrame:
     """A3: integer range source 0..n-1."""
     return spark.range(0, n).withColumnRenamed("id", name)
@@ -120,29 +115,37 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scenarios(spark: SparkSession) -> DataFrame:
-    """Scenario levers, one row per lever (A2). ``kind``: none / closure / demand /
-    incident / capacity. ``amount`` is lanes closed, demand percent, lanes blocked or
-    lanes added; ``scale`` multiplies capacity; ``absolute_vph`` > 0 overrides it."""
-    schema = T.StructType([
-        T.StructField("scenario_id", T.StringType()), T.StructField("kind", T.StringType()),
-        T.StructField("freeway", T.StringType()), T.StructField("direction", T.StringType()),
-        T.StructField("pm_from", T.DoubleType()), T.StructField("pm_to", T.DoubleType()),
-        T.StructField("bucket_from", T.IntegerType()), T.StructField("bucket_to", T.IntegerType()),
-        T.StructField("amount", T.DoubleType()), T.StructField("scale", T.DoubleType()),
-        T.StructField("absolute_vph", T.DoubleType()),
-    ])
-    return values_table(spark, SCENARIO_ROWS, schema)
-
-
-# Scenario levers used by the registered queries.
-SCENARIO_ROWS = [
-    ("noop", "none", "", "", 0.0, 0.0, 0, 95, 0.0, 1.0, -1.0),
-    ("closure", "closure", "F1", "N", 0.0, 3.0, 0, 95, 1.0, 1.0, -1.0),
-    ("demand", "demand", "ALL", "", 0.0, 0.0, 0, 95, 20.0, 1.0, -1.0),
-    ("incident", "incident", "F2", "", 0.0, 5.0, 30, 40, 1.0, 1.0, -1.0),
-    ("capacity", "capacity", "F3", "S", 0.0, 9.0, 0, 95, 1.0, 1.1, -1.0),
+#: Levers of the named scenarios, one each (A2). ``amount`` is lanes closed, demand percent, lanes
+#: blocked or lanes added; ``scale`` multiplies capacity; ``absolute_vph`` > 0 overrides it.
+NAMED_LEVERS = [
+    ("noop", 0, "none", "", "", 0.0, 0.0, 0, 95, 0.0, 1.0, -1.0, 0),
+    ("closure", 0, "closure", "F1", "N", 0.0, 3.0, 0, 95, 1.0, 1.0, -1.0, 0),
+    ("demand", 0, "demand", "ALL", "", 0.0, 0.0, 0, 95, 20.0, 1.0, -1.0, 0),
+    ("incident", 0, "incident", "F2", "", 0.0, 5.0, 30, 40, 1.0, 1.0, -1.0, 3),
+    ("capacity", 0, "capacity", "F3", "S", 0.0, 9.0, 0, 95, 1.0, 1.1, -1.0, 0),
 ]
+LEVER_SCHEMA = ("scenario_id string, lever_no int, kind string, freeway string, direction string, pm_from double, pm_to double,"
+                " bucket_from int, bucket_to int, amount double, scale double, absolute_vph double, severity int")
+
+
+@plan
+def levers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario levers, one row per lever in the order ``lever_no``: the named ones, and a
+    scenario per region whose nations are levers of two kinds each, so that kinds stack. Regions
+    differ in what folds: same road, several roads (demand widens), both directions (refused)."""
+    n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_regionkey"])
+    kind = "element_at(array('closure', 'demand', 'incident', 'capacity'), CAST((n_regionkey + n_nationkey % 2) % 4 + 1 AS INT))"
+    stacked = n.withColumn("kind", E(kind)).selectExpr(
+        "concat('region-', CAST(n_regionkey AS STRING)) AS scenario_id", "CAST(n_nationkey AS INT) AS lever_no", "kind",
+        "concat('F', CAST(CASE WHEN kind = 'demand' AND n_regionkey % 2 = 1 THEN n_nationkey % 5 ELSE n_regionkey END AS STRING)) AS freeway",
+        "CASE WHEN n_regionkey = 4 AND n_nationkey % 4 = 2 THEN 'S' ELSE 'N' END AS direction",
+        "CAST(n_nationkey % 9 AS DOUBLE) * 6e-1 AS pm_from", "CAST(n_nationkey % 9 AS DOUBLE) * 6e-1 AS pm_to",
+        "CAST(n_nationkey * 4 - 8 AS INT) AS bucket_from", "CAST(n_nationkey * 4 + 27 AS INT) AS bucket_to",
+        "CASE WHEN kind <> 'demand' THEN CAST(1 + n_nationkey % 2 + n_nationkey % 3 AS DOUBLE) ELSE"
+        " element_at(array(-20e0, 10e0, 25e0, 5e0), CAST(n_nationkey % 4 + 1 AS INT)) END AS amount",
+        "1e0 AS scale", "CASE WHEN kind = 'capacity' THEN CAST(3000 + 100 * n_nationkey AS DOUBLE) ELSE -1e0 END AS absolute_vph",
+        "CAST(CASE WHEN kind = 'incident' THEN 1 + n_nationkey % 4 ELSE 0 END AS INT) AS severity")
+    return spark.createDataFrame(NAMED_LEVERS, LEVER_SCHEMA).unionByName(stacked)
 
 
 @plan
