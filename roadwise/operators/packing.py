@@ -38,10 +38,11 @@ def pack_ordered(cells: DataFrame, keys: list[str], bucket: str, index: str, val
                           *[f"array_join(transform(_rows, x -> x._s_{v}), ',') AS {v}" for v in values])
 
 
-def unpack(packed: DataFrame, keys: list[str], column: str, value_name: str) -> DataFrame:
-    """One row per packed value with its bucket and index recovered from the position
-    (dense layout: bucket = first + pos DIV stations, index = pos MOD stations)."""
-    return packed.selectExpr(*keys, "first_bucket", "stations",
-                             f"posexplode(split({column}, ',')) AS (_pos, _v)").selectExpr(
-        *keys, "CAST(first_bucket + _pos DIV stations AS INT) AS bucket_idx",
-        "CAST(_pos % stations AS INT) AS station_idx", f"CAST(_v AS INT) AS {value_name}")
+def unpack_all(packed: DataFrame, keep: list[str], columns: list[str], width: str, index: str) -> DataFrame:
+    """One row per packed position with every column's value, bucket and index recovered from
+    the position (dense layout: bucket = first + pos DIV width, index = pos MOD width). All columns
+    are split side by side, so nothing is joined."""
+    zipped = "arrays_zip(" + ", ".join(f"split({c}, ',')" for c in columns) + ")"
+    rows = packed.selectExpr(*keep, "first_bucket", width, f"posexplode({zipped}) AS (_pos, _v)")
+    return rows.selectExpr(*keep, f"CAST(first_bucket + _pos DIV {width} AS INT) AS bucket_idx", f"CAST(_pos % {width} AS INT) AS {index}",
+                           *[f"CAST(_v.`{i}` AS INT) AS {c}" for i, c in enumerate(columns)])

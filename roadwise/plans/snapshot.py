@@ -149,55 +149,44 @@ def rnd_expr(x: str) -> str:
 
 @plan
 def snapshot_brief(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
-    """The fixed-order labelled text brief of each snapshot (network totals, grade
-    distribution, worst corridors, incidents with truncation notice)."""
+    """A plain-text brief of every quarter of an hour of every date and scope: when and where, the
+    sums and means of all stations, grades, slowest roads, incidents. A quarter without any reading
+    says only that, so that a reader does not fill the gap."""
+    grades = snapshot_los(spark, sf_dir, day=day).groupBy(*SNAP).agg(E(
+        "array_join(transform(array_sort(collect_list(struct(los, station_count, pct))),"
+        " x -> format_string('%s %d (%.1f %%)', x.los, x.station_count, x.pct)), ', ')").alias("grades"))
+    roads = snapshot_corridors(spark, sf_dir, day=day).groupBy(*SNAP).agg(
+        E("count(1)").alias("n_roads"),
+        E("array_join(transform(array_sort(collect_list(struct(rank, freeway, direction, mean_speed_mph, free_flow_mph,"
+          " mean_delay_min_per_mi, mean_vc, stations_over_capacity, station_count, incident_count, demanded_flow_vph,"
+          " served_flow_vph))), x -> concat(format_string('%d. %s %s, %.1f of %.1f mph, %.3f min per mile late, load %.2f,"
+          " %d of %d stations overfull, %d with an incident', x.rank, x.freeway, x.direction, x.mean_speed_mph, x.free_flow_mph,"
+          " x.mean_delay_min_per_mi, x.mean_vc, x.stations_over_capacity, x.station_count, x.incident_count),"
+          " CASE WHEN x.demanded_flow_vph > x.served_flow_vph THEN format_string(', %d veh/h turned away',"
+          " x.demanded_flow_vph - x.served_flow_vph) ELSE '' END)), '\n')").alias("roads"))
+    events = snapshot_incidents(spark, sf_dir, day=day).groupBy(*SNAP).agg(
+        E("max(incident_total)").alias("n_events"), E("count(1)").alias("n_listed"),
+        E("array_join(transform(array_sort(collect_list(struct(rank, freeway, direction, postmile, severity, lanes_blocked,"
+          " num_lanes, speed_mph, station_id))), x -> format_string('%d. %s, %s %s mile %.1f, severity %d, %d/%d lanes shut, %.1f mph',"
+          " x.rank, x.station_id, x.freeway, x.direction, x.postmile, x.severity, x.lanes_blocked, x.num_lanes, x.speed_mph)), '\n')").alias("events"))
     net = snapshot_network(spark, sf_dir, day=day)
-    los = snapshot_los(spark, sf_dir, day=day).groupBy(*SNAP).agg(E(
-        "concat('- ', array_join(transform(array_sort(collect_list(struct(los, station_count, pct))),"
-        " x -> format_string('LOS %s: %d (%.1f%%)', x.los, x.station_count, x.pct)), ' · '))").alias("los_line"))
-    cor = snapshot_corridors(spark, sf_dir, day=day).groupBy(*SNAP).agg(E(
-        "array_join(transform(array_sort(collect_list(struct(rank, freeway, direction, mean_speed_mph, free_flow_mph,"
-        " mean_delay_min_per_mi, mean_vc, max_vc, stations_over_capacity, station_count, incident_count,"
-        " max_lanes_blocked))), x -> format_string('- %s %s: %.1f mph vs %.1f mph free-flow · delay %.3f min/mi ·"
-        " mean v/c %.2f (max %.2f) · %d/%d stations over capacity · %d incident station(s), max %d lane(s) blocked',"
-        " x.freeway, x.direction, x.mean_speed_mph, x.free_flow_mph, x.mean_delay_min_per_mi, x.mean_vc, x.max_vc,"
-        " x.stations_over_capacity, x.station_count, x.incident_count, x.max_lanes_blocked)), '\\n')").alias("cor_lines"))
-    inc = snapshot_incidents(spark, sf_dir, day=day).groupBy(*SNAP).agg(
-        E("max(incident_total)").alias("inc_total"), E("count(1)").alias("inc_listed"),
-        E("array_join(transform(array_sort(collect_list(struct(rank, freeway, direction, postmile, severity,"
-          " lanes_blocked, num_lanes, speed_mph, vc_ratio, station_id))), x -> format_string('- %s %s @ postmile %.1f:"
-          " severity %d, %d of %d lane(s) blocked, speed %.1f mph, v/c %.2f · station %s', x.freeway, x.direction,"
-          " x.postmile, x.severity, x.lanes_blocked, x.num_lanes, x.speed_mph, x.vc_ratio, x.station_id)), '\\n')"
-          ).alias("inc_lines"))
-    j = net.join(los, SNAP, "left").join(cor, SNAP, "left").join(inc, SNAP, "left")
-    hdr = (f"format_string('Date %s (Pacific local) · time %s PT · %s · scope: %s', reading_date,"
-           f" {clock.bucket_label('bucket_idx')}, {clock.period_label(clock.bucket_hour('bucket_idx'))},"
-           f" CASE WHEN scope = 'ALL' THEN 'entire monitored network (all corridors)' ELSE concat('corridor ', scope,"
-           f" ' only') END)")
-    unserved = ("CASE WHEN total_demanded_flow_vph > total_served_flow_vph THEN format_string('- Unserved demand"
-                " (demanded − served): %d veh/h, i.e. %.1f%% of demand is not being served at this bucket',"
-                " total_demanded_flow_vph - total_served_flow_vph, 1e2 * (total_demanded_flow_vph -"
-                " total_served_flow_vph) / total_demanded_flow_vph) END")
-    incs = ("CASE WHEN COALESCE(inc_total, 0) = 0 THEN '- None active in this snapshot.' WHEN inc_listed < inc_total"
-            f" THEN concat(format_string('- %d incident-affected stations total; the %d most severe are listed (list"
-            f" truncated at {K.INCIDENT_LIMIT}).', inc_total, inc_listed), '\\n', inc_lines) ELSE"
-            " concat(format_string('- %d incident-affected station(s), all listed:', inc_total), '\\n', inc_lines) END")
-    text = ("concat_ws('\\n', '# TRAFFIC SNAPSHOT', " + hdr + ", 'This is a single 15-minute observation bucket, not a"
-            " daily average or a trend.', '', '## NETWORK TOTALS',"
-            " format_string('- Detector stations reporting: %d', station_count),"
-            " format_string('- Mean speed: %.1f mph (mean free-flow speed %.1f mph)', mean_speed_mph, mean_free_flow_mph),"
-            " format_string('- Lowest station speed: %.1f mph', min_speed_mph),"
-            " format_string('- Mean delay vs free-flow: %.3f min per mile', mean_delay_min_per_mi),"
-            " format_string('- Mean v/c: %.3f · highest single-station v/c: %.2f', mean_vc, max_vc),"
-            " format_string('- Stations with v/c > 1 (demand exceeds capacity): %d of %d', stations_over_capacity,"
-            " station_count), format_string('- Stations flagged congested: %d', stations_congested),"
-            " format_string('- Stations with an active incident: %d', stations_with_incident),"
-            " format_string('- Total demanded flow: %d veh/h', total_demanded_flow_vph),"
-            " format_string('- Total served flow: %d veh/h', total_served_flow_vph), " + unserved + ", '',"
-            " '## LEVEL OF SERVICE DISTRIBUTION', los_line, '- LOS F is breakdown/forced-flow; LOS A is free-flow.', '',"
-            f" format_string('## WORST CORRIDOR-DIRECTIONS (top %d by mean delay per mile)', LEAST({K.WORST_CORRIDOR_LIMIT},"
-            " size(split(cor_lines, '\\n')))), cor_lines, '', '## ACTIVE INCIDENTS', " + incs + ")")
-    return j.selectExpr(*SNAP, f"{text} AS brief")
+    every = net.select("reading_date", "scope").distinct().withColumn("bucket_idx", E(f"explode(sequence(0, {K.BUCKETS_PER_DAY - 1}))"))
+    j = every.join(net, SNAP, "left").join(grades, SNAP, "left").join(roads, SNAP, "left").join(events, SNAP, "left")
+    where = "CASE WHEN scope = 'ALL' THEN 'all freeways' ELSE concat('freeway ', scope) END"
+    head = (f"format_string('Traffic of %s at %s (%s), %s', CAST(reading_date AS STRING), {clock.bucket_label('bucket_idx')},"
+            f" {clock.period_label(clock.bucket_hour('bucket_idx'))}, {where}), 'One quarter of an hour, not a trend.'")
+    away = ("CASE WHEN total_demanded_flow_vph > total_served_flow_vph THEN format_string('turned away: %d veh/h (%.1f %% of demand)',"
+            " total_demanded_flow_vph - total_served_flow_vph, 1e2 * (total_demanded_flow_vph - total_served_flow_vph) / total_demanded_flow_vph) END")
+    seen = ("format_string('stations: %d, overfull %d, congested %d, with an incident %d', station_count, stations_over_capacity,"
+            " stations_congested, stations_with_incident),"
+            " format_string('speed: %.1f mph where %.1f is free, slowest station %.1f', mean_speed_mph, mean_free_flow_mph, min_speed_mph),"
+            " format_string('lateness: %.3f min per mile; load: %.3f, at most %.2f', mean_delay_min_per_mi, mean_vc, max_vc),"
+            f" format_string('flow: %d veh/h wanted, %d carried', total_demanded_flow_vph, total_served_flow_vph), {away},"
+            " concat('grades from A (free) to F (breakdown): ', grades), format_string('slowest roads (%d):', n_roads), roads,"
+            " CASE WHEN n_events IS NULL THEN 'incidents: none' WHEN n_listed < n_events THEN"
+            " format_string('incidents: %d, here the worst %d', n_events, n_listed) ELSE format_string('incidents: all %d', n_events) END, events")
+    return j.selectExpr(*SNAP, f"concat_ws('\n', {head}, CASE WHEN station_count IS NULL THEN 'No readings: nothing is known of it.'"
+                               f" ELSE concat_ws('\n', {seen}) END) AS brief")
 
 
 @plan

@@ -89,7 +89,12 @@ from .plans import dashboard as DB  # noqa: E402
 _DASH = D.dashboard_ctes()
 
 
-def _dq(body: str) -> str:
+_BODY: dict[str, str] = {}  # bodies that other oracles build on
+
+
+def _dq(body: str, name: str | None = None) -> str:
+    if name:
+        _BODY[name] = body
     return D.with_ctes(body, _DASH)
 
 
@@ -126,12 +131,17 @@ JOIN (SELECT reading_date, scope, CAST(count(*) AS INT) AS hex_count,
              string_agg(hex_id, ',' ORDER BY hex_idx) AS hex_ids FROM hex_dim GROUP BY ALL) d
   USING (reading_date, scope)"""))(DB.cell_congestion)
 register("alignment_check", _dq("""
-SELECT t.reading_date, t.scope, t.from_bucket, t.stations, i.index_stations,
-       COALESCE(t.stations = i.index_stations, false) AS aligned
-FROM (SELECT reading_date, scope, from_bucket, CAST(count(DISTINCT station_idx) AS INT) AS stations
+SELECT t.reading_date, t.scope, t.from_bucket, t.stations, i.index_stations, t.n_values, t.n_values = 24 * i.index_stations AS aligned
+FROM (SELECT reading_date, scope, from_bucket, CAST(count(DISTINCT station_idx) AS INT) AS stations, CAST(count(*) AS INT) AS n_values
       FROM tm_cells GROUP BY ALL) t
-LEFT JOIN (SELECT reading_date, scope, CAST(count(*) AS INT) AS index_stations FROM station_index GROUP BY ALL) i
+LEFT JOIN (SELECT reading_date, scope, CAST(count(DISTINCT station_id) AS INT) AS index_stations FROM scoped_frames GROUP BY ALL) i
   USING (reading_date, scope)"""))(DB.alignment_check)
+register("cell_congestion_decoded", _dq("""
+SELECT reading_date, scope, bucket_idx, hex_id, CASE WHEN congestion_pct <> -1 THEN congestion_pct / 1e2 END AS congestion,
+  CASE WHEN congestion_pct <> -1 THEN speed_half / 2e0 END AS speed_mph,
+  (SELECT max(m.congestion_pct) FROM hex_dense m WHERE m.reading_date = d.reading_date AND m.scope = d.scope AND m.from_bucket <= d.from_bucket) / 1e2
+    AS max_so_far
+FROM hex_dense d"""))(DB.cell_congestion_decoded)
 
 # one local date of a dashboard: the frame scan reads that date's folder only
 for _name, _fn in (("time_matrix", DB.time_matrix), ("cell_congestion", DB.cell_congestion), ("station_index", DB.station_index)):
@@ -163,6 +173,7 @@ register("lever_warnings", _SQ.warnings_sql())(LV.warnings)
 # --- snapshots ----------------------------------------------------------------------
 from .functions import measures as _M  # noqa: E402
 from .functions.numeric import mean_rounded as _mr, rnd as _rnd  # noqa: E402
+from .functions import clock as _C  # noqa: E402
 from .plans import snapshot as SN  # noqa: E402
 
 _SNAP = "reading_date, scope, bucket_idx"
@@ -175,7 +186,7 @@ SELECT {_SNAP}, CAST(count(*) AS INT) AS station_count, {_mr('avg_speed_mph', 1,
   CAST(sum(avg_flow_vph) AS BIGINT) AS total_served_flow_vph,
   CAST(sum(avg_demanded_flow_vph) AS BIGINT) AS total_demanded_flow_vph,
   {_mr('delay_vs_freeflow_min_per_mi', 4, 3)} AS mean_delay_min_per_mi
-FROM scoped_frames GROUP BY {_SNAP}"""))(SN.snapshot_network)
+FROM scoped_frames GROUP BY {_SNAP}""", "snapshot_network"))(SN.snapshot_network)
 register("snapshot_corridors", _dq(f"""
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {_SNAP} ORDER BY mean_delay_min_per_mi DESC, freeway,
   direction) AS INT) AS rank FROM (
@@ -187,19 +198,19 @@ SELECT {_SNAP}, freeway, direction, CAST(count(*) AS INT) AS station_count,
   CAST(count_if(incident_active) AS INT) AS incident_count,
   CAST(COALESCE(max(lanes_blocked), 0) AS INT) AS max_lanes_blocked,
   CAST(sum(avg_demanded_flow_vph) AS BIGINT) AS demanded_flow_vph, CAST(sum(avg_flow_vph) AS BIGINT) AS served_flow_vph
-FROM scoped_frames GROUP BY {_SNAP}, freeway, direction)) WHERE rank <= 8"""))(SN.snapshot_corridors)
+FROM scoped_frames GROUP BY {_SNAP}, freeway, direction)) WHERE rank <= 8""", "snapshot_corridors"))(SN.snapshot_corridors)
 register("snapshot_los", _dq(f"""
 SELECT {_SNAP}, los, station_count,
   {_rnd(f'1e2 * station_count / sum(station_count) OVER (PARTITION BY {_SNAP})', 1)} AS pct
 FROM (SELECT {_SNAP}, level_of_service AS los, CAST(count(*) AS INT) AS station_count FROM scoped_frames
-      GROUP BY {_SNAP}, level_of_service)"""))(SN.snapshot_los)
+      GROUP BY {_SNAP}, level_of_service)""", "snapshot_los"))(SN.snapshot_los)
 register("snapshot_incidents", _dq(f"""
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {_SNAP} ORDER BY severity DESC, lanes_blocked DESC,
   vc_ratio DESC, station_id) AS INT) AS rank, CAST(count(*) OVER (PARTITION BY {_SNAP}) AS INT) AS incident_total
 FROM (SELECT {_SNAP}, station_id, freeway, direction, {_rnd('postmile', 1)} AS postmile,
   CAST(COALESCE(max_incident_severity, 0) AS INT) AS severity, CAST(COALESCE(lanes_blocked, 0) AS INT) AS lanes_blocked,
   CAST(num_lanes AS INT) AS num_lanes, {_rnd('avg_speed_mph', 1)} AS speed_mph, {_rnd('vc_ratio', 2)} AS vc_ratio
-  FROM scoped_frames WHERE incident_active)) WHERE rank <= 12"""))(SN.snapshot_incidents)
+  FROM scoped_frames WHERE incident_active)) WHERE rank <= 12""", "snapshot_incidents"))(SN.snapshot_incidents)
 _LOS8 = _M.los_from_speed_vc("avg_speed_mph", "vc_ratio")
 register("frame_kpis", _dq(f"""
 SELECT {_SNAP}, {_rnd('COALESCE(avg(avg_speed_mph), 0e0)', 6)} AS mean_speed,
@@ -227,7 +238,33 @@ CROSS JOIN (SELECT unnest([0, 1, 2]) AS step) s
 LEFT JOIN frames f ON f.station_id = d.station_id AND f.reading_date = d.reading_date AND f.bucket_idx = b.bucket_idx
 LEFT JOIN frames n ON n.station_id = d.station_id AND n.reading_date = d.reading_date
   AND n.bucket_idx = (b.bucket_idx + 1) % 96"""))(SN.frame_interpolation_day)
-register("snapshot_brief", None)(SN.snapshot_brief)
+
+register("snapshot_brief", _dq(f"""
+SELECT e.reading_date, e.scope, CAST(e.bucket_idx AS INT) AS bucket_idx, concat_ws(chr(10),
+  printf('Traffic of %s at %02d:%02d (%s), %s', CAST(e.reading_date AS VARCHAR), e.bucket_idx // 4, e.bucket_idx % 4 * 15,
+    {_C.period_label('(e.bucket_idx // 4)')}, CASE WHEN e.scope = 'ALL' THEN 'all freeways' ELSE 'freeway ' || e.scope END),
+  'One quarter of an hour, not a trend.',
+  CASE WHEN n.station_count IS NULL THEN 'No readings: nothing is known of it.' ELSE concat_ws(chr(10),
+    printf('stations: %d, overfull %d, congested %d, with an incident %d', n.station_count, stations_over_capacity, stations_congested, stations_with_incident),
+    printf('speed: %.1f mph where %.1f is free, slowest station %.1f', mean_speed_mph, mean_free_flow_mph, min_speed_mph),
+    printf('lateness: %.3f min per mile; load: %.3f, at most %.2f', mean_delay_min_per_mi, mean_vc, max_vc),
+    printf('flow: %d veh/h wanted, %d carried', total_demanded_flow_vph, total_served_flow_vph),
+    CASE WHEN total_demanded_flow_vph > total_served_flow_vph THEN printf('turned away: %d veh/h (%.1f %% of demand)',
+      total_demanded_flow_vph - total_served_flow_vph, 1e2 * (total_demanded_flow_vph - total_served_flow_vph) / total_demanded_flow_vph) END,
+    'grades from A (free) to F (breakdown): ' || l.grades, printf('slowest roads (%d):', c.n_roads), c.roads,
+    CASE WHEN i.n_events IS NULL THEN 'incidents: none' WHEN i.n_listed < i.n_events THEN printf('incidents: %d, here the worst %d', i.n_events, i.n_listed)
+      ELSE printf('incidents: all %d', i.n_events) END, i.events) END) AS brief
+FROM (SELECT reading_date, scope, unnest(range(96)) AS bucket_idx FROM (SELECT DISTINCT reading_date, scope FROM scoped_frames)) e
+LEFT JOIN ({_BODY['snapshot_network']}) n USING ({_SNAP})
+LEFT JOIN (SELECT {_SNAP}, string_agg(printf('%s %d (%.1f %%)', los, station_count, pct), ', ' ORDER BY los) AS grades
+  FROM ({_BODY['snapshot_los']}) GROUP BY {_SNAP}) l USING ({_SNAP})
+LEFT JOIN (SELECT {_SNAP}, count(*) AS n_roads, string_agg(printf('%d. %s %s, %.1f of %.1f mph, %.3f min per mile late, load %.2f, %d of %d stations overfull,'
+    || ' %d with an incident', rank, freeway, direction, mean_speed_mph, free_flow_mph, mean_delay_min_per_mi, mean_vc, stations_over_capacity,
+    station_count, incident_count) || CASE WHEN demanded_flow_vph > served_flow_vph THEN printf(', %d veh/h turned away', demanded_flow_vph - served_flow_vph)
+    ELSE '' END, chr(10) ORDER BY rank) AS roads FROM ({_BODY['snapshot_corridors']}) GROUP BY {_SNAP}) c USING ({_SNAP})
+LEFT JOIN (SELECT {_SNAP}, max(incident_total) AS n_events, count(*) AS n_listed, string_agg(printf('%d. %s, %s %s mile %.1f, severity %d, %d/%d lanes shut, %.1f mph',
+    rank, station_id, freeway, direction, postmile, severity, lanes_blocked, num_lanes, speed_mph), chr(10) ORDER BY rank) AS events
+  FROM ({_BODY['snapshot_incidents']}) GROUP BY {_SNAP}) i USING ({_SNAP})"""))(SN.snapshot_brief)
 register("snapshot_json", None)(SN.snapshot_json)
 
 # --- advice -------------------------------------------------------------------------
@@ -300,14 +337,14 @@ SELECT scenario_id, reading_date, bucket_idx, freeway, b AS baseline_speed,
 FROM (SELECT c.scenario_id, c.reading_date, c.bucket_idx, s.freeway, {_mr('c.speed_before', 6, 4)} AS b,
         {_mr('c.speed_after', 6, 4)} AS a
       FROM cells c JOIN stations s ON s.station_id = c.station_id GROUP BY ALL)"""))(EX.scenario_corridor_compare)
-register("scenario_time_matrix", _SQ.with_cells(D.packed_select("stm_cells", "scenario_id, reading_date, from_bucket",
+register("scenario_time_matrix", _SQ.with_cells(D.packed_select("stm_cells", "scenario_id, reading_date, scope, from_bucket",
                                                                 ["flow", "speed_half", "vc_pct", "incident", "delay_c"],
                                                                 "station_idx"), {"stm_grid": """
-SELECT s.scenario_id, i.reading_date, i.station_id, i.station_idx, b.bucket_idx
+SELECT s.scenario_id, i.reading_date, i.scope, i.station_id, i.station_idx, b.bucket_idx
 FROM (SELECT DISTINCT scenario_id, reading_date FROM cells) s
-JOIN (SELECT * FROM station_index WHERE scope = 'ALL') i ON i.reading_date = s.reading_date
+JOIN station_index i ON i.reading_date = s.reading_date
 CROSS JOIN (SELECT CAST(unnest(generate_series(0, 95)) AS INT) AS bucket_idx) b""", "stm_cells": f"""
-SELECT g.scenario_id, g.reading_date, g.bucket_idx, g.station_idx, CAST(g.bucket_idx // 24 * 24 AS INT) AS from_bucket,
+SELECT g.scenario_id, g.reading_date, g.scope, g.bucket_idx, g.station_idx, CAST(g.bucket_idx // 24 * 24 AS INT) AS from_bucket,
   COALESCE({_M.scaled_int('served_after', 1.0)}, -1) AS flow, COALESCE({_M.scaled_int('speed_after', 2.0)}, -1) AS speed_half,
   COALESCE({_M.scaled_int('vc_after', 100.0)}, -1) AS vc_pct,
   CASE WHEN c.station_id IS NULL THEN 0 ELSE {_M.capacity_loss_severity('cap_scen', 'cap_obs')} END AS incident,

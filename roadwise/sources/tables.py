@@ -166,7 +166,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistant turns with an appended advice block, some of them malformed."""
     c = read_table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     return c.selectExpr(
-        "conv_id", "turn", "role",
+        "conv_id", "turn", "role", "CAST((conv_id * 7 + turn * 13) % 96 AS INT) AS bucket_idx",
         "concat(text, chr(10), '[advice]', chr(10), '[{\"action\":\"',"
         " CASE conv_id % 3 WHEN 0 THEN 'Ramp Metering' WHEN 1 THEN 'shoulder-running' ELSE 'unknown thing' END,"
         " '\",\"target\":\"', CASE turn % 2 WHEN 0 THEN 'I-405 S' ELSE 'US-101 northbound' END,"
@@ -176,6 +176,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plan
+def advice_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scenario runs built from an advice: (conv_id, turn of the advice). A user's turn answers
+    the advice before it; every third one is a run."""
+    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role"]).filter("role = 'user' AND (conv_id + turn) % 3 = 0")
+    return c.selectExpr("conv_id", "turn - 1 AS turn").distinct()
+
+
 def slot_local_ts(abs_slot: str) -> str:
     """Local wall-clock time of an absolute 5-minute slot counted from fixture day 0."""
     return clock.add_minutes(f"TIMESTAMP_NTZ '{FIXTURE_START_LOCAL:%Y-%m-%d %H:%M:%S}'",

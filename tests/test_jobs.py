@@ -83,18 +83,26 @@ def test_every_station_survives_at_100_000_suppliers(spark, tmp_path):
 
 
 def test_scenario_payload_decodes_to_cells(spark):
-    from roadwise.operators.packing import unpack
+    from roadwise.operators.packing import unpack_all
     from roadwise.plans import dashboard, extras, scenario
-    sf = "/root/testdata/sf0.001"
-    keys = ["scenario_id", "reading_date", "from_bucket"]
-    payload = extras.scenario_time_matrix(spark, sf)
+    payload = extras.scenario_time_matrix(spark, SMALL)
     assert not payload.where("n <> stations * 24").count()
-    idx = dashboard.station_index(spark, sf).where("scope = 'ALL'").drop("scope")
-    got = unpack(payload, keys, "speed_half", "v").join(idx, ["reading_date", "station_idx"]).where("v >= 0")
-    cells = scenario.scenario_cells(spark, sf).selectExpr("scenario_id", "reading_date", "bucket_idx", "station_id",
-                                                          "CAST(floor(speed_after * 2 + 0.5) AS INT) AS v")
-    cols = ["scenario_id", "reading_date", "bucket_idx", "station_id", "v"]
-    assert got.count() == cells.count() and not got.select(cols).exceptAll(cells.select(cols)).count()
+    got = unpack_all(payload, ["scenario_id", "reading_date", "scope"], ["speed_half"], "stations", "station_idx")
+    got = got.join(dashboard.station_index(spark, SMALL), ["reading_date", "scope", "station_idx"]).where("speed_half >= 0")
+    cells = scenario.scenario_cells(spark, SMALL).join(dashboard.station_index(spark, SMALL), ["reading_date", "station_id"]).selectExpr(
+        "scenario_id", "reading_date", "scope", "bucket_idx", "station_id", "CAST(floor(speed_after * 2 + 0.5) AS INT) AS speed_half")
+    assert got.count() == cells.count() and not got.select(cells.columns).exceptAll(cells).count()
+
+
+def test_damaged_payload_is_not_aligned(spark):
+    from roadwise.plans import dashboard, medallion
+    frames = medallion.frames_table(spark, SMALL)
+    whole = dashboard.time_matrix(spark, SMALL)
+    assert not dashboard.check_alignment(whole, frames).where("NOT aligned").count()
+    short = whole.selectExpr("* EXCEPT (vc_pct)", "substring(vc_pct, 1, length(vc_pct) - instr(reverse(vc_pct), ',')) AS vc_pct")
+    assert not dashboard.check_alignment(short, frames).where("aligned").count()
+    other = frames.where(f"station_id <> '{frames.agg({'station_id': 'min'}).first()[0]}'")
+    assert dashboard.check_alignment(whole, other).where("scope = 'ALL' AND aligned").count() == 0
 
 
 def test_interpolation_fills_every_bucket(spark, monkeypatch):
