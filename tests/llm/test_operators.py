@@ -223,15 +223,32 @@ def test_topk_equals_brute_force(spark):
         if i % 50 == 0:
             best = sorted((-int(q @ c), j) for j, c in v if j != i and len(c) == len(q))[:5]
             want |= {(i, k + 1, j, -s) for k, (s, j) in enumerate(best)}
-    assert {tuple(r) for r in topk.top_k(df, block_rows=64, group_rows=3).collect()} == want
+    assert {tuple(r) for r in topk.top_k(df, block_rows=64, chunk_rows=3).collect()} == want
     assert topk.top_k(df.limit(0)).count() == 0
 
 
-def test_bounds_save_exact_reads():
+@pytest.mark.parametrize("size", [1e4, 3e7, 1e9, 1e200])
+def test_topk_of_large_components(spark, size):
+    """Sums beyond 2**53, 2**63 and any fixed width: ranked exactly, shown within a long."""
+    r = np.random.default_rng(int(np.log10(size)))
+    rows = [(i, [float(x) for x in r.normal(size=6) * size]) for i in range(120)] + [(200, [size, 1.0] + [0.0] * 4), (201, [size, 1.0 + 2 ** -8] + [0.0] * 4)]
+    whole = lambda x: [int(np.floor(c * 256.0)) for c in x]
+    v, want = [(i, whole(x)) for i, x in rows], set()
+    for i, q in v:
+        if i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in v if j != i)[:5]
+            want |= {(i, n + 1, j, min(max(-s, -2 ** 63), 2 ** 63 - 1)) for n, (s, j) in enumerate(best)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(x) for x in topk.top_k(df, block_rows=40, chunk_rows=2).collect()} == want
+
+
+def test_cells_save_exact_reads():
     r = np.random.default_rng(1)
-    rows = np.floor(256 * r.normal(size=(3000, 16))).astype(np.int64)
-    *_, reads = topk.block_search(rows[:10], np.arange(10), rows, np.arange(3000), 5)
-    assert reads < 10 * 1500
+    rows = np.floor(256 * r.normal(size=(3000, 16)))
+    low, width, cells = topk.approximate(rows)
+    assert ((low + cells * width <= rows) & (rows < low + (cells + 1.0) * width)).all() and cells.dtype == np.uint8
+    *_, reads = topk.block_search(rows[:10], np.arange(10), np.arange(3000), low, width, cells, rows, 5)
+    assert reads < 10 * 100
 
 
 # ---- op7
