@@ -22,17 +22,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of ``edges`` (a, b)."""
+def _settled(e: DataFrame) -> bool:
+    """Whether every edge (u, v) is the only one of u and v has none of its own: all stars."""
+    n, nodes = e.agg(F.count("*"), F.count_distinct("u")).first()
+    return n == nodes and not e.join(e.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node of ``edges`` (a, b). The
+    rounds end when all that is left are stars, however many that takes."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where(F.col("u") != F.col("v")).distinct()
-    e, before = materialise(e, "edges"), None
-    for _ in range(max_rounds):
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-        now = (r["n"], r["h"])
-        if now == before or not r["n"]:
-            low = e.groupBy("u").agg(F.min("v").alias("component"))
-            roots = e.select(F.col("v").alias("node")).distinct().join(low.select(F.col("u").alias("node")), "node", "left_anti")
-            return low.select(F.col("u").alias("node"), "component").unionByName(roots.select("node", F.col("node").alias("component")))
-        before = now
+    e = materialise(e, "edges")
+    while not _settled(e):
         e = materialise(_star(_star(e, True), False), "stars")
-    raise RuntimeError("components did not settle")
+    roots = e.select(F.col("v").alias("node")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

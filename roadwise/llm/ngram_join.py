@@ -81,15 +81,22 @@ def bands_for(n: int) -> list[tuple[int, int]]:
     return out
 
 
+def segment_numbers(shingles: np.ndarray, band: int, salt: int) -> np.ndarray:
+    """The segment of every element. Shingles are finished hashes, so under the first salt a segment
+    is a range of them, and sorted shingles come segment by segment."""
+    x = shingles if salt == 0 else mix64(shingles ^ _SALT[salt])
+    return (((x >> _U(32)) * _U(segments_of(band))) >> _U(32)).astype(np.int64)
+
+
 class Segments:
-    """The non-empty segments of one set in one band."""
+    """The non-empty segments of one set (sorted shingles) in one band."""
 
     def __init__(self, shingles: np.ndarray, band: int, salt: int):
-        self.m = segments_of(band)
-        where = (mix64(shingles ^ _SALT[salt]) % _U(self.m)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        where = where[order]
-        self.elements = mix64(shingles[order] + _U(band + 1))
+        where = segment_numbers(shingles, band, salt)
+        if salt:
+            order = np.argsort(where, kind="stable")
+            where, shingles = where[order], shingles[order]
+        self.elements = shingles
         self.first = np.flatnonzero(np.diff(where, prepend=-1))
         self.size = np.diff(self.first, append=len(where))
         self.tag = mix64((where[self.first].astype(_U) << _U(8)) + _U(band * SALTS + salt + 1))
@@ -130,10 +137,11 @@ def sketch_distance(a: bytes, b: bytes) -> int:
 
 
 def identity(shingles: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums that stand for the set."""
+    """Two 64-bit sums over the (finished) hashes that stand for the set."""
     with np.errstate(over="ignore"):
-        a = mix64(shingles + _U(0x51ED)).sum(dtype=_U) + _U(len(shingles))
-        b = mix64(shingles ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=_U)
+        a = shingles.sum(dtype=_U) + _U(len(shingles))
+        b = (shingles * ((shingles >> _U(31)) | _U(1))).sum(dtype=_U)
+        a, b = mix64(np.array([a, b]))
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 

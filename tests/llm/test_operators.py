@@ -179,7 +179,7 @@ def test_similar_sets_share_a_signature_across_size_bands():
         plan = {b: (0, False) for b in range(band + 2)}
         own = set(ngram_join.signatures_of(shingles, plan, none, none).tolist())
         extra = rng.integers(0, 1 << 63, 40 * ngram_join.segments_of(band), dtype=np.uint64)
-        where = ngram_join.mix64(extra ^ ngram_join._SALT[0]) % np.uint64(ngram_join.segments_of(band))
+        where = ngram_join.segment_numbers(extra, band, 0)
         for s in range(r + 1, 4 * r // 3 + 1):
             assert ngram_join.differences(r, band) >= (r + s) // 7
             for segment in np.unique(where):
