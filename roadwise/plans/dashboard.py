@@ -33,6 +33,18 @@ def day_catalogue(spark: SparkSession, sf_dir: str, day: str | None = None) -> D
                  "date_format(reading_date, 'EEE') AS day_name", "station_count")
 
 
+@plan
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: every date of the weeks that the frames span (Monday to Sunday), from a range of day
+    offsets, with whether it has frames: what a date picker offers and greys out."""
+    days = MD.days_table(spark, sf_dir)
+    first, n = days.selectExpr("trunc(min(reading_date), 'week') AS first",
+                               "datediff(date_add(trunc(max(reading_date), 'week'), 7), trunc(min(reading_date), 'week')) AS n").first()
+    dates = S.day_range(spark, n or 0).selectExpr(f"date_add(DATE '{first or '1970-01-01'}', CAST(day_offset AS INT)) AS day")
+    return dates.join(days.selectExpr("reading_date AS day", "true AS seen"), "day", "left").selectExpr(
+        "day", "CAST(dayofweek(day) AS INT) AS day_of_week", "dayofweek(day) IN (1, 7) AS is_weekend", "COALESCE(seen, false) AS has_frames")
+
+
 @plan
 def corridor_options(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """E5: stations with frames per freeway."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as K
 from ..functions import geo
-from ..functions.numeric import E, lit, rnd
+from ..functions.numeric import E, lit, rnd, rnd_signed
 from ..operators.spatial import grid_band_join, range_band_join
 from ..sources import tables as S
 from . import medallion as MD
@@ -80,37 +80,30 @@ def corridor_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def linear_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each station's postmile located on its freeway polyline: point by linear
     interpolation along the segment holding that distance (clamped at the last vertex),
-    urban value blended, city snapped to the nearer vertex (t < 0.5 -> start)."""
+    urban value blended, city, district and county of the nearer vertex (t < 0.5 -> start).
+    J12: ``side_lat`` and ``side_lon`` set the two carriageways apart for drawing."""
     v = S.vertices(spark, sf_dir)
+    own, named = ["lat", "lon", "urban"], ["city", "district", "county"]
     w = "OVER (PARTITION BY freeway ORDER BY seq)"
-    seg = v.selectExpr("freeway", "seq", "lat", "lon", "urban", "city", f"lead(lat) {w} AS lat2",
-                       f"lead(lon) {w} AS lon2", f"lead(urban) {w} AS urban2", f"lead(city) {w} AS city2")
+    seg = v.selectExpr("freeway", "seq", *own, *named, *[f"lead({c}) {w} AS {c}2" for c in [*own, *named]])
     seg = seg.withColumn("len", E(f"CASE WHEN lat2 IS NULL THEN 0e0 ELSE {geo.haversine_mi('lat', 'lon', 'lat2', 'lon2')} END"))
     seg = seg.selectExpr("*", "sum(len) OVER (PARTITION BY freeway ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING"
                               " AND CURRENT ROW) - len AS d0", "sum(len) OVER (PARTITION BY freeway) AS total")
     # the five drawn freeways give the shape of every block of five
     seg = seg.withColumnRenamed("freeway", "shape")
-    st = S.stations(spark, sf_dir).selectExpr("station_id", "freeway", "GREATEST(0e0, postmile) AS d",
+    st = S.stations(spark, sf_dir).selectExpr("station_id", "freeway", "direction", "GREATEST(0e0, postmile) AS d",
                                               "concat('F', CAST(CAST(substring(freeway, 2) AS BIGINT) % 5 AS STRING)) AS shape")
     # distance range join: segments replicated into the 1-mile buckets they span
     inner = (seg.filter("lat2 IS NOT NULL AND len > 0")
                 .selectExpr("*", "explode(sequence(CAST(FLOOR(d0) AS BIGINT), CAST(FLOOR(d0 + len) AS BIGINT))) AS _b"))
     on_seg = (st.selectExpr("*", "CAST(FLOOR(d) AS BIGINT) AS _b").join(inner, ["shape", "_b"])
-                .filter("d >= d0 AND d < d0 + len AND d < total").drop("_b")
-                .selectExpr("station_id", "freeway", "d", "false AS past_end", "LEAST(1e0, (d - d0) / len) AS t",
-                            "lat", "lon", "urban", "city", "lat2", "lon2", "urban2", "city2"))
-    last = seg.filter("lat2 IS NULL").select("shape", "lat", "lon", "urban", "city", "total")
-    past = (st.join(last, "shape").filter("d >= total")
-              .selectExpr("station_id", "freeway", "d", "true AS past_end", "1e0 AS t", "lat", "lon", "urban", "city",
-                          "CAST(NULL AS DOUBLE) AS lat2", "CAST(NULL AS DOUBLE) AS lon2",
-                          "CAST(NULL AS DOUBLE) AS urban2", "CAST(NULL AS STRING) AS city2"))
-    j = on_seg.unionByName(past)
-    return j.selectExpr(
-        "station_id", "freeway", "d AS distance_mi",
-        "CASE WHEN past_end THEN lat ELSE lat + (lat2 - lat) * t END AS lat",
-        "CASE WHEN past_end THEN lon ELSE lon + (lon2 - lon) * t END AS lon",
-        "CASE WHEN past_end THEN urban ELSE urban + (urban2 - urban) * t END AS urban",
-        "CASE WHEN past_end OR t >= 5e-1 THEN COALESCE(city2, city) ELSE city END AS city")
+                .filter("d >= d0 AND d < d0 + len AND d < total").withColumn("t", E("LEAST(1e0, (d - d0) / len)")).drop("_b"))
+    past = st.join(seg.filter("lat2 IS NULL"), "shape").filter("d >= total").withColumn("t", E("0e0"))
+    at = on_seg.unionByName(past).selectExpr(
+        "station_id", "freeway", "direction", "d AS distance_mi", *[f"CASE WHEN lat2 IS NULL THEN {c} ELSE {c} + ({c}2 - {c}) * t END AS {c}" for c in own],
+        *[f"CASE WHEN t >= 5e-1 THEN {c}2 ELSE {c} END AS {c}" for c in named])
+    side = [f"{rnd_signed(geo.carriageway_offset(c, 'direction'), 6)} AS side_{c}" for c in ("lat", "lon")]
+    return at.selectExpr("station_id", "freeway", "distance_mi", *own, *named, *side)
 
 
 @plan

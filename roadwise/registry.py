@@ -25,26 +25,13 @@ def register(name: str, oracle: str | None):
 
 
 def queries() -> dict[str, QueryFn]:
-    _load()
     return {k: v[0] for k, v in _REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    _load()
     return {k: v[1] for k, v in _REGISTRY.items() if v[1] is not None}
 
 
-_loaded = False
-
-
-def _load() -> None:
-    global _loaded
-    if _loaded:
-        return
-    _loaded = True
-    from . import queries_catalog  # noqa: F401  (registers everything)
-
-
 # --- medallion ----------------------------------------------------------------------
 
 STATION_GEO_COLS = ("cell_r7_p5, station_num, station_id, freeway, direction, postmile, latitude, longitude, num_lanes, "
@@ -285,6 +272,12 @@ for _name, _fn in (("snapshot_network", SN.snapshot_network), ("snapshot_corrido
     register(f"{_name}_day", f"SELECT * FROM ({_REGISTRY[_name][1]}) WHERE reading_date = DATE '{_DAY}'")(
         lambda spark, sf_dir, fn=_fn: fn(spark, sf_dir, day=_DAY))
 
+register("calendar", _dq("""
+SELECT CAST(day AS DATE) AS day, CAST(dayofweek(day) + 1 AS INT) AS day_of_week, dayofweek(day) IN (0, 6) AS is_weekend,
+  CAST(day AS DATE) IN (SELECT reading_date FROM frames) AS has_frames
+FROM (SELECT unnest(generate_series(date_trunc('week', min(reading_date)), date_trunc('week', max(reading_date)) + INTERVAL 6 DAY, INTERVAL 1 DAY)) AS day FROM frames)"""
+))(DB.calendar)
+
 # --- remaining operators --------------------------------------------------------------
 from .functions import clock as _C  # noqa: E402
 from .functions.numeric import rnd_signed as _rs  # noqa: E402
@@ -373,30 +366,34 @@ _HAV = _G.haversine_mi("lat", "lon", "lat2", "lon2")
 _VERT = f"""WITH vertices AS (SELECT concat('F', CAST(n_nationkey % 5 AS VARCHAR)) AS freeway,
   CAST(n_nationkey // 5 AS INT) AS seq, 34e0 + CAST(n_nationkey // 5 AS DOUBLE) * 2e-1 AS lat,
   -118e0 + CAST(n_nationkey % 5 AS DOUBLE) * 3e-2 AS lon, CAST((n_nationkey * 17) % 101 AS DOUBLE) / 1e2 AS urban,
-  n_name AS city FROM nation),
+  n_name AS city, CAST(n_regionkey + 1 AS INT) AS district, (SELECT r_name FROM region r WHERE r.r_regionkey = n.n_regionkey) AS county FROM nation n),
 vseg0 AS (SELECT *, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, lead(urban) OVER w AS urban2,
-  lead(city) OVER w AS city2 FROM vertices WINDOW w AS (PARTITION BY freeway ORDER BY seq)),
+  lead(city) OVER w AS city2, lead(district) OVER w AS district2, lead(county) OVER w AS county2 FROM vertices WINDOW w AS (PARTITION BY freeway ORDER BY seq)),
 vseg1 AS (SELECT *, CASE WHEN lat2 IS NULL THEN 0e0 ELSE {_HAV} END AS len FROM vseg0),
 vseg AS (SELECT *, sum(len) OVER (PARTITION BY freeway ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
   - len AS d0, sum(len) OVER (PARTITION BY freeway) AS total FROM vseg1),
 st AS (SELECT concat('ST', CAST(s_suppkey AS VARCHAR)) AS station_id, concat('F', CAST(s_suppkey % 5 + 5 * (s_suppkey // 10000) AS VARCHAR))
-  AS freeway, GREATEST(0e0, CAST(s_suppkey // 10 % 1000 AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2) AS d
-  FROM supplier)
+  AS freeway, GREATEST(0e0, CAST(s_suppkey // 10 % 1000 AS DOUBLE) * 6e-1 + CAST(s_suppkey % 7 AS DOUBLE) * 1e-2) AS d,
+  CASE WHEN s_suppkey // 5 % 2 = 0 THEN 1 ELSE -1 END AS side FROM supplier)
 """
 NW_ORACLE_LENGTHS = _VERT + f"""SELECT freeway, {_rnd('sum(len)', 6)} AS length_mi, CAST(count(*) AS INT) AS vertices
 FROM vseg1 GROUP BY freeway"""
-NW_ORACLE_LINREF = _VERT + """SELECT station_id, freeway, d AS distance_mi,
+NW_ORACLE_LINREF = _VERT + """SELECT station_id, freeway, distance_mi, lat, lon, urban, city, district, county,
+  CASE WHEN lat + side * 35e-5 < 0 THEN -floor(-(lat + side * 35e-5) * 1e6 + 5e-1) / 1e6 ELSE floor((lat + side * 35e-5) * 1e6 + 5e-1) / 1e6 END AS side_lat,
+  CASE WHEN lon + side * 35e-5 < 0 THEN -floor(-(lon + side * 35e-5) * 1e6 + 5e-1) / 1e6 ELSE floor((lon + side * 35e-5) * 1e6 + 5e-1) / 1e6 END AS side_lon
+FROM (SELECT station_id, freeway, side, d AS distance_mi,
   CASE WHEN past_end THEN lat ELSE lat + (lat2 - lat) * t END AS lat,
   CASE WHEN past_end THEN lon ELSE lon + (lon2 - lon) * t END AS lon,
   CASE WHEN past_end THEN urban ELSE urban + (urban2 - urban) * t END AS urban,
-  CASE WHEN past_end OR t >= 5e-1 THEN COALESCE(city2, city) ELSE city END AS city
+  CASE WHEN NOT past_end AND t >= 5e-1 THEN city2 ELSE city END AS city,
+  CASE WHEN NOT past_end AND t >= 5e-1 THEN district2 ELSE district END AS district,
+  CASE WHEN NOT past_end AND t >= 5e-1 THEN county2 ELSE county END AS county
 FROM (
-  SELECT s.station_id, s.freeway, s.d, false AS past_end, LEAST(1e0, (s.d - v.d0) / v.len) AS t,
-         v.lat, v.lon, v.urban, v.city, v.lat2, v.lon2, v.urban2, v.city2
+  SELECT s.station_id, s.freeway, s.side, s.d, false AS past_end, LEAST(1e0, (s.d - v.d0) / v.len) AS t, v.*
   FROM st s JOIN vseg v ON v.freeway = concat('F', CAST(CAST(s.freeway[2:] AS BIGINT) % 5 AS VARCHAR))
   WHERE v.lat2 IS NOT NULL AND v.len > 0 AND s.d >= v.d0 AND s.d < v.d0 + v.len AND s.d < v.total
   UNION ALL
-  SELECT s.station_id, s.freeway, s.d, true, 1e0, v.lat, v.lon, v.urban, v.city, NULL, NULL, NULL, NULL
-  FROM st s JOIN vseg v ON v.freeway = concat('F', CAST(CAST(s.freeway[2:] AS BIGINT) % 5 AS VARCHAR)) WHERE v.lat2 IS NULL AND s.d >= v.total)"""
+  SELECT s.station_id, s.freeway, s.side, s.d, true, 1e0, v.*
+  FROM st s JOIN vseg v ON v.freeway = concat('F', CAST(CAST(s.freeway[2:] AS BIGINT) % 5 AS VARCHAR)) WHERE v.lat2 IS NULL AND s.d >= v.total))"""
 _REGISTRY["corridor_lengths"] = (NW.corridor_lengths, NW_ORACLE_LENGTHS)
 _REGISTRY["linear_reference"] = (NW.linear_reference, NW_ORACLE_LINREF)

@@ -150,14 +150,16 @@ def levers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Corridor polyline vertices (freeway, seq, lat, lon, urban, city)."""
-    return read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).selectExpr(
+    """Corridor polyline vertices (freeway, seq, lat, lon, urban, city, district, county)."""
+    n = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name", "n_regionkey"])
+    r = read_table(spark, sf_dir, "region", ["r_regionkey", "r_name"]).withColumnRenamed("r_regionkey", "n_regionkey")
+    return n.join(r, "n_regionkey", "left").selectExpr(
         "concat('F', CAST(n_nationkey % 5 AS STRING)) AS freeway",
         "CAST(n_nationkey DIV 5 AS INT) AS seq",
         "34e0 + CAST(n_nationkey DIV 5 AS DOUBLE) * 2e-1 AS lat",
         "-118e0 + CAST(n_nationkey % 5 AS DOUBLE) * 3e-2 AS lon",
         "CAST((n_nationkey * 17) % 101 AS DOUBLE) / 1e2 AS urban",
-        "n_name AS city",
+        "n_name AS city", "CAST(n_regionkey + 1 AS INT) AS district", "r_name AS county",
     )
 
 
