@@ -117,8 +117,8 @@ SELECT s.station_id, l.l_orderkey AS src_order, l.l_linenumber AS src_line,
        CAST(l.l_partkey % 3 AS INT) AS day_no,
        CAST((l.l_orderkey * 7 + l.l_linenumber) % 288 AS INT) AS slot5,
        CAST(((l.l_orderkey * 7 + l.l_linenumber) % 288) // 3 AS INT) AS bucket_idx,
-       CAST(s.num_lanes * s.lane_capacity_vph AS DOUBLE) AS base_capacity_vph,
-       CAST(floor(CAST(s.num_lanes * s.lane_capacity_vph AS DOUBLE) * (2e-1 + l.l_quantity / 45e0) + 5e-1) AS INT)
+       CAST(s.num_lanes * s.lane_capacity_vph AS DOUBLE) * CASE s.station_type WHEN 'ML' THEN 1e0 WHEN 'HV' THEN 55e-2 WHEN 'OR' THEN 22e-2 ELSE 20e-2 END AS base_capacity_vph,
+       CAST(floor(CAST(s.num_lanes * s.lane_capacity_vph AS DOUBLE) * CASE s.station_type WHEN 'ML' THEN 1e0 WHEN 'HV' THEN 55e-2 WHEN 'OR' THEN 22e-2 ELSE 20e-2 END * (2e-1 + l.l_quantity / 45e0) + 5e-1) AS INT)
          AS demanded_flow_vph,
        7e1 - 5e0 * s.urban_intensity AS free_flow_speed_mph,
        1e0 + 5e-1 * (l.l_discount - 5e-2) AS speed_jitter,

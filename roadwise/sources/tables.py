@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as K
 from ..functions import clock
+from ..functions import measures as M
 from ..functions.numeric import E
 from ..plans.memo import plan
 
@@ -100,7 +101,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount"])
     j = li.join(st.withColumnRenamed("station_num", "l_suppkey"), "l_suppkey")
-    cap = "CAST(num_lanes * lane_capacity_vph AS DOUBLE)"
+    cap = M.base_capacity("num_lanes", "lane_capacity_vph", M.station_type_scale("station_type"))
     return j.selectExpr(
         "station_id", "l_orderkey AS src_order", "l_linenumber AS src_line",
         "CAST(l_partkey % 3 AS INT) AS day_no",
