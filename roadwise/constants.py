@@ -105,6 +105,15 @@ ACTION_TYPES = (
     "transit_diversion",
     "other",
 )
+ADVICE_TAGS = ("[advice]", "[/advice]")
+ADVICE_FIELDS = (
+    "action", "action_type", "target", "target_label", "corridor", "direction", "expected_effect", "effect", "expected",
+    "effect_direction", "magnitude", "magnitude_unit", "confidence", "rationale",
+)
+# how a target names its direction and its route
+COMPASS_PATTERN = r"\b([NSEW])B?\b"
+BOUND_PATTERN = r"\b(north|south|east|west)bound\b"
+ROUTE_PATTERN = r"(?i)\b((?:I|US|SR|CA)-\d+)\b"
 EFFECT_DIRECTIONS = ("decrease", "increase", "unclear")
 CONFIDENCES = ("low", "medium", "high")
 COMPASS = ("N", "S", "E", "W")

@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 from .. import constants as K
-from ..plans.advice import ITEM_FIELDS
 
 RESPONSES = """responses AS (
 SELECT conv_id, turn, role,
        concat(text, chr(10), '[advice]', chr(10),
          '[{"action":"', CASE conv_id % 3 WHEN 0 THEN 'Ramp Metering' WHEN 1 THEN 'shoulder-running' ELSE 'unknown thing' END,
          '","target":"', CASE turn % 2 WHEN 0 THEN 'I-405 S' ELSE 'US-101 northbound' END,
-         '","magnitude":"', CAST(turn AS VARCHAR), '"}', CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN ',]' ELSE ']' END,
+         '","magnitude":"', CAST(turn AS VARCHAR), '","lanes":', CAST(turn % 4 AS VARCHAR), '}', CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN ',]' ELSE ']' END,
          CASE conv_id % 4 WHEN 0 THEN '' ELSE concat(chr(10), '[/advice]') END) AS response
 FROM conversations WHERE role = 'assistant')"""
 
-_STRUCT = "[{" + ", ".join(f'"{f}": "VARCHAR"' for f in ITEM_FIELDS) + "}]"
+_STRUCT = "{" + ", ".join(f'"{f}": "VARCHAR"' for f in K.ADVICE_FIELDS) + "}"
 
 
 def _parse(x: str) -> str:
-    return f"CASE WHEN json_valid({x}) AND starts_with(ltrim({x}), '[') THEN from_json({x}, '{_STRUCT}') END"
+    return f"CASE WHEN json_valid({x}) AND starts_with(ltrim({x}), '[') THEN from_json({x}, '[\"JSON\"]') END"
 
 
 def _str(x: str) -> str:
@@ -48,9 +47,9 @@ b5 AS (SELECT *, regexp_replace(block, ',(\\s*[}}\\]])', '\\1', 'g') AS nc FROM
 b6 AS (SELECT *, CASE WHEN starts_with(ltrim(nc), '[') AND strpos(nc, '}}') > 0 THEN concat(regexp_replace(
          substring(nc, 1, length(nc) - strpos(reverse(nc), '}}') + 1), ',\\s*$', ''), ']') END AS cut FROM b5),
 parsed AS (SELECT conv_id, turn, COALESCE({_parse('block')}, {_parse('nc')}, {_parse('cut')}) AS items FROM b6),
-exploded AS (SELECT conv_id, turn, unnest(items) AS it, unnest(generate_series(0, len(items) - 1)) AS pos
-             FROM parsed WHERE items IS NOT NULL),
-x0 AS (SELECT conv_id, turn, pos, it, {target} AS target, {expected} AS expected, {act_raw} AS action_raw,
+exploded AS (SELECT conv_id, turn, CAST(raw AS VARCHAR) AS raw, from_json(raw, '{_STRUCT}') AS it, pos FROM (
+             SELECT conv_id, turn, unnest(items) AS raw, unnest(generate_series(0, len(items) - 1)) AS pos FROM parsed WHERE items IS NOT NULL)),
+x0 AS (SELECT conv_id, turn, pos, raw, it, {target} AS target, {expected} AS expected, {act_raw} AS action_raw,
          lower(regexp_replace({act_raw}, '[\\s-]+', '_', 'g')) AS action_key FROM exploded),
 x1 AS (SELECT * FROM x0 WHERE target IS NOT NULL OR expected IS NOT NULL),
 x2 AS (SELECT conv_id, turn, pos,
@@ -67,7 +66,7 @@ x2 AS (SELECT conv_id, turn, pos,
   CASE WHEN NOT isnan(TRY_CAST(trim(it.magnitude) AS DOUBLE)) THEN TRY_CAST(trim(it.magnitude) AS DOUBLE) END AS magnitude, {_str('it.magnitude_unit')} AS magnitude_unit,
   CASE WHEN lower({_str('it.confidence')}) IN ('low', 'medium', 'high') THEN lower({_str('it.confidence')}) END AS confidence,
   {_str('it.rationale')} AS rationale,
-  concat('{{', concat_ws(',', {', '.join(f"""CASE WHEN it.{f} IS NOT NULL THEN concat('"{f}":', to_json(it.{f})) END""" for f in ITEM_FIELDS)}), '}}') AS raw
+  raw
 FROM x1),
 x3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS INT) AS seq FROM x2)
 SELECT * EXCLUDE (pos) FROM x3 WHERE seq < {K.MAX_RECOMMENDATIONS}"""

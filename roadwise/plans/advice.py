@@ -14,10 +14,8 @@ from ..functions.numeric import E
 from ..sources import tables as S
 from .memo import plan
 
-OPEN_TAG, CLOSE_TAG = "[advice]", "[/advice]"
-ITEM_FIELDS = ("action", "action_type", "target", "target_label", "corridor", "direction", "expected_effect",
-               "effect", "expected", "effect_direction", "magnitude", "magnitude_unit", "confidence", "rationale")
-ITEM_SCHEMA = "array<struct<" + ", ".join(f"{f}: string" for f in ITEM_FIELDS) + ">>"
+OPEN_TAG, CLOSE_TAG = K.ADVICE_TAGS
+ITEM_SCHEMA = "struct<" + ", ".join(f"{f}: string" for f in K.ADVICE_FIELDS) + ">"
 
 
 def _q(s: str) -> str:
@@ -25,6 +23,11 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "\\'") + "'"
 
 
+def _pattern(p: str) -> str:
+    """A regular expression as a SQL literal."""
+    return "'" + p.replace("\\", "\\\\") + "'"
+
+
 def _re(s: str) -> str:
     return "".join("\\\\" + c if c in "[]()/.*+?{}|^$" else c for c in s)
 
@@ -51,10 +54,10 @@ def advice_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = b.selectExpr("*", f"{nocomma} AS block_nc")
     cut = ("CASE WHEN startswith(ltrim(block_nc), '[') AND instr(block_nc, '}') > 0 THEN concat(regexp_replace("
            "substring(block_nc, 1, length(block_nc) - instr(reverse(block_nc), '}') + 1), ',\\\\s*$', ''), ']') END")
-    parse = (f"COALESCE(from_json(block, '{ITEM_SCHEMA}'), from_json(block_nc, '{ITEM_SCHEMA}'),"
-             f" from_json({cut}, '{ITEM_SCHEMA}'))")
-    return b.selectExpr("conv_id", "turn", "prose", "block", f"{parse} AS items",
-                        "block IS NOT NULL AND " + parse + " IS NULL AS malformed")
+    # items stay text at first, so that fields without a name here are not lost
+    b = b.selectExpr("*", f"COALESCE(from_json(block, 'array<string>'), from_json(block_nc, 'array<string>'), from_json({cut}, 'array<string>')) AS raws")
+    return b.selectExpr("conv_id", "turn", "prose", "block", f"transform(raws, r -> struct(r AS raw, from_json(r, '{ITEM_SCHEMA}') AS it)) AS items",
+                        "block IS NOT NULL AND raws IS NULL AS malformed")
 
 
 def _str(x: str) -> str:
@@ -67,16 +70,16 @@ def advice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H19 + H20 + F7: normalised recommendations, at most five per response, with the
     item's ordinal; unknown actions become 'other' and keep the raw value."""
     b = advice_blocks(spark, sf_dir).filter("items IS NOT NULL")
-    x = b.selectExpr("conv_id", "turn", "posexplode(items) AS (pos, it)")
+    x = b.selectExpr("conv_id", "turn", "posexplode(items) AS (pos, item)").selectExpr("conv_id", "turn", "pos", "item.raw AS raw", "item.it AS it")
     target = f"COALESCE({_str('it.target')}, {_str('it.target_label')}, {_str('it.corridor')})"
     expected = f"COALESCE({_str('it.expected_effect')}, {_str('it.effect')}, {_str('it.expected')})"
     act_raw = _str("COALESCE(it.action_type, it.action)")
     act_key = f"lower(regexp_replace({act_raw}, '[\\\\s-]+', '_'))"
     actions = ", ".join(f"'{a}'" for a in K.ACTION_TYPES)
-    x = x.selectExpr("conv_id", "turn", "pos", "it", f"{target} AS target", f"{expected} AS expected",
+    x = x.selectExpr("conv_id", "turn", "pos", "raw", "it", f"{target} AS target", f"{expected} AS expected",
                      f"{act_raw} AS action_raw", f"{act_key} AS action_key").filter("target IS NOT NULL OR expected IS NOT NULL")
-    compass = "regexp_extract(upper(target), '\\\\b([NSEW])B?\\\\b', 1)"
-    word = "regexp_extract(lower(target), '\\\\b(north|south|east|west)bound\\\\b', 1)"
+    compass = f"regexp_extract(upper(target), {_pattern(K.COMPASS_PATTERN)}, 1)"
+    word = f"regexp_extract(lower(target), {_pattern(K.BOUND_PATTERN)}, 1)"
     explicit = f"upper({_str('it.direction')})"
     dirs = ", ".join(f"'{d}'" for d in K.COMPASS)
     x = x.selectExpr(
@@ -84,8 +87,7 @@ def advice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN action_key IN ({actions}) THEN action_key ELSE 'other' END AS action_type",
         f"CASE WHEN action_key IN ({actions}) THEN NULL ELSE action_raw END AS action_type_raw",
         "COALESCE(target, 'unspecified') AS target_label",
-        f"COALESCE(upper({_str('it.corridor')}), NULLIF(upper(regexp_extract(target,"
-        " '(?i)\\\\b((?:I|US|SR|CA)-\\\\d+)\\\\b', 1)), '')) AS target_corridor",
+        f"COALESCE(upper({_str('it.corridor')}), NULLIF(upper(regexp_extract(target, {_pattern(K.ROUTE_PATTERN)}, 1)), '')) AS target_corridor",
         f"CASE WHEN {explicit} IN ({dirs}) THEN {explicit} WHEN {compass} IN ({dirs}) THEN {compass}"
         f" WHEN {word} <> '' THEN upper(substring({word}, 1, 1)) END AS target_direction",
         "COALESCE(expected, 'unspecified') AS expected_effect",
@@ -95,7 +97,7 @@ def advice_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"{_str('it.magnitude_unit')} AS magnitude_unit",
         f"CASE WHEN lower({_str('it.confidence')}) IN ({', '.join(repr(c) for c in K.CONFIDENCES)})"
         f" THEN lower({_str('it.confidence')}) END AS confidence",
-        f"{_str('it.rationale')} AS rationale", "to_json(it) AS raw")
+        f"{_str('it.rationale')} AS rationale", "raw")
     x = x.selectExpr("*", "CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS INT) AS seq")
     return x.filter(f"seq < {K.MAX_RECOMMENDATIONS}").drop("pos")
 

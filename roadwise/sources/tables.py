@@ -173,7 +173,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat(text, chr(10), '[advice]', chr(10), '[{\"action\":\"',"
         " CASE conv_id % 3 WHEN 0 THEN 'Ramp Metering' WHEN 1 THEN 'shoulder-running' ELSE 'unknown thing' END,"
         " '\",\"target\":\"', CASE turn % 2 WHEN 0 THEN 'I-405 S' ELSE 'US-101 northbound' END,"
-        " '\",\"magnitude\":\"', CAST(turn AS STRING), '\"}',"
+        " '\",\"magnitude\":\"', CAST(turn AS STRING), '\",\"lanes\":', CAST(turn % 4 AS STRING), '}',"
         " CASE conv_id % 4 WHEN 0 THEN '' WHEN 1 THEN ',]' ELSE ']' END,"
         " CASE conv_id % 4 WHEN 0 THEN '' ELSE concat(chr(10), '[/advice]') END) AS response",
     )
