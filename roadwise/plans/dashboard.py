@@ -16,6 +16,7 @@ from .. import constants as K
 from ..functions.numeric import E
 from ..operators.packing import pack_ordered, unpack_all
 from ..sources import tables as S
+from . import gold as GO
 from . import medallion as MD
 from .memo import plan
 
@@ -57,12 +58,13 @@ def station_geometry(spark: SparkSession, sf_dir: str, day: str | None = None) -
     """Attributes of stations that have frames, with the dense station index
     the payloads use (0..N-1 in station_id order) as a column instead of a sort."""
     geo = MD.stations_geo_table(spark, sf_dir)
-    present = MD.frames_table(spark, sf_dir, day).select("station_id")
-    g = geo.join(present, "station_id", "left_semi")
-    return g.selectExpr(
+    if day is None:
+        order = GO.table(spark, sf_dir, "station_order")
+    else:
+        order = GO.table(spark, sf_dir, "station_index", day).where("scope = 'ALL'").select("station_id", "station_idx")
+    return geo.join(order, "station_id").select(
         "station_id", "freeway", "direction", "postmile", "latitude", "longitude", "num_lanes", "station_type",
-        "cell_r7_str AS cell_r7", "cell_r8_str AS cell_r8", "baseline_capacity_vph", "baseline_lanes",
-        "CAST(row_number() OVER (ORDER BY station_id) - 1 AS INT) AS station_idx")
+        F.col("cell_r7_str").alias("cell_r7"), F.col("cell_r8_str").alias("cell_r8"), "baseline_capacity_vph", "baseline_lanes", "station_idx")
 
 
 def scoped(df: DataFrame) -> DataFrame:
@@ -73,11 +75,8 @@ def scoped(df: DataFrame) -> DataFrame:
 @plan
 def station_index(spark: SparkSession, sf_dir: str, day: str | None = None) -> DataFrame:
     """dense 0..N-1 index per (reading_date, scope) over the stations with frames that
-    day, in station_id order. The window is partitioned by (date, scope), never global."""
-    d = scoped(MD.frames_table(spark, sf_dir, day).select("reading_date", "freeway", "station_id")).select(
-        "reading_date", "scope", "station_id").distinct()
-    w = Window.partitionBy("reading_date", "scope").orderBy("station_id")
-    return d.withColumn("station_idx", (F.row_number().over(w) - 1).cast("int"))
+    day, in station_id order, as stored by the refresh (no window over all stations of a scope)."""
+    return GO.table(spark, sf_dir, "station_index", day)
 
 
 @plan

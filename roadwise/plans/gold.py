@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number
 from ..operators.quality import Rule, apply_rules
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
@@ -50,6 +51,14 @@ def refresh(spark: SparkSession, sf_dir: str, path: str) -> Refresh:
     t["frames"] = sinks.write_table(guard("frames", MD.frames_of(t["enriched"], t["stations_geo"]), MD.FRAME_RULES), f"{path}/frames")
     t["days"] = sinks.write_table(t["frames"].groupBy("reading_date").agg(F.expr("CAST(max(day_of_week) AS INT) AS day_of_week")), f"{path}/days",
                                   sinks.Layout(None, None, ("reading_date",)))
+    # the dense station numbers that payloads are laid out by: per date and scope, and over all
+    scratch = lambda name: lambda df: sinks.write_table(df, f"{path}/{name}-ranges", sinks.Layout(None, None, ()))
+    present = t["frames"].select("reading_date", "freeway", "station_id").distinct()
+    scopes = present.withColumn("scope", F.explode(F.array(F.lit("ALL"), "freeway"))).select("reading_date", "scope", "station_id")
+    t["station_index"] = sinks.write_table(number(scopes, ["reading_date", "scope"], "station_id", "station_idx", scratch("index")), f"{path}/station_index",
+                                           sinks.Layout("reading_date", None, ("scope", "station_idx")))
+    t["station_order"] = sinks.write_table(number(present.select("station_id").distinct(), [], "station_id", "station_idx", scratch("order")), f"{path}/station_order",
+                                           sinks.Layout(None, None, ("station_id",)))
     t["corridor_summary"] = sinks.write_table(guard("corridors", MD.corridors_of(t["enriched"]), MD.CORRIDOR_RULES), f"{path}/corridor_summary")
     quality = []
     for stage, rules, seen in watched:

@@ -38,6 +38,8 @@ def _arranged(df: DataFrame, layout: Layout) -> DataFrame:
         df = df.withColumn("_window", F.floor(F.col(layout.window_of) / K.WINDOW_BUCKETS))
         keys.append("_window")
     order = ([layout.partition] if layout.partition else []) + list(layout.sort)
+    if not order:
+        return df
     return df.hint("rebalance", *keys).sortWithinPartitions(*order).drop("_window")
 
 
