@@ -230,6 +230,19 @@ def allocation(sets: DataFrame) -> tuple[dict[int, tuple[int, bool]], np.ndarray
     return plan, code[order], hot.column("n").to_numpy()[order]
 
 
+def rarest(sig: np.ndarray, hot: np.ndarray, hot_n: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` rarest signatures: those that are not hot, by value, then the hot ones by count."""
+    if len(sig) <= n:
+        return sig
+    at = np.minimum(hot.searchsorted(sig), len(hot) - 1) if len(hot) else None
+    common = hot[at] == sig if len(hot) else np.zeros(len(sig), dtype=bool)
+    cold = sig[~common]
+    if len(cold) > n:
+        return np.partition(cold, n - 1)[:n]
+    rest, cost = sig[common], hot_n[at[common]] if len(hot) else common[common]
+    return np.concatenate([cold, rest[np.lexsort((rest, cost))[:n - len(cold)]]])
+
+
 def signatures_of(s: np.ndarray, plan: dict[int, tuple[int, bool]], hot: np.ndarray, hot_n: np.ndarray) -> np.ndarray:
     out = []
     for band, h in bands_for(len(s)):
@@ -241,12 +254,7 @@ def signatures_of(s: np.ndarray, plan: dict[int, tuple[int, bool]], hot: np.ndar
         if deletions:
             out += [sig, seg.deletions()]
             continue
-        if len(hot):
-            at = np.minimum(hot.searchsorted(sig), len(hot) - 1)
-            cost = np.where(hot[at] == sig, hot_n[at], 0)
-        else:
-            cost = np.zeros(len(sig), dtype=np.int64)
-        out.append(sig[np.lexsort((sig, cost))[:h + 1]])
+        out.append(rarest(sig, hot, hot_n, h + 1))
     return np.unique(np.concatenate(out))
 
 
