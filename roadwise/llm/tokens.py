@@ -2,7 +2,7 @@
 
 The ids are those of ``tokenizers`` for the JSON file with add_special_tokens=False. The
 ``tiktoken`` file holds the same vocabulary as ranks and is about four times as fast; the
-two agree on every code point (tests/llm/test_packing.py). Very long texts go to the
+two agree on every code point (tests/llm/test_operators.py). Very long texts go to the
 ``tokenizers`` library, whose word pattern cannot run out of stack.
 """
 
