@@ -252,7 +252,15 @@ LEFT JOIN (SELECT {_SNAP}, count(*) AS n_roads, string_agg(printf('%d. %s %s, %.
 LEFT JOIN (SELECT {_SNAP}, max(incident_total) AS n_events, count(*) AS n_listed, string_agg(printf('%d. %s, %s %s mile %.1f, severity %d, %d/%d lanes shut, %.1f mph',
     rank, station_id, freeway, direction, postmile, severity, lanes_blocked, num_lanes, speed_mph), chr(10) ORDER BY rank) AS events
   FROM ({_BODY['snapshot_incidents']}) GROUP BY {_SNAP}) i USING ({_SNAP})"""))(SN.snapshot_brief)
-register("snapshot_json", None)(SN.snapshot_json)
+_NET = ["station_count", "mean_speed_mph", "min_speed_mph", "mean_free_flow_mph", "mean_vc", "max_vc", "stations_over_capacity", "stations_congested",
+        "stations_with_incident", "total_served_flow_vph", "total_demanded_flow_vph", "mean_delay_min_per_mi"]
+register("snapshot_json", _dq(f"""
+SELECT {_SNAP}, CAST(to_json({{{', '.join(f"'{c}': n.{c}" for c in _NET)}, 'los': l.los, 'worst_corridors': c.roads}}) AS VARCHAR) AS kpi_json
+FROM ({_BODY['snapshot_network']}) n
+LEFT JOIN (SELECT {_SNAP}, list({{'los': los, 'station_count': station_count, 'pct': pct}} ORDER BY los) AS los
+  FROM ({_BODY['snapshot_los']}) GROUP BY {_SNAP}) l USING ({_SNAP})
+LEFT JOIN (SELECT {_SNAP}, list({{'freeway': freeway, 'direction': direction, 'mean_speed_mph': mean_speed_mph, 'mean_delay_min_per_mi': mean_delay_min_per_mi}}
+  ORDER BY rank) AS roads FROM ({_BODY['snapshot_corridors']}) GROUP BY {_SNAP}) c USING ({_SNAP})"""))(SN.snapshot_json)
 
 # --- advice -------------------------------------------------------------------------
 from .plans import advice as AD  # noqa: E402
