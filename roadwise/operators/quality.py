@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -35,3 +36,12 @@ def apply_rules(df: DataFrame, rules: list[Rule], observation: Observation | Non
              for r in rules if r.action == "fail"]
     conds += [r.sql() for r in rules if r.action == "drop"]
     return df.filter(" AND ".join(conds)) if conds else df
+
+
+def counts_of(observation: Observation, rules: list[Rule]) -> dict[str, int]:
+    """What ``apply_rules`` counted, after the action. An input that the planner finds to be empty is
+    never scanned and has no counts to give: all are 0."""
+    try:
+        return observation.get
+    except Py4JJavaError:
+        return dict.fromkeys(["rows", *[r.name for r in rules]], 0)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number
-from ..operators.quality import Rule, apply_rules
+from ..operators.quality import Rule, apply_rules, counts_of
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources import tables as S
@@ -62,7 +62,7 @@ def refresh(spark: SparkSession, sf_dir: str, path: str) -> Refresh:
     t["corridor_summary"] = sinks.write_table(guard("corridors", MD.corridors_of(t["enriched"]), MD.CORRIDOR_RULES), f"{path}/corridor_summary")
     quality = []
     for stage, rules, seen in watched:
-        counts = seen.get
+        counts = counts_of(seen, rules)
         quality += [(stage, r.name, r.action, counts[r.name], counts["rows"]) for r in rules]
     return Refresh(t, quality)
 

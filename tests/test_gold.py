@@ -100,3 +100,15 @@ def test_numbers_are_dense_and_sorted_across_ranges(spark, tmp_path):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert seen[0].select("_range").distinct().count() > 1
     assert got == {(k, s): int(s[1:]) for k, s in rows}
+
+
+def test_tables_without_readings(spark, tmp_path):
+    """No line items and no orders: every table is there and empty, and every count is 0."""
+    from roadwise.plans import scenario as SC
+    for t in ("region", "nation", "supplier", "orders", "lineitem", "events", "conversations"):
+        df = spark.read.parquet(f"{SMALL}/{t}.parquet")
+        (df.limit(0) if t in ("orders", "lineitem") else df).write.parquet(str(tmp_path / f"{t}.parquet"))
+    sf = str(tmp_path)
+    seen = {(r["stage"], r["rule"]): (r["violations"], r["rows"]) for r in GO.quality_report(spark, sf).collect()}
+    assert seen["stations", "identified"][1] > 0 and {v for (s, _), v in seen.items() if s != "stations"} == {(0, 0)}
+    assert not DB.time_matrix(spark, sf).count() and not DB.calendar(spark, sf).count() and not SC.scenario_kpis(spark, sf).count()
