@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import small_batches
 
 SHORT_WORD = 48
-CACHE_WORDS = 200_000
+CACHED_WORD = 64
+CACHE_CHARS = 8_000_000  # with 32 for each word
 # White_Space code points of Unicode (fixed values); the regex module's own \s also holds U+001C-1F.
 _WS = r"\t-\r \x85\xa0  -     　"
 _SPACES = regex.compile(f"[{_WS}]+")
@@ -67,16 +68,21 @@ def _byte_alphabet() -> list[str]:
 
 
 class WordCache(dict):
-    """word -> tuple of ids, filled on a miss, emptied when full."""
+    """word -> tuple of ids, filled on a miss, emptied when its words hold too many characters;
+    long words are not kept."""
 
     def __init__(self, codec: "Codec", limit: int):
         super().__init__()
-        self.codec, self.limit = codec, limit
+        self.codec, self.limit, self.held = codec, limit, 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= self.limit:
-            self.clear()
-        out = self[word] = tuple(self.codec.encode_word(word))
+        out = tuple(self.codec.encode_word(word))
+        if len(word) <= CACHED_WORD:
+            if self.held >= self.limit:
+                self.clear()
+                self.held = 0
+            self.held += len(word) + 32
+            self[word] = out
         return out
 
 
@@ -104,7 +110,7 @@ class Codec:
             self.rank[vocab[a], vocab[b]] = r
             self.merged.append(vocab[a + b])
         self.byte = {c: b for b, c in enumerate(alphabet)}
-        self.cache = WordCache(self, CACHE_WORDS)
+        self.cache = WordCache(self, CACHE_CHARS)
         self.path, self.library = path, None
 
     def encode_word(self, word: str) -> list[int]:
@@ -169,7 +175,7 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.empty(0, dtype=np.int32)
-        if self.cut is None or "<|" not in text:
+        if not any(t in text for t in self.special):
             return np.fromiter(self._plain(text), dtype=np.int32)
         out: list[int] = []
         for piece in self.cut.split(text):

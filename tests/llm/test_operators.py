@@ -30,7 +30,7 @@ def by_id(df):
 
 # ---- op1
 
-def test_bpe_equals_library(spark, odd_docs):
+def test_bpe_equals_library(spark, odd_docs, no_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     got = by_id(queries.op1_bpe(spark, SF))
@@ -39,6 +39,7 @@ def test_bpe_equals_library(spark, odd_docs):
         assert got[d]["n_tokens"] == len(ids)
         assert got[d]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[d]["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert bpe.decode(bpe.encode(no_docs, path), path).count() == 0
     rows = bpe.decode(bpe.encode(odd_docs, path), path).collect()
     texts = {r["doc_id"]: r["text"] for r in odd_docs.collect()}
     assert len(rows) == odd_docs.count()
