@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from .. import constants as K
 from ..functions import geo as G
 from ..functions import measures as M

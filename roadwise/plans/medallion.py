@@ -14,7 +14,6 @@ hints: the planner broadcasts it only while its size estimate is under
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import clock, geo

@@ -289,7 +289,6 @@ FROM (SELECT unnest(generate_series(date_trunc('week', min(reading_date)), date_
 # --- remaining operators --------------------------------------------------------------
 from .functions import clock as _C  # noqa: E402
 from .functions.numeric import rnd_signed as _rs  # noqa: E402
-from .operators.quality import Rule as _Rule  # noqa: E402
 from .plans import extras as EX  # noqa: E402
 
 _LOC = "timezone('America/Los_Angeles', timezone('UTC', ts))"
