@@ -1,6 +1,7 @@
 """Operators on small tables, against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -320,11 +321,94 @@ def test_secrets_equal_brute_force(spark, odd_docs, no_docs):
 
 # ---- op9
 
+class BruteKneserNey:
+    """Interpolated modified Kneser-Ney over words, from dictionaries."""
+
+    def __init__(self, texts):
+        self.counts = {3: Counter()}
+        for t in texts:
+            s = self.marked(t)
+            self.counts[3].update(zip(s, s[1:], s[2:]))
+        for k in (2, 1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+        self.d = {}
+        for k, c in self.counts.items():
+            n = [sum(x == i for x in c.values()) for i in range(1, 5)]
+            y = n[0] / (n[0] + 2 * n[1])
+            self.d[k] = [min(max(i - (i + 1) * y * n[i] / n[i - 1], 0.1), i) for i in (1, 2, 3)]
+        self.after = {}  # of a context: total, sum of the discounts
+        for k, c in self.counts.items():
+            for g, n in c.items():
+                total, off = self.after.get((k, g[:-1]), (0, 0))
+                self.after[k, g[:-1]] = total + n, off + self.d[k][min(n, 3) - 1]
+        self.words = [g[0] for g in self.counts[1]]
+
+    @staticmethod
+    def marked(text):
+        lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        return ["<s>", "<s>", *WORD.findall(lower), "</s>"]
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(self.words) + 1)
+        below = self.p(gram[1:])
+        if (k, gram[:-1]) not in self.after:
+            return below
+        total, off = self.after[k, gram[:-1]]
+        n = self.counts[k][gram]
+        return ((n - self.d[k][min(n, 3) - 1] if n else 0) + off * below) / total
+
+    def bits(self, text):
+        s = self.marked(text)
+        return -sum(np.log2(self.p(g)) for g in zip(s, s[1:], s[2:]))
+
+
 def test_kneser_ney_is_a_distribution(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    table, bits = kn_quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    sums = np.exp2(table.astype(float)).reshape(-1, kn_quality.A).sum(axis=1)
-    assert np.allclose(sums, 1, atol=1e-3) and 1 < bits < 6
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    table, unseen = kn_quality.train(docs, labels)
+    good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    brute = BruteKneserNey([t for d, t in documents() if d in good and zlib.crc32(str(d).encode()) % kn_quality.HELD_OUT])
+    for context in list(brute.counts[3])[::4999]:
+        assert abs(sum(brute.p((*context[:2], w)) for w in [*brute.words, "an unknown word"]) - 1) < 1e-9
+    assert abs(2 ** unseen - brute.p(("an unknown word",))) < 1e-12
+    got = by_id(kn_quality.perplexity(docs, table, unseen, "doc_id", "text", "lang").withColumnRenamed("key", "doc_id"))
+    for d, text in documents():
+        assert got[d]["words"] == len(brute.marked(text)) - 2 and got[d]["n"] == len(text)
+        assert got[d]["bits"] == pytest.approx(brute.bits(text), rel=1e-5)
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmn", "\u0430\u0431\u0432\u0433\u0434\u0435\u0436\u0437\u0438\u043a\u043b\u043c\u043d\u043e"])
+def test_words_and_their_order_are_judged(spark, alphabet):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice(alphabet) for _ in range(6))
+    sentences = [[word() for _ in range(8)] for _ in range(30)]
+    clean = [[w for s in r.choices(sentences, k=12) for w in s] for _ in range(120)]
+    shuffled = r.sample(clean[0], len(clean[0]))
+    # other words of the same letters: the same code points modulo 14
+    foreign = [chr(ord(c) + 14) if c > "z" else c for c in " ".join(clean[1])] if alphabet > "z" else " ".join(w[::-1] for w in clean[1])
+    texts = [" ".join(x) for x in clean] + [" ".join(shuffled), "".join(foreign), " ".join(clean[2]), " ".join(clean[2])]
+    rows = [(i, t, "xx") for i, t in enumerate(texts)] + [(122, texts[122], "xx"), (None, texts[122], None), (None, None, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    got = kn_quality.classify(docs, labels)
+    bad = {r["doc_id"] for r in got.where("not kept and n > 0").collect()}
+    assert got.count() == len(rows) and bad == {120, 121}
+    assert len({r["perplexity"] for r in got.where("doc_id in (122, 123)").collect()}) == 1
+    kept = kn_quality.keep_good(docs, labels).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == sorted((str(d), t) for d, t, _ in rows if d not in (120, 121) and t)
+
+
+def test_salted_ngrams_leave_sums_alone(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sums = []
+    for sample in (1, 10 ** 9):  # every document, none
+        monkeypatch.setattr(kn_quality, "HOT_SAMPLE", sample)
+        model = kn_quality.train(docs, labels)
+        src = docs.select(kn_quality.row_id("doc_id", "text").alias("rid"), "text")
+        assert bool(kn_quality.common_grams(src)) == (sample == 1)
+        sums.append({r["rid"]: round(r["bits"], 6) for r in kn_quality.weight_sums(src, model[0]).collect()})
+    assert sums[0] == pytest.approx(sums[1])
 
 
 def test_classifier_keeps_clean_documents(spark, odd_docs, no_docs, labels):
