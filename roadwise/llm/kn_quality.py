@@ -8,10 +8,11 @@ trusted documents (label 1), but for one in ``HELD_OUT``, and stays in tables:
 * lower orders take continuation counts (how many words precede an n-gram), the three
   discounts of an order come from its counts of counts, and each order's probabilities are a
   join of its counts with its context totals and with the order below;
-* log p(w | u v) is a sum of weights, one for each n-gram of the text (``weights``; an n-gram
-  not seen weighs nothing), so a document's perplexity is its n-gram counts joined with the
-  table of weights and summed. The join goes over ``SLICES`` parts of the n-grams, one after
-  the other; n-grams common in documents are salted.
+* the log probability of a text is a sum of weights, one for each of its n-grams (``weights``; an
+  n-gram not seen weighs nothing), so a document's perplexity is its n-gram counts joined with
+  the weights and summed. An n-gram belongs to the slice of its middle word, and weights and
+  join are made one slice after the other, so that a slice alone is on disk; n-grams common in
+  documents are salted.
 
 Only the discounts, totals and the list of salted n-grams reach the driver.
 
@@ -29,23 +30,25 @@ judged alike; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections import Counter
+from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from .common import crc_mod, materialise, mix64, slices, small_batches, utf8, word_hashes
+from .common import crc_mod, materialise, mix64, release, slices, small_batches, utf8, word_hashes
 
-ORDER = 3
 QUANTILE, SLACK = 0.99, 1.25
 PRIOR_WORDS = 8
 HELD_OUT = 10
-SLICES = 8  # a power of two: signed and unsigned remainders agree
+SLICES, SLICE_ROWS, SLICE_TEXTS = 16, 400_000, 3_000  # at most so many slices; the size of one in small tables
 SALTS = 32
+UNIT = 1 << 24  # of a bit
 CHUNK = 1_000_000  # words counted together in a task
 HOT_SAMPLE, HOT_SHARE = 64, 0.01
+HOT_PAIRS, HOT_LEAST = 1 / 2000, 1000
 WORDS = {"parquet.dictionary.page.size": str(16 << 20)}  # columns of word hashes are written as numbers of a dictionary
 
 _U = np.uint64
@@ -72,34 +75,49 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def count_grams(texts: DataFrame, text_col: str) -> DataFrame:
-    """(u, v, w, n): 3-gram counts over all rows."""
-    def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
-        u, v, w = (np.concatenate([s[i:len(s) - 2 + i] for s in parts]) for i in range(3))
+def count_grams(texts: DataFrame, text_col: str, part: int = 0, parts: int = 1) -> DataFrame:
+    """(u, v, w, n): 3-gram counts over all rows, of one slice of the words v."""
+    def packed(found: list[np.ndarray]) -> pa.RecordBatch:
+        u, v, w = (np.concatenate([s[i:len(s) - 2 + i] for s in found]) for i in range(3))
+        if parts > 1:
+            mine = in_slice(v, part, parts)
+            u, v, w = u[mine], v[mine], w[mine]
         _, first, n = np.unique(combined(u, v, w), return_index=True, return_counts=True)
         return pa.RecordBatch.from_arrays([signed(x[first]) for x in (u, v, w)] + [pa.array(n.astype(np.int64))], names=["u", "v", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        found, size = [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 s = sequence(text)
                 if s is not None:
-                    parts.append(s)
+                    found.append(s)
                     size += len(s)
                 if size >= CHUNK:
-                    yield packed(parts)
-                    parts, size = [], 0
-        if parts:
-            yield packed(parts)
+                    yield packed(found)
+                    found, size = [], 0
+        if found:
+            yield packed(found)
 
     rows = texts.select(F.col(text_col).alias("text")).mapInArrow(run, "u long, v long, w long, n long")
     return rows.groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
 
 
-def discounts(counts: DataFrame, col: str = "n") -> list[float]:
+def in_slice(v: np.ndarray, part: int, parts: int) -> np.ndarray:
+    return v.view(np.int64) % parts == part
+
+
+def as_many(rows: int, each: int, most: int) -> int:
+    return min(max(rows // each, 1), most)
+
+
+def counted(col: str) -> list[Column]:
+    """How many n-grams are seen once to four times."""
+    return [F.count_if(F.col(col) == i).alias(f"n{i}") for i in range(1, 5)]
+
+
+def discounts(r: Mapping[str, int]) -> list[float]:
     """D1, D2, D3+ from the numbers of n-grams seen once to four times."""
-    r = counts.agg(*[F.count_if(F.col(col) == i).alias(f"n{i}") for i in range(1, 5)]).first()
     n = [float(r[f"n{i}"]) for i in range(1, 5)]
     if not (n[0] and n[1]):
         return [0.5, 0.75, 0.9]  # too few n-grams for an estimate
@@ -112,88 +130,120 @@ def taken(col: str, d: list[float]) -> Column:
     return F.when(F.col(col) == 1, d[0]).when(F.col(col) == 2, d[1]).otherwise(d[2])
 
 
-def salted(df: DataFrame, by: str) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-
-
-def copied(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-
-
-def weights(counts: DataFrame) -> tuple[DataFrame, float] | None:
-    """(slice, k, weight) of every n-gram, and the log2 probability of a word not seen.
-
-    With G(c) the log2 of a context's back-off weight, log2 p(w | u v) is that probability plus
-    the weights of w, v, (v w), (u v) and (u v w), where
-      word:    log2 p(w) less that of an unseen word (as the last word), G(w) (as a context);
-      pair:    log2 p(w | v) - G(v) - log2 p(w), and G(v w);
-      3-gram:  log2 p(w | u v) - G(u v) - log2 p(w | v).
-    A word has ``NONE`` for u and v, a pair for u; k is the hash of the three."""
-    pairs = materialise(counts.groupBy("v", "w").agg(F.count("*").alias("c")), "kn-pairs", **WORDS)
-    words = materialise(pairs.groupBy("w").agg(F.count("*").alias("c")), "kn-words")
-    d1, d2, d3 = discounts(words, "c"), discounts(pairs, "c"), discounts(counts)
-    t = words.agg(F.sum("c"), F.sum(taken("c", d1)), F.count("*")).first()
-    if not t[0]:
+def salted(pairs: DataFrame, word: str, other: str, hot: DataFrame) -> DataFrame:
+    """``pairs`` with the rows of a common ``word`` dealt over ``SALTS`` salts."""
+    marks = F.broadcast(hot.select(F.col("word").alias(word), F.lit(True).alias("common")))
+    return pairs.join(marks, word, "left").withColumn(
+        "salt", F.when(F.col("common"), F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(0)).drop("common")
+
+
+def copied(words: DataFrame, hot: DataFrame) -> DataFrame:
+    """``words`` with every salt of its common ones."""
+    marks = F.broadcast(hot.select("word", F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts")))
+    return words.join(marks, "word", "left").withColumn("salt", F.explode(F.coalesce("salts", F.array(F.lit(0))))).drop("salts")
+
+
+class Model(NamedTuple):
+    counts: DataFrame  # (u, v, w, n) of the 3-grams
+    words: DataFrame  # (word, p1, off, total, pairs): its probability, as a context its discounts and total, its pairs
+    hot: DataFrame  # (word) in many pairs
+    d2: list[float]
+    d3: list[float]
+    unseen: float  # log2 probability of a word not seen
+    end: float  # of the end of the text, less that
+    slices: int
+
+
+def fit(counts: list[DataFrame]) -> Model | None:
+    """Counts of counts and the probabilities of single words. All pairs of a word v are in one
+    of the ``counts``."""
+    r3, r2, sides = Counter(), Counter(), None
+    for found in counts:
+        r3.update(found.agg(F.count("*").alias("rows"), *counted("n")).first().asDict())
+        seen = Observation()
+        pairs = found.groupBy("v", "w").agg(F.count("*").alias("c")).observe(seen, F.count("*").alias("rows"), *counted("c"))
+        none = F.lit(0).cast("long")
+        # each pair counts for its last word and, with its count, for its first
+        both = F.array(F.struct(F.col("w").alias("word"), none.alias("c"), F.lit(1).alias("last")),
+                       F.struct(F.col("v").alias("word"), F.col("c").alias("c"), F.lit(0).alias("last")))
+        sums = pairs.select(F.explode(both).alias("s")).select("s.*").groupBy("word").agg(
+            F.sum("last").alias("n"), F.sum("c").alias("total"), *[F.count_if(x).alias(f"x{i}") for i, x in enumerate((F.col("c") == 1, F.col("c") == 2, F.col("c") > 2), 1)])
+        sums = materialise(sums, "kn-sides")
+        r2.update(seen.get)
+        release(found.sparkSession)
+        sides = sums if sides is None else sides.unionByName(sums)
+    if not r3["rows"]:
         return None
-    unseen = t[1] / t[0] / (t[2] + 1)  # the vocabulary and one unknown word share the discounts
-    words = words.select("w", ((F.col("c") - taken("c", d1)) / t[0] + unseen).alias("p1"))
-    ends = pairs.groupBy("v").agg(F.sum("c").alias("total"), F.sum(taken("c", d2)).alias("off"))
+    columns = ("n", "total", "x1", "x2", "x3")
+    words = materialise(sides.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]), "kn-words")
+    r1 = words.agg(F.sum("n").alias("all"), F.count_if(F.col("n") > 0).alias("kinds"), *counted("n")).first()
+    d1, d2, d3 = discounts(r1), discounts(r2), discounts(r3)
+    off = words.where("n > 0").agg(F.sum(taken("n", d1))).first()[0]
+    unseen = off / r1["all"] / (r1["kinds"] + 1)  # the vocabulary and one unknown word share the discounts
+    after = F.col("x1") + F.col("x2") + F.col("x3")
+    words = words.select("word", F.when(F.col("n") > 0, (F.col("n") - taken("n", d1)) / r1["all"] + unseen).alias("p1"),
+                         (d2[0] * F.col("x1") + d2[1] * F.col("x2") + d2[2] * F.col("x3")).alias("off"), "total", F.greatest("n", after).alias("pairs"))
+    words = materialise(words, "kn-p1")
+    end = words.where(F.col("word") == int(END.astype(np.int64))).first()["p1"]
+    table = counts[0]
+    for found in counts[1:]:
+        table = table.unionByName(found)
+    # at most 2 / HOT_PAIRS words, at any size
+    hot = words.where(F.col("pairs") >= max(r2["rows"] * HOT_PAIRS, HOT_LEAST)).select("word")
+    return Model(table, words, hot, d2, d3, float(np.log2(unseen)), float(np.log2(end / unseen)), as_many(r3["rows"], SLICE_ROWS, SLICES))
+
+
+def weights(m: Model, part: int) -> DataFrame:
+    """(k, weight) of the n-grams of one slice of the words v.
+
+    With G(c) the log2 of a context's back-off weight, log2 p(w | u v) is the log2 of the
+    probability of an unseen word, plus that of w less that (the weight of w as the last word)
+    and the weights of
+      (v):      G(v), and its weight as the last word;
+      (. v w):  log2 p(w | v) - G(v) - log2 p(w);
+      (u v .):  G(u v);
+      (u v w):  log2 p(w | u v) - G(u v) - log2 p(w | v)
+    summed over a text: each v but the mark before it was the last word once."""
+    counts = m.counts.where(F.pmod("v", F.lit(m.slices)) == part)
+    pairs = counts.groupBy("v", "w").agg(F.count("*").alias("c"))
     # a common word has many pairs: both joins are salted
-    p2 = salted(pairs, "v").join(copied(words), ["w", "salt"]).drop("salt")
-    p2 = salted(p2, "w").join(copied(ends), ["v", "salt"])
+    last = copied(m.words.select("word", "p1"), m.hot).withColumnRenamed("word", "w")
+    p2 = salted(pairs, "w", "v", m.hot).join(last.hint("merge"), ["w", "salt"]).drop("salt")
+    first = m.words.where(F.pmod("word", F.lit(m.slices)) == part)
+    contexts = copied(first.select("word", "off", "total"), m.hot).withColumnRenamed("word", "v")
+    p2 = salted(p2, "v", "w", m.hot).join(contexts.hint("merge"), ["v", "salt"])
     back = F.col("off") / F.col("total") * F.col("p1")
-    p2 = materialise(p2.select("v", "w", ((F.col("c") - taken("c", d2)) / F.col("total") + back).cast("float").alias("p2"), back.cast("float").alias("back")), "kn-p2", **WORDS)
-    contexts = counts.groupBy("u", "v").agg(F.sum("n").alias("total"), F.sum(taken("n", d3)).alias("off"))
+    p2 = p2.select("v", "w", ((F.col("c") - taken("c", m.d2)) / F.col("total") + back).alias("p2"), back.alias("back"))
+    contexts = counts.groupBy("u", "v").agg(F.sum("n").alias("total"), F.sum(taken("n", m.d3)).alias("off"))
     p3 = counts.join(contexts.drop("total").hint("merge"), ["u", "v"]).join(p2.select("v", "w", "p2").hint("merge"), ["v", "w"])
 
-    def part(df: DataFrame, weight: Column, *gram: str) -> DataFrame:
-        keys = [F.lit(int(NONE)).cast("long")] * (3 - len(gram)) + [F.col(c) for c in gram]
-        return df.select(*[k.alias(c) for k, c in zip(keys, "uvw")], weight.alias("weight"))
-
-    low = (part(words, F.log2(F.col("p1") / unseen), "w")
-           .unionByName(part(ends, F.log2(F.col("off") / F.col("total")), "v"))
-           .unionByName(part(p2, F.log2(F.col("p2") / F.col("back")), "v", "w"))
-           .unionByName(part(contexts, F.log2(F.col("off") / F.col("total")), "u", "v")))
-    low = low.groupBy("u", "v", "w").agg(F.sum("weight").alias("weight"))
-    high = part(p3, F.log2(1 + (F.col("n") - taken("n", d3)) / F.col("off") / F.col("p2")), "u", "v", "w")
-    table = low.unionByName(high).select(gram_slice().alias("slice"), gram_key().alias("k"), F.col("weight").cast("float").alias("weight"))
-    return materialise(table, "kn-weights"), float(np.log2(unseen))
+    def rows(df: DataFrame, weight: Column, *gram: str) -> DataFrame:
+        return df.select(gram_key(*[F.col(c) if c in gram else F.lit(0).cast("long") for c in "uvw"]).alias("k"), weight.alias("weight"))
 
+    single = F.coalesce(F.log2(F.col("p1")) - m.unseen, F.lit(0.0)) + F.coalesce(F.log2(F.when(F.col("total") > 0, F.col("off") / F.col("total"))), F.lit(0.0))
+    return (rows(first.withColumnRenamed("word", "v"), single, "v")
+            .unionByName(rows(p2, F.log2(F.col("p2") / F.col("back")), "v", "w"))
+            .unionByName(rows(contexts, F.log2(F.col("off") / F.col("total")), "u", "v"))
+            .unionByName(rows(p3, F.log2(1 + (F.col("n") - taken("n", m.d3)) / F.col("off") / F.col("p2")), "u", "v", "w")))
 
-def gram_slice() -> Column:
-    return F.col("u").bitwiseXOR(F.col("v")).bitwiseXOR(F.col("w")).bitwiseAND(F.lit(SLICES - 1)).cast("int")
 
+def gram_key(*columns: Column | str) -> Column:
+    return F.xxhash64(*(columns or ("u", "v", "w")))
 
-def gram_key() -> Column:
-    return F.xxhash64("u", "v", "w")
 
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float] | None:
-    """The table of weights and the log2 probability of an unseen word."""
-    small_batches(docs.sparkSession, 250)
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Counts of the trusted documents, one slice of the words after the other."""
+    spark = docs.sparkSession
+    small_batches(spark, 250)
     ids = trusted(labels, key)
     ids = ids.where(~held_out("__k"))
     # labels grow with the corpus, so they are never broadcast: one plan at every size
     texts = docs.select(F.col(key).alias("__k"), F.col(text_col).alias("text")).join(ids.hint("merge"), "__k", "left_semi")
-    with filtered_join(docs.sparkSession):
-        counts = materialise(count_grams(texts, "text"), "kn-counts", **WORDS)
-    return weights(counts)
-
-
-@contextmanager
-def filtered_join(spark: SparkSession) -> Iterator[None]:
-    """Spark's own Bloom filter of the join's ids, at any size of table, so that few texts without
-    a label are shuffled."""
-    prefix = "spark.sql.optimizer.runtime.bloomFilter."
-    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1t"}
-    before = {k: spark.conf.get(prefix + k) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(prefix + k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(prefix + k, v)
+    parts, counts = as_many(ids.count(), SLICE_TEXTS, 4), []
+    for part in range(parts):
+        counts.append(materialise(count_grams(texts, "text", part, parts), "kn-counts", **WORDS))
+        release(spark)
+    return fit(counts)
 
 
 def trusted(labels: DataFrame, key: str) -> DataFrame:
@@ -204,26 +254,20 @@ def held_out(key: str) -> Column:
     return crc_mod(key, HELD_OUT) == 0
 
 
-def document_grams(texts: list[str | None], part: int | None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(place of the text, u, v, w, hash, count) of the n-grams of each text, words and pairs
-    included, all or those of one slice."""
+def document_grams(texts: list[str | None], part: int = 0, parts: int = 1) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place of the text, u, v, w, hash, count) of the n-grams of each text in one slice of the
+    words v, shorter ones included."""
     for a, b in slices(texts):
         found = [(i, s) for i in range(a, b) if (s := sequence(texts[i])) is not None]
         if not found:
             continue
         s = np.concatenate([x for _, x in found])
         doc = np.repeat(np.array([i for i, _ in found]), [len(x) for _, x in found])
-        kinds = []
-        for order in (1, 2, 3):
-            # a text's first mark is no word of its own, but every pair and 3-gram counts
-            ends = np.arange(max(order - 1, 1), len(s))
-            ends = ends[doc[ends] == doc[ends - max(order - 1, 1)]]
-            u, v, w = (s[ends - back] if back < order else np.full(len(ends), NONE) for back in (2, 1, 0))
-            if part is not None:
-                mine = (u ^ v ^ w) % _U(SLICES) == part
-                ends, u, v, w = ends[mine], u[mine], v[mine], w[mine]
-            kinds.append((doc[ends], u, v, w))
-        d, u, v, w = (np.concatenate(x) for x in zip(*kinds))
+        at = np.flatnonzero(doc[2:] == doc[:-2])
+        at = at[in_slice(s[at + 1], part, parts)]
+        u, v, w, none = s[at], s[at + 1], s[at + 2], np.full(len(at), NONE)
+        u, v, w = (np.concatenate(x) for x in ((u, none, u, none), (v, v, v, v), (w, w, none, none)))
+        d = np.tile(doc[at], 4)
         key = combined(u, v, w)
         _, first, n = np.unique(combined(key, d.astype(_U)), return_index=True, return_counts=True)
         order = np.argsort(d[first], kind="stable")  # rows of a text together
@@ -236,7 +280,7 @@ def common_grams(rows: DataFrame) -> list[tuple[int, int, int, int]]:
     are only salted, so the result does not depend on the sample."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, u, v, w, key, _ in document_grams(batch.column(1).to_pylist(), None):
+            for _, u, v, w, key, _ in document_grams(batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays([signed(x) for x in (key, u, v, w)], names=["key", "u", "v", "w"])
 
     some = rows.where(F.pmod(F.xxhash64("rid", F.lit(3)), F.lit(HOT_SAMPLE)) == 0)
@@ -245,36 +289,39 @@ def common_grams(rows: DataFrame) -> list[tuple[int, int, int, int]]:
     return sorted(tuple(r)[:4] for r in found.collect())
 
 
-def weight_sums(rows: DataFrame, table: DataFrame) -> DataFrame:
+def weight_sums(rows: DataFrame, model: Model) -> DataFrame:
     """(rid, bits): the weights of all n-grams of the rows of each ``rid``, summed."""
     spark = rows.sparkSession
     hot = common_grams(rows)
     shared = spark.sparkContext.broadcast(np.array([r[0] for r in hot], dtype=np.int64))
+    marks = spark.createDataFrame([r[1:] for r in hot], "u long, v long, w long").select(gram_key().alias("k"), F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts"))
+    marks = F.broadcast(marks)
 
     def asked(part: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             common = shared.value
             for batch in batches:
                 rids = batch.column(0).to_numpy()
-                for d, u, v, w, key, n in document_grams(batch.column(1).to_pylist(), part):
+                for d, u, v, w, key, n in document_grams(batch.column(1).to_pylist(), part, parts):
                     rid = rids[d]
                     salt = np.where(np.isin(key.view(np.int64), common), rid % SALTS, 0)
                     yield pa.RecordBatch.from_arrays([pa.array(rid), *map(signed, (u, v, w)), pa.array(salt), pa.array(n.astype(np.int32))],
                                                      names=["rid", "u", "v", "w", "salt", "n"])
 
+        parts = model.slices
         grams = rows.mapInArrow(run, "rid long, u long, v long, w long, salt long, n int")
         return grams.select("rid", gram_key().bitwiseXOR(F.col("salt")).alias("k"), "n")
 
-    marks = spark.createDataFrame([r[1:] for r in hot], "u long, v long, w long").select(gram_key().alias("k"), F.sequence(F.lit(0), F.lit(SALTS - 1)).alias("salts"))
-    known = table.join(F.broadcast(marks), "k", "left").select(
-        "slice", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt"), "k", "weight").select(
-        "slice", F.col("k").bitwiseXOR(F.col("salt").cast("long")).alias("k"), "weight")
     sums = None
-    for part in range(SLICES):
-        found = asked(part).join(known.where(F.col("slice") == part).drop("slice").hint("merge"), "k")
-        found = materialise(found.groupBy("rid").agg(F.sum(F.col("n") * F.col("weight").cast("double")).alias("bits")), f"kn-sums{part}")
+    for part in range(model.slices):
+        known = weights(model, part).join(marks, "k", "left").select("k", "weight", F.explode(F.coalesce("salts", F.array(F.lit(0)))).alias("salt"))
+        # whole units: their sum does not depend on the order
+        known = known.select(F.col("k").bitwiseXOR(F.col("salt").cast("long")).alias("k"), F.round(F.col("weight") * UNIT).cast("long").alias("weight"))
+        found = asked(part).join(known.hint("merge"), "k").groupBy("rid").agg(F.sum(F.col("n") * F.col("weight")).alias("units"))
+        found = materialise(found, f"kn-sums{part}")
+        release(spark)
         sums = found if sums is None else sums.unionByName(found)
-    return sums.groupBy("rid").agg(F.sum("bits").alias("bits"))
+    return sums.groupBy("rid").agg((F.sum("units") / UNIT).alias("bits"))
 
 
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -284,7 +331,7 @@ def row_id(key: str, text_col: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text_col))
 
 
-def perplexity(docs: DataFrame, table: DataFrame, unseen: float, key: str, text_col: str, lang_col: str) -> DataFrame:
+def perplexity(docs: DataFrame, model: Model, key: str, text_col: str, lang_col: str) -> DataFrame:
     """(rid, key, lang, n, words, bits) of every row: bits is the negative log2 probability of
     ``words`` words (the end of the text is one); null without text."""
     small_batches(docs.sparkSession, 250)
@@ -298,12 +345,12 @@ def perplexity(docs: DataFrame, table: DataFrame, unseen: float, key: str, text_
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(row_id(key, text_col).alias("rid"), F.col(key).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = materialise(src.mapInArrow(run, f"rid long, key {kind}, lang string, n long, words long"), "kn-rows")
-    sums = weight_sums(src.select("rid", "text"), table)
+    sums = weight_sums(src.select("rid", "text"), model)
     # rows of one id and text were summed together
     each = rows.groupBy("rid").agg(F.count("*").alias("copies")).join(sums.hint("merge"), "rid", "left")
     each = each.select("rid", (F.coalesce("bits", F.lit(0.0)) / F.col("copies")).alias("sum"))
     return rows.join(each.hint("merge"), "rid").select(
-        "rid", "key", "lang", "n", "words", F.when(F.col("words") > 0, -(F.col("words") * F.lit(unseen) + F.col("sum"))).alias("bits"))
+        "rid", "key", "lang", "n", "words", F.when(F.col("words") > 0, -(F.col("words") * F.lit(model.unseen) + model.end + F.col("sum"))).alias("bits"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, key: str, text_col: str, lang_col: str, quantile: float, slack: float) -> DataFrame | None:
@@ -311,7 +358,7 @@ def judged(docs: DataFrame, labels: DataFrame, key: str, text_col: str, lang_col
     model = train(docs, labels, key, text_col)
     if model is None:
         return None
-    scored = materialise(perplexity(docs, *model, key, text_col, lang_col), "kn-bits")
+    scored = materialise(perplexity(docs, model, key, text_col, lang_col), "kn-bits")
     known = scored.where(F.col("bits").isNotNull()).join(trusted(labels, key).withColumnRenamed("__k", "key").hint("merge"), "key", "left_semi")
     known = materialise(known.withColumn("out", held_out("key")), "kn-trusted")
     if not known.where("out").isEmpty():

@@ -364,15 +364,19 @@ class BruteKneserNey:
         return -sum(np.log2(self.p(g)) for g in zip(s, s[1:], s[2:]))
 
 
-def test_kneser_ney_is_a_distribution(spark):
+def test_kneser_ney_is_a_distribution(spark, monkeypatch):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    table, unseen = kn_quality.train(docs, labels)
+    monkeypatch.setattr(kn_quality, "SLICE_ROWS", 10_000)
+    monkeypatch.setattr(kn_quality, "SLICE_TEXTS", 30)
+    monkeypatch.setattr(kn_quality, "HOT_LEAST", 50)
+    model = kn_quality.train(docs, labels)
+    assert model.slices > 1 and model.hot.count()
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
     brute = BruteKneserNey([t for d, t in documents() if d in good and zlib.crc32(str(d).encode()) % kn_quality.HELD_OUT])
     for context in list(brute.counts[3])[::4999]:
         assert abs(sum(brute.p((*context[:2], w)) for w in [*brute.words, "an unknown word"]) - 1) < 1e-9
-    assert abs(2 ** unseen - brute.p(("an unknown word",))) < 1e-12
-    got = by_id(kn_quality.perplexity(docs, table, unseen, "doc_id", "text", "lang").withColumnRenamed("key", "doc_id"))
+    assert abs(2 ** model.unseen - brute.p(("an unknown word",))) < 1e-12
+    got = by_id(kn_quality.perplexity(docs, model, "doc_id", "text", "lang").withColumnRenamed("key", "doc_id"))
     for d, text in documents():
         assert got[d]["words"] == len(brute.marked(text)) - 2 and got[d]["n"] == len(text)
         assert got[d]["bits"] == pytest.approx(brute.bits(text), rel=1e-5)
@@ -407,7 +411,7 @@ def test_salted_ngrams_leave_sums_alone(spark, monkeypatch):
         model = kn_quality.train(docs, labels)
         src = docs.select(kn_quality.row_id("doc_id", "text").alias("rid"), "text")
         assert bool(kn_quality.common_grams(src)) == (sample == 1)
-        sums.append({r["rid"]: round(r["bits"], 6) for r in kn_quality.weight_sums(src, model[0]).collect()})
+        sums.append({r["rid"]: round(r["bits"], 6) for r in kn_quality.weight_sums(src, model).collect()})
     assert sums[0] == pytest.approx(sums[1])
 
 
