@@ -36,7 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import crc_mod, materialise, mix64, release, slices, small_batches, utf8, word_hashes
 
@@ -111,9 +111,9 @@ def as_many(rows: int, each: int, most: int) -> int:
     return min(max(rows // each, 1), most)
 
 
-def counted(col: str) -> list[Column]:
+def counted(col: str, name: str = "n") -> list[Column]:
     """How many n-grams are seen once to four times."""
-    return [F.count_if(F.col(col) == i).alias(f"n{i}") for i in range(1, 5)]
+    return [F.count_if(F.col(col) == i).alias(f"{name}{i}") for i in range(1, 5)]
 
 
 def discounts(r: Mapping[str, int]) -> list[float]:
@@ -157,32 +157,30 @@ class Model(NamedTuple):
 def fit(counts: list[DataFrame]) -> Model | None:
     """Counts of counts and the probabilities of single words. All pairs of a word v are in one
     of the ``counts``."""
-    r3, r2, sides = Counter(), Counter(), None
+    r3, sides = Counter(), None
     for found in counts:
         r3.update(found.agg(F.count("*").alias("rows"), *counted("n")).first().asDict())
-        seen = Observation()
-        pairs = found.groupBy("v", "w").agg(F.count("*").alias("c")).observe(seen, F.count("*").alias("rows"), *counted("c"))
+        pairs = found.groupBy("v", "w").agg(F.count("*").alias("c"))
         none = F.lit(0).cast("long")
         # each pair counts for its last word and, with its count, for its first
         both = F.array(F.struct(F.col("w").alias("word"), none.alias("c"), F.lit(1).alias("last")),
                        F.struct(F.col("v").alias("word"), F.col("c").alias("c"), F.lit(0).alias("last")))
         sums = pairs.select(F.explode(both).alias("s")).select("s.*").groupBy("word").agg(
-            F.sum("last").alias("n"), F.sum("c").alias("total"), *[F.count_if(x).alias(f"x{i}") for i, x in enumerate((F.col("c") == 1, F.col("c") == 2, F.col("c") > 2), 1)])
+            F.sum("last").alias("n"), F.sum("c").alias("total"), F.count_if(F.col("c") > 0).alias("after"), *counted("c", "x"))
         sums = materialise(sums, "kn-sides")
-        r2.update(seen.get)
         release(found.sparkSession)
         sides = sums if sides is None else sides.unionByName(sums)
     if not r3["rows"]:
         return None
-    columns = ("n", "total", "x1", "x2", "x3")
+    columns = ("n", "total", "after", "x1", "x2", "x3", "x4")
     words = materialise(sides.groupBy("word").agg(*[F.sum(c).alias(c) for c in columns]), "kn-words")
     r1 = words.agg(F.sum("n").alias("all"), F.count_if(F.col("n") > 0).alias("kinds"), *counted("n")).first()
+    r2 = words.agg(F.sum("after").alias("rows"), *[F.sum(f"x{i}").alias(f"n{i}") for i in range(1, 5)]).first()
     d1, d2, d3 = discounts(r1), discounts(r2), discounts(r3)
     off = words.where("n > 0").agg(F.sum(taken("n", d1))).first()[0]
     unseen = off / r1["all"] / (r1["kinds"] + 1)  # the vocabulary and one unknown word share the discounts
-    after = F.col("x1") + F.col("x2") + F.col("x3")
     words = words.select("word", F.when(F.col("n") > 0, (F.col("n") - taken("n", d1)) / r1["all"] + unseen).alias("p1"),
-                         (d2[0] * F.col("x1") + d2[1] * F.col("x2") + d2[2] * F.col("x3")).alias("off"), "total", F.greatest("n", after).alias("pairs"))
+                         (d2[0] * F.col("x1") + d2[1] * F.col("x2") + d2[2] * (F.col("after") - F.col("x1") - F.col("x2"))).alias("off"), "total", F.greatest("n", "after").alias("pairs"))
     words = materialise(words, "kn-p1")
     end = words.where(F.col("word") == int(END.astype(np.int64))).first()["p1"]
     table = counts[0]
@@ -210,8 +208,8 @@ def weights(m: Model, part: int) -> DataFrame:
     last = copied(m.words.select("word", "p1"), m.hot).withColumnRenamed("word", "w")
     p2 = salted(pairs, "w", "v", m.hot).join(last.hint("merge"), ["w", "salt"]).drop("salt")
     first = m.words.where(F.pmod("word", F.lit(m.slices)) == part)
-    contexts = copied(first.select("word", "off", "total"), m.hot).withColumnRenamed("word", "v")
-    p2 = salted(p2, "v", "w", m.hot).join(contexts.hint("merge"), ["v", "salt"])
+    before = copied(first.select("word", "off", "total"), m.hot).withColumnRenamed("word", "v")
+    p2 = salted(p2, "v", "w", m.hot).join(before.hint("merge"), ["v", "salt"])
     back = F.col("off") / F.col("total") * F.col("p1")
     p2 = p2.select("v", "w", ((F.col("c") - taken("c", m.d2)) / F.col("total") + back).alias("p2"), back.alias("back"))
     contexts = counts.groupBy("u", "v").agg(F.sum("n").alias("total"), F.sum(taken("n", m.d3)).alias("off"))
