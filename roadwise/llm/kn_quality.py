@@ -4,17 +4,19 @@ The model is over words (``[^\\x20\\x09-\\x0D]+``, A-Z lowered, hashed to 64 bit
 vocabulary) in 3-grams, with two marks before a text and one after it. It is learned from the
 trusted documents (label 1), but for one in ``HELD_OUT``, and stays in tables:
 
-* each task counts the 3-grams of its documents, and the counts are added up by 3-gram;
-* lower orders take continuation counts (how many words precede an n-gram), the three
-  discounts of an order come from its counts of counts, and each order's probabilities are a
-  join of its counts with its context totals and with the order below;
-* the log probability of a text is a sum of weights, one for each of its n-grams (``weights``; an
-  n-gram not seen weighs nothing), so a document's perplexity is its n-gram counts joined with
-  the weights and summed. An n-gram belongs to the slice of its middle word, and weights and
-  join are made one slice after the other, so that a slice alone is on disk; n-grams common in
-  documents are salted.
-
-Only the discounts, totals and the list of salted n-grams reach the driver.
+* a 3-gram belongs to the shard of its middle word (``Layout``); a common middle word is dealt over
+  several by the word before. Tasks send the 3-grams of their texts to the shards as compressed
+  columns, one row for a task and shard, and each shard adds up its counts;
+* lower orders take continuation counts (how many words precede an n-gram). Those of pairs are
+  in the shard of their first word, those of single words come from an exchange between the
+  shards by word (``ends``, ``answered``); pairs of a common word are added up over its shards. The
+  three discounts of an order come from its counts of counts;
+* the log probability of a text is a sum of weights, one for each of its n-grams (``Weights``; an
+  n-gram not seen weighs nothing). A document's 3-grams meet the counts in their shard, which looks
+  up the weights of all orders and returns sums per document. This is done one slice of the shards after
+  the other, so that the 3-grams of a slice alone are on disk.
+
+Only the counts of counts, and common words of a sample, reach the driver.
 
 A document is kept when its perplexity is at most ``slack`` times the ``quantile`` of the
 perplexities of the held-out trusted documents in its language (languages without any use all
@@ -35,7 +37,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import crc_mod, materialise, mix64, release, small_batches, utf8, word_hashes
@@ -43,8 +44,8 @@ from .common import crc_mod, materialise, mix64, release, small_batches, utf8, w
 QUANTILE, SLACK = 0.99, 1.25
 PRIOR_WORDS = 8
 HELD_OUT = 10
-SHARD_CHARS, MIN_SHARDS, SLICES = 16_000_000, 12, 3
-SLICE_ROWS, SLICE_TEXTS = 400_000, 3_000  # in a slice of a small table, at least: 3-grams of the model, trusted texts
+SHARD_CHARS, MIN_SHARDS, SLICES = 16_000_000, 12, 4
+SLICE_ROWS, SLICE_TEXTS = 400_000, 3_000  # in a slice of a small table, at least: words, trusted texts
 UNIT = 1 << 24  # of a bit
 CHUNK = 2_000_000  # words dealt together by a task
 HOT_SAMPLE, HOT_LEAST = 64, 1000  # one text in so many is looked at; words in a sample too small to tell
@@ -54,7 +55,7 @@ BITMAP, BITMAPS = 1 << 15, 1 << 11  # bits of a bitmap, and how many at most (8
 
 _U = np.uint64
 START, END = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
-COUNTS, FACTS, PAIRS, ASKED = range(4)  # kinds of blocks
+COUNTS, PAIRS, ASKED, ENDS, PAIR_ENDS, SUMS = range(6)  # kinds of blocks
 BLOCK = "shard int, kind int, data binary"
 _NAMES = ["shard", "kind", "data"]
 
@@ -173,8 +174,8 @@ class Layout(NamedTuple):
         first = int(mix64(self.common[i:i + 1])[0])
         return sorted({(first + k) % 2 ** 64 % self.shards for k in range(int(self.spread[i]))})
 
-    def common_in(self, shard: int) -> np.ndarray:
-        return self.common[[i for i in range(len(self.common)) if shard in self.places(i)]]
+    def buckets(self, words: np.ndarray) -> np.ndarray:
+        return (mix64(words + START) % _U(self.shards)).astype(np.int32)
 
 
 def as_many(rows: int, each: int, most: int) -> int:
@@ -206,22 +207,7 @@ def layout(rows: DataFrame, texts: int) -> Layout:
     least = min(HOT_LEAST, total / 100)
     hot = sorted((w, min(int(np.ceil(n / total * shards / HOT_SHARE)), shards)) for w, n in known.items() if n >= max(least, total * HOT_SHARE / shards))
     hot = [(w, k) for w, k in hot if k > 1 and w != int(END)]
-    return Layout(shards, as_many(texts, SLICE_TEXTS, SLICES), *(np.array(x, dtype=_U) for x in ([w for w, _ in hot], [k for _, k in hot], sorted(known))))
-
-
-class Numbers(dict):
-    """Numbers of words in the order in which they are met; the marks are first."""
-
-    def __init__(self):
-        super().__init__({False: 0, True: 1})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-    def hashes(self) -> np.ndarray:
-        words = list(self)[2:]
-        return np.concatenate([[START, END], np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=_U, count=len(words))])
+    return Layout(shards, as_many(texts, SLICE_TEXTS, as_many(chars // 6, SLICE_ROWS, SLICES)), *(np.array(x, dtype=_U) for x in ([w for w, _ in hot], [k for _, k in hot], sorted(known))))
 
 
 class Piece(NamedTuple):
@@ -235,25 +221,20 @@ def pieces(texts: Iterator[tuple[int, str | None]]) -> Iterator[Piece]:
     """About ``CHUNK`` words together; a long text is cut into pieces that share two words, so that each
     3-gram is in one."""
     found: list[tuple[int, np.ndarray]] = []
-    size, numbers = 0, Numbers()
+    size = 0
 
     def joined() -> Piece:
-        hashes, place = np.unique(numbers.hashes(), return_inverse=True)
-        ids = place[np.concatenate([x for _, x in found])].astype(np.int32)
-        return Piece(np.array([r for r, _ in found], dtype=np.int64), hashes, ids, np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for _, x in found]))
+        hashes, ids = np.unique(np.concatenate([s for _, s in found]), return_inverse=True)
+        return Piece(np.array([r for r, _ in found], dtype=np.int64), hashes, ids.astype(np.int32), np.repeat(np.arange(len(found), dtype=np.int32), [len(s) for _, s in found]))
 
     for rid, text in texts:
-        words = utf8(text).lower().split()
-        if not words or text.isspace():
-            continue
-        words = [False, False, *words, True]
-        for a in range(0, len(words) - 2, CHUNK):
-            some = words[a:a + CHUNK + 2]
-            found.append((rid, np.fromiter(map(numbers.__getitem__, some), dtype=np.int32, count=len(some))))
-            size += len(some)
+        s = sequence(text)
+        for a in range(0, len(s) - 2 if s is not None else 0, CHUNK):
+            found.append((rid, s[a:a + CHUNK + 2]))
+            size += len(found[-1][1])
             if size >= CHUNK:
                 yield joined()
-                found, size, numbers = [], 0, Numbers()
+                found, size = [], 0
     if found:
         yield joined()
 
@@ -318,11 +299,6 @@ def count_grams(texts: DataFrame, text_col: str, lay: Layout) -> DataFrame:
 
 # --------------------------------------------------------------------------- model
 
-def counted(col: str, name: str = "n") -> list[Column]:
-    """How many n-grams are seen once to four times."""
-    return [F.count_if(F.col(col) == i).alias(f"{name}{i}") for i in range(1, 5)]
-
-
 def discounts(r: Mapping[str, int]) -> list[float]:
     """D1, D2, D3+ from the numbers of n-grams seen once to four times."""
     n = [float(r[f"n{i}"]) for i in range(1, 5)]
@@ -333,10 +309,6 @@ def discounts(r: Mapping[str, int]) -> list[float]:
     return [min(max(x, 0.1), float(i)) for i, x in zip((1, 2, 3), d)]
 
 
-def taken(col: str, d: list[float]) -> Column:
-    return F.when(F.col(col) == 1, d[0]).when(F.col(col) == 2, d[1]).otherwise(d[2])
-
-
 class Model(NamedTuple):
     blocks: DataFrame  # (shard, kind, data): counts of the 3-grams, facts of their words, pairs of common words
     hot: DataFrame  # (word) dealt over several shards
@@ -350,29 +322,73 @@ class Model(NamedTuple):
     slices: int
 
 
-SIDES = ("n", "total", "after", "x1", "x2", "x3", "x4")
-FACT = SIDES[:5]
+def pairs_of(data: bytes, lay: Layout) -> tuple[np.ndarray, ...]:
+    """words, v, w, c, n: pairs of a block with the words before them, whether their word is common, 3-grams."""
+    words, _, v, w, n = grams_of(data, lay.known)
+    first = starts(v, w)
+    v, w = v[first], w[first]
+    return words, v, w, np.diff(first, append=len(n)), found_at(lay.common, words)[1][v], n
+
+
+def counts_of_counts(n: np.ndarray) -> list[int]:
+    return [int(np.count_nonzero(n == i)) for i in range(1, 5)]
 
 
-def sides(counts: DataFrame, lay: Layout) -> DataFrame:
-    """(shard, word, n, ...): of each word of a shard, the pairs that it ends, and of those that it begins the sum
-    and the numbers of them; without the pairs of common words. A row without a word has the 3-grams."""
+def ends(blocks: DataFrame, lay: Layout) -> DataFrame:
+    """(bucket, shard, kind, data): of the words of each shard those of a bucket, with the pairs that each
+    ends; those of common words are told with one shard of theirs. SUMS: of 3-grams and of pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words, u, v, w, n = grams_of(data, lay.known)
-                first = starts(v, w)
-                c = np.diff(first, append=len(v))
-                v, w = v[first], w[first]
-                own = ~found_at(lay.common, words[v])[1]
-                v, w, c, size = v[own], w[own], c[own], len(words)
-                cols = [np.bincount(w, minlength=size), np.bincount(v, c, size).astype(np.int64), np.bincount(v, minlength=size), *(np.bincount(v[c == i], minlength=size) for i in range(1, 5))]
-                tail = [0, 0, len(n), *(np.count_nonzero(n == i) for i in range(1, 5))]
-                arrays = [pa.concat_arrays([signed(words), pa.nulls(1, pa.int64())])]
-                arrays += [pa.array(np.append(x, t).astype(np.int64)) for x, t in zip(cols, tail)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(size + 1, shard, np.int32)), *arrays], names=["shard", "word", *SIDES])
-
-    return counts.select("shard", "data").mapInArrow(run, "shard int, word long, " + ", ".join(f"{c} long" for c in SIDES))
+            for shard, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+                out = []
+                if kind == COUNTS:
+                    words, v, w, c, hot, n = pairs_of(data, lay)
+                    times = np.bincount(w[~hot], minlength=len(words))
+                    out.append((shard, shard, SUMS, block(np.array([len(n), *counts_of_counts(n), *counts_of_counts(c[~hot])]))))
+                    kind = ENDS
+                else:
+                    v, w, c, told = columns_of(data)
+                    words = np.unique(np.concatenate([v, w]))
+                    times = np.bincount(np.searchsorted(words, w[told == 1]), minlength=len(words))
+                    out.append((shard, shard, SUMS, block(np.array([0] * 5 + counts_of_counts(c[told == 1])))))
+                    kind = PAIR_ENDS
+                bucket = lay.buckets(words)
+                order = np.argsort(bucket, kind="stable")
+                edge = [*starts(bucket[order]), len(order)]
+                known = lay.words(words)
+                for a, b in zip(edge, edge[1:]):
+                    i = order[a:b]
+                    usual = known.known[i]
+                    out.append((int(bucket[i[0]]), shard, kind, block(steps(known.at[i[usual]]), np.diff(words[i[~usual]], prepend=_U(0)), times[i].astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["bucket", *_NAMES])
+
+    return blocks.mapInArrow(run, "bucket int, " + BLOCK)
+
+
+def answered(asked: DataFrame, lay: Layout) -> DataFrame:
+    """(shard, kind, data): for each block of ``ends`` its bucket and the sums over all shards. SUMS: those of a
+    bucket, with distinct pairs, words and counts of counts, and the pairs that the end of a text ends."""
+    def run(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table[c].to_pylist() for c in ("bucket", *_NAMES))))
+        out, found = [], []
+        for bucket, shard, kind, data in rows:
+            if kind == SUMS:
+                out.append((shard, SUMS, block(np.concatenate([columns_of(data)[0], np.zeros(7, np.int64)]))))
+            else:
+                at, other, times = columns_of(data)
+                found.append((shard, kind, np.sort(np.concatenate([lay.known[np.cumsum(at, dtype=np.uint32)], np.cumsum(other, dtype=_U)])), times))
+        if found:
+            words = np.unique(np.concatenate([x[2] for x in found]))
+            total = np.zeros(len(words), np.int64)
+            places = [np.searchsorted(words, x[2]) for x in found]
+            for at, (_, _, _, times) in zip(places, found):
+                total[at] += times
+            out += [(shard, kind, block(np.array([rows[0][0]]), total[at].astype(np.uint32))) for at, (shard, kind, _, _) in zip(places, found)]
+            own = total[words == END].sum()
+            out.append((rows[0][0], SUMS, block(np.array([0] * 9 + [total.sum(), np.count_nonzero(total), *counts_of_counts(total), own]))))
+        return pa.Table.from_batches([batch_of(out)])
+
+    return asked.groupBy("bucket").applyInArrow(run, BLOCK)
 
 
 def common_pairs(counts: DataFrame, lay: Layout) -> DataFrame:
@@ -380,62 +396,41 @@ def common_pairs(counts: DataFrame, lay: Layout) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                words, _, v, w, _ = grams_of(data, lay.known)
-                first = starts(v, w)
-                c = np.diff(first, append=len(v))
-                v, w = words[v[first]], words[w[first]]
-                hot = found_at(lay.common, v)[1]
+                words, v, w, c, hot, _ = pairs_of(data, lay)
+                v, w = words[v], words[w]
                 yield pa.RecordBatch.from_arrays([signed(v[hot]), signed(w[hot]), pa.array(c[hot])], names=["v", "w", "c"])
 
     return counts.select("data").mapInArrow(run, "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
 
 
 def fit(counts: DataFrame, lay: Layout) -> Model | None:
-    """Counts of counts, the probabilities of single words, and what each shard needs of them."""
+    """Counts of counts, and of each word of a shard the pairs that it ends."""
     spark = counts.sparkSession
-    side = sides(counts, lay)
-    pairs = materialise(common_pairs(counts, lay), "kn-pairs")
-    zero = F.lit(0).cast("long")
-    ends = pairs.groupBy(F.col("w").alias("word")).agg(F.count("*").alias("n"), *[F.sum(zero).alias(c) for c in SIDES[1:]])
-    begins = pairs.groupBy(F.col("v").alias("word")).agg(F.sum(zero).alias("n"), F.sum("c").alias("total"), F.count("*").alias("after"), *counted("c", "x"))
-    words = side.drop("shard").unionByName(ends).unionByName(begins).groupBy("word").agg(*[F.sum(c).alias(c) for c in SIDES])
-    words = materialise(words, "kn-words")
-    tail = words.where("word IS NULL").select(F.col("after").alias("rows"), *[F.col(f"x{i}").alias(f"n{i}") for i in range(1, 5)]).first()
-    if not tail or not tail["rows"]:
-        return None
-    words = words.where("word IS NOT NULL")
-    r1 = words.agg(F.sum("n").alias("all"), F.count_if(F.col("n") > 0).alias("kinds"), *counted("n")).first()
-    r2 = words.agg(*[F.sum(f"x{i}").alias(f"n{i}") for i in range(1, 5)]).first()
-    d1, d2, d3 = discounts(r1), discounts(r2), discounts(tail)
-    off = words.where("n > 0").agg(F.sum(taken("n", d1))).first()[0]
-    unseen = off / r1["all"] / (r1["kinds"] + 1)  # the vocabulary and one unknown word share the discounts
-    p1 = lambda n: (n - float(discounted(np.array([n]), d1)[0])) / r1["all"] + unseen
-    end = p1(words.where(F.col("word") == int(END.astype(np.int64))).first()["n"])
-
-    at = [(int(lay.common[i:i + 1].view(np.int64)[0]), lay.places(i)) for i in range(len(lay.common))]
-    hot = spark.createDataFrame(at, "word long, shards array<int>")
-    copies = F.broadcast(hot.select("word", F.explode("shards").alias("shard")))
-    # a shard of a common word needs its facts though none of its counts may be there
-    needed = side.where("word IS NOT NULL").select("shard", "word", (F.col("after") > 0).alias("first")).unionByName(copies.select("shard", "word", F.lit(True).alias("first")))
-    # a common word may be in no trusted text
-    facts = needed.join(words.hint("merge"), "word", "left").select(
-        "shard", "word", *[F.coalesce(F.when(F.col("first") | F.lit(c == "n"), F.col(c)), zero).alias(c) for c in FACT])
-
-    def facts_block(table: pa.Table) -> pa.Table:
-        word, *columns = (table[c].to_numpy() for c in ("word", *FACT))
-        order = np.lexsort((-columns[2], word.view(_U)))  # a copy may be there twice: the one with its pairs is first
-        order = order[starts(word[order])]
-        return pa.Table.from_batches([batch_of([(table["shard"][0].as_py(), FACTS, block(*(c[order] for c in columns)))])])
+    at = [(int(lay.common[i:i + 1].view(np.int64)[0]), place, int(k == 0)) for i in range(len(lay.common)) for k, place in enumerate(lay.places(i))]
+    copies = spark.createDataFrame(at, "v long, shard int, told int")
 
     def pairs_block(table: pa.Table) -> pa.Table:
-        data = block(*(table[c].to_numpy().view(_U) for c in ("v", "w")), table["c"].to_numpy(), table["n"].to_numpy())
+        data = block(*(table[c].to_numpy().view(_U) for c in ("v", "w")), table["c"].to_numpy(), table["told"].to_numpy())
         return pa.Table.from_batches([batch_of([(table["shard"][0].as_py(), PAIRS, data)])])
 
-    known = pairs.join(words.select(F.col("word").alias("w"), "n").hint("merge"), "w").join(copies.withColumnRenamed("word", "v"), "v")
-    blocks = (counts.unionByName(materialise(facts.groupBy("shard").applyInArrow(facts_block, BLOCK), "kn-facts"))
-              .unionByName(materialise(known.groupBy("shard").applyInArrow(pairs_block, BLOCK), "kn-common-pairs")))
+    known = common_pairs(counts, lay).join(F.broadcast(copies), "v")
+    blocks = counts.unionByName(materialise(known.groupBy("shard").applyInArrow(pairs_block, BLOCK), "kn-pairs"))
+    answers = materialise(answered(ends(blocks, lay), lay), "kn-ends")
     release(spark)
-    return Model(blocks, hot.select("word"), lay, d1, d2, d3, r1["all"], float(np.log2(unseen)), float(np.log2(end / unseen)), lay.slices)
+    # one short row for each shard
+    sums = [columns_of(bytes(r["data"]))[0] for r in answers.where(F.col("kind") == SUMS).select("data").collect()]
+    total = [int(x) for x in np.sum(sums, axis=0)] if sums else [0]
+    if not total[0]:
+        return None
+    of = lambda x: {f"n{i}": n for i, n in enumerate(x, 1)}
+    pairs, kinds, last = total[9], total[10], total[15]
+    d1, d2, d3 = discounts(of(total[11:15])), discounts(of(total[5:9])), discounts(of(total[1:5]))
+    many = kinds - sum(total[11:13])
+    # the vocabulary and one unknown word share the discounts
+    unseen = (d1[0] * total[11] + d1[1] * total[12] + d1[2] * many) / pairs / (kinds + 1)
+    end = (last - float(discounted(np.array([last]), d1)[0])) / pairs + unseen
+    blocks = blocks.unionByName(answers.where(F.col("kind") != SUMS))
+    return Model(blocks, copies.select(F.col("v").alias("word")).distinct(), lay, d1, d2, d3, pairs, float(np.log2(unseen)), float(np.log2(end / unseen)), lay.slices)
 
 
 def discounted(n: np.ndarray, d: list[float]) -> np.ndarray:
@@ -454,40 +449,36 @@ class Weights:
       (u v w):  log2 p(w | u v) - G(u v) - log2 p(w | v)
     summed over a text: each v but the mark before it was the last word once."""
 
-    def __init__(self, kinds: dict[int, bytes], shard: int, m: dict):
-        lay, (d1, d2, d3), total_pairs, unseen = m["layout"], m["d"], m["all"], m["unseen"]
+    def __init__(self, blocks: list[tuple[int, bytes]], m: dict):
+        lay, (d1, d2, d3), pairs, unseen = m["layout"], m["d"], m["all"], m["unseen"]
         none = np.zeros(0, np.int64)
-        old, u, v, w, n = grams_of(kinds[COUNTS], lay.known) if COUNTS in kinds else [none.view(_U), none, none, none, none]
-        hot = columns_of(kinds[PAIRS]) if PAIRS in kinds else [none.view(_U), none.view(_U), none, none]
-        known = np.unique(np.concatenate([old, lay.common_in(shard)]))  # with facts, in their order
-        ends_n, total, after, x1, x2 = columns_of(kinds[FACTS]) if FACTS in kinds else [none] * 5
-        if len(known) != len(total):
-            raise ValueError(f"shard {shard}: {len(known)} words, facts of {len(total)}")
-        self.words = np.unique(np.concatenate([known, *hot[:2]]))
-        u, v, w = (np.searchsorted(self.words, old)[x] if len(old) else x for x in (u, v, w))
+        kinds = dict(blocks)
+        own, u, v, w, n = grams_of(kinds[COUNTS], lay.known) if COUNTS in kinds else [none.view(_U), none, none, none, none]
+        hv, hw, hc, _ = columns_of(kinds[PAIRS]) if PAIRS in kinds else [none.view(_U), none.view(_U), none, none]
+        common = np.unique(np.concatenate([hv, hw]))
+        self.words = np.unique(np.concatenate([own, common]))
         self.size = size = len(self.words)
-
-        def single(n: np.ndarray) -> np.ndarray:
-            return np.where(n > 0, (n - discounted(n, d1)) / total_pairs + 2.0 ** unseen, 0.0)
-
-        p1, off, sums = (np.zeros(size) for _ in range(3))
-        at = np.searchsorted(self.words, known)
-        p1[at], sums[at], off[at] = single(ends_n), total, d2[0] * x1 + d2[1] * x2 + d2[2] * (after - x1 - x2)
-        total = sums
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(total > 0, off / total, 1.0)
-            self.single = np.where(p1 > 0, np.log2(p1) - unseen, 0.0) + np.log2(back)
+        p1 = np.zeros(size)
+        for words, kind in ((own, ENDS), (common, PAIR_ENDS)):
+            answers = sorted((int(b[0]), x) for k, data in blocks if k == kind for b, x in [columns_of(data)])
+            order = np.argsort(lay.buckets(words), kind="stable")
+            times = np.concatenate([none, *(x for _, x in answers)])
+            p1[np.searchsorted(self.words, words[order])] = np.where(times > 0, (times - discounted(times, d1)) / pairs + 2.0 ** unseen, 0.0)
+        if len(own):
+            u, v, w = (np.searchsorted(self.words, own)[x] for x in (u, v, w))
         # pairs: counted here, or over all shards of a common word
         first = starts(v, w)
         a, b, c = v[first], w[first], np.diff(first, append=len(v))
-        own = ~found_at(lay.common, self.words[a])[1] if len(a) else np.zeros(0, bool)
-        hv, hw = (np.searchsorted(self.words, x) for x in hot[:2])
-        a, b, c = np.concatenate([a[own], hv]), np.concatenate([b[own], hw]), np.concatenate([c[own], hot[2]]).astype(np.int64)
-        ends = np.concatenate([p1[b[:own.sum()]], single(hot[3])])
+        here = ~found_at(lay.common, self.words)[1][a]
+        a, b, c = (np.concatenate([x[here], y]) for x, y in ((a, np.searchsorted(self.words, hv)), (b, np.searchsorted(self.words, hw)), (c, hc)))
         self.pairs = a * size + b
         order = np.argsort(self.pairs)
-        self.pairs, a, c, ends = self.pairs[order], a[order], c[order], ends[order]
-        under = back[a] * ends
+        self.pairs, a, b, c = self.pairs[order], a[order], b[order], c[order]
+        total, off = np.bincount(a, c, size), np.bincount(a, discounted(c, d2), size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            back = np.where(total > 0, off / total, 1.0)
+            self.single = np.where(p1 > 0, np.log2(p1) - unseen, 0.0) + np.log2(back)
+        under = back[a] * p1[b]
         p2 = (c - discounted(c, d2)) / total[a] + under
         self.pair = np.log2(p2 / under)
         self.contexts, at = np.unique(v * size + u, return_inverse=True)
@@ -575,7 +566,7 @@ def weight_sums(rows: DataFrame, model: Model) -> DataFrame:
 
     def summed(table: pa.Table) -> pa.Table:
         kinds = table["kind"].to_numpy()
-        weights = Weights({int(k): table["data"][i].as_py() for i, k in enumerate(kinds) if k != ASKED}, table["shard"][0].as_py(), numbers)
+        weights = Weights([(int(kinds[i]), table["data"][int(i)].as_py()) for i in np.flatnonzero(kinds != ASKED)], numbers)
         rid, units = [], []
         for i in np.flatnonzero(kinds == ASKED):
             words, u, v, w, n, d, rids = grams_of(table["data"][int(i)].as_py(), lay.known)

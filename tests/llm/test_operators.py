@@ -415,6 +415,34 @@ def test_salted_ngrams_leave_sums_alone(spark, monkeypatch):
     assert sums[0] == pytest.approx(sums[1])
 
 
+def test_common_words_and_long_texts_are_dealt_exactly(spark, monkeypatch):
+    r = random.Random(8)
+    words = ["the", *(f"w{i}" for i in range(3000))]
+    weights = [4, *(1 / (i + 1) for i in range(3000))]
+    text = lambda n: " ".join(r.choices(words, weights, k=n))
+    texts = [text(r.randint(1, 400)) for _ in range(60)] + ["The " * 300, "zz " * 900 + "the zz", " the  w1\tnew\n" + text(5), "", None]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 50 or i == 60)) for i in range(65)], "doc_id long, quality int")
+    for name, value in (("CHUNK", 50), ("HOT_SAMPLE", 1), ("HOT_SHARE", 0.05), ("HOT_LEAST", 5), ("KNOWN", 20), ("SLICE_TEXTS", 10), ("SLICE_ROWS", 100)):
+        monkeypatch.setattr(kn_quality, name, value)
+    model = kn_quality.train(docs, labels)
+    assert model.slices == 4 and model.layout.spread.max() > 5 and model.hot.count() > 2
+    good = [t for i, t in enumerate(texts) if (i < 50 or i == 60) and zlib.crc32(str(i).encode()) % kn_quality.HELD_OUT]
+    brute = BruteKneserNey(good)
+    got = by_id(kn_quality.perplexity(docs, model, "doc_id", "text", "lang").withColumnRenamed("key", "doc_id"))
+    for i, t in enumerate(texts):
+        assert got[i]["bits"] == (pytest.approx(brute.bits(t), rel=1e-5) if t else None)
+
+
+def test_classifier_makes_few_tables(spark, monkeypatch):
+    made, write = [], kn_quality.materialise
+    monkeypatch.setattr(kn_quality, "materialise", lambda df, name, **options: made.append(name) or write(df, name, **options))
+    for name in ("SLICE_ROWS", "SLICE_TEXTS"):
+        monkeypatch.setattr(kn_quality, name, 1)  # as many slices as there may be
+    queries.op9_kn_quality(spark, SF)
+    assert len(made) <= 12
+
+
 def test_classifier_keeps_clean_documents(spark, odd_docs, no_docs, labels):
     sf = "/root/testdata/sf0.1"
     got = queries.op9_kn_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
