@@ -406,15 +406,24 @@ def common_pairs(counts: DataFrame, lay: Layout) -> DataFrame:
 def fit(counts: DataFrame, lay: Layout) -> Model | None:
     """Counts of counts, and of each word of a shard the pairs that it ends."""
     spark = counts.sparkSession
-    at = [(int(lay.common[i:i + 1].view(np.int64)[0]), place, int(k == 0)) for i in range(len(lay.common)) for k, place in enumerate(lay.places(i))]
-    copies = spark.createDataFrame(at, "v long, shard int, told int")
-
-    def pairs_block(table: pa.Table) -> pa.Table:
-        data = block(*(table[c].to_numpy().view(_U) for c in ("v", "w")), table["c"].to_numpy(), table["told"].to_numpy())
+    places = {int(w): lay.places(i) for i, w in enumerate(lay.common)}
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [[c.to_numpy() for c in batch.columns] for batch in batches]
+        if not found:
+            return
+        v, w, c = map(np.concatenate, zip(*found))
+        v, w = v.view(_U), w.view(_U)
+        for word in np.unique(v):
+            i = np.flatnonzero(v == word)
+            yield batch_of([(shard, PAIRS, block(v[i], w[i], c[i], np.full(len(i), k == 0).astype(np.int32))) for k, shard in enumerate(places[int(word)])])
+
+    def joined(table: pa.Table) -> pa.Table:
+        data = block(*map(np.concatenate, zip(*(columns_of(x) for x in table["data"].to_pylist()))))
         return pa.Table.from_batches([batch_of([(table["shard"][0].as_py(), PAIRS, data)])])
 
-    known = common_pairs(counts, lay).join(F.broadcast(copies), "v")
-    blocks = counts.unionByName(materialise(known.groupBy("shard").applyInArrow(pairs_block, BLOCK), "kn-pairs"))
+    known = common_pairs(counts, lay).mapInArrow(copied, BLOCK)
+    blocks = counts.unionByName(materialise(known.groupBy("shard").applyInArrow(joined, BLOCK), "kn-pairs"))
     answers = materialise(answered(ends(blocks, lay), lay), "kn-ends")
     release(spark)
     # one short row for each shard
@@ -430,7 +439,7 @@ def fit(counts: DataFrame, lay: Layout) -> Model | None:
     unseen = (d1[0] * total[11] + d1[1] * total[12] + d1[2] * many) / pairs / (kinds + 1)
     end = (last - float(discounted(np.array([last]), d1)[0])) / pairs + unseen
     blocks = blocks.unionByName(answers.where(F.col("kind") != SUMS))
-    return Model(blocks, copies.select(F.col("v").alias("word")).distinct(), lay, d1, d2, d3, pairs, float(np.log2(unseen)), float(np.log2(end / unseen)), lay.slices)
+    return Model(blocks, spark.createDataFrame([(int(w),) for w in lay.common.view(np.int64)], "word long"), lay, d1, d2, d3, pairs, float(np.log2(unseen)), float(np.log2(end / unseen)), lay.slices)
 
 
 def discounted(n: np.ndarray, d: list[float]) -> np.ndarray:
