@@ -103,3 +103,63 @@ def test_a_patch_sees_every_neighbour(spark):
     got = {(int(land.num[a]), int(land.num[b])): w[x, y] for i, j, w in land.weights(np.arange(n)) for x, a in enumerate(i) for y, b in enumerate(j) if w[x, y] > 0}
     want = {(r["src"], r["dst"]): r["w"] for r in SC.neighbours(spark, SMALL).collect()}
     assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+@pytest.fixture(scope="module")
+def road(spark, tmp_path_factory):
+    """Tables of 120 stations on four rows of patches, three days."""
+    d = str(tmp_path_factory.mktemp("road"))
+    for t in ("nation", "region"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
+    spark.range(120).selectExpr("id * 8 AS s_suppkey").write.parquet(f"{d}/supplier.parquet")
+    line = spark.range(120 * 40).selectExpr("id", "id DIV 40 * 8 AS l_suppkey", "id % 40 AS n")
+    line.selectExpr("id AS l_orderkey", "id % 7 AS l_partkey", "l_suppkey", "CAST(1 + n % 4 AS INT) AS l_linenumber", "CAST(20 + id % 31 AS DOUBLE) AS l_quantity",
+                    "CAST(id % 11 AS DOUBLE) / 1e2 AS l_discount").write.parquet(f"{d}/lineitem.parquet")
+    spark.range(300).selectExpr("id AS o_orderkey", "id * 13 AS o_custkey", "concat(1 + id % 5, '-X') AS o_orderpriority").write.parquet(f"{d}/orders.parquet")
+    return d
+
+
+def folders(spark, name: str) -> list[str]:
+    import glob
+    return glob.glob(f"{spark.conf.get('spark.checkpoint.dir').removeprefix('file://')}/roadwise-{name}-*")
+
+
+def test_slices_equal_one_and_leave_nothing(spark, road, monkeypatch):
+    """Rows of patches solved apart, several a day, with the state of those beside them; no state but the last stays."""
+    solve = lambda: {(r["instant"], r["station_num"]): r for r in SC.solve.__wrapped__(spark, road, 4).collect()}
+    monkeypatch.setattr(SC, "SHEETS", 10 ** 9)
+    want = solve()
+    assert [len(g) for g in SC.slices(SC.observed(spark, road))] == [1]
+    monkeypatch.setattr(SC, "SHEETS", 1)
+    sizes = [len(g) for g in SC.slices(SC.observed(spark, road))]
+    assert len(sizes) == 3 and min(sizes) >= 3
+    got = solve()
+    assert len(want) > 1000 and got.keys() == want.keys()
+    for k, r in want.items():
+        for c in ("dx", "leak", "cap_scen", "d_lever"):
+            assert got[k][c] == pytest.approx(r[c], rel=1e-9, abs=1e-6)
+    assert not folders(spark, "sheets")
+
+
+@pytest.mark.parametrize("height", [1, 2])
+@pytest.mark.parametrize("sheets", [1, 30, 100, 10 ** 9])
+def test_slices_hold_every_cell_once(spark, road, monkeypatch, sheets, height):
+    monkeypatch.setattr(SC, "SHEETS", sheets)
+    obs = SC.observed(spark, road)
+    parts = [p for g in SC.slices(obs, height) for p in g]
+    assert sum(obs.where(p.cells).count() for p in parts) == obs.count()
+    for g in SC.slices(obs, height):  # rows of patches in order, so that those around a slice are in the ones beside it
+        assert all(a.rows[1] < b.rows[0] and a.days == b.days for a, b in zip(g, g[1:]))
+
+
+def test_cells_of_scenarios_are_stored_beside_the_observed(spark, road):
+    """Cells were joined, and shuffled, again for every query that reads them."""
+    b = SC.beside(spark, road, 4)
+    own = b.selectExpr("slot", "station_num", "inline(own)").collect()
+    want = SC.solve(spark, road, 4).select("slot", "station_num", "run", "d_lever", "dx", "leak", "cap_scen").collect()
+    assert b.count() == SC.observed(spark, road).count() and want
+    key = lambda r: (r["run"], r["slot"], r["station_num"])
+    assert [tuple(x[c] for c in ("run", "slot", "station_num", "d_lever", "dx", "leak", "cap_scen")) for x in sorted(own, key=key)] == [
+        pytest.approx(tuple(x[c] for c in ("run", "slot", "station_num", "d_lever", "dx", "leak", "cap_scen")), rel=1e-9, abs=1e-6) for x in sorted(want, key=key)]
+    for query in (SC.scenario_cells, EX.scenario_speed_changes):
+        assert "hashpartitioning(slot" not in plan_of(query(spark, road))
