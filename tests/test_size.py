@@ -163,3 +163,14 @@ def test_cells_of_scenarios_are_stored_beside_the_observed(spark, road):
         pytest.approx(tuple(x[c] for c in ("run", "slot", "station_num", "d_lever", "dx", "leak", "cap_scen")), rel=1e-9, abs=1e-6) for x in sorted(want, key=key)]
     for query in (SC.scenario_cells, EX.scenario_speed_changes):
         assert "hashpartitioning(slot" not in plan_of(query(spark, road))
+
+
+def test_buckets_store_no_cells_of_their_own(spark, road):
+    """The differences of all touched cells, thirty columns, were stored to be summed once."""
+    before = set(folders(spark, "changes"))
+    got = SC.scenario_buckets(spark, road, 3)
+    assert "hashpartitioning(slot" not in plan_of(got) and "SortMergeJoin" not in plan_of(got) and got.count()
+    assert set(folders(spark, "changes")) == before
+    want = SC.totals(SC.observed(spark, road), SC.stored_changes(spark, road, 3), SC.run_days(spark, road), ["reading_date", "bucket_idx"])
+    parts = SC.totals(SC.observed(spark, road), SC.changes(spark, road, 3), SC.run_days(spark, road), ["reading_date", "bucket_idx"])
+    assert not want.drop("p_residual").exceptAll(parts.drop("p_residual")).count()
