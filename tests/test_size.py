@@ -174,3 +174,32 @@ def test_buckets_store_no_cells_of_their_own(spark, road):
     want = SC.totals(SC.observed(spark, road), SC.stored_changes(spark, road, 3), SC.run_days(spark, road), ["reading_date", "bucket_idx"])
     parts = SC.totals(SC.observed(spark, road), SC.changes(spark, road, 3), SC.run_days(spark, road), ["reading_date", "bucket_idx"])
     assert not want.drop("p_residual").exceptAll(parts.drop("p_residual")).count()
+
+
+def test_parts_of_the_matrix_hold_every_row_once(spark, road, monkeypatch):
+    """All cells by run, some dozen times the observed ones, were shuffled at once, twice. A part of one window and run gives the same rows as all
+    together, and what is handed out shuffles nothing."""
+    build = EX.scenario_time_matrix.__wrapped__
+    monkeypatch.setattr(EX, "PART_SHEETS", 10 ** 9)
+    want = build(spark, road).collect()
+    monkeypatch.setattr(EX, "PART_SHEETS", 100)
+    few = build(spark, road)
+    monkeypatch.setattr(EX, "PART_SHEETS", 15)
+    monkeypatch.setattr(EX, "PARTS", 10 ** 9)
+    got = build(spark, road)
+    assert len(want) == SC.run_days(spark, road).count() * 4 * 6  # four windows, five freeways and all
+    assert sorted(map(str, want)) == sorted(map(str, got.collect())) == sorted(map(str, few.collect()))
+    assert "Exchange" not in plan_of(got)
+
+
+@pytest.mark.parametrize("size", [1, 20, 60, 100, 1000, 10 ** 6])
+def test_parts_cover_days_windows_and_runs(monkeypatch, size):
+    import datetime
+    monkeypatch.setattr(EX, "PART_SHEETS", size)
+    monkeypatch.setattr(EX, "PARTS", 10 ** 9)
+    sizes = [(datetime.date(2026, 6, 6 + i), 96 * n) for i, n in enumerate((100, 0, 30, 30, 500))]
+    parts = EX.matrix_parts(sizes, 9)
+    found = sorted((d, b, r) for p in parts for d in p.days for b in range(p.first, p.last, 24) for r in range(9) if r % p.of == p.run)
+    assert found == [(d, b, r) for d, _ in sizes for b in range(0, 96, 24) for r in range(9)]
+    cells = dict(sizes)
+    assert all(sum(cells[d] for d in p.days) * (p.last - p.first) / 96 / p.of <= 96 * size or (p.last - p.first, p.of) == (24, 9) for p in parts)
