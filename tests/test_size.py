@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import SMALL
+from roadwise import constants as K
 from roadwise.operators.packing import pack_dense, pack_ordered
 from roadwise.operators.quality import Rule, apply_rules
 from roadwise.operators.spatial import grid_band_join, range_band_join
@@ -126,7 +127,7 @@ def folders(spark, name: str) -> list[str]:
 
 def test_slices_equal_one_and_leave_nothing(spark, road, monkeypatch):
     """Rows of patches solved apart, several a day, with the state of those beside them; no state but the last stays."""
-    solve = lambda: {(r["instant"], r["station_num"]): r for r in SC.solve.__wrapped__(spark, road, 4).collect()}
+    solve = lambda: {(r["instant"], r["station_num"]): r for r in SC.solve.__wrapped__(spark, road, 2).collect()}
     monkeypatch.setattr(SC, "SHEETS", 10 ** 9)
     want = solve()
     assert [len(g) for g in SC.slices(SC.observed(spark, road))] == [1]
@@ -148,15 +149,17 @@ def test_slices_hold_every_cell_once(spark, road, monkeypatch, sheets, height):
     obs = SC.observed(spark, road)
     parts = [p for g in SC.slices(obs, height) for p in g]
     assert sum(obs.where(p.cells).count() for p in parts) == obs.count()
+    lost = obs.limit(5).withColumn("tile", F.lit(None).cast("int"))
+    assert sum(lost.where(p.cells).count() for p in parts) == lost.count()
     for g in SC.slices(obs, height):  # rows of patches in order, so that those around a slice are in the ones beside it
         assert all(a.rows[1] < b.rows[0] and a.days == b.days for a, b in zip(g, g[1:]))
 
 
 def test_cells_of_scenarios_are_stored_beside_the_observed(spark, road):
     """Cells were joined, and shuffled, again for every query that reads them."""
-    b = SC.beside(spark, road, 4)
+    b = SC.beside(spark, road)
     own = b.selectExpr("slot", "station_num", "inline(own)").collect()
-    want = SC.solve(spark, road, 4).select("slot", "station_num", "run", "d_lever", "dx", "leak", "cap_scen").collect()
+    want = SC.solve(spark, road).select("slot", "station_num", "run", "d_lever", "dx", "leak", "cap_scen").collect()
     assert b.count() == SC.observed(spark, road).count() and want
     key = lambda r: (r["run"], r["slot"], r["station_num"])
     assert [tuple(x[c] for c in ("run", "slot", "station_num", "d_lever", "dx", "leak", "cap_scen")) for x in sorted(own, key=key)] == [
@@ -168,27 +171,24 @@ def test_cells_of_scenarios_are_stored_beside_the_observed(spark, road):
 def test_buckets_store_no_cells_of_their_own(spark, road):
     """The differences of all touched cells, thirty columns, were stored to be summed once."""
     before = set(folders(spark, "changes"))
-    got = SC.scenario_buckets(spark, road, 3)
+    got = SC.scenario_buckets(spark, road)
     assert "hashpartitioning(slot" not in plan_of(got) and "SortMergeJoin" not in plan_of(got) and got.count()
     assert set(folders(spark, "changes")) == before
-    want = SC.totals(SC.observed(spark, road), SC.stored_changes(spark, road, 3), SC.run_days(spark, road), ["reading_date", "bucket_idx"])
-    parts = SC.totals(SC.observed(spark, road), SC.changes(spark, road, 3), SC.run_days(spark, road), ["reading_date", "bucket_idx"])
+    want = SC.totals(SC.observed(spark, road), SC.stored_changes(spark, road, K.MSA_ITERATIONS), SC.run_days(spark, road), ["reading_date", "bucket_idx"])
+    parts = SC.totals(SC.observed(spark, road), SC.changes(spark, road, K.MSA_ITERATIONS), SC.run_days(spark, road), ["reading_date", "bucket_idx"])
     assert not want.drop("p_residual").exceptAll(parts.drop("p_residual")).count()
 
 
 def test_parts_of_the_matrix_hold_every_row_once(spark, road, monkeypatch):
-    """All cells by run, some dozen times the observed ones, were shuffled at once, twice. A part of one window and run gives the same rows as all
+    """All cells by run, some dozen times the observed ones, were shuffled at once, twice. Parts of some windows and runs give the same rows as all
     together, and what is handed out shuffles nothing."""
     build = EX.scenario_time_matrix.__wrapped__
-    monkeypatch.setattr(EX, "PART_SHEETS", 10 ** 9)
     want = build(spark, road).collect()
-    monkeypatch.setattr(EX, "PART_SHEETS", 100)
-    few = build(spark, road)
-    monkeypatch.setattr(EX, "PART_SHEETS", 15)
-    monkeypatch.setattr(EX, "PARTS", 10 ** 9)
+    days = [r["reading_date"] for r in MD.days_table(spark, road).orderBy("reading_date").collect()]
+    monkeypatch.setattr(EX, "matrix_parts", lambda sizes, runs: [EX.Part((days[0],), a, b, r, 2) for a, b in ((0, 24), (24, 96)) for r in (0, 1)] + [EX.Part(tuple(days[1:]))])
     got = build(spark, road)
     assert len(want) == SC.run_days(spark, road).count() * 4 * 6  # four windows, five freeways and all
-    assert sorted(map(str, want)) == sorted(map(str, got.collect())) == sorted(map(str, few.collect()))
+    assert sorted(map(str, want)) == sorted(map(str, got.collect()))
     assert "Exchange" not in plan_of(got)
 
 
